@@ -7,7 +7,7 @@ alone.  Bootstraps therefore need no ordered stream and no state between tasks.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import COUNTER_STEP
@@ -26,14 +26,31 @@ def _times32(left: Column, right: Column) -> Column:
     return _mask(low + F.shiftleft(high, 16))
 
 
-def counter_uniform(seed: Column, k: Column) -> Column:
-    """Uniform double in [0, 1) for draw ``k`` (from 0) of the stream ``seed``."""
+def with_uniform(df: DataFrame, seed: Column, k: Column, name: str = "u") -> DataFrame:
+    """Add a uniform double in [0, 1): draw ``k`` (from 0) of the stream ``seed``.
+
+    The mixing steps are separate projections, so each is evaluated once and compiled small.
+    """
     step = _mask(k.cast("bigint") + F.lit(1)) * F.lit(COUNTER_STEP)
-    a = _mask(_mask(seed.cast("bigint")) + _mask(step))
-    t = _times32(a.bitwiseXOR(F.shiftrightunsigned(a, 15)), a.bitwiseOR(F.lit(1)))
+    a, t = F.col("_a"), F.col("_t")
+    mixed = _times32(a.bitwiseXOR(F.shiftrightunsigned(a, 15)), a.bitwiseOR(F.lit(1)))
     more = _times32(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61)))
-    t = t.bitwiseXOR(_mask(t + more))
-    return t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / F.lit(4294967296.0)
+    return (
+        df.withColumn("_a", _mask(_mask(seed.cast("bigint")) + _mask(step)))
+        .withColumn("_t", mixed)
+        .withColumn("_t", t.bitwiseXOR(_mask(t + more)))
+        .withColumn(name, t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / F.lit(4294967296.0))
+        .drop("_a", "_t")
+    )
+
+
+def with_draw(df: DataFrame, seed: Column, k: Column, n: Column, name: str = "pos") -> DataFrame:
+    """Add a position drawn from 0 .. n-1.
+
+    It is never null, which keeps the optimizer from copying the whole mixing expression into a
+    null filter below a join on the position.
+    """
+    return with_uniform(df, seed, k, "_u").withColumn(name, F.coalesce(F.floor(F.col("_u") * n), F.lit(-1))).drop("_u")
 
 
 def uniform_block(seed: int, first: int, count: int) -> np.ndarray:

@@ -16,7 +16,7 @@ def adjustment_factor(close: Column, adj_close: Column) -> Column:
 
 def real_iso_date(text: Column) -> Column:
     """Text is YYYY-MM-DD and names a day that exists."""
-    return F.coalesce(text.rlike(K.ISO_DATE_PATTERN), F.lit(False)) & F.try_to_date(text, F.lit("yyyy-MM-dd")).isNotNull()
+    return F.coalesce(text.rlike(K.ISO_DATE_PATTERN), F.lit(False)) & F.try_to_date(text, "yyyy-MM-dd").isNotNull()
 
 
 def price_problems(symbol: Column, date_text: Column, open_: Column, high: Column, low: Column,

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.ordering import ordered_positions, with_halo
-from ..functions.random import counter_uniform, uniform_block
+from ..functions.random import uniform_block, with_draw, with_uniform
 
 TRADE_ORDER = ["exit_date", "entry_date", "symbol", "profit"]
 
@@ -67,9 +67,8 @@ def bootstrap_fold_sums(trades: DataFrame, draws: int = K.BOOTSTRAP_DRAWS, seed:
     first = F.col("_chunk") * chunk
     blocks = spread.withColumn("block", F.explode(F.sequence(first, F.least(first + chunk, F.col("blocks")) - 1)))
     k = F.col("draw") * F.col("_per_draw") + F.col("_before") + F.col("block")
-    picks = blocks.select(
-        "strategy", "fold", "draw", (F.col("block") == F.col("blocks") - 1).alias("_last"),
-        F.floor(counter_uniform(F.lit(seed), k) * F.col("n")).alias("pos"))
+    picks = with_draw(blocks, F.lit(seed), k, F.col("n")).select(
+        "strategy", "fold", "draw", (F.col("block") == F.col("blocks") - 1).alias("_last"), "pos")
     drawn = picks.join(sums.select("strategy", "fold", "pos", "full_sum", "last_sum"), ["strategy", "fold", "pos"])
     return drawn.groupBy("strategy", "draw", "fold").agg(
         F.sum(F.when(F.col("_last"), F.col("last_sum")).otherwise(F.col("full_sum"))).alias("fold_sum"))
@@ -177,10 +176,11 @@ def perturb_prices(seq_bars: DataFrame, seed: Column, amplitude: float = K.PERTU
     numbers = ordered_positions(seq_bars.select("symbol").distinct(), [], ["symbol"], position="_symbol_no").select(
         "symbol", "_symbol_no")
     stream = seed.cast("bigint") * 100_003 + F.col("_symbol_no") * 1009 + 17
-    factor = 1 + (counter_uniform(stream, F.col("seq") - 1) * 2 - 1) * F.lit(amplitude)
+    factor = 1 + (F.col("_u") * 2 - 1) * F.lit(amplitude)
     prices = ("open", "high", "low", "close")
     others = [name for name in seq_bars.columns if name not in prices]
-    return seq_bars.join(numbers, "symbol").withColumn("_factor", factor).select(
+    drawn = with_uniform(seq_bars.join(numbers, "symbol"), stream, F.col("seq") - 1, "_u")
+    return drawn.withColumn("_factor", factor).select(
         *others, *[(F.col(name) * F.col("_factor")).alias(name) for name in prices])
 
 

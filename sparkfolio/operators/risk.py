@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions.numbers import cents, fixed
 from ..functions.ordering import ordered_positions
-from ..functions.random import counter_uniform, uniform_block
+from ..functions.random import uniform_block, with_draw
 
 POOL_LIMIT = 100_000
 
@@ -122,7 +122,7 @@ def ruin_paths(pool: DataFrame, rates: list[float], paths: int = K.RUIN_PATHS, p
         "run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / step_chunk))))
     begin = F.col("run") * step_chunk
     steps = runs.withColumn("step", F.explode(F.sequence(begin, F.least(begin + step_chunk, n) - 1)))
-    picks = steps.withColumn("pos", F.floor(counter_uniform(F.col("seed"), F.col("path") * n + F.col("step")) * n))
+    picks = with_draw(steps, F.col("seed"), F.col("path") * n + F.col("step"), n)
     drawn = picks.join(pool.select("strategy", "pos", "r"), ["strategy", "pos"])
     ordered = drawn.groupBy("strategy", "rate", "path", "run").agg(
         F.array_sort(F.collect_list(F.struct("step", "r"))).alias("steps"))
@@ -179,7 +179,7 @@ def capital_envelope(pool: DataFrame, dates: DataFrame, walked: DataFrame, rates
         "strategy", "rate", "band", "run")
     begin = F.col("run") * block
     steps = runs.withColumn("step", F.explode(F.sequence(begin, F.least(begin + block, n) - 1)))
-    picks = steps.withColumn("pos", F.floor(counter_uniform(F.col("seed"), F.col("path") * n + F.col("step")) * n))
+    picks = with_draw(steps, F.col("seed"), F.col("path") * n + F.col("step"), n)
     grown = picks.join(pool.select("strategy", "pos", "r"), ["strategy", "pos"]).withColumn(
         "growth", F.ln(1 + F.col("rate") * F.col("r")))
     key = ["strategy", "rate", "band"]

@@ -247,7 +247,7 @@ PARTS: dict[str, str] = {
         (SELECT *, round(avg(close) OVER (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 8) AS mean10 FROM training) s
         CROSS JOIN points p JOIN training e ON e.symbol=s.symbol AND e.seq=s.seq+1
         JOIN training x ON x.symbol=s.symbol AND x.seq=s.seq+1+hold
-      WHERE s.seq>=90 AND s.close < p."drop"*(CASE WHEN lookback=10 THEN mean10 ELSE mean20 END)) g
+      WHERE s.seq>=90 AND s.close < p."drop"*(CASE WHEN lookback=10 THEN s.mean10 ELSE s.mean20 END)) g
     JOIN baseline b ON b.symbol=g.symbol AND b.horizon=g.hold GROUP BY ALL""",
     "neighbours": """
     SELECT x.campaign, x.point, y.point AS neighbour, y.score AS neighbour_score FROM grid x JOIN grid y USING (campaign)
@@ -288,10 +288,10 @@ PARTS: dict[str, str] = {
     SELECT t.*, origin_price*exp(horizon*(ln(origin_price/b.adj_close)/10)) AS forecast_price
     FROM targets t JOIN seq b ON b.symbol=t.symbol AND b.seq=t.seq-10""",
     "empirical": """
-    SELECT t.*, list_transform(quantile_cont(x.adj_close/y.adj_close-1, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]),
-                               lambda q: t.origin_price*(1+q)) AS quantiles
+    SELECT * EXCLUDE (levels), list_transform(levels, lambda q: origin_price*(1+q)) AS quantiles FROM (
+    SELECT t.*, quantile_cont(x.adj_close/y.adj_close-1, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS levels
     FROM targets t JOIN seq x ON x.symbol=t.symbol AND x.seq BETWEEN t.seq-63+t.horizon AND t.seq
-    JOIN seq y ON y.symbol=x.symbol AND y.seq=x.seq-t.horizon GROUP BY ALL""",
+    JOIN seq y ON y.symbol=x.symbol AND y.seq=x.seq-t.horizon GROUP BY ALL)""",
     "forecasts": """
     SELECT symbol, origin, seq, 'unchanged' AS model, horizon, target_date, origin_price, actual_price, origin_price AS forecast_price, NULL::DOUBLE[] AS quantiles FROM targets
     UNION ALL SELECT symbol, origin, seq, 'momentum', horizon, target_date, origin_price, actual_price, forecast_price, NULL FROM momentum
@@ -341,7 +341,7 @@ def sql(body: str) -> str:
 
     for name in _needs(body):
         visit(name)
-    parts = ",\n".join(f"{name} AS ({PARTS[name]})" for name in done)
+    parts = ",\n".join(f"{name} AS MATERIALIZED ({PARTS[name]})" for name in done)
     return f"WITH {parts}\n{body}" if parts else body
 
 
@@ -357,7 +357,7 @@ def _out(columns: str, source: str) -> str:
     return sql(f"SELECT {', '.join(wanted)} FROM {source}")
 
 
-BAR = "symbol bar_date ~open ~high ~low ~close ~adj_close volume"
+BAR = "symbol bar_date ~open:9 ~high:9 ~low:9 ~close:9 ~adj_close:9 volume"
 ORACLE: dict[str, str] = {
     # --- sources ------------------------------------------------------------------
     "read_prices": _out(BAR, "bars WHERE symbol IN ('S00001','S00002','S00003','S00005','S00008')"),
@@ -401,7 +401,7 @@ ORACLE: dict[str, str] = {
     "r_multiple": _out("strategy symbol signal_date side ~r", """(SELECT s.strategy, s.symbol, s.signal_date, side,
         CASE WHEN side='long' THEN (b.close-worst_entry)/risk ELSE (worst_entry-b.close)/risk END AS r
         FROM economics s JOIN seq b ON b.symbol=s.symbol AND b.seq=s.seq+1)"""),
-    "apply_costs": _out("strategy symbol seq ~entry_price ~exit_price ~brokerage ~slippage ~profit", "outcomes"),
+    "apply_costs": _out("strategy symbol seq ~entry_price:10 ~exit_price:10 ~brokerage ~slippage ~profit", "outcomes"),
     "size_position": _out("strategy symbol signal_date rate qty", """(SELECT strategy, symbol, signal_date, rate,
         CAST(floor(least(10000.0::DOUBLE*rate/(e-stop_loss), floor((5000.0::DOUBLE-3)/e))) AS BIGINT) AS qty FROM
         (SELECT *, worst_entry*(1+5.0::DOUBLE/10000) AS e FROM long_signals), (SELECT unnest([0.005::DOUBLE,0.01,0.015,0.02]) AS rate))"""),
@@ -418,8 +418,7 @@ ORACLE: dict[str, str] = {
     "direction_sign": sql("SELECT symbol, origin, model, horizon, ad AS actual_dir, pd AS forecast_dir FROM errors"),
     "predicted_return": _out("symbol origin model horizon ~predicted_return_pct", """(SELECT *, 100*(forecast_price/origin_price-1) AS predicted_return_pct FROM forecasts)"""),
     "confidence_norm": _out("strategy symbol signal_date ~confidence_norm ~log_odds ~back", """(SELECT *, conf AS confidence_norm,
-        ln(greatest(0.001::DOUBLE,least(0.999::DOUBLE,conf))/(1-greatest(0.001::DOUBLE,least(0.999::DOUBLE,conf)))) AS log_odds,
-        greatest(0.001::DOUBLE,least(0.999::DOUBLE,conf)) AS back FROM economics)"""),
+        ln(conf/(1-conf)) AS log_odds, conf AS back FROM economics)"""),
     "time_exit": _out("strategy symbol seq days_open time_exit", """(SELECT strategy, symbol, seq, days_open, days_open >= max_hold_days AS time_exit FROM outcomes)"""),
     "adjust_open_long": _out("strategy symbol seq bar_date action ~stop_loss ~target", """(SELECT p.strategy, p.symbol, p.seq, p.bar_date,
         CASE WHEN n.side='short' THEN 'exit' ELSE 'adjust' END AS action, CASE WHEN n.side='long' THEN greatest(p.stop_loss, n.stop_loss) END AS stop_loss,
@@ -428,22 +427,22 @@ ORACLE: dict[str, str] = {
     "align_market_index": _out("symbol bar_date ~close ~index_close", """(SELECT b.symbol, b.bar_date, b.close,
         last_value(m.close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY b.bar_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS index_close
         FROM bars b LEFT JOIN (SELECT * FROM market WHERE role='index') m USING (bar_date))"""),
-    "market_asof": _out("symbol bar_date role ~context context_date", """(SELECT b.symbol, b.bar_date, m.role, m.close AS context, m.bar_date AS context_date
-        FROM bars b CROSS JOIN (SELECT DISTINCT role FROM market) r ASOF JOIN market m ON m.role=r.role AND b.bar_date >= m.bar_date)"""),
-    "market_asof_strict": _out("symbol bar_date role ~context context_date", """(SELECT b.symbol, b.bar_date, m.role, m.close AS context, m.bar_date AS context_date
-        FROM bars b CROSS JOIN (SELECT DISTINCT role FROM market) r ASOF JOIN market m ON m.role=r.role AND b.bar_date > m.bar_date)"""),
-    "market_asof_window": _out("symbol bar_date role points first_date ~mean_close", """(SELECT b.symbol, b.bar_date, m.role, m.n AS points, m.f AS first_date, m.a AS mean_close
-        FROM bars b CROSS JOIN (SELECT DISTINCT role FROM market) r ASOF JOIN (SELECT *, count(*) OVER w AS n, min(bar_date) OVER w AS f, avg(close) OVER w AS a
+    "market_asof": _out("symbol bar_date role ~context context_date", """(SELECT b.symbol, b.bar_date, r.role, m.close AS context, m.bar_date AS context_date
+        FROM bars b CROSS JOIN (SELECT DISTINCT role FROM market) r ASOF LEFT JOIN market m ON m.role=r.role AND b.bar_date >= m.bar_date)"""),
+    "market_asof_strict": _out("symbol bar_date role ~context context_date", """(SELECT b.symbol, b.bar_date, r.role, m.close AS context, m.bar_date AS context_date
+        FROM bars b CROSS JOIN (SELECT DISTINCT role FROM market) r ASOF LEFT JOIN market m ON m.role=r.role AND b.bar_date > m.bar_date)"""),
+    "market_asof_window": _out("symbol bar_date role points first_date ~total_close", """(SELECT b.symbol, b.bar_date, r.role, m.n AS points, m.f AS first_date, m.a AS total_close
+        FROM bars b CROSS JOIN (SELECT DISTINCT role FROM market) r ASOF LEFT JOIN (SELECT *, count(*) OVER w AS n, min(bar_date) OVER w AS f, sum(close) OVER w AS a
         FROM market WINDOW w AS (PARTITION BY role ORDER BY bar_date ROWS BETWEEN 89 PRECEDING AND CURRENT ROW)) m ON m.role=r.role AND b.bar_date >= m.bar_date)"""),
     "forecast_exact_join": _out("symbol bar_date as_of horizon_days ~predicted_return_pct", """(SELECT b.symbol, b.bar_date, f.origin AS as_of, f.horizon AS horizon_days,
         100*(forecast_price/origin_price-1) AS predicted_return_pct FROM bars b LEFT JOIN (SELECT * FROM forecasts WHERE model='momentum' AND horizon=10) f
         ON f.symbol=b.symbol AND f.origin=b.bar_date)"""),
     "forecast_coverage": sql("""SELECT s.symbol, f.fold, count(o.origin) AS forecasts FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN folds f
         LEFT JOIN origins o ON o.symbol=s.symbol AND o.origin BETWEEN f.start AND f."end" GROUP BY ALL"""),
-    "assign_fold": _out("strategy symbol exit_date ~profit fold", """(SELECT t.strategy, t.symbol, t.exit_date, t.profit, f.fold FROM trades t JOIN folds f ON t.exit_date BETWEEN f.start AND f."end")"""),
+    "assign_fold": _out("strategy symbol exit_date ~profit:7 fold", """(SELECT t.strategy, t.symbol, t.exit_date, t.profit, f.fold FROM trades t JOIN folds f ON t.exit_date BETWEEN f.start AND f."end")"""),
     "forward_return": _out("strategy symbol seq horizon ~forward_return", "forward"),
     "signal_path": _out('strategy symbol seq "offset" bar_date ~open ~high ~low ~close', "path"),
-    "trade_outcomes": _out("strategy symbol seq entry_date exit_date reason days_open qty ~entry_price ~exit_price ~profit ~r_multiple",
+    "trade_outcomes": _out("strategy symbol seq entry_date exit_date reason days_open qty ~entry_price:10 ~exit_price:10 ~profit ~r_multiple",
         "(SELECT * REPLACE (CAST(qty AS BIGINT) AS qty) FROM outcomes)"),
     "trade_outcomes_market_day": _out("strategy symbol seq entry_date exit_date reason ~profit", """(SELECT o.* FROM outcomes o JOIN
         (SELECT bar_date, lead(bar_date) OVER (ORDER BY bar_date) AS nd FROM (SELECT DISTINCT bar_date FROM bars)) c ON c.bar_date=o.signal_date WHERE o.entry_date=c.nd)"""),
@@ -531,7 +530,7 @@ ORACLE: dict[str, str] = {
         100.0::DOUBLE*count(*) FILTER (error_pp<=tolerance)/count(*) AS hit_pct FROM errors, (SELECT unnest([0.5::DOUBLE,1,2,5]) AS tolerance) GROUP BY ALL)"""),
     "quantile_calibration": sql(f"""SELECT model, horizon, count(*) AS n, {R('100.0*count(*) FILTER (quantiles[1]<=actual_price AND actual_price<=quantiles[9])/count(*)', 'interval_coverage_pct')},
         {R('avg(100*(quantiles[9]-quantiles[1])/origin_price)', 'interval_width_pp')},
-        {R("avg(list_sum([greatest(l.q*100*(actual_price-l.v)/origin_price, (l.q-1)*100*(actual_price-l.v)/origin_price) for l in list_transform([1,2,3,4,5,6,7,8,9], lambda i: {'q': i/10, 'v': quantiles[i]})]))/9", 'pinball_pp')},
+        {R("avg(" + " + ".join(f"100/origin_price*greatest({i / 10}::DOUBLE*(actual_price-quantiles[{i}]), ({i / 10}::DOUBLE-1)*(actual_price-quantiles[{i}]))" for i in range(1, 10)) + ")/9", 'pinball_pp')},
         """ + ", ".join(R(f"100.0*count(*) FILTER (actual_price<=quantiles[{i}])/count(*)", f"observed_{i}0") for i in range(1, 10)) + """
         FROM forecasts WHERE quantiles IS NOT NULL GROUP BY ALL"""),
     "forecast_skill": _out("model horizon ~mae_skill_pct symbols_beating_baseline symbols ~equal_weight_symbol_mae_pp", """(SELECT m.model, m.horizon,
@@ -549,7 +548,7 @@ ORACLE: dict[str, str] = {
           SELECT *, first_value(test) OVER (PARTITION BY signature, split ORDER BY train DESC, strategy) AS win FROM (
             SELECT signature, folds, strategy, split, sum(s) FILTER (on_train)/(folds//2) AS train, sum(s) FILTER (NOT on_train)/(folds-folds//2) AS test FROM (
               SELECT signature, folds, strategy, split, scores[i] AS s, (split >> (i-1)) & 1 = 1 AS on_train FROM vectors, LATERAL (SELECT unnest(range(0, 1 << folds)) AS split),
-              LATERAL (SELECT unnest(range(1, folds+1)) AS i) WHERE bit_count(split)=folds//2 AND folds>=4) GROUP BY ALL)) GROUP BY ALL) GROUP BY signature"""),
+              LATERAL (SELECT unnest(range(1, folds+1)) AS i) WHERE bit_count(split)=folds//2 AND folds>=4) GROUP BY signature, folds, strategy, split)) GROUP BY signature, split) GROUP BY signature"""),
     # --- windows ------------------------------------------------------------------
     "bar_seq": sql("SELECT symbol, bar_date, seq FROM seq"),
     "rolling_traded_value": _out("symbol bar_date ~traded_value", "(SELECT symbol, signal_date AS bar_date, traded_value FROM liquidity)"),
@@ -576,17 +575,17 @@ ORACLE: dict[str, str] = {
     "baseline_unchanged": _out("symbol origin horizon ~forecast_price", "(SELECT *, origin_price AS forecast_price FROM targets)"),
     "baseline_momentum": _out("symbol origin horizon ~forecast_price", "momentum"),
     "trailing_stop": _out('strategy symbol seq "offset" ~stop_now ~target_now exit_pending', "stops"),
-    "eligibility": _out("strategy setup regime pos sample_size ~expectancy_r ~win_rate ~max_drawdown_r reason actionable", """(SELECT *, reason IN ('warmup','eligible') AS actionable FROM (
+    "eligibility": _out("strategy setup regime pos sample_size ~expectancy_r ~win_rate ~max_drawdown_r:8 reason actionable", """(SELECT *, reason IN ('warmup','eligible') AS actionable FROM (
         SELECT *, CASE WHEN sample_size<10 THEN 'warmup' WHEN expectancy_r<=0 THEN 'negative-expectancy' WHEN win_rate<0.35::DOUBLE THEN 'low-win-rate' WHEN max_drawdown_r>5 THEN 'drawdown' ELSE 'eligible' END AS reason FROM (
-        SELECT strategy, setup, regime, pos, CAST(len(l) AS INTEGER) AS sample_size, coalesce(list_sum(l)/len(l),0) AS expectancy_r, coalesce(len(list_filter(l, lambda x: x>0))/len(l),0) AS win_rate,
+        SELECT strategy, setup, regime, pos, CAST(len(l) AS INTEGER) AS sample_size, coalesce(list_sum(l)/len(l),0) AS expectancy_r, CASE WHEN len(l)>0 THEN len(list_filter(l, lambda x: x>0))/len(l) ELSE 0 END AS win_rate,
           coalesce(list_max(list_transform(range(1,len(l)+1), lambda i: greatest(0, list_max(list_transform(range(1,i+1), lambda j: list_sum(l[1:j]))))-list_sum(l[1:i]))),0) AS max_drawdown_r FROM (
         SELECT strategy, setup, regime, row_number() OVER w - 1 AS pos, coalesce(list(profit) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), []) AS l FROM trades
         WINDOW w AS (PARTITION BY strategy, setup, regime ORDER BY exit_date, entry_date, symbol, profit)))))"""),
-    "equity_curve": _out("strategy bar_date ~equity", "(SELECT strategy, bar_date, 10000+sum(p) OVER (PARTITION BY strategy ORDER BY bar_date) AS equity FROM (SELECT strategy, exit_date AS bar_date, sum(profit) AS p FROM trades GROUP BY ALL))"),
+    "equity_curve": _out("strategy bar_date ~equity:7", "(SELECT strategy, bar_date, 10000+sum(p) OVER (PARTITION BY strategy ORDER BY bar_date) AS equity FROM (SELECT strategy, exit_date AS bar_date, sum(profit) AS p FROM trades GROUP BY ALL))"),
     "fold_calendar": sql("""SELECT 'fold-' || i AS fold, CAST(s AS DATE) AS start, CAST(least(s + INTERVAL 6 MONTH - INTERVAL 1 DAY, m) AS DATE) AS "end", (SELECT count(*) FROM bars WHERE bar_date BETWEEN s AND least(s + INTERVAL 6 MONTH - INTERVAL 1 DAY, m)) AS bars
         FROM (SELECT m, unnest(range(1, 100)) AS i, TIMESTAMP '1999-01-01' + INTERVAL 6 MONTH * (unnest(range(1,100))-1) AS s FROM (SELECT max(bar_date) AS m FROM bars)) WHERE s <= m"""),
     # --- ranking and selection ------------------------------------------------------
-    "daily_top_k": _out('symbol signal_date strategy ~rank_r ~evidence ~votes "rank"', """(SELECT * FROM (SELECT g.*, row_number() OVER (PARTITION BY signal_date ORDER BY round(rank_r,9) DESC, round(evidence,9) DESC, round(votes,9) DESC, traded_value DESC, symbol) AS "rank" FROM (
+    "daily_top_k": _out('symbol signal_date strategy ~rank_r:9 ~evidence:9 ~votes:9 "rank"', """(SELECT * FROM (SELECT g.*, row_number() OVER (PARTITION BY signal_date ORDER BY round(rank_r,9) DESC, round(evidence,9) DESC, round(votes,9) DESC, traded_value DESC, symbol) AS "rank" FROM (
         SELECT g.*, l.traded_value, coalesce(expected_r, (SELECT list_sort(list(x.expected_r))[CAST(floor(count(*)/2) AS BIGINT)+1] FROM graded x WHERE x.signal_date=g.signal_date AND x.expected_r IS NOT NULL), 0) AS rank_r
         FROM graded g JOIN liquidity l USING (symbol, signal_date)) g) WHERE "rank" <= 2)"""),
     "ensemble_score": _out("symbol signal_date strategies ~votes ~evidence ~score", "(SELECT *, 1/(1+exp(-evidence)) AS score FROM pooled)"),
@@ -612,7 +611,7 @@ ORACLE: dict[str, str] = {
     "fold_union": sql("SELECT fold FROM folds UNION SELECT fold FROM trades"),
     "symbol_union": sql("SELECT symbol FROM bars UNION SELECT '^' || role FROM market"),
     # --- streams (batch form) and rules ------------------------------------------------
-    "stream_pair_events": sql("""SELECT e.call_id, e.tool, e.status, s.ts AS started_at, e.ts AS ended_at, CAST(epoch_ms(e.ts)-epoch_ms(s.ts) AS BIGINT) AS duration_ms,
+    "stream_pair_events": sql("""SELECT e.call_id, e.tool, e.status, s.ts AS started_at, e.ts AS ended_at, CAST(epoch_us(e.ts)//1000-epoch_us(s.ts)//1000 AS BIGINT) AS duration_ms,
         CASE WHEN e.status='error' THEN left(regexp_replace(e.text, '[[:space:]]+', ' ', 'g'), 240) END AS error_text
         FROM (SELECT * FROM calls WHERE kind='end') e LEFT JOIN (SELECT * FROM calls WHERE kind='start') s ON s.call_id=e.call_id AND s.ts<=e.ts AND s.ts>=e.ts-INTERVAL 1 DAY"""),
     "stream_upsert_prices": _out(BAR, """(SELECT b.symbol, b.bar_date, coalesce(r.open,b.open) AS open, coalesce(r.high,b.high) AS high,

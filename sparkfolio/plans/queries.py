@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import trading as X
 from ..functions.numbers import cents
-from ..functions.random import counter_uniform
+from ..functions.random import with_uniform
 from ..operators import bars as B
 from ..operators import context as C
 from ..operators import evidence as E
@@ -42,6 +42,9 @@ def query(build: Callable[["Tables"], DataFrame]) -> Callable[["Tables"], DataFr
     return build
 
 
+PRICES = dict(open=9, high=9, low=9, close=9, adj_close=9)
+
+
 def precise(**places: int):
     def mark(build):
         build.places = places
@@ -201,6 +204,7 @@ class Tables:
 
 # ---- sources ----------------------------------------------------------------------
 @query
+@precise(**PRICES)
 def read_prices(t: Tables) -> DataFrame:
     return prices.read_prices(t.bars, ["S00001", "S00002", "S00003", "S00005", "S00008"])
 
@@ -224,6 +228,7 @@ def read_universe(t: Tables) -> DataFrame:
 
 
 @query
+@precise(**PRICES)
 def upsert_prices(t: Tables) -> DataFrame:
     known = t.bars.select("symbol", "bar_date")
     late = t.raw_bars.where(F.col("bar_date") >= F.lit("2001-01-01").cast("date"))
@@ -231,6 +236,7 @@ def upsert_prices(t: Tables) -> DataFrame:
 
 
 @query
+@precise(**PRICES)
 def sync_newer_rows(t: Tables) -> DataFrame:
     target = t.bars.where((F.col("bar_date") < F.lit("2000-01-01").cast("date")) & (F.col("symbol") >= "S00010"))
     source = t.bars.select("symbol", F.date_format("bar_date", "yyyy-MM-dd").alias("date"), *K.PRICE_COLUMNS[2:7],
@@ -350,6 +356,7 @@ def r_multiple(t: Tables) -> DataFrame:
 
 
 @query
+@precise(entry_price=10, exit_price=10)
 def apply_costs(t: Tables) -> DataFrame:
     return O.trade_outcomes(t.seq, t.signals).select(
         "strategy", "symbol", "seq", "entry_price", "exit_price", "brokerage", "slippage", "profit")
@@ -442,7 +449,7 @@ def market_asof_window(t: Tables) -> DataFrame:
     joined = C.market_asof_window(t.bars.select("symbol", "bar_date"), t.market)
     total = F.aggregate("context", F.lit(0.0), lambda acc, x: acc + x["close"])
     return joined.select("symbol", "bar_date", "role", F.size("context").cast("bigint").alias("points"),
-                         F.col("context")[0]["bar_date"].alias("first_date"), (total / F.size("context")).alias("mean_close"))
+                         F.col("context")[0]["bar_date"].alias("first_date"), total.alias("total_close"))
 
 
 @query
@@ -456,6 +463,7 @@ def forecast_coverage(t: Tables) -> DataFrame:
 
 
 @query
+@precise(profit=7)
 def assign_fold(t: Tables) -> DataFrame:
     return D.assign_fold(t.trades.drop("fold"), t.folds, "exit_date").select("strategy", "symbol", "exit_date", "profit", "fold")
 
@@ -481,6 +489,7 @@ OUTCOME = ["strategy", "symbol", "seq", "entry_date", "exit_date", "reason", "da
 
 
 @query
+@precise(entry_price=10, exit_price=10)
 def trade_outcomes(t: Tables) -> DataFrame:
     return O.trade_outcomes(t.seq, t.signals).select(*OUTCOME)
 
@@ -822,12 +831,14 @@ def trailing_stop(t: Tables) -> DataFrame:
 
 
 @query
+@precise(max_drawdown_r=8)
 def eligibility(t: Tables) -> DataFrame:
     return S.eligibility(t.trades, Z.TRADE_ORDER, ["strategy", "setup", "regime"], "profit").select(
         "strategy", "setup", "regime", "pos", "sample_size", "expectancy_r", "win_rate", "max_drawdown_r", "reason", "actionable")
 
 
 @query
+@precise(equity=7)
 def equity_curve(t: Tables) -> DataFrame:
     return O.equity_curve(t.trades).select("strategy", "bar_date", "equity")
 
@@ -846,6 +857,7 @@ def fold_calendar(t: Tables) -> DataFrame:
 
 # ---- ranking and selection --------------------------------------------------------
 @query
+@precise(rank_r=9, evidence=9, votes=9)
 def daily_top_k(t: Tables) -> DataFrame:
     snapped = t.candidates
     for name in ("expected_r", "evidence", "votes"):
@@ -935,7 +947,7 @@ def admit_candidate(t: Tables) -> DataFrame:
 @query
 @precise(u=9)
 def counter_uniform_draws(t: Tables) -> DataFrame:
-    return t.seq.select("symbol", "bar_date", counter_uniform(F.lit(42), F.col("seq") - 1).alias("u"))
+    return with_uniform(t.seq, F.lit(42), F.col("seq") - 1).select("symbol", "bar_date", "u")
 
 
 QUERIES["counter_uniform"] = QUERIES.pop("counter_uniform_draws")
@@ -1016,20 +1028,23 @@ def symbol_union(t: Tables) -> DataFrame:
 @query
 def stream_pair_events(t: Tables) -> DataFrame:
     lines, out = t.folder_for("calls"), t.folder_for("paired")
-    calls = derived.calls(t.raw("events"))
-    as_line = F.to_json(F.struct("call_id", "kind", "ts", "tool", "status", "text")).alias("value")
+    calls = derived.calls(t.raw("events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    as_line = F.to_json(F.struct("call_id", "kind", "ts", "tool", "status", "text"), streams.JSON_TIME).alias("value")
     later = calls.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select(
-        F.to_json(F.struct(F.lit(-1).alias("call_id"), F.explode(F.array(F.lit("start"), F.lit("end"))).alias("kind"), "ts"))
-        .alias("value"))
+        F.lit(-1).alias("call_id"), F.explode(F.array(F.lit("start"), F.lit("end"))).alias("kind"), "ts").select(
+        F.to_json(F.struct("call_id", "kind", "ts"), streams.JSON_TIME).alias("value"))
     broken = calls.where(F.col("status") == "error").select(F.lit('{"call_id": 1, "kind').alias("value"))
     # Heartbeats far ahead move the watermark, so that unmatched ends are released.
     calls.select(as_line).union(broken).union(later).write.text(lines)
     events = streams.parse_events(t.spark.readStream.text(lines))
     streams.run_to_table(streams.pair_events(events), out, t.folder_for("state"))
-    return t.spark.read.parquet(out).where(F.col("call_id") >= 0)
+    plain = [F.col(name).cast("timestamp_ntz").alias(name) for name in ("started_at", "ended_at")]
+    return t.spark.read.parquet(out).where(F.col("call_id") >= 0).select(
+        "call_id", "tool", "status", *plain, "duration_ms", "error_text")
 
 
 @query
+@precise(**PRICES)
 def stream_upsert_prices(t: Tables) -> DataFrame:
     incoming, table = t.folder_for("incoming"), t.folder_for("prices")
     late = t.raw_bars.where((F.col("bar_date") >= F.lit("2000-01-01").cast("date")) & (F.col("high") >= F.col("low"))
@@ -1043,7 +1058,7 @@ def stream_upsert_prices(t: Tables) -> DataFrame:
 @query
 def stream_trials(t: Tables) -> DataFrame:
     incoming, out = t.folder_for("trials"), t.folder_for("counts")
-    rows = derived.trials(t.raw("events"))
+    rows = derived.trials(t.raw("events")).withColumn("ts", F.col("ts").cast("timestamp"))
     rows.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(incoming)
     stream = t.spark.readStream.schema(rows.schema).parquet(incoming)
     streams.run_updates(streams.trial_counts(stream), out, t.folder_for("state"), ["source"])

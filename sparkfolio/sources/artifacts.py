@@ -30,7 +30,7 @@ def write_artifacts(trades: DataFrame, fold_results: DataFrame, scores: DataFram
         F.col("exit_date").cast("string").alias("exitDate"), F.round("profit", 2).alias("profit")))).alias("trades"))
     segment = F.array(F.struct(F.col("fold").alias("name"), F.lit("fold").alias("group"),
                                F.col("profit").alias("value"), (F.col("profit") > 0).alias("passed")))
-    rows = fold_results.join(nested, ["strategy", "fold"], "left").join(scores, "strategy").select(
+    rows = fold_results.select("strategy", "fold", "profit", "start", "end").join(nested, ["strategy", "fold"], "left").join(scores, "strategy").select(
         "strategy",
         F.struct(F.lit("walkForwardScore").alias("name"), F.round("score", 2).alias("value"),
                  F.lit("maximize").alias("direction")).alias("primary"),

@@ -48,7 +48,7 @@ def valid_rows(rows: DataFrame) -> DataFrame:
 
 def _to_bars(rows: DataFrame) -> DataFrame:
     return rows.select(
-        "symbol", F.try_to_date("date", F.lit("yyyy-MM-dd")).alias("bar_date"),
+        "symbol", F.try_to_date("date", "yyyy-MM-dd").alias("bar_date"),
         "open", "high", "low", "close", "adj_close", F.expr("try_cast(volume AS bigint)").alias("volume"))
 
 
@@ -107,7 +107,7 @@ def sync_newer_rows(source_rows: DataFrame, target: DataFrame, symbols: list[str
     Rows at or before the cutoff are never examined.  Dates that do not parse cannot be placed in
     time and count as new.
     """
-    dated = with_problems(source_rows).withColumn("bar_date", F.try_to_date("date", F.lit("yyyy-MM-dd")))
+    dated = with_problems(source_rows).withColumn("bar_date", F.try_to_date("date", "yyyy-MM-dd"))
     known = newer_rows(dated.where(F.col("bar_date").isNotNull()), target, symbols, after)
     undated = dated.where(F.col("bar_date").isNull())
     if symbols is not None:

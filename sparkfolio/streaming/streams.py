@@ -9,13 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import constants as K
 from ..sources.prices import require_valid, upsert_prices, with_problems
 
-PAIR_COLUMNS = ["call_id", "tool", "status", "started_at", "ended_at", "duration_ms", "error_text"]
+JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 # ---- call events ------------------------------------------------------------------
 def parse_events(lines: DataFrame) -> DataFrame:
     """Call records from JSON text lines; lines that do not parse are dropped."""
-    parsed = F.from_json("value", "call_id bigint, kind string, ts timestamp, tool string, status string, text string")
+    parsed = F.from_json("value", "call_id bigint, kind string, ts timestamp, tool string, status string, text string",
+                         JSON_TIME)
     return lines.select(parsed.alias("e")).where(F.col("e.call_id").isNotNull() & F.col("e.ts").isNotNull()).select("e.*")
 
 
