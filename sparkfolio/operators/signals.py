@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,14 +38,16 @@ def signal_rule(featured: DataFrame, *rules: Column, lookback: int = K.LOOKBACK_
         *[f"p.{name}" for name in PROPOSAL_COLUMNS[4:]])
 
 
-def signal_rule_pandas(seq_bars: DataFrame, rule: Callable[[pd.DataFrame], dict | None], strategy: str,
+def signal_rule_pandas(seq_bars: DataFrame, rule: Callable[[dict[str, np.ndarray]], dict | None], strategy: str,
                        lookback: int = K.LOOKBACK_BARS) -> DataFrame:
     """Proposals of a Python rule that sees the trailing ``lookback`` bars only.
 
-    Slow path for rules that Columns cannot express.  Each row carries its own bounded history, so
-    rows run anywhere; a rule that raises counts as no signal.
+    Slow path for rules that Columns cannot express.  Each row carries its own bounded history (one
+    array per field), so rows run anywhere; a rule that raises counts as no signal.
     """
-    windows = features.lookback_bars(seq_bars, lookback).select("symbol", "bar_date", "seq", "history")
+    fields = ["open", "high", "low", "close", "volume"]
+    windows = features.lookback_bars(seq_bars, lookback).select(
+        "symbol", "bar_date", "seq", *[F.col(f"history.{name}").alias(name) for name in fields])
     schema = ("strategy string, symbol string, signal_date date, seq int, side string, entry_min double, "
               "entry_max double, stop_loss double, target double, max_hold_days int, setup string, regime string, "
               "confidence double")
@@ -54,7 +57,7 @@ def signal_rule_pandas(seq_bars: DataFrame, rule: Callable[[pd.DataFrame], dict
             found = []
             for row in batch.itertuples(index=False):
                 try:
-                    answer = rule(pd.DataFrame(list(row.history)))
+                    answer = rule({name: getattr(row, name) for name in fields})
                 except Exception:
                     answer = None
                 if answer:

@@ -57,7 +57,7 @@ PARTS: dict[str, str] = {
         CASE WHEN high < low THEN 'range' END], lambda x: x IS NOT NULL), ',') AS problems FROM provider_rows""",
     "market": """
     SELECT role, bar_date, close FROM (
-      SELECT bar_date, round(avg(close), 6) AS i, round(max(high)-min(low), 6) AS v FROM bars
+      SELECT bar_date, round(sum(close), 6) AS i, round(max(high)-min(low), 6) AS v FROM bars
       WHERE isodow(bar_date) <= 5 GROUP BY bar_date),
       LATERAL (SELECT 'index' AS role, i AS close UNION ALL SELECT 'volatility', v)""",
     "folds": """
@@ -312,6 +312,71 @@ PARTS: dict[str, str] = {
       100.0::DOUBLE*count(*) FILTER (pd<>0)/count(*) AS predicted_nonflat_pct
     FROM (SELECT *, CAST(year(origin) AS VARCHAR) AS y FROM errors)
     GROUP BY GROUPING SETS ((model, horizon), (symbol, model, horizon), (y, model, horizon))""",
+    # --- bootstraps ---------------------------------------------------------------
+    "placed": """
+    SELECT strategy, fold, profit, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY strategy, fold) AS n
+    FROM trades WINDOW w AS (PARTITION BY strategy, fold ORDER BY exit_date, entry_date, symbol, profit)""",
+    "sized_folds": """
+    SELECT *, CAST(ceil(n/b) AS BIGINT) AS blocks, n - b*(CAST(ceil(n/b) AS BIGINT)-1) AS tail FROM (
+      SELECT DISTINCT strategy, fold, n, greatest(1, least(10, n//2)) AS b FROM placed)""",
+    "shapes": """
+    SELECT *, sum(blocks) OVER (PARTITION BY strategy) AS per_draw,
+      coalesce(sum(blocks) OVER (PARTITION BY strategy ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM sized_folds""",
+    "circles": """
+    SELECT p.strategy, p.fold, p.pos, sum(x.profit) AS full_sum, sum(x.profit) FILTER (j < tail) AS last_sum
+    FROM placed p JOIN shapes s ON s.strategy=p.strategy AND s.fold=p.fold, LATERAL (SELECT unnest(range(s.b)) AS j)
+    JOIN placed x ON x.strategy=p.strategy AND x.fold=p.fold AND x.pos=(p.pos+j)%p.n GROUP BY p.strategy, p.fold, p.pos""",
+    "block_picks": "SELECT strategy, fold, draw, is_last, CAST(floor(u*n) AS BIGINT) AS pos FROM " + uniform("""
+       SELECT strategy, fold, n, draw, block = blocks-1 AS is_last, 12648430 AS seed, draw*per_draw+earlier+block AS k
+       FROM shapes, LATERAL (SELECT unnest(range(blocks)) AS block), (SELECT unnest(range(1000)) AS draw)"""),
+    "bands": """
+    SELECT strategy, list_sort(list(m))[901] AS q90 FROM (SELECT strategy, draw, median(s) AS m FROM (
+      SELECT k.strategy, k.fold, k.draw, sum(CASE WHEN is_last THEN last_sum ELSE full_sum END) AS s
+      FROM block_picks k JOIN circles c USING (strategy, fold, pos) GROUP BY ALL) GROUP BY ALL) GROUP BY strategy""",
+    "medians": "SELECT strategy, median(s) AS m FROM (SELECT strategy, fold, sum(profit) AS s FROM trades GROUP BY ALL) GROUP BY strategy",
+    "pool": """
+    SELECT strategy, r_multiple AS r, row_number() OVER (PARTITION BY strategy ORDER BY exit_date, entry_date, symbol, seq) - 1 AS pos FROM outcomes""",
+    "seeds": """
+    SELECT strategy, n, rate, CASE WHEN s=0 THEN 42 ELSE s END AS seed FROM (SELECT strategy, n, rate,
+      xor((abs(t) % 4294967296)::BIGINT, round(rate*1000000)::BIGINT) AS s FROM
+      (SELECT strategy, count(*) AS n, sum(floor(r*1000000.0::DOUBLE+0.5::DOUBLE)::HUGEINT*(pos+1)) AS t FROM pool GROUP BY strategy),
+      (SELECT unnest([0.005::DOUBLE, 0.01, 0.015, 0.02]) AS rate))""",
+    "walk_picks": "SELECT strategy, rate, path, step, CAST(floor(u*n) AS BIGINT) AS pos FROM " + uniform("""
+       SELECT strategy, rate, n, path, step, seed, path*n+step AS k FROM seeds, (SELECT unnest(range(500)) AS path),
+       LATERAL (SELECT unnest(range(n)) AS step)"""),
+    "walks": """
+    SELECT strategy, rate, path, max(1 - exp(g - top)) AS dd FROM (
+      SELECT *, greatest(0, max(g) OVER (PARTITION BY strategy, rate, path ORDER BY step)) AS top FROM (
+        SELECT w.strategy, w.rate, w.path, w.step, sum(ln(1+w.rate*p.r)) OVER (PARTITION BY w.strategy, w.rate, w.path ORDER BY w.step) AS g
+        FROM walk_picks w JOIN pool p USING (strategy, pos))) GROUP BY ALL""",
+    "ruin": """
+    SELECT strategy, rate, count(*) FILTER (dd >= 0.5::DOUBLE)/count(*) AS ruin_probability, list_sort(list(dd))[476] AS drawdown95
+    FROM walks GROUP BY ALL""",
+    "pass_equity": """
+    SELECT strategy, rate, exit_date AS bar_date, floor((10000.0::DOUBLE + sum(p) OVER (PARTITION BY strategy, rate ORDER BY exit_date))*100+0.5::DOUBLE)/100 AS capital
+    FROM (SELECT strategy, rate, exit_date, sum(profit) AS p FROM outcomes_by_rate GROUP BY ALL)""",
+    "pass_steps": """
+    SELECT *, greatest(10000.0::DOUBLE, max(capital) OVER w) AS peak, capital/lag(capital) OVER w - 1 AS r
+    FROM pass_equity WINDOW w AS (PARTITION BY strategy, rate ORDER BY bar_date)""",
+    "passes": """
+    SELECT strategy, rate, 100*(f-10000)/10000 AS return_pct, CASE WHEN d>0 THEN (m-5.0::DOUBLE/100/252)*252/(d*sqrt(252)) ELSE 0 END AS sortino,
+      max_drawdown_pct, ruin_probability, drawdown95 FROM (
+      SELECT strategy, rate, arg_max(capital, bar_date) AS f, avg(r) AS m, sqrt(sum(least(0, r-5.0::DOUBLE/100/252)**2)/count(r)) AS d,
+        floor(arg_max(100.0::DOUBLE*(peak-capital)/peak, (peak-capital, -epoch(bar_date)))*100+0.5::DOUBLE)/100 AS max_drawdown_pct
+      FROM pass_steps GROUP BY strategy, rate) JOIN ruin USING (strategy, rate)""",
+    "profile_passes": """
+    SELECT *, CASE WHEN ruin_probability<=ruin_cap AND drawdown95<dd_cap THEN 1 WHEN ruin_probability<=ruin_cap THEN 2 ELSE 3 END AS tier
+    FROM passes CROSS JOIN (VALUES ('conservative',0.004::DOUBLE,0.25::DOUBLE), ('moderate',0.01,0.35), ('aggressive',0.02,0.45)) v(profile, ruin_cap, dd_cap)""",
+    "chosen": """
+    SELECT * FROM (SELECT *, CASE WHEN profile='conservative' AND tier<3 AND sortino<=0 THEN 1 WHEN profile='moderate' AND tier<3 AND sortino < top-0.01::DOUBLE THEN 1 ELSE 0 END AS later
+      FROM (SELECT *, max(sortino) OVER (PARTITION BY strategy, profile, tier) AS top FROM profile_passes))
+    QUALIFY row_number() OVER (PARTITION BY strategy, profile ORDER BY tier, later,
+      CASE WHEN profile='aggressive' AND tier=1 OR profile='conservative' AND later=1 THEN -return_pct ELSE 0 END,
+      CASE WHEN profile='conservative' AND later=1 THEN max_drawdown_pct ELSE 0 END,
+      CASE WHEN profile='conservative' AND later=1 THEN drawdown95 ELSE 0 END, CASE WHEN profile='aggressive' THEN -rate ELSE rate END) = 1""",
+    "prints": """
+    SELECT strategy, right(strategy, 1) AS rule, md5(string_agg(k, ';' ORDER BY k)) AS print FROM
+      (SELECT strategy, concat_ws('|', symbol, fold, entry_date, exit_date) AS k FROM trades) GROUP BY strategy""",
     # --- events -------------------------------------------------------------------
     "calls": """
     SELECT * FROM (SELECT event_id // 2 AS call_id, CASE WHEN event_id%2=0 THEN 'start' ELSE 'end' END AS kind, ts,
@@ -357,7 +422,7 @@ def _out(columns: str, source: str) -> str:
     return sql(f"SELECT {', '.join(wanted)} FROM {source}")
 
 
-BAR = "symbol bar_date ~open:9 ~high:9 ~low:9 ~close:9 ~adj_close:9 volume"
+BAR = "symbol bar_date open high low close adj_close volume"
 ORACLE: dict[str, str] = {
     # --- sources ------------------------------------------------------------------
     "read_prices": _out(BAR, "bars WHERE symbol IN ('S00001','S00002','S00003','S00005','S00008')"),
@@ -525,7 +590,7 @@ ORACLE: dict[str, str] = {
     "profit_gini": _out("strategy ~profit_gini", "(SELECT strategy, gini AS profit_gini FROM ginis)"),
     "audit_verdict": sql("SELECT strategy, verdict, count(*) OVER (PARTITION BY verdict) AS strategies FROM verdicts"),
     "trial_summary": sql("SELECT source, count(*) AS trials, count(*) FILTER (accepted) AS accepted FROM trials GROUP BY ROLLUP (source)"),
-    "forecast_metrics": _out('"group" label model horizon n ~return_mae_pp ~price_mae direction_hits ~direction_accuracy_pct ~balanced_accuracy_pct ~actual_up_pct ~actual_flat_pct ~predicted_nonflat_pct', "metrics"),
+    "forecast_metrics": _out('"group" label model horizon n ~return_mae_pp:8 ~price_mae:8 direction_hits ~direction_accuracy_pct ~balanced_accuracy_pct ~actual_up_pct ~actual_flat_pct ~predicted_nonflat_pct', "metrics"),
     "near_hits": _out("model horizon ~tolerance hits ~hit_pct", """(SELECT model, horizon, tolerance, count(*) FILTER (error_pp<=tolerance) AS hits,
         100.0::DOUBLE*count(*) FILTER (error_pp<=tolerance)/count(*) AS hit_pct FROM errors, (SELECT unnest([0.5::DOUBLE,1,2,5]) AS tolerance) GROUP BY ALL)"""),
     "quantile_calibration": sql(f"""SELECT model, horizon, count(*) AS n, {R('100.0*count(*) FILTER (quantiles[1]<=actual_price AND actual_price<=quantiles[9])/count(*)', 'interval_coverage_pct')},
@@ -622,4 +687,43 @@ ORACLE: dict[str, str] = {
     "signal_rule": _out("strategy symbol signal_date seq side ~entry_min ~entry_max ~stop_loss ~target max_hold_days setup regime ~confidence", "signals"),
     "ensemble_signals": _out("strategy symbol signal_date side ~confidence", "signals"),
     "forecast_scorer": _out("symbol origin horizon ~forecast_price ~low ~high", "(SELECT *, quantiles[5] AS forecast_price, quantiles[1] AS low, quantiles[9] AS high FROM empirical)"),
+    # --- files, stores, bootstraps ----------------------------------------------------
+    "read_prices_csv": sql("""SELECT symbol, CAST(date AS DATE) AS bar_date, open, high, low, close, adj_close, CAST(volume AS BIGINT) AS volume
+        FROM checked_rows WHERE problems = ''"""),
+    "read_universe": sql("""SELECT concat('S', lpad(CAST(s_suppkey AS VARCHAR), 5, '0')) AS symbol, s_name AS name, CAST(s_nationkey AS VARCHAR) AS sector,
+        'member' AS status FROM supplier WHERE s_acctbal >= 0"""),
+    "read_artifacts": sql("SELECT strategy, symbol, fold, entry_date, exit_date FROM trades"),
+    "write_artifact": _out("strategy fold ~score", "fold_scores"),
+    "forecast_store": _out("campaign symbol origin model horizon ~forecast_price", """(SELECT 'c1' AS campaign, * FROM forecasts WHERE model<>'empirical')"""),
+    "scoring_basis_changed": sql("SELECT symbol, bool_or(bar_date = DATE '2000-01-03') AS changed FROM bars GROUP BY symbol"),
+    "marked_equity": _out("strategy bar_date ~equity", """(SELECT strategy, bar_date, 10000 + sum(coalesce(p,0)) OVER (PARTITION BY strategy ORDER BY bar_date) + coalesce(u,0) AS equity FROM
+        (SELECT strategy, exit_date AS bar_date, sum(profit) AS p FROM outcomes GROUP BY ALL) FULL JOIN
+        (SELECT strategy, bar_date, sum((mark-entry_price)*qty) AS u FROM (SELECT o.strategy, o.entry_price, o.qty, c.bar_date,
+           last_value(b.close IGNORE NULLS) OVER (PARTITION BY o.strategy, o.symbol, o.seq ORDER BY c.bar_date) AS mark
+           FROM outcomes o JOIN (SELECT DISTINCT bar_date FROM bars) c ON c.bar_date >= o.entry_date AND c.bar_date < o.exit_date
+           LEFT JOIN bars b ON b.symbol=o.symbol AND b.bar_date=c.bar_date) GROUP BY strategy, bar_date) USING (strategy, bar_date))"""),
+    "block_bootstrap": _out("strategy ~q90", "bands"),
+    "significance_gate": _out("candidate incumbent ~candidate_median ~incumbent_median ~incumbent_q90 inconclusive waived passed", """(
+        SELECT c.strategy AS candidate, i.strategy AS incumbent, c.m AS candidate_median, i.m AS incumbent_median, q90 AS incumbent_q90,
+          false AS inconclusive, false AS waived, c.m > q90 AS passed FROM medians c JOIN medians i
+          ON i.strategy=(SELECT arg_max(strategy, earned_profit) FROM scores) AND i.strategy<>c.strategy JOIN bands b ON b.strategy=i.strategy)"""),
+    "ruin_bootstrap": _out("strategy rate ~ruin_probability ~drawdown95", "ruin"),
+    "choose_risk_rate": _out("strategy profile rate tier ~sortino ~ruin_probability ~drawdown95 ~return_pct", "chosen"),
+    "risk_sensitivity": _out("""strategy profile ~risk_pct ~return_pct ~max_drawdown_pct ~ruin_probability_pct ~drawdown95_pct ~sortino recommended
+        ruin_disqualified drawdown_disqualified""", """(SELECT strategy, profile, round(p.rate*100,2) AS risk_pct, round(p.return_pct,2) AS return_pct,
+        round(p.max_drawdown_pct,2) AS max_drawdown_pct, round(p.ruin_probability*100,2) AS ruin_probability_pct, round(p.drawdown95*100,2) AS drawdown95_pct,
+        round(p.sortino,2) AS sortino, p.rate=c.rate AS recommended, p.ruin_probability>p.ruin_cap AS ruin_disqualified,
+        p.ruin_probability<=p.ruin_cap AND p.drawdown95>=p.dd_cap AS drawdown_disqualified FROM profile_passes p
+        JOIN (SELECT strategy, profile, rate FROM chosen) c USING (strategy, profile))"""),
+    "admit_candidate": sql("""SELECT strategy, CASE WHEN rule IN (SELECT rule FROM prints WHERE strategy < 'Brand#15') THEN 'same-rule'
+        WHEN print IN (SELECT print FROM prints WHERE strategy < 'Brand#15') THEN 'same-trades'
+        WHEN EXISTS (SELECT 1 FROM redundancy r WHERE flagged AND (r.a=p.strategy AND r.b < 'Brand#15' OR r.b=p.strategy AND r.a < 'Brand#15')) THEN 'redundant'
+        ELSE 'admitted' END AS decision FROM prints p WHERE strategy >= 'Brand#15'"""),
+    "signal_rule_pandas": _out("strategy symbol signal_date seq side ~entry_min ~entry_max ~stop_loss ~target max_hold_days setup regime ~confidence", """(
+        SELECT 'deep6' AS strategy, symbol, bar_date AS signal_date, seq, 'long' AS side, close*0.99::DOUBLE AS entry_min, close*1.01::DOUBLE AS entry_max,
+        close*0.95::DOUBLE AS stop_loss, close*1.06::DOUBLE AS target, 5 AS max_hold_days, 'deep' AS setup, 'any' AS regime, NULL::DOUBLE AS confidence
+        FROM feat WHERE seq >= 90 AND close < 0.94::DOUBLE*mean20)"""),
+    "trade_fingerprint": sql("""SELECT strategy, rows, sha256(concat_ws('|', rows, s0, s1, s2, s3)) AS fingerprint FROM (SELECT strategy, count(*) AS rows, """
+        + ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::UBIGINT)::HUGEINT AS s{i}" for i in range(4)) + """
+        FROM (SELECT strategy, sha256(concat_ws('|', symbol, fold, entry_date, exit_date)) AS h FROM trades) GROUP BY strategy)"""),
 }

@@ -42,7 +42,8 @@ def query(build: Callable[["Tables"], DataFrame]) -> Callable[["Tables"], DataFr
     return build
 
 
-PRICES = dict(open=9, high=9, low=9, close=9, adj_close=9)
+EXACT = -1  # compared as it is
+PRICES = dict(open=EXACT, high=EXACT, low=EXACT, close=EXACT, adj_close=EXACT)
 
 
 def precise(**places: int):
@@ -55,7 +56,7 @@ def precise(**places: int):
 def tidy(df: DataFrame, places: dict[str, int]) -> DataFrame:
     return df.select([
         (F.round(F.col(f"`{f.name}`"), places.get(f.name, 6)) + F.lit(0.0)).alias(f.name)
-        if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+        if isinstance(f.dataType, T.DoubleType) and places.get(f.name) != EXACT else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 class Tables:
@@ -210,6 +211,7 @@ def read_prices(t: Tables) -> DataFrame:
 
 
 @query
+@precise(**PRICES)
 def read_prices_csv(t: Tables) -> DataFrame:
     path = t.folder_for("csv")
     derived.provider_rows(t.spark, t.folder).withColumn("provider_note", F.lit('a "note", kept out')).select(
@@ -258,7 +260,7 @@ def export_training_forecasts(t: Tables) -> DataFrame:
 def read_artifacts(t: Tables) -> DataFrame:
     path = t.folder_for("artifacts")
     artifacts.write_artifacts(t.trades, t.fold_results.join(t.folds, "fold"), t.scores.select("strategy", "score"), path)
-    return artifacts.artifact_trades(artifacts.read_artifacts(t.spark, path))
+    return artifacts.artifact_trades(artifacts.read_artifacts(t.spark, path)).drop("profit")
 
 
 @query
@@ -681,6 +683,7 @@ def trial_summary(t: Tables) -> DataFrame:
 
 
 @query
+@precise(return_mae_pp=8, price_mae=8)
 def forecast_metrics(t: Tables) -> DataFrame:
     return P.forecast_metrics(t.forecasts)
 
@@ -1074,7 +1077,7 @@ def signal_rule(t: Tables) -> DataFrame:
 @query
 def signal_rule_pandas(t: Tables) -> DataFrame:
     def rule(history):
-        close, mean = history["close"].iloc[-1], history["close"].tail(20).mean()
+        close, mean = history["close"][-1], history["close"][-20:].mean()
         if close >= 0.94 * mean:
             return None
         return {"side": "long", "entry_min": close * 0.99, "entry_max": close * 1.01, "stop_loss": close * 0.95,

@@ -78,9 +78,9 @@ def provider_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def market(bar_table: DataFrame) -> DataFrame:
-    """Index and volatility closes per weekday (role, bar_date, close)."""
+    """Price-weighted index and volatility closes per weekday (role, bar_date, close)."""
     daily = bar_table.groupBy("bar_date").agg(
-        F.round(F.avg("close"), 6).alias("index"),
+        F.round(F.sum("close"), 6).alias("index"),
         F.round(F.max("high") - F.min("low"), 6).alias("volatility"),
     ).where(F.weekday("bar_date") < 5)
     return daily.unpivot("bar_date", ["index", "volatility"], "role", "close").select("role", "bar_date", "close")
