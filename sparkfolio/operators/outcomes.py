@@ -43,7 +43,8 @@ def signal_path(seq_bars: DataFrame, filled: DataFrame) -> DataFrame:
     steps = filled.withColumn("last_offset", last).withColumn(
         "offset", F.explode(F.sequence(F.lit(0), last))).withColumn("_bar", F.col("seq") + 1 + F.col("offset"))
     bars = seq_bars.select("symbol", F.col("seq").alias("_bar"), "bar_date", "open", "high", "low", "close")
-    return steps.join(bars, ["symbol", "_bar"]).withColumnRenamed("_bar", "bar_seq")
+    # Steps look smaller to the planner than they are; the merge hint keeps them from being broadcast.
+    return steps.join(bars.hint("merge"), ["symbol", "_bar"]).withColumnRenamed("_bar", "bar_seq")
 
 
 def trailing_stop(path: DataFrame, proposals: DataFrame, lookback: int = K.LOOKBACK_BARS) -> DataFrame:
@@ -150,7 +151,7 @@ def marked_equity(trades: DataFrame, seq_bars: DataFrame, initial: float = K.INI
     ).join(market_days, "bar_date")
     closes = seq_bars.select("symbol", "bar_date", "close")
     path = Window.partitionBy("strategy", "symbol", "seq").orderBy("bar_date").rowsBetween(Window.unboundedPreceding, 0)
-    open_profit = held.join(closes, ["symbol", "bar_date"], "left").withColumn(
+    open_profit = held.join(closes.hint("merge"), ["symbol", "bar_date"], "left").withColumn(
         "_mark", F.last("close", ignorenulls=True).over(path)).groupBy("strategy", "bar_date").agg(
         F.sum((F.col("_mark") - F.col("entry_price")) * F.col("qty")).alias("unrealized"))
     realised = trades.groupBy("strategy", F.col("exit_date").alias("bar_date")).agg(F.sum("profit").alias("day_profit"))

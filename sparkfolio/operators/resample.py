@@ -69,7 +69,9 @@ def bootstrap_fold_sums(trades: DataFrame, draws: int = K.BOOTSTRAP_DRAWS, seed:
     k = F.col("draw") * F.col("_per_draw") + F.col("_before") + F.col("block")
     picks = with_draw(blocks, F.lit(seed), k, F.col("n")).select(
         "strategy", "fold", "draw", (F.col("block") == F.col("blocks") - 1).alias("_last"), "pos")
-    drawn = picks.join(sums.select("strategy", "fold", "pos", "full_sum", "last_sum"), ["strategy", "fold", "pos"])
+    # The exploded side looks small to the planner; the merge hint keeps it from being broadcast.
+    drawn = picks.join(sums.select("strategy", "fold", "pos", "full_sum", "last_sum").hint("merge"),
+                       ["strategy", "fold", "pos"])
     return drawn.groupBy("strategy", "draw", "fold").agg(
         F.sum(F.when(F.col("_last"), F.col("last_sum")).otherwise(F.col("full_sum"))).alias("fold_sum"))
 

@@ -123,7 +123,8 @@ def ruin_paths(pool: DataFrame, rates: list[float], paths: int = K.RUIN_PATHS, p
     begin = F.col("run") * step_chunk
     steps = runs.withColumn("step", F.explode(F.sequence(begin, F.least(begin + step_chunk, n) - 1)))
     picks = with_draw(steps, F.col("seed"), F.col("path") * n + F.col("step"), n)
-    drawn = picks.join(pool.select("strategy", "pos", "r"), ["strategy", "pos"])
+    # The exploded side looks small to the planner; the merge hint keeps it from being broadcast.
+    drawn = picks.join(pool.select("strategy", "pos", "r").hint("merge"), ["strategy", "pos"])
     ordered = drawn.groupBy("strategy", "rate", "path", "run").agg(
         F.array_sort(F.collect_list(F.struct("step", "r"))).alias("steps"))
     start = F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("top"), F.lit(float("inf")).alias("low"), F.lit(0.0).alias("dd"))
@@ -180,7 +181,7 @@ def capital_envelope(pool: DataFrame, dates: DataFrame, walked: DataFrame, rates
     begin = F.col("run") * block
     steps = runs.withColumn("step", F.explode(F.sequence(begin, F.least(begin + block, n) - 1)))
     picks = with_draw(steps, F.col("seed"), F.col("path") * n + F.col("step"), n)
-    grown = picks.join(pool.select("strategy", "pos", "r"), ["strategy", "pos"]).withColumn(
+    grown = picks.join(pool.select("strategy", "pos", "r").hint("merge"), ["strategy", "pos"]).withColumn(
         "growth", F.ln(1 + F.col("rate") * F.col("r")))
     key = ["strategy", "rate", "band"]
     inside = Window.partitionBy(*key, "run").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)

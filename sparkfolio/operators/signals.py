@@ -13,6 +13,8 @@ from .. import constants as K
 from ..functions.numbers import clamp
 from ..functions.trading import (expected_r, logit, normal_confidence, proposal_problems, reward_risk, sigmoid,
                                  worst_entry)
+from ..functions.ordering import ordered_positions
+from ..session import shared_folder
 from . import features
 
 PROPOSAL_COLUMNS = ["strategy", "symbol", "signal_date", "seq", "side", "entry_min", "entry_max", "stop_loss",
@@ -220,10 +222,11 @@ def daily_top_k(candidates: DataFrame, k: int, liquidity_floor: float = 0.0) ->
     median is a rank over (date, expectancy) taken with range-partitioned positions, so a date with
     very many candidates is not sorted in one task; the top k uses Spark's window group limit.
     """
-    from ..functions.ordering import ordered_positions
-
     if liquidity_floor > 0:
         candidates = candidates.where(F.col("traded_value") >= F.lit(float(liquidity_floor)))
+    # Read three times below, so the graded candidates are cut from their lineage once.
+    shared_folder(candidates.sparkSession)
+    candidates = candidates.checkpoint()
     known = candidates.where(F.col("expected_r").isNotNull()).select("signal_date", "expected_r")
     middle = ordered_positions(known, ["signal_date"], ["expected_r"]).where(
         F.col("pos") == F.floor(F.col("group_rows") / 2)).select("signal_date", F.col("expected_r").alias("_median"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+import uuid
 from collections.abc import Callable
 
 
@@ -25,7 +26,7 @@ from ..operators import resample as Z
 from ..operators import risk as Q
 from ..operators import scoring as S
 from ..operators import signals as G
-from ..session import shared_folder
+from ..session import shared_folder, stored
 from ..sources import artifacts, derived, forecast_store, prices
 from ..streaming import streams
 from . import rules
@@ -59,22 +60,30 @@ def tidy(df: DataFrame, places: dict[str, int]) -> DataFrame:
         if isinstance(f.dataType, T.DoubleType) and places.get(f.name) != EXACT else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
+def by_symbol(bars: DataFrame) -> DataFrame:
+    """Bars of a symbol together and in date order (at most one row per day each)."""
+    return bars.repartition("symbol").sortWithinPartitions("symbol", "bar_date")
+
+
 class Tables:
     """Derived tables of one data folder, built on demand."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return stored(self.spark, self.folder, name, build)
+
     def raw(self, name: str) -> DataFrame:
         return derived.table(self.spark, self.folder, name)
 
     @property
     def bars(self) -> DataFrame:
-        return derived.bars(self.spark, self.folder)
+        return self.kept("bars", lambda: by_symbol(derived.bars(self.spark, self.folder)))
 
     @property
     def raw_bars(self) -> DataFrame:
-        return derived.raw_bars(self.spark, self.folder)
+        return self.kept("raw_bars", lambda: by_symbol(derived.raw_bars(self.spark, self.folder)))
 
     @property
     def seq(self) -> DataFrame:
@@ -90,7 +99,7 @@ class Tables:
 
     @property
     def signals(self) -> DataFrame:
-        return rules.example_signals(self.bars)
+        return self.kept("signals", lambda: rules.example_signals(self.bars))
 
     @property
     def longs(self) -> DataFrame:
@@ -98,7 +107,7 @@ class Tables:
 
     @property
     def trades(self) -> DataFrame:
-        return derived.trades(self.spark, self.folder)
+        return self.kept("trades", lambda: derived.trades(self.spark, self.folder))
 
     @property
     def equity(self) -> DataFrame:
@@ -175,7 +184,7 @@ class Tables:
 
     @property
     def forecasts(self) -> DataFrame:
-        return self.baselines.unionByName(self.empirical)
+        return self.kept("forecasts", lambda: self.baselines.unionByName(self.empirical))
 
     @property
     def candidates(self) -> DataFrame:
@@ -199,8 +208,7 @@ class Tables:
     def folder_for(self, name: str) -> str:
         """A fresh folder in the shared checkpoint folder."""
         root = shared_folder(self.spark)
-        stamp = self.spark.sql("SELECT uuid() AS u").first()["u"]
-        return f"{root}/{name}-{stamp}"
+        return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 # ---- sources ----------------------------------------------------------------------

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "sparkfolio", **conf: str) -> SparkSession:
@@ -28,6 +30,23 @@ def build_session(master: str | None = None, app: str = "sparkfolio", **conf: st
     return builder.getOrCreate()
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once per application to the shared folder and read from there.
+
+    Tables that many operators share are computed once, later filters and column choices reach the
+    Parquet scan, and a lost executor costs only a re-read.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _STORED:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Checkpoint folder that every executor can reach.
 
