@@ -222,7 +222,7 @@ def read_prices(t: Tables) -> DataFrame:
 @precise(**PRICES)
 def read_prices_csv(t: Tables) -> DataFrame:
     path = t.folder_for("csv")
-    derived.provider_rows(t.spark, t.folder).withColumn("provider_note", F.lit('a "note", kept out')).select(
+    derived.provider_rows(t.bars).withColumn("provider_note", F.lit('a "note", kept out')).select(
         "volume", "provider_note", *K.CSV_COLUMNS[:-1]).write.csv(path, header=True, quote='"', escape='"')
     return prices.valid_rows(prices.read_prices_csv(t.spark, path))
 
@@ -317,13 +317,13 @@ def adjust_prices(t: Tables) -> DataFrame:
 
 @query
 def validate_prices(t: Tables) -> DataFrame:
-    return B.quarantine(derived.provider_rows(t.spark, t.folder)).select(
+    return B.quarantine(derived.provider_rows(t.bars)).select(
         "symbol", "date", "close", "volume", F.array_join("problems", ",").alias("problems"))
 
 
 @query
 def validate_candle_order(t: Tables) -> DataFrame:
-    return B.duplicate_dates(derived.provider_rows(t.spark, t.folder), ("symbol", "date"))
+    return B.duplicate_dates(derived.provider_rows(t.bars), ("symbol", "date"))
 
 
 @query

@@ -53,9 +53,9 @@ def raw_bars(spark: SparkSession, folder: str) -> DataFrame:
     return _bars(spark, folder, F.col("l_extendedprice") / F.col("l_quantity"))
 
 
-def provider_rows(spark: SparkSession, folder: str) -> DataFrame:
+def provider_rows(bar_table: DataFrame) -> DataFrame:
     """Untrusted rows as a provider would send them: all bars, and broken copies of some."""
-    good = bars(spark, folder).select(
+    good = bar_table.select(
         "symbol", F.date_format("bar_date", "yyyy-MM-dd").alias("date"), "open", "high", "low", "close", "adj_close",
         F.col("volume").cast("double").alias("volume"), F.dayofmonth("bar_date").alias("day"),
     )
