@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,11 +41,15 @@ def stored(spark: SparkSession, source: str, name: str, build: Callable[[], Data
     Parquet scan, and a lost executor costs only a re-read.
     """
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _STORED:
-        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        build().write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    if key in _STORED:
+        try:
+            return spark.read.parquet(_STORED[key])
+        except AnalysisException:  # the folder was cleared in between
+            pass
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    build().write.parquet(path)
+    _STORED[key] = path
+    return spark.read.parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import ordered_positions
+
 ARTIFACT_SCHEMA = """
     strategy string,
     primary struct<name:string,value:double,direction:string>,
@@ -20,23 +22,30 @@ LEDGER_SCHEMA = """
 """
 
 
-def write_artifacts(trades: DataFrame, fold_results: DataFrame, scores: DataFrame, path: str) -> None:
-    """One JSON row per (strategy, fold): trades of a fold are nested together, never all of a strategy.
+def write_artifacts(trades: DataFrame, fold_results: DataFrame, scores: DataFrame, path: str,
+                    part_rows: int = 10_000) -> None:
+    """JSON rows of a strategy, one per fold and part of at most ``part_rows`` trades.
 
-    Readers see a strategy as the union of its rows.
+    A fold with very many trades is cut by exact position, so no nested array grows with the data.
+    The fold's segment is on its first part; readers see a strategy as the union of its rows.
     """
-    nested = trades.groupBy("strategy", "fold").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("symbol"), F.col("fold"), F.col("entry_date").cast("string").alias("entryDate"),
-        F.col("exit_date").cast("string").alias("exitDate"), F.round("profit", 2).alias("profit")))).alias("trades"))
+    order = ["exit_date", "entry_date", "symbol", "profit"]
+    placed = ordered_positions(trades.select("strategy", "fold", *order), ["strategy", "fold"], order)
+    nested = placed.groupBy("strategy", "fold", F.floor(F.col("pos") / part_rows).alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct(
+            F.col("symbol"), F.col("fold"), F.col("entry_date").cast("string").alias("entryDate"),
+            F.col("exit_date").cast("string").alias("exitDate"), F.round("profit", 2).alias("profit")))).alias("trades"))
     segment = F.array(F.struct(F.col("fold").alias("name"), F.lit("fold").alias("group"),
                                F.col("profit").alias("value"), (F.col("profit") > 0).alias("passed")))
-    rows = fold_results.select("strategy", "fold", "profit", "start", "end").join(nested, ["strategy", "fold"], "left").join(scores, "strategy").select(
+    declared = F.array(F.struct(F.col("fold").alias("name"), F.col("start").cast("string").alias("start"),
+                                F.col("end").cast("string").alias("end")))
+    first = F.coalesce(F.col("part"), F.lit(0)) == 0
+    folds = fold_results.select("strategy", "fold", "profit", "start", "end")
+    rows = folds.join(nested, ["strategy", "fold"], "left").join(scores, "strategy").select(
         "strategy",
         F.struct(F.lit("walkForwardScore").alias("name"), F.round("score", 2).alias("value"),
                  F.lit("maximize").alias("direction")).alias("primary"),
-        segment.alias("segments"),
-        F.array(F.struct(F.col("fold").alias("name"), F.col("start").cast("string").alias("start"),
-                         F.col("end").cast("string").alias("end"))).alias("folds"),
+        F.when(first, segment).alias("segments"), F.when(first, declared).alias("folds"),
         F.coalesce("trades", F.array().cast(nested.schema["trades"].dataType)).alias("trades"))
     rows.write.mode("overwrite").json(path)
 
