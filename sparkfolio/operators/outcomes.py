@@ -72,11 +72,13 @@ def trailing_stop(path: DataFrame, proposals: DataFrame, lookback: int = K.LOOKB
         asks_exit.alias("asks_exit"))
 
 
-def first_exits(stops: DataFrame) -> DataFrame:
+def first_exits(stops: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """First exit per signal: pending exit at the open, stop, target, then time at the close.
 
-    Signals whose data ends first leave at their last close.
+    Signals whose data ends first leave at their last close.  Columns in ``keep`` are taken from the
+    entry bar's row.
     """
+    keep = keep or []
     level = bar_exit(F.lit("long"), F.col("stop_now"), F.col("target_now"), F.col("high"), F.col("low"))
     event = lambda price, reason: F.struct(price.alias("price"), F.lit(reason).alias("reason"))
     hit = (
@@ -89,10 +91,11 @@ def first_exits(stops: DataFrame) -> DataFrame:
     summary = marked.groupBy(*SIGNAL_KEY).agg(
         F.min_by(point(F.col("_hit")), F.when(F.col("_hit").isNotNull(), F.col("offset"))).alias("_first"),
         F.max_by(point(F.when(F.col("asks_exit"), event(F.col("close"), "Short Signal")).otherwise(
-            event(F.col("close"), "open"))), "offset").alias("_end"))
+            event(F.col("close"), "open"))), "offset").alias("_end"),
+        *[F.min_by(name, "offset").alias(name) for name in keep])
     chosen = F.when(F.col("_first.e").isNotNull(), F.col("_first")).otherwise(F.col("_end"))
     return summary.withColumn("x", chosen).select(
-        *SIGNAL_KEY, F.col("x.d").alias("exit_date"), F.col("x.e.price").alias("raw_exit"),
+        *SIGNAL_KEY, *keep, F.col("x.d").alias("exit_date"), F.col("x.e.price").alias("raw_exit"),
         F.col("x.e.reason").alias("reason"), (F.col("x.o") + 1).alias("days_open"))
 
 
@@ -116,13 +119,27 @@ def size_trades(trades: DataFrame, risk_rate: float = 0.01, capital: float = K.I
     return trades.withColumn("initial_risk", risk).withColumn("qty", qty).where(F.col("qty") > 0)
 
 
+def closed_signals(seq_bars: DataFrame, signals: DataFrame, entry_rule: str = "next_bar",
+                   lookback: int = K.LOOKBACK_BARS) -> DataFrame:
+    """Filled signals with their exit, before size and costs.
+
+    Labels ride along on the entry bar's row only, so fills are computed once and not joined back.
+    """
+    filled = entry_bars(seq_bars, signals, entry_rule)
+    levels = ["stop_loss", "target", "max_hold_days"]
+    labels = F.struct(*[name for name in filled.columns if name not in (*SIGNAL_KEY, *levels)])
+    path = signal_path(seq_bars, filled.select(*SIGNAL_KEY, *levels, labels.alias("labels"))).withColumn(
+        "labels", F.when(F.col("offset") == 0, F.col("labels")))
+    exits = first_exits(trailing_stop(path, signals, lookback), ["labels", *levels])
+    others = [name for name in exits.columns if name not in (*SIGNAL_KEY, "labels")]
+    return exits.select(*SIGNAL_KEY, "labels.*", *others)
+
+
 def trade_outcomes(seq_bars: DataFrame, signals: DataFrame, entry_rule: str = "next_bar", risk_rate: float = 0.01,
                    capital: float = K.INITIAL_CAPITAL, budget: float = K.INITIAL_CAPITAL / K.MAX_POSITIONS,
                    lookback: int = K.LOOKBACK_BARS) -> DataFrame:
     """One closed trade per filled long signal, with costs, profit and R."""
-    filled = entry_bars(seq_bars, signals, entry_rule)
-    exits = first_exits(trailing_stop(signal_path(seq_bars, filled), signals, lookback))
-    sized = size_trades(filled.join(exits, SIGNAL_KEY), risk_rate, capital, budget)
+    sized = size_trades(closed_signals(seq_bars, signals, entry_rule, lookback), risk_rate, capital, budget)
     return apply_costs(sized).withColumn(
         "r_multiple", pnl_r_multiple(F.col("profit"), F.col("qty"), F.col("initial_risk")))
 

@@ -80,9 +80,7 @@ GRID = {"lookback": [10, 20], "drop": [0.97, 0.98], "hold": [3, 8]}
 
 def risk_passes(seq_bars: DataFrame, proposals: DataFrame, rates: list[float]) -> DataFrame:
     """Trades of every risk rate: fills and exits once, then sized per rate."""
-    filled = outcomes.entry_bars(seq_bars, proposals)
-    exits = outcomes.first_exits(outcomes.trailing_stop(outcomes.signal_path(seq_bars, filled), proposals))
-    closed = filled.join(exits, outcomes.SIGNAL_KEY).withColumn("rate", F.explode(F.array(*[F.lit(float(r)) for r in rates])))
+    closed = outcomes.closed_signals(seq_bars, proposals).withColumn("rate", F.explode(F.array(*[F.lit(float(r)) for r in rates])))
     entry = outcomes.buy_price(F.col("raw_entry"))
     sized = closed.withColumn("initial_risk", entry - F.col("stop_loss")).withColumn("qty", outcomes.position_size(
         F.lit(K.INITIAL_CAPITAL), F.lit(K.INITIAL_CAPITAL / K.MAX_POSITIONS), F.col("rate"), F.col("initial_risk"), entry))
