@@ -5,14 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkfolio.llm import bpe
+from sparkfolio.llm import bpe, mixing, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    labelled = secret_scan.samples(docs)
+    generated = secret_scan.random_strings(spark).withColumn("n", F.lit(1).cast("long"))
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(labelled.unionByName(generated))))
+
+
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.apply(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,6 +37,9 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op5_quality_rules": op5_quality_rules,
+    "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
 }
 ORACLE: dict[str, str] = {}
