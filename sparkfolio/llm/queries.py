@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import bpe, gru_lm, mixing, ngram_join, quality_rules, secret_scan
+from sparkfolio.llm import bpe, gru_lm, kneser_ney, mixing, ngram_join, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = kneser_ney.trusted_of(table(spark, folder, "labels"))
+    return kneser_ney.classify(table(spark, folder, "documents"), trusted).drop("text_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_lm_score": op3_lm_score,
@@ -52,5 +57,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_join": op7_ngram_join,
     "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 ORACLE: dict[str, str] = {}
