@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import bpe, gru_lm, kneser_ney, mixing, ngram_join, quality_rules, secret_scan
+from sparkfolio.llm import bpe, gru_lm, kneser_ney, mixing, ngram_join, quality_rules, secret_scan, topk_search, warc_zip
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,11 +21,20 @@ def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, secret_scan.train(labelled.unionByName(generated))))
 
 
+def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
     return gru_lm.score_documents(table(spark, folder, "documents"), held_out)
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    packages = warc_zip.archive(table(spark, folder, "pages"))
+    return warc_zip.read(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.apply(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -52,11 +61,40 @@ def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_topk": op2_topk,
     "op3_lm_score": op3_lm_score,
+    "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op7_ngram_join": op7_ngram_join,
     "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
     "op10_kneser_ney": op10_kneser_ney,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_topk": """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+""",
+    "op4_warc": """
+WITH p AS (
+    SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS h FROM pages
+), d AS (
+    SELECT *, octet_length(encode(h)) AS n, sha256(h) AS digest FROM p
+), f AS (
+    SELECT *, row_number() OVER (PARTITION BY digest ORDER BY page_id, r) AS place,
+           first_value(page_id) OVER (PARTITION BY digest ORDER BY page_id, r) AS first_id
+    FROM d
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND place > 1 THEN first_id END AS refers_to
+FROM f
+""",
+}
