@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import bpe, gru_lm, kneser_ney, mixing, ngram_join, quality_rules, secret_scan, topk_search, warc_zip
+from sparkfolio.llm import bpe, gru_lm, kneser_ney, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, topk_search, warc_zip
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeated(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.classes(table(spark, folder, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_score": op3_lm_score,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
