@@ -12,8 +12,9 @@ parts may leave them out and still shares a strong signature with every similar
 signatures, which meet those of other such sets only.  The choice of frequent features changes the work, never the result.
 
 Groups of one signature are not expanded into pairs.  A sorted stream gives each member the group's first node; those
-links are verified on the full sets and merged into classes.  Only groups that still hold several classes go on: other
-hubs, then all pairs of nodes of different classes.  So every pair that could join two classes has been verified.
+links are verified on the full sets and merged into classes.  Only groups that still hold several classes go on: each
+member is verified against a few other hubs of its group, and at last all pairs of nodes of different classes are.  So
+every pair that could join two classes has been verified.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ from sparkfolio.llm.bpe import small
 from sparkfolio.llm.common import components, staged
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: Largest number of frequent features (bounds what each task holds), and of hub rounds before all remaining pairs.
-FREQUENT, HUB_ROUNDS = 50_000, 6
+#: Largest number of frequent features (bounds what each task holds), hubs of a group in a round, and rounds before all
+#: remaining pairs.
+FREQUENT, HUBS, HUB_ROUNDS = 50_000, 8, 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -171,8 +173,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
     order = F.struct(F.col("key").isNull().alias("null"), F.col("key"), F.col("text_hash"))
     nodes = staged(described.filter("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("rep"), F.max("n_shingles").alias("n")), "reps")
 
-    links = _links(docs, nodes, n, percent)
-    labels = components(links)
+    labels = _labels(docs, nodes, n, percent)
     named = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
     named = staged(named.join(least, "label").select("node", "least"), "classes")
@@ -183,8 +184,8 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
         (F.col("node").isNull() | same).alias("keeper")))
 
 
-def _links(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between nodes: enough of them that every class is connected."""
+def _labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, label) of the nodes that share a signature with another: label is the smallest node of the class."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, n))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,34 +205,37 @@ def _links(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame
     sets = staged(_sets(docs, nodes, groups.select("node").union(groups.select("hub")).distinct(), n), "sets")
     members = groups.select("sig", "node").union(groups.select("sig", "hub").distinct())
 
-    tried = staged(groups.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tried")
-    links = staged(_verified(tried, sets, percent), "links")
-    for turn in range(HUB_ROUNDS + 1):
-        labels = components(links)
-        marked = members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-        mixed_groups = marked.groupBy("sig").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l <> _h").select("sig")
-        members = staged(marked.join(mixed_groups, "sig", "left_semi"), "open")
+    labels = sets.select("node", F.col("node").alias("label"))
+    fresh = tried = staged(groups.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tried")
+    turn, last = 0, False
+    while True:
+        links = _verified(fresh, sets, percent)
+        for end in ("a", "b"):  # links between classes, named by their labels
+            links = links.join(labels.toDF(end, f"_{end}"), end)
+        merged = components(links.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+        labels = staged(labels.join(merged.toDF("label", "_label"), "label", "left").select("node", F.coalesce("_label", "label").alias("label")), "labels")
+        if last:
+            return labels
+        marked = members.select("sig", "node").join(labels, "node")
+        several = marked.groupBy("sig").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l <> _h").select("sig")
+        members = staged(marked.join(several, "sig", "left_semi"), "open")
         each = members.groupBy("sig", "label").agg(F.count("*").cast("double").alias("c")).groupBy("sig").agg(
             F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(
             F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), F.sum("s").alias("rows")).first()
         if not each.rows:
-            return links
-        last = turn == HUB_ROUNDS or each.pairs <= 4 * each.rows
+            return labels
+        last = turn == HUB_ROUNDS or each.pairs <= HUBS * each.rows
         if last:
             one, two = members.alias("x"), members.alias("y")
             pairs = one.join(two, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label")))
             pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         else:
-            hubs = members.groupBy("sig").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("hub"))
-            pairs = members.join(hubs, "sig").filter(F.col("label") != F.col("hub.label")).select(
-                F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+            hubs = members.groupBy("sig").agg(F.array_distinct(F.array(*[
+                F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn * HUBS + i))) for i in range(HUBS)])).alias("hubs"))
+            pairs = members.join(hubs, "sig").select("node", "label", F.explode("hubs").alias("hub")).filter(
+                F.col("label") != F.col("hub.label")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         fresh = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
-        links = staged(links.union(_verified(fresh, sets, percent)), "links")
-        if last:
-            return links
-        tried = tried.union(fresh)
-        members = members.select("sig", "node")
-    return links
+        tried, turn = tried.union(fresh), turn + 1
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
