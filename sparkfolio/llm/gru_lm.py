@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -275,7 +276,7 @@ def count_tokens(training: DataFrame) -> DataFrame:
 def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of batches with about ``most`` bytes of text, so that memory is bounded however long texts are."""
     for batch in batches:
-        sizes = np.cumsum(np.nan_to_num(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)))
+        sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)))
         cuts = np.flatnonzero(np.diff(sizes // most, prepend=0)) if batch.num_rows else []
         edges = [0, *[int(c) for c in cuts if c], batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
