@@ -9,7 +9,6 @@ from .. import constants as K
 from ..functions.numbers import fixed
 from .scoring import fold_trade_counts, profit_ranks, sample_adequacy_gate
 
-MAX_SPLIT_FOLDS = 16
 TRADE_KEY = ["symbol", "fold", "entry_date", "exit_date"]
 
 
@@ -176,16 +175,18 @@ def redundant_pairs(intervals: DataFrame, overlap: DataFrame, correlation: float
 def pbo(vectors: DataFrame) -> DataFrame:
     """Probability of backtest overfitting per fold signature.
 
-    Splits are bit masks exploded on each candidate's own row, at most C(16, 8); the winner of a split
-    and its test rank are aggregations on (signature, split).  Null with fewer than two candidates or
-    four folds.
+    Splits are rows of their own, made once per fold count from the two halves of their bits, and meet the
+    candidates by a join on the fold count; the winner of a split and its test rank are aggregations on
+    (signature, split).  Null with fewer than two candidates or four folds.
     """
-    usable = vectors.where(F.col("folds") >= 4).withColumn("folds", F.when(
-        F.col("folds") <= MAX_SPLIT_FOLDS, F.col("folds")).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_SPLIT_FOLDS} folds")).cast("int")))
-    half = F.floor(F.col("folds") / 2)
-    masks = F.filter(F.expr("sequence(0, shiftleft(1, folds) - 1)"), lambda m: F.bit_count(m) == half)
-    rows = usable.withColumn("split", F.explode(masks))
+    usable = vectors.where(F.col("folds") >= 4)
+    half, low = F.floor(F.col("folds") / 2), F.floor(F.col("folds") / 2).cast("int")
+    bits = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2.0), count).cast("bigint") - 1))
+    splits = (usable.select("folds").distinct().withColumn("_low", low).withColumn("_a", bits(F.col("_low")))
+              .repartition("folds", "_a").withColumn("_b", bits(F.col("folds") - F.col("_low")))
+              .where(F.bit_count("_a") + F.bit_count("_b") == half)
+              .select("folds", (F.col("_a") + F.col("_b") * F.pow(F.lit(2.0), F.col("_low")).cast("bigint")).alias("split")))
+    rows = usable.join(splits.hint("merge"), "folds")
 
     def side(bit: int, size: Column) -> Column:
         picked = F.transform("scores", lambda x, i: F.when(

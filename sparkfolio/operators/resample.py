@@ -77,17 +77,16 @@ def bootstrap_fold_sums(trades: DataFrame, draws: int = K.BOOTSTRAP_DRAWS, seed:
 
 
 def block_bootstrap(trades: DataFrame, draws: int = K.BOOTSTRAP_DRAWS, quantile: float = K.BOOTSTRAP_QUANTILE,
-                    folds: DataFrame | None = None) -> DataFrame:
+                    declared: DataFrame | None = None) -> DataFrame:
     """The 90% point (sorted[floor(.9 draws)]) of the resampled median fold profit per strategy.
 
-    ``folds`` adds declared folds without trades, which count as zero.
+    ``declared`` (strategy, fold) adds each strategy's own folds without trades, which count as zero.
     """
     sums = bootstrap_fold_sums(trades, draws)
-    if folds is not None:
-        names = folds.agg(F.collect_set("fold").alias("_names"))
-        seen = trades.groupBy("strategy").agg(F.collect_set("fold").alias("_seen"))
-        empty = seen.join(F.broadcast(names)).select(
-            "strategy", F.explode(F.array_except("_names", "_seen")).alias("fold"))
+    if declared is not None:
+        traded = trades.select("strategy", "fold").distinct()
+        empty = declared.select("strategy", "fold").distinct().join(traded, ["strategy", "fold"], "left_anti").join(
+            trades.select("strategy").distinct(), "strategy", "left_semi")
         sums = sums.unionByName(empty.select(
             "strategy", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "fold",
             F.lit(0.0).alias("fold_sum")))
@@ -98,33 +97,41 @@ def block_bootstrap(trades: DataFrame, draws: int = K.BOOTSTRAP_DRAWS, quantile:
         "strategy", F.col("median_profit").alias("q90"))
 
 
-def fold_medians(trades: DataFrame) -> DataFrame:
+def fold_medians(trades: DataFrame, declared: DataFrame) -> DataFrame:
+    """Median fold profit over declared and traded folds; a declared fold without trades counts as zero."""
     sums = trades.groupBy("strategy", "fold").agg(F.sum("profit").alias("p"), F.count(F.lit(1)).alias("n"))
-    return sums.groupBy("strategy").agg(F.median("p").alias("median_profit"), F.sum("n").alias("trades"),
-                                        F.array_join(F.array_sort(F.collect_set("fold")), ",").alias("folds"))
+    rows = declared.select("strategy", "fold").distinct().join(sums, ["strategy", "fold"], "full")
+    return rows.groupBy("strategy").agg(F.median(F.coalesce("p", F.lit(0.0))).alias("median_profit"),
+                                        F.coalesce(F.sum("n"), F.lit(0)).alias("trades"))
 
 
-def significance_gate(trades: DataFrame, pairs: DataFrame, draws: int = K.BOOTSTRAP_DRAWS) -> DataFrame:
+def significance_gate(trades: DataFrame, pairs: DataFrame, declared: DataFrame, draws: int = K.BOOTSTRAP_DRAWS) -> DataFrame:
     """Does each candidate beat its incumbent's noise band?  ``pairs`` is (candidate, incumbent).
 
-    Incumbents with fewer than eight trades get a point comparison marked inconclusive; different
-    fold sets waive the gate.  Only incumbents are resampled.
+    ``declared`` (strategy, fold, start, end) are the evaluation ranges a strategy was run over.  The gate is
+    waived (passes) only when the two lists of ranges differ or one is missing, or when the candidate has no
+    trades; a fold without trades counts as zero in medians and band.  Incumbents with fewer than eight trades
+    get a point comparison marked inconclusive.  Only incumbents are resampled.
     """
-    medians = fold_medians(trades)
+    text = F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string"))
+    ranges = declared.groupBy("strategy").agg(
+        F.transform(F.array_sort(F.collect_set(F.struct("start", text.alias("range")))), lambda r: r["range"]).alias("ranges"))
     wanted = trades.join(pairs.select(F.col("incumbent").alias("strategy")).distinct(), "strategy", "left_semi")
-    bands = block_bootstrap(wanted, draws)
-    side = lambda name: medians.select(
+    known = fold_medians(trades, declared).join(ranges, "strategy", "left").join(
+        block_bootstrap(wanted, draws, declared=declared), "strategy", "left")
+    side = lambda name: known.select(
         F.col("strategy").alias(name), F.col("median_profit").alias(f"{name}_median"),
-        F.col("trades").alias(f"{name}_trades"), F.col("folds").alias(f"_{name}_folds"))
-    joined = pairs.join(side("candidate"), "candidate").join(side("incumbent"), "incumbent").join(
-        bands.select(F.col("strategy").alias("incumbent"), "q90"), "incumbent", "left")
-    waived = F.col("_candidate_folds") != F.col("_incumbent_folds")
-    thin = F.col("incumbent_trades") < K.MIN_INCUMBENT_TRADES
-    bar = F.when(thin, F.col("incumbent_median")).otherwise(F.col("q90"))
+        F.col("trades").alias(f"_{name}_trades"), F.col("ranges").alias(f"_{name}_ranges"), F.col("q90").alias(f"_{name}_q90"))
+    joined = pairs.join(side("candidate"), "candidate", "left").join(side("incumbent"), "incumbent", "left")
+    same = F.col("_candidate_ranges") == F.col("_incumbent_ranges")
+    traded = F.coalesce("_candidate_trades", F.lit(0)) > 0
+    waived = ~(F.coalesce(same, F.lit(False)) & traded)
+    thin = F.coalesce("_incumbent_trades", F.lit(0)) < K.MIN_INCUMBENT_TRADES
+    bar = F.when(thin, F.col("incumbent_median")).otherwise(F.col("_incumbent_q90"))
     return joined.select(
         "candidate", "incumbent", "candidate_median", "incumbent_median", bar.alias("incumbent_q90"),
         (~waived & thin).alias("inconclusive"), waived.alias("waived"),
-        (waived | (F.col("candidate_median") > bar)).alias("passed"))
+        (waived | F.coalesce(F.col("candidate_median") > bar, F.lit(False))).alias("passed"))
 
 
 # ---- correlation intervals --------------------------------------------------------
@@ -199,15 +206,17 @@ def plateau_replicas(seq_bars: DataFrame, replicas: int, outcomes: Callable[[Dat
 
 
 # ---- parameter points -------------------------------------------------------------
-def parameter_grid(spark: SparkSession, parameters: dict[str, list], limit: int = K.PARAMETER_POINTS) -> DataFrame:
-    """Cartesian product of the values in order, the first ``limit`` points kept (the search budget).
+def parameter_grid(spark: SparkSession, parameters: dict[str, list], budget: int | None = None) -> DataFrame:
+    """Cartesian product of the values in order.  A product above the search ``budget`` is refused, never cut.
 
     Point ``i`` is decoded from its number, digit by digit, so no product is built or sorted.
     """
     total = 1
     for values in parameters.values():
         total *= len(values)
-    points = spark.range(min(total, limit)).select(F.col("id").alias("point"))
+    if budget is not None and total > budget:
+        raise ValueError(f"{total} parameter points exceed the search budget of {budget}")
+    points = spark.range(total).select(F.col("id").alias("point"))
     size = total
     for name, values in parameters.items():
         size //= len(values)

@@ -13,8 +13,6 @@ from ..functions.numbers import cents, fixed
 from ..functions.ordering import ordered_positions
 from ..functions.random import uniform_block, with_draw
 
-POOL_LIMIT = 100_000
-
 
 def _underwater(equity: DataFrame, initial: float, keys: list[str]) -> DataFrame:
     """Equity (one row per key and day) with amount and percent below the running peak."""
@@ -79,73 +77,72 @@ def ruin_seeds(pool: DataFrame, rates: list[float]) -> DataFrame:
         "strategy", "n", "rate", F.when(mixed == 0, F.lit(42)).otherwise(mixed).cast("bigint").alias("seed"))
 
 
-WALKED = T.ArrayType(T.StructType([T.StructField("path", T.IntegerType()), T.StructField("final", T.DoubleType()),
-                                   T.StructField("max_drawdown", T.DoubleType())]))
+PIECES = T.ArrayType(T.StructType([T.StructField("path", T.LongType()), T.StructField("steps", T.ArrayType(T.IntegerType())),
+                                   T.StructField("r", T.ArrayType(T.DoubleType()))]))
+RUN = T.StructType([T.StructField(name, T.DoubleType()) for name in ("c", "top", "low", "high", "dd")])
 
 
-@F.pandas_udf(WALKED)
-def _walk_paths(pool: pd.Series, seed: pd.Series, rate: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
-    """Compound resampled R multiples along paths first..last of one strategy and rate."""
+@F.pandas_udf(PIECES)
+def _pick(part: pd.Series, begin_at: pd.Series, n: pd.Series, seed: pd.Series, first: pd.Series, last: pd.Series,
+          begin: pd.Series, end: pd.Series) -> pd.Series:
+    """R multiples that steps begin..end-1 of paths first..last draw from one part of a pool, by step."""
     answers = []
-    for r, s, risk, lo, hi in zip(pool, seed, rate, first, last):
-        r, n, rows = np.asarray(r, dtype=float), len(r), []
+    for r, start, size, s, lo, hi, a, b in zip(part, begin_at, n, seed, first, last, begin, end):
+        r, rows = np.asarray(r, dtype=float), []
         for path in range(lo, hi + 1):
-            picks = (uniform_block(int(s), path * n, n) * n).astype(np.int64)
-            capital = np.cumprod(1 + risk * r[picks])
-            peak = np.maximum(np.maximum.accumulate(capital), 1.0)
-            rows.append({"path": path, "final": capital[-1], "max_drawdown": max(0.0, float(np.max(1 - capital / peak)))})
+            at = (uniform_block(int(s), path * size + a, b - a) * size).astype(np.int64) - start
+            steps = np.flatnonzero((at >= 0) & (at < len(r)))
+            rows.append({"path": path, "steps": steps.astype(np.int32), "r": r[at[steps]]})
         answers.append(rows)
     return pd.Series(answers)
 
 
-def ruin_paths(pool: DataFrame, rates: list[float], paths: int = K.RUIN_PATHS, pool_limit: int = POOL_LIMIT,
-               path_chunk: int = 25, step_chunk: int = 4096) -> DataFrame:
+@F.pandas_udf(RUN)
+def _walk_run(pieces: pd.Series, rate: pd.Series) -> pd.DataFrame:
+    """Compound one run of steps from capital 1: end, highest (1 included), lowest, highest after a step, drawdown."""
+    rows = []
+    for parts, risk in zip(pieces, rate):
+        steps = np.concatenate([np.asarray(p["steps"], dtype=np.int64) for p in parts])
+        r = np.concatenate([np.asarray(p["r"], dtype=float) for p in parts])[np.argsort(steps)]
+        capital = np.cumprod(1 + risk * r)
+        peak = np.maximum(np.maximum.accumulate(capital), 1.0)
+        rows.append((capital[-1], peak[-1], capital.min(), capital.max(), max(0.0, float(np.max(1 - capital / peak)))))
+    return pd.DataFrame(rows, columns=["c", "top", "low", "high", "dd"])
+
+
+def ruin_paths(pool: DataFrame, rates: list[float], paths: int = K.RUIN_PATHS, path_chunk: int = 100,
+               step_chunk: int = 4096, pool_chunk: int = 65_536) -> DataFrame:
     """Final capital multiple and largest drawdown of every resampled path (strategy, rate, path).
 
-    Pools up to ``pool_limit`` travel as one array and groups of paths are walked in numpy.  Larger
-    pools are never gathered: each step looks its R up by an equi join, short runs of steps are folded
-    to (product, lowest, drawdown) and the runs are combined in order, which gives the same result.
+    One way for every size: a pool is cut into parts of ``pool_chunk`` positions, a path into runs of
+    ``step_chunk`` steps.  A task draws the picks of some paths' run and takes those that lie in its part; a
+    run's pieces are put in order and compounded, and runs are chained.  Nothing holds a whole pool or path.
     """
     seeds = ruin_seeds(pool, rates)
-    arrays = pool.where(F.col("group_rows") <= pool_limit).groupBy("strategy").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda p: p["r"]).alias("pool"))
+    parts = pool.withColumn("_part", F.floor(F.col("pos") / pool_chunk)).groupBy("strategy", "_part").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda p: p["r"]).alias("part"))
     first = F.explode(F.sequence(F.lit(0), F.lit(paths - 1), F.lit(path_chunk)))
-    jobs = seeds.where(F.col("n") <= pool_limit).withColumn("first", first).withColumn(
-        "last", F.least(F.col("first") + path_chunk - 1, F.lit(paths - 1)))
-    small = jobs.join(arrays, "strategy").repartition("strategy", "rate", "first").select(
-        "strategy", "rate", F.explode(_walk_paths("pool", "seed", "rate", "first", "last")).alias("w")).select(
-        "strategy", "rate", "w.path", "w.final", "w.max_drawdown")
-
-    n = F.col("n")
-    runs = seeds.where(n > pool_limit).withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).repartition(
-        "strategy", "rate", "path").withColumn(
-        "run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / step_chunk))))
+    jobs = seeds.withColumn("first", first).withColumn(
+        "last", F.least(F.col("first") + path_chunk - 1, F.lit(paths - 1))).withColumn(
+        "run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / step_chunk))))
     begin = F.col("run") * step_chunk
-    steps = runs.withColumn("step", F.explode(F.sequence(begin, F.least(begin + step_chunk, n) - 1)))
-    picks = with_draw(steps, F.col("seed"), F.col("path") * n + F.col("step"), n)
-    # The exploded side looks small to the planner; the merge hint keeps it from being broadcast.
-    drawn = picks.join(pool.select("strategy", "pos", "r").hint("merge"), ["strategy", "pos"])
-    ordered = drawn.groupBy("strategy", "rate", "path", "run").agg(
-        F.array_sort(F.collect_list(F.struct("step", "r"))).alias("steps"))
-    start = F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("top"), F.lit(float("inf")).alias("low"), F.lit(0.0).alias("dd"))
-
-    def walk(acc: Column, s: Column) -> Column:
-        c = acc["c"] * (1 + F.col("rate") * s["r"])
-        top = F.greatest(acc["top"], c)
-        return F.struct(c.alias("c"), top.alias("top"), F.least(acc["low"], c).alias("low"),
-                        F.greatest(acc["dd"], 1 - c / top).alias("dd"))
+    pieces = jobs.join(parts, "strategy").repartition("strategy", "rate", "first", "run", "_part").select(
+        "strategy", "rate", "run", F.explode(_pick(
+            "part", F.col("_part") * pool_chunk, "n", "seed", "first", "last", begin,
+            F.least(begin + step_chunk, F.col("n")))).alias("p"))
+    walked = pieces.groupBy("strategy", "rate", "p.path", "run").agg(F.collect_list("p").alias("pieces")).select(
+        "strategy", "rate", "path", "run", _walk_run("pieces", "rate").alias("w"))
+    runs = walked.groupBy("strategy", "rate", "path").agg(F.array_sort(F.collect_list(F.struct("run", "w"))).alias("runs"))
+    start = F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("top"), F.lit(0.0).alias("dd"))
 
     def chain(acc: Column, run: Column) -> Column:
-        under = 1 - acc["c"] * run["w"]["low"] / acc["top"]
-        return F.struct((acc["c"] * run["w"]["c"]).alias("c"),
-                        F.greatest(acc["top"], acc["c"] * run["w"]["top"]).alias("top"), acc["low"].alias("low"),
-                        F.greatest(acc["dd"], run["w"]["dd"], under).alias("dd"))
+        w = run["w"]
+        lowest, highest = F.least(acc["c"] * w["low"], acc["c"] * w["high"]), F.greatest(acc["c"] * w["low"], acc["c"] * w["high"])
+        return F.struct((acc["c"] * w["c"]).alias("c"), F.greatest(acc["top"], highest).alias("top"),
+                        F.greatest(acc["dd"], F.when(acc["c"] > 0, w["dd"]).otherwise(0.0), 1 - lowest / acc["top"]).alias("dd"))
 
-    folded = ordered.select("strategy", "rate", "path", "run", F.aggregate("steps", start, walk).alias("w")).groupBy(
-        "strategy", "rate", "path").agg(F.array_sort(F.collect_list(F.struct("run", "w"))).alias("runs"))
-    large = folded.select("strategy", "rate", "path", F.aggregate("runs", start, chain).alias("w")).select(
-        "strategy", "rate", "path", F.col("w.c").alias("final"), F.col("w.dd").alias("max_drawdown"))
-    return small.unionByName(large)
+    return runs.select("strategy", "rate", "path", F.aggregate("runs", start, chain).alias("w")).select(
+        "strategy", "rate", F.col("path").cast("int").alias("path"), F.col("w.c").alias("final"), F.col("w.dd").alias("max_drawdown"))
 
 
 def ruin_bootstrap(walked: DataFrame, ruin_drawdown: float = K.RUIN_DRAWDOWN, quantile: float = K.RUIN_QUANTILE) -> DataFrame:
@@ -159,13 +156,20 @@ def ruin_bootstrap(walked: DataFrame, ruin_drawdown: float = K.RUIN_DRAWDOWN, qu
         F.max(F.when(at, F.col("max_drawdown"))).alias("drawdown95"))
 
 
+def _running(rows: pd.DataFrame) -> pd.DataFrame:
+    """Running product of the growth factors in order of ``at``."""
+    rows = rows.sort_values("at")
+    return rows.assign(growth=rows["growth"].cumprod())
+
+
 def capital_envelope(pool: DataFrame, dates: DataFrame, walked: DataFrame, rates: list[float],
-                     initial: float = K.INITIAL_CAPITAL, pool_limit: int = POOL_LIMIT) -> DataFrame:
+                     initial: float = K.INITIAL_CAPITAL) -> DataFrame:
     """The 5/50/95 percentile paths by final capital, point by point, dated by the trades' exits.
 
     Step s of a path is dated by exit s-1; step 0 by the first date.  Three paths per strategy and rate
     are walked again; points come from an equi join on the drawn position, and running capital is a
-    sum of logarithms in blocks, so a long path is never held by one task.
+    product within runs of 4,096 steps times the product of the runs before, so a long path is never held by
+    one task and a loss beyond the capital stays a loss.
     """
     order = Window.partitionBy("strategy", "rate").orderBy("final", "path")
     ranked = walked.withColumn("_i", F.row_number().over(order) - 1).withColumn(
@@ -181,15 +185,16 @@ def capital_envelope(pool: DataFrame, dates: DataFrame, walked: DataFrame, rates
     begin = F.col("run") * block
     steps = runs.withColumn("step", F.explode(F.sequence(begin, F.least(begin + block, n) - 1)))
     picks = with_draw(steps, F.col("seed"), F.col("path") * n + F.col("step"), n)
-    grown = picks.join(pool.select("strategy", "pos", "r").hint("merge"), ["strategy", "pos"]).withColumn(
-        "growth", F.ln(1 + F.col("rate") * F.col("r")))
     key = ["strategy", "rate", "band"]
-    inside = Window.partitionBy(*key, "run").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*key).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    run_totals = grown.groupBy(*key, "run").agg(F.sum("growth").alias("g")).select(
-        *key, "run", F.coalesce(F.sum("g").over(earlier), F.lit(0.0)).alias("_before"))
-    capital = F.lit(float(initial)) * F.exp(F.col("_before") + F.sum("growth").over(inside))
-    points = grown.join(run_totals, [*key, "run"]).select(*key, (F.col("step") + 1).alias("step"), capital.alias("capital"))
+    grown = picks.join(pool.select("strategy", "pos", "r").hint("merge"), ["strategy", "pos"]).select(
+        *key, "run", F.col("step").alias("at"), (1 + F.col("rate") * F.col("r")).alias("growth"))
+    inside = grown.groupBy(*key, "run").applyInPandas(_running, grown.schema)
+    whole = inside.groupBy(*key, "run").agg(F.max_by("growth", "at").alias("growth")).withColumnRenamed("run", "at")
+    before = whole.groupBy(*key).applyInPandas(_running, whole.schema).select(
+        *key, (F.col("at") + 1).alias("run"), F.col("growth").alias("_before"))
+    points = inside.join(before, [*key, "run"], "left").select(
+        *key, (F.col("at") + 1).alias("step"),
+        (F.lit(float(initial)) * F.coalesce("_before", F.lit(1.0)) * F.col("growth")).alias("capital"))
     opening = chosen.select(*key, F.lit(0).cast("bigint").alias("step"), F.lit(float(initial)).alias("capital"))
     dated = points.join(dates.select("strategy", (F.col("pos") + 1).alias("step"), F.col("exit_date").alias("bar_date")),
                         ["strategy", "step"])

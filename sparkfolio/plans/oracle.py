@@ -65,8 +65,9 @@ PARTS: dict[str, str] = {
     FROM (SELECT CAST(unnest(range(1995,2002)) AS INTEGER) AS y)""",
     "seq": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS seq FROM bars",
     "feat": """
-    SELECT *, round(avg(close) OVER w20, 8) AS mean20, lag(close) OVER (PARTITION BY symbol ORDER BY bar_date) AS previous_close
-    FROM seq WINDOW w20 AS (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
+    SELECT *, round(avg(close) OVER w20, 8) AS mean20, lag(close) OVER w AS previous_close,
+       lead(open) OVER w AS next_open, lead(high) OVER w AS next_high, lead(low) OVER w AS next_low, lead(close) OVER w AS next_close
+    FROM seq WINDOW w AS (PARTITION BY symbol ORDER BY bar_date), w20 AS (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
     "fired": """
     SELECT *, unnest(list_filter([
        CASE WHEN close < 0.97::DOUBLE*mean20 THEN {'strategy':'dip','side':'long','confidence':(30+seq%60)::DOUBLE}
@@ -83,7 +84,8 @@ PARTS: dict[str, str] = {
        CASE WHEN day(bar_date)%5<>0 THEN close*(CASE WHEN f.side='long' THEN 1.06::DOUBLE ELSE 0.94::DOUBLE END) END AS target,
        CAST(1+seq%10 AS INTEGER) AS max_hold_days,
        CASE WHEN close < 0.95::DOUBLE*mean20 THEN 'deep' ELSE 'shallow' END AS setup,
-       CASE WHEN volume >= 30 THEN 'busy' ELSE 'quiet' END AS regime, f.confidence AS confidence
+       CASE WHEN volume >= 30 THEN 'busy' ELSE 'quiet' END AS regime, f.confidence AS confidence,
+       next_open, next_high, next_low, next_close
     FROM fired""",
     "economics": """
     SELECT *, CASE WHEN side='long' THEN entry_max ELSE entry_min END AS worst_entry,
@@ -334,6 +336,19 @@ PARTS: dict[str, str] = {
       SELECT k.strategy, k.fold, k.draw, sum(CASE WHEN is_last THEN last_sum ELSE full_sum END) AS s
       FROM block_picks k JOIN circles c USING (strategy, fold, pos) GROUP BY ALL) GROUP BY ALL) GROUP BY strategy""",
     "medians": "SELECT strategy, median(s) AS m FROM (SELECT strategy, fold, sum(profit) AS s FROM trades GROUP BY ALL) GROUP BY strategy",
+    "gate_trades": """
+    SELECT strategy, fold, profit FROM trades
+    UNION ALL SELECT 'new ' || strategy, fold, CASE WHEN strategy LIKE '%2' THEN abs(profit) ELSE profit END FROM trades
+      WHERE NOT (strategy LIKE '%3' AND fold='fold-3')
+    UNION ALL SELECT 'few', fold, profit FROM trades
+      WHERE strategy='Brand#11' AND symbol='S00001' AND fold='fold-2' AND day(exit_date) <= 10""",
+    "gate_folds": """
+    SELECT strategy, fold, start, "end" FROM (SELECT DISTINCT strategy FROM gate_trades UNION SELECT 'few' UNION SELECT 'new idle') CROSS JOIN folds
+    WHERE NOT (strategy LIKE 'new %5' AND fold='fold-7')""",
+    "gate_sides": """
+    SELECT *, (SELECT string_agg(d.start || ':' || d."end", ',' ORDER BY d.start) FROM gate_folds d WHERE d.strategy=s.strategy) AS ranges
+    FROM (SELECT strategy, median(coalesce(p, 0)) AS m, coalesce(sum(n), 0) AS n FROM (SELECT strategy, fold FROM gate_folds)
+          FULL JOIN (SELECT strategy, fold, sum(profit) AS p, count(*) AS n FROM gate_trades GROUP BY ALL) USING (strategy, fold) GROUP BY strategy) s""",
     "pool": """
     SELECT strategy, r_multiple AS r, row_number() OVER (PARTITION BY strategy ORDER BY exit_date, entry_date, symbol, seq) - 1 AS pos FROM outcomes""",
     "seeds": """
@@ -456,16 +471,16 @@ ORACLE: dict[str, str] = {
     "proposal_economics": _out("strategy symbol signal_date side ~worst_entry ~risk ~reward_risk ~reward_risk_tie ~expected_r", """(SELECT *,
         CASE WHEN target IS NULL THEN 999 ELSE rr END AS reward_risk, coalesce(rr,0) AS reward_risk_tie,
         CASE WHEN target IS NOT NULL THEN coalesce(conf,0.45::DOUBLE)*rr-(1-coalesce(conf,0.45::DOUBLE)) END AS expected_r FROM economics)"""),
-    "entry_fill": _out("strategy symbol signal_date ~raw_entry", """(SELECT s.strategy, s.symbol, s.signal_date,
-        CASE WHEN NOT (b.high < s.entry_min OR b.low > s.entry_max) AND b.open > s.stop_loss
-        THEN greatest(s.entry_min, least(s.entry_max, b.open)) END AS raw_entry FROM signals s JOIN seq b ON b.symbol=s.symbol AND b.seq=s.seq+1)"""),
+    "entry_fill": _out("strategy symbol signal_date ~raw_entry", """(SELECT strategy, symbol, signal_date,
+        CASE WHEN NOT (next_high < entry_min OR next_low > entry_max) AND next_open > stop_loss
+        THEN greatest(entry_min, least(entry_max, next_open)) END AS raw_entry FROM signals WHERE next_open IS NOT NULL)"""),
     "bar_exit": _out("strategy symbol signal_date side ~price reason", """(SELECT *, CASE reason WHEN 'stop' THEN stop_loss WHEN 'target' THEN target END AS price
-        FROM (SELECT s.*, CASE WHEN side='long' AND b.low<=stop_loss OR side='short' AND b.high>=stop_loss THEN 'stop'
-        WHEN side='long' AND b.high>=target OR side='short' AND b.low<=target THEN 'target' END AS reason
-        FROM signals s JOIN seq b ON b.symbol=s.symbol AND b.seq=s.seq+1))"""),
-    "r_multiple": _out("strategy symbol signal_date side ~r", """(SELECT s.strategy, s.symbol, s.signal_date, side,
-        CASE WHEN side='long' THEN (b.close-worst_entry)/risk ELSE (worst_entry-b.close)/risk END AS r
-        FROM economics s JOIN seq b ON b.symbol=s.symbol AND b.seq=s.seq+1)"""),
+        FROM (SELECT *, CASE WHEN side='long' AND next_low<=stop_loss OR side='short' AND next_high>=stop_loss THEN 'stop'
+        WHEN side='long' AND next_high>=target OR side='short' AND next_low<=target THEN 'target' END AS reason
+        FROM signals WHERE next_open IS NOT NULL))"""),
+    "r_multiple": _out("strategy symbol signal_date side ~r", """(SELECT strategy, symbol, signal_date, side,
+        CASE WHEN side='long' THEN (next_close-worst_entry)/risk ELSE (worst_entry-next_close)/risk END AS r
+        FROM economics WHERE next_open IS NOT NULL)"""),
     "apply_costs": _out("strategy symbol seq ~entry_price:10 ~exit_price:10 ~brokerage ~slippage ~profit", "outcomes"),
     "size_position": _out("strategy symbol signal_date rate qty", """(SELECT strategy, symbol, signal_date, rate,
         CAST(floor(least(10000.0::DOUBLE*rate/(e-stop_loss), floor((5000.0::DOUBLE-3)/e))) AS BIGINT) AS qty FROM
@@ -619,8 +634,11 @@ ORACLE: dict[str, str] = {
     "rolling_traded_value": _out("symbol bar_date ~traded_value", "(SELECT symbol, signal_date AS bar_date, traded_value FROM liquidity)"),
     "lookback_bars": _out("symbol bar_date first_date ~mean_close volume", """(SELECT symbol, bar_date, first_date, mean_close, CAST(v AS BIGINT) AS volume FROM (SELECT symbol, bar_date, seq, min(bar_date) OVER w AS first_date, avg(close) OVER w AS mean_close,
         sum(volume) OVER w AS v FROM seq WINDOW w AS (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 89 PRECEDING AND CURRENT ROW)) WHERE seq >= 90)"""),
-    "warmup_slice": sql("""SELECT s.symbol, x.fold, s.bar_date, s.seq, s.seq < x.a AS warmup FROM seq s JOIN (SELECT symbol, fold, min(seq) AS a, max(seq) AS b FROM seq JOIN folds f
-        ON bar_date BETWEEN f.start AND f."end" GROUP BY ALL) x ON x.symbol=s.symbol AND s.seq BETWEEN x.a-90 AND x.b"""),
+    "warmup_slice": sql("""SELECT symbol, x.fold AS fold, bar_date, seq, seq < x.a AS warmup FROM (
+        SELECT s.symbol, s.bar_date, s.seq, unnest(m.spans) AS x FROM seq s JOIN (
+          SELECT symbol, list({'fold': fold, 'a': a, 'b': b}) AS spans FROM (SELECT symbol, fold, min(seq) AS a, max(seq) AS b FROM (
+            SELECT symbol, seq, 'fold-' || (year(bar_date)-1994) AS fold FROM seq) WHERE fold IN (SELECT fold FROM folds) GROUP BY ALL)
+          GROUP BY symbol) m USING (symbol)) WHERE seq BETWEEN x.a-90 AND x.b"""),
     "drawdown_engine": _out("strategy ~max_drawdown ~max_drawdown_pct", """(SELECT strategy, floor(max(dd)*100+0.5::DOUBLE)/100 AS max_drawdown,
         floor(arg_max(dd_pct, (dd, -epoch(bar_date)))*100+0.5::DOUBLE)/100 AS max_drawdown_pct FROM underwater GROUP BY strategy)"""),
     "drawdown_score": _out("strategy ~max_drawdown ~drawdown_pct", "(SELECT strategy, max(dd) AS max_drawdown, max(dd_pct) AS drawdown_pct FROM underwater GROUP BY strategy)"),
@@ -704,9 +722,15 @@ ORACLE: dict[str, str] = {
            LEFT JOIN bars b ON b.symbol=o.symbol AND b.bar_date=c.bar_date) GROUP BY strategy, bar_date) USING (strategy, bar_date))"""),
     "block_bootstrap": _out("strategy ~q90", "bands"),
     "significance_gate": _out("candidate incumbent ~candidate_median ~incumbent_median ~incumbent_q90 inconclusive waived passed", """(
-        SELECT c.strategy AS candidate, i.strategy AS incumbent, c.m AS candidate_median, i.m AS incumbent_median, q90 AS incumbent_q90,
-          false AS inconclusive, false AS waived, c.m > q90 AS passed FROM medians c JOIN medians i
-          ON i.strategy=(SELECT arg_max(strategy, earned_profit) FROM scores) AND i.strategy<>c.strategy JOIN bands b ON b.strategy=i.strategy)"""),
+        SELECT *, waived OR coalesce(candidate_median > incumbent_q90, false) AS passed FROM (
+          SELECT p.candidate, p.incumbent, c.m AS candidate_median, i.m AS incumbent_median,
+            CASE WHEN coalesce(i.n, 0) < 8 THEN i.m ELSE b.q90 END AS incumbent_q90,
+            coalesce(c.ranges = i.ranges AND c.n > 0, false) AND coalesce(i.n, 0) < 8 AS inconclusive,
+            NOT coalesce(c.ranges = i.ranges AND c.n > 0, false) AS waived
+          FROM (SELECT 'new ' || strategy AS candidate, incumbent FROM (SELECT DISTINCT strategy FROM trades UNION ALL SELECT 'idle'),
+                (SELECT arg_max(strategy, earned_profit) AS incumbent FROM scores UNION ALL SELECT 'few' UNION ALL SELECT 'gone')) p
+          LEFT JOIN gate_sides c ON c.strategy = p.candidate LEFT JOIN gate_sides i ON i.strategy = p.incumbent
+          LEFT JOIN bands b ON b.strategy = p.incumbent))"""),
     "ruin_bootstrap": _out("strategy rate ~ruin_probability ~drawdown95", "ruin"),
     "choose_risk_rate": _out("strategy profile rate tier ~sortino ~ruin_probability ~drawdown95 ~return_pct", "chosen"),
     "risk_sensitivity": _out("""strategy profile ~risk_pct ~return_pct ~max_drawdown_pct ~ruin_probability_pct ~drawdown95_pct ~sortino recommended

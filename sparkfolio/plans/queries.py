@@ -969,12 +969,34 @@ def block_bootstrap(t: Tables) -> DataFrame:
     return Z.block_bootstrap(t.trades)
 
 
+def _gate_trades(t: Tables) -> DataFrame:
+    """Incumbents, a copy of each as candidate (names ending in 3 skip a fold), and a strategy with few trades."""
+    new = t.trades.where(~(F.col("strategy").endswith("3") & (F.col("fold") == "fold-3"))).withColumn(
+        "profit", F.when(F.col("strategy").endswith("2"), F.abs("profit")).otherwise(F.col("profit"))).withColumn(
+        "strategy", F.concat(F.lit("new "), "strategy"))
+    few = t.trades.where((F.col("strategy") == "Brand#11") & (F.col("symbol") == "S00001") & (F.col("fold") == "fold-2")
+                         & (F.day("exit_date") <= 10)).withColumn("strategy", F.lit("few"))
+    return t.trades.unionByName(new).unionByName(few)
+
+
+def _gate_folds(t: Tables) -> DataFrame:
+    """Declared ranges: all folds, but six only for candidates ending in 5; one declares folds and never trades."""
+    names = t.trades.select("strategy").distinct()
+    extra = names.limit(1).select(F.explode(F.array(F.lit("few"), F.lit("new idle"))).alias("strategy"))
+    names = names.union(names.select(F.concat(F.lit("new "), "strategy"))).union(extra)
+    list_ = F.array_sort(F.collect_list(F.struct("fold", "start", "end")))
+    every = names.join(F.broadcast(t.folds.agg(list_.alias("f")))).select("strategy", F.inline("f"))
+    return every.where(~(F.col("strategy").startswith("new ") & F.col("strategy").endswith("5") & (F.col("fold") == "fold-7")))
+
+
 @query
 def significance_gate(t: Tables) -> DataFrame:
-    best = t.scores.agg(F.max_by("strategy", "score").alias("incumbent"))
-    pairs = t.scores.select(F.col("strategy").alias("candidate")).join(F.broadcast(best)).where(
-        F.col("candidate") != F.col("incumbent"))
-    return Z.significance_gate(t.trades, pairs)
+    best = t.scores.agg(F.max_by("strategy", "score").alias("best"))
+    names = t.trades.select(F.concat(F.lit("new "), "strategy").alias("candidate")).distinct()
+    names = names.union(names.limit(1).select(F.lit("new idle")))
+    pairs = names.join(F.broadcast(best)).select(
+        "candidate", F.explode(F.array(F.col("best"), F.lit("few"), F.lit("gone"))).alias("incumbent"))
+    return Z.significance_gate(_gate_trades(t), pairs, _gate_folds(t))
 
 
 @query
@@ -1048,7 +1070,7 @@ def stream_pair_events(t: Tables) -> DataFrame:
     # Heartbeats far ahead move the watermark, so that unmatched ends are released.
     calls.select(as_line).union(broken).union(later).write.text(lines)
     events = streams.parse_events(t.spark.readStream.text(lines))
-    streams.run_to_table(streams.pair_events(events), out, t.folder_for("state"))
+    streams.run_to_table(streams.pair_events(events, "1 day"), out, t.folder_for("state"))
     plain = [F.col(name).cast("timestamp_ntz").alias(name) for name in ("started_at", "ended_at")]
     return t.spark.read.parquet(out).where(F.col("call_id") >= 0).select(
         "call_id", "tool", "status", *plain, "duration_ms", "error_text")

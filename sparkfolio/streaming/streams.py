@@ -20,10 +20,11 @@ def parse_events(lines: DataFrame) -> DataFrame:
     return lines.select(parsed.alias("e")).where(F.col("e.call_id").isNotNull() & F.col("e.ts").isNotNull()).select("e.*")
 
 
-def _paired(starts: DataFrame, ends: DataFrame, limit: str) -> DataFrame:
+def _paired(starts: DataFrame, ends: DataFrame, limit: str | None) -> DataFrame:
     begin = starts.select(F.col("call_id").alias("start_id"), F.col("ts").alias("started_at"))
-    same_call = (F.col("call_id") == F.col("start_id")) & (F.col("started_at") <= F.col("ended_at")) & (
-        F.col("started_at") >= F.col("ended_at") - F.expr(f"interval {limit}"))
+    same_call = (F.col("call_id") == F.col("start_id")) & (F.col("started_at") <= F.col("ended_at"))
+    if limit is not None:
+        same_call = same_call & (F.col("started_at") >= F.col("ended_at") - F.expr(f"interval {limit}"))
     joined = ends.withColumnRenamed("ts", "ended_at").join(begin, same_call, "left_outer")
     error = F.substring(F.regexp_replace("text", r"\s+", " "), 1, K.ERROR_TEXT_LIMIT)
     return joined.select(
@@ -32,13 +33,16 @@ def _paired(starts: DataFrame, ends: DataFrame, limit: str) -> DataFrame:
         F.when(F.col("status") == "error", error).alias("error_text"))
 
 
-def pair_events(events: DataFrame, limit: str = "1 day") -> DataFrame:
+def pair_events(events: DataFrame, limit: str | None = None) -> DataFrame:
     """Ends with their start, its duration and (for errors) the shortened text.
 
-    An end without a start at most ``limit`` before it has no duration.  On a stream both sides carry
-    a watermark, so state is dropped once no partner can come.
+    A table is paired by call alone.  A stream needs ``limit``, the longest call it waits for: both sides carry
+    it as watermark, so state is dropped once no partner can come, and an end whose start is older has no
+    duration.
     """
     if events.isStreaming:
+        if limit is None:
+            raise ValueError("a stream needs the longest duration of a call")
         events = events.withWatermark("ts", limit)
     return _paired(events.where(F.col("kind") == "start"), events.where(F.col("kind") == "end"), limit)
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkfolio.plans.queries import QUERIES
 from sparkfolio.operators import context, evidence, features, folds, forecasts, outcomes, resample, risk, scoring, signals
 
 DAY = dt.date(2024, 1, 1)
@@ -199,28 +200,68 @@ def test_block_bootstrap_against_a_loop(spark, chunk):
 
 def test_significance_gate_cases(spark):
     rows = []
-    for name, profit, n in (("base", 1.0, 8), ("better", 5.0, 8), ("same", 1.0, 8), ("tiny", 1.0, 2)):
+    for name, profit, n in (("base", 1.0, 8), ("better", 5.0, 8), ("same", 1.0, 8), ("tiny", 1.0, 2), ("worse", -9.0, 8)):
         rows += [(name, f"f{k}", f"S{i}", profit + 0.01 * i) for k in range(3) for i in range(n)]
-    rows += [("other", "f9", "S1", 9.0)]
-    pairs = spark.createDataFrame([("better", "base"), ("same", "base"), ("better", "tiny"), ("other", "base")],
-                                  "candidate string, incumbent string")
-    got = {(r.candidate, r.incumbent): r for r in resample.significance_gate(make_trades(spark, rows), pairs, 100).collect()}
-    assert got["better", "base"].passed and not got["better", "base"].inconclusive
-    assert not got["same", "base"].passed
-    assert got["better", "tiny"].inconclusive and got["better", "tiny"].passed
-    assert got["other", "base"].waived and got["other", "base"].passed
+    rows += [("other", "f0", "S1", 9.0), ("skips", "f0", "S1", -400.0), ("skips", "f1", "S1", -400.0)]
+    names = ["base", "better", "same", "tiny", "worse", "skips", "idle"]
+    declared = [(s, f"f{k}", f"200{k}-01-01", f"200{k}-12-31") for s in names for k in range(3)] + [("other", "f0", "2000-01-01", "2000-12-31")]
+    pairs = [("better", "base"), ("same", "base"), ("better", "tiny"), ("worse", "tiny"), ("other", "base"), ("skips", "base"),
+             ("idle", "base"), ("better", "idle"), ("better", "gone")]
+    got = {(r.candidate, r.incumbent): r for r in resample.significance_gate(
+        make_trades(spark, rows), spark.createDataFrame(pairs, "candidate string, incumbent string"),
+        spark.createDataFrame(declared, "strategy string, fold string, start string, end string"), 100).collect()}
+    assert len(got) == len(pairs)
+    verdict = {k: (r.passed, r.waived, r.inconclusive) for k, r in got.items()}
+    assert verdict["better", "base"] == (True, False, False)
+    assert verdict["same", "base"] == (False, False, False)
+    assert verdict["better", "tiny"] == (True, False, True) and verdict["worse", "tiny"] == (False, False, True)
+    assert verdict["other", "base"] == (True, True, False)
+    # A candidate that skips a declared fold is tested, the fold being zero.
+    assert verdict["skips", "base"] == (False, False, False) and got["skips", "base"].candidate_median == -400.0
+    assert verdict["idle", "base"] == (True, True, False) and verdict["better", "gone"] == (True, True, False)
+    assert verdict["better", "idle"] == (True, False, True) and got["better", "idle"].incumbent_q90 == 0
+
+
+def test_every_verdict_of_the_gate_occurs(spark):
+    rows = QUERIES["significance_gate"](spark, "/root/testdata/sf0.01").select("passed", "waived", "inconclusive").distinct().collect()
+    assert {tuple(r) for r in rows} == {(True, False, False), (False, False, False), (True, True, False), (True, False, True), (False, False, True)}
+
+
+def test_a_parameter_product_is_never_cut(spark):
+    assert resample.parameter_grid(spark, {"a": [1, 2, 3], "b": list(range(5))}).count() == 15
+    with pytest.raises(ValueError):
+        resample.parameter_grid(spark, {"a": [1, 2, 3], "b": list(range(5))}, budget=8)
 
 
-def test_ruin_paths_are_the_same_gathered_or_joined(spark):
+def test_ruin_paths_do_not_depend_on_chunks(spark):
     rng = random.Random(3)
     pool = spark.createDataFrame([("s", i, 30, rng.uniform(-1, 1.4)) for i in range(30)],
                                  "strategy string, pos bigint, group_rows bigint, r double")
     key = lambda df: {(r.rate, r.path): (r.final, r.max_drawdown) for r in df.collect()}
-    small = key(risk.ruin_paths(pool, [0.01, 0.2], paths=12, path_chunk=5))
-    large = key(risk.ruin_paths(pool, [0.01, 0.2], paths=12, pool_limit=0, step_chunk=7))
-    assert set(small) == set(large) and len(small) == 24
-    for k in small:
-        assert small[k] == pytest.approx(large[k])
+    whole = key(risk.ruin_paths(pool, [0.01, 0.2], paths=12, path_chunk=5))
+    cut = key(risk.ruin_paths(pool, [0.01, 0.2], paths=12, step_chunk=7, pool_chunk=4))
+    assert set(whole) == set(cut) and len(whole) == 24
+    for k in whole:
+        assert whole[k] == pytest.approx(cut[k])
+
+
+def test_a_loss_beyond_the_capital_stays_a_loss(spark):
+    pool = spark.createDataFrame([("s", i, 6, r) for i, r in enumerate([-60.0, 1.0, 2.0, 1.5, -0.5, 3.0])],
+                                 "strategy string, pos bigint, group_rows bigint, r double")
+    dates = spark.createDataFrame([("s", i, dt.date(2000, 1, 1 + i)) for i in range(6)], "strategy string, pos bigint, exit_date date")
+    walked = risk.ruin_paths(pool, [0.02], paths=40)
+    final = sorted(r.final for r in walked.collect())
+    assert final[0] < 0
+    rows = risk.capital_envelope(pool, dates, walked, [0.02]).where("step = 6").collect()
+    got = {r.band: r.capital for r in rows}
+    assert got == {b: pytest.approx(10_000 * final[int(q * 40)], abs=0.01) for b, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))}
+
+
+def test_overfitting_has_no_limit_of_folds(spark):
+    rng = random.Random(1)
+    many = {f"s{i}": [rng.random() for _ in range(17)] for i in range(2)}
+    got = evidence.pbo(vectors(spark, many)).first()
+    assert got.splits == 24310 and 0 <= got.probability <= 1
 
 
 def test_capital_envelope_follows_its_path(spark):
@@ -335,5 +376,5 @@ def test_replicas_without_noise_equal_the_original(spark, monkeypatch):
 
 
 def test_parameter_grid_keeps_order(spark):
-    got = resample.parameter_grid(spark, {"a": [1, 2, 3], "b": ["x", "y", "z"]}, limit=5).orderBy("point").collect()
-    assert [(r.a, r.b) for r in got] == [(1, "x"), (1, "y"), (1, "z"), (2, "x"), (2, "y")]
+    got = resample.parameter_grid(spark, {"a": [1, 2, 3], "b": ["x", "y", "z"]}, budget=9).orderBy("point").collect()
+    assert [(r.a, r.b) for r in got] == [(a, b) for a in (1, 2, 3) for b in "xyz"]

@@ -124,3 +124,11 @@ def test_registered_queries_match_their_sql(spark, sf, name):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_table_of_calls_is_paired_without_limit(spark):
+    rows = [("a", "start", dt.datetime(2024, 1, 1)), ("a", "end", dt.datetime(2024, 1, 3)), ("b", "end", dt.datetime(2024, 1, 3))]
+    events = spark.createDataFrame([(c, k, t, "tool", "ok", "x") for c, k, t in rows],
+                                   "call_id string, kind string, ts timestamp, tool string, status string, text string")
+    got = {r.call_id: r.duration_ms for r in streams.pair_events(events).collect()}
+    assert got == {"a": 2 * 86_400_000, "b": None}
