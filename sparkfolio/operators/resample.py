@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.ordering import ordered_positions, with_halo
-from ..functions.random import uniform_block, with_draw, with_uniform
+from ..functions.random import uniform_block, with_uniform
 
 TRADE_ORDER = ["exit_date", "entry_date", "symbol", "profit"]
 
@@ -47,33 +47,56 @@ def block_sums(trades: DataFrame) -> DataFrame:
         add(F.slice("_ahead", F.lit(1), F.when(rest == 0, F.col("b")).otherwise(rest).cast("int"))).alias("last_sum"))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _drawn_sums(full: pd.Series, last: pd.Series, part_begin: pd.Series, n: pd.Series, blocks: pd.Series, per_draw: pd.Series,
+                before: pd.Series, seed: pd.Series, first_draw: pd.Series, draws: pd.Series, first: pd.Series,
+                count: pd.Series) -> pd.Series:
+    """Per draw, the sum of the picked blocks that lie in one part of a fold's block sums."""
+    answers = []
+    for whole, short, start, size, total, stride, skip, s, d0, many, b0, c in zip(
+            full, last, part_begin, n, blocks, per_draw, before, seed, first_draw, draws, first, count):
+        whole, short, out = np.asarray(whole, dtype=float), np.asarray(short, dtype=float), np.zeros(many)
+        for d in range(many):
+            at = (uniform_block(int(s), (d0 + d) * stride + skip + b0, c) * size).astype(np.int64) - start
+            inside = (at >= 0) & (at < len(whole))
+            if b0 + c == total:  # the last block may be shorter
+                if inside[-1]:
+                    out[d] = short[at[-1]]
+                inside[-1] = False
+            out[d] += whole[at[inside]].sum()
+        answers.append(out)
+    return pd.Series(answers)
+
+
 def bootstrap_fold_sums(trades: DataFrame, draws: int = K.BOOTSTRAP_DRAWS, seed: int = K.BOOTSTRAP_SEED,
-                        chunk: int = 4096) -> DataFrame:
+                        chunk: int = 4096, part: int = 65_536, draw_chunk: int = 125) -> DataFrame:
     """Resampled profit per (strategy, draw, fold).
 
-    Draw numbers follow the sequential stream: draw, then fold by name, then block.  Rows are spread
-    by (strategy, draw, chunk of blocks) before they multiply, and sums are partial before the shuffle.
+    Draw numbers follow the sequential stream: draw, then fold by name, then block.  Block sums travel in parts
+    of ``part`` positions; a task draws ``chunk`` blocks of some draws, gathers those that lie in its part and
+    leaves one sum per draw, so picks are never rows.
     """
     sums = block_sums(trades)
-    shape = sums.groupBy("strategy", "fold").agg(F.max("n").alias("n"), F.max("b").alias("b")).withColumn(
-        "blocks", F.ceil(F.col("n") / F.col("b")))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "full_sum", "last_sum")))
+    parts = sums.withColumn("_part", F.floor(F.col("pos") / part)).groupBy("strategy", "fold", "_part").agg(
+        ordered.alias("rows"), F.max("n").alias("n"), F.max("b").alias("b")).select(
+        "strategy", "fold", "_part", "n", F.ceil(F.col("n") / F.col("b")).alias("blocks"),
+        F.transform("rows", lambda x: x["full_sum"]).alias("full"), F.transform("rows", lambda x: x["last_sum"]).alias("last"))
+    shape = trades.groupBy("strategy", "fold").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_b", F.greatest(F.lit(1).cast("bigint"), F.least(F.lit(K.BOOTSTRAP_BLOCK).cast("bigint"), F.floor(F.col("_n") / 2)))).withColumn(
+        "_blocks", F.ceil(F.col("_n") / F.col("_b")))
     folds = Window.partitionBy("strategy")
     before = folds.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
-    shape = shape.withColumn("_per_draw", F.sum("blocks").over(folds)).withColumn(
-        "_before", F.coalesce(F.sum("blocks").over(before), F.lit(0)))
-    spread = shape.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("blocks") - 1) / chunk)))
-    ).repartition("strategy", "fold", "draw", "_chunk")
-    first = F.col("_chunk") * chunk
-    blocks = spread.withColumn("block", F.explode(F.sequence(first, F.least(first + chunk, F.col("blocks")) - 1)))
-    k = F.col("draw") * F.col("_per_draw") + F.col("_before") + F.col("block")
-    picks = with_draw(blocks, F.lit(seed), k, F.col("n")).select(
-        "strategy", "fold", "draw", (F.col("block") == F.col("blocks") - 1).alias("_last"), "pos")
-    # The exploded side looks small to the planner; the merge hint keeps it from being broadcast.
-    drawn = picks.join(sums.select("strategy", "fold", "pos", "full_sum", "last_sum").hint("merge"),
-                       ["strategy", "fold", "pos"])
-    return drawn.groupBy("strategy", "draw", "fold").agg(
-        F.sum(F.when(F.col("_last"), F.col("last_sum")).otherwise(F.col("full_sum"))).alias("fold_sum"))
+    shape = shape.withColumn("_per_draw", F.sum("_blocks").over(folds)).withColumn(
+        "_before", F.coalesce(F.sum("_blocks").over(before), F.lit(0))).select("strategy", "fold", "_per_draw", "_before")
+    jobs = (parts.join(shape, ["strategy", "fold"])
+            .withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(draw_chunk))))
+            .withColumn("_first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1, F.lit(chunk).cast("bigint"))))
+            .repartition("strategy", "fold", "_part", "_draw", "_first"))
+    drawn = jobs.select("strategy", "fold", "_draw", F.posexplode(_drawn_sums(
+        "full", "last", F.col("_part") * part, "n", "blocks", "_per_draw", "_before", F.lit(seed), "_draw",
+        F.least(F.lit(draw_chunk), F.lit(draws) - F.col("_draw")), "_first", F.least(F.lit(chunk), F.col("blocks") - F.col("_first")))).alias("_i", "s"))
+    return drawn.groupBy("strategy", (F.col("_draw") + F.col("_i")).alias("draw"), "fold").agg(F.sum("s").alias("fold_sum"))
 
 
 def block_bootstrap(trades: DataFrame, draws: int = K.BOOTSTRAP_DRAWS, quantile: float = K.BOOTSTRAP_QUANTILE,
