@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,11 @@ def sign_with_deadband(value: Column, deadband: float = 0.0) -> Column:
         .when(value < F.lit(-float(deadband)), F.lit(-1))
         .otherwise(F.lit(0))
     )
+
+
+def guard(rows: DataFrame, ok: Column, message: Column) -> DataFrame:
+    """``rows``, failing the job on the first row that isn't ok.
+
+    The check is a filter, so it also runs where later steps read few columns or only count.
+    """
+    return rows.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))

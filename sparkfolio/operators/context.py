@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.numbers import guard
 from ..functions.numbers import is_finite
 from ..functions.trading import predicted_return_pct
 
@@ -65,10 +66,17 @@ def forecast_exact_join(bars: DataFrame, forecasts: DataFrame, model: str,
 
 
 def forecast_coverage(forecasts: DataFrame, symbols: DataFrame, ranges: DataFrame, model: str,
-                      horizon: int = K.FEATURE_HORIZON, strict: bool = False) -> DataFrame:
-    """Forecast rows per symbol and range; an empty cell is an error when ``strict``."""
+                      horizon: int = K.FEATURE_HORIZON, strict: bool = False, campaign: DataFrame | None = None) -> DataFrame:
+    """Forecast rows per symbol and range; an empty cell is an error when ``strict``.
+
+    With the ranges of a ``campaign``, a range outside of them is an error.
+    """
     from .folds import assign_fold, fold_list
 
+    if campaign is not None:
+        ranges = guard(ranges_inside(ranges, campaign), F.col("inside"),
+                       F.concat(F.lit("outside the campaign: "), F.col("fold"))).drop("inside")
+
     counts = assign_fold(
         forecasts.where((F.col("model") == model) & (F.col("horizon") == horizon)).select("symbol", "origin"),
         ranges, "origin").groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("n"))
@@ -77,9 +85,8 @@ def forecast_coverage(forecasts: DataFrame, symbols: DataFrame, ranges: DataFram
     rows = F.coalesce("n", F.lit(0))
     covered = cells.join(counts, ["symbol", "fold"], "left").select("symbol", "fold", rows.alias("forecasts"))
     if strict:
-        empty = F.raise_error(F.concat(F.lit("no forecasts for "), F.col("symbol"), F.lit(" in "), F.col("fold")))
-        covered = covered.withColumn(
-            "forecasts", F.when(F.col("forecasts") > 0, F.col("forecasts")).otherwise(empty.cast("bigint")))
+        empty = F.concat(F.lit("no forecasts for "), F.col("symbol"), F.lit(" in "), F.col("fold"))
+        covered = guard(covered, F.col("forecasts") > 0, empty)
     return covered
 
 

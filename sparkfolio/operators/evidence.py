@@ -112,20 +112,33 @@ def best_per_lineage(entries: DataFrame) -> DataFrame:
     return entries.groupBy("lineage").agg(F.min_by(F.struct("entry", "score"), key).alias("e")).select("lineage", "e.*")
 
 
-def pair_lineages(vectors: DataFrame, grid: int = 8) -> DataFrame:
+def pair_lineages(vectors: DataFrame, others: DataFrame | None = None, cell: int = 200) -> DataFrame:
     """Unordered pairs of strategies with the same fold signature, with both score vectors.
 
-    The pair table is the report itself, so its size is that of the answer.  The work is cut into a
-    grid: each strategy goes to one row and one column of cells, and a cell joins only its own two
-    slices.  One large signature is thus spread over grid x grid tasks, with no cross join.
+    With ``others`` only pairs of one strategy of each table.  The pair table is the report itself, so its
+    size is that of the answer.  A signature is cut into a grid of cells of about ``cell`` strategies a side;
+    each strategy goes to one row and one column of cells, and a cell joins only its own two slices, so one
+    large signature is spread over many tasks, with no cross join.
     """
-    slot = F.pmod(F.xxhash64("strategy"), F.lit(grid)).cast("int")
-    cells = F.sequence(F.lit(0), F.lit(grid - 1))
-    left = vectors.select("signature", F.col("strategy").alias("a"), F.col("scores").alias("a_scores"),
-                          slot.alias("_row"), F.explode(cells).alias("_col"))
-    right = vectors.select("signature", F.col("strategy").alias("b"), F.col("scores").alias("b_scores"),
-                           slot.alias("_col"), F.explode(cells).alias("_row"))
-    return left.join(right, ["signature", "_row", "_col"]).where(F.col("a") < F.col("b")).drop("_row", "_col")
+    both = vectors if others is None else vectors.unionByName(others)
+    sides = both.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(cell))).alias("_grid"))
+    cells = F.sequence(F.lit(0).cast("bigint"), F.col("_grid") - 1)
+    slot = F.pmod(F.xxhash64("strategy"), F.col("_grid"))
+
+    def side(rows: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        return rows.join(sides, "signature").select(
+            "signature", F.col("strategy").alias(name), F.col("scores").alias(f"{name}_scores"), slot.alias(own),
+            F.explode(cells).alias(other))
+
+    left, right = side(vectors, "a", "_row", "_col"), side(vectors if others is None else others, "b", "_col", "_row")
+    met = left.join(right, ["signature", "_row", "_col"]).drop("_row", "_col")
+    if others is None:
+        return met.where(F.col("a") < F.col("b"))
+    first = F.col("a") < F.col("b")
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    return met.where(F.col("a") != F.col("b")).select(
+        "signature", pick("a", "b", "a"), pick("a_scores", "b_scores", "a_scores"), pick("b", "a", "b"),
+        pick("b_scores", "a_scores", "b_scores"))
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -145,14 +158,13 @@ def fold_correlation(pairs: DataFrame) -> DataFrame:
 def trade_overlap(trades: DataFrame, pairs: DataFrame) -> DataFrame:
     """Shared trades and Jaccard index of each pair (a, b).
 
-    Repeats are removed first; partners then meet on the full trade key and are counted.  A key is
-    held at most once per strategy, and only asked-for pairs are kept.
+    Repeats are removed first.  A pair takes the trades of its first strategy to those of its second, so
+    the work is that of the asked-for pairs, however many strategies share a trade.
     """
     keys = trades.select("strategy", *TRADE_KEY).distinct()
     sizes = keys.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
-    left = keys.withColumnRenamed("strategy", "a")
-    right = keys.withColumnRenamed("strategy", "b")
-    shared = left.join(right, TRADE_KEY).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(
+    asked = pairs.select("a", "b").distinct().join(keys.withColumnRenamed("strategy", "a"), "a")
+    shared = asked.join(keys.withColumnRenamed("strategy", "b"), ["b", *TRADE_KEY]).groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("s"))
     counted = pairs.select("a", "b").join(shared, ["a", "b"], "left").join(
         sizes.select(F.col("strategy").alias("a"), F.col("n").alias("_na")), "a").join(

@@ -12,17 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.numbers import fixed
+from ..functions.numbers import fixed, guard
 
 MAX_FOLDS = 1000
 
 
-def fold_list(folds: DataFrame) -> DataFrame:
-    """One row holding array<struct<start, end, fold>> ordered by start; more than MAX_FOLDS raises."""
+def fold_list(folds: DataFrame, limit: int = MAX_FOLDS) -> DataFrame:
+    """One row holding array<struct<start, end, fold>> ordered by start; more than ``limit`` raises, so that
+    the row can be broadcast."""
     listed = folds.agg(F.sort_array(F.collect_list(F.struct("start", "end", "fold"))).alias("folds"))
-    return listed.withColumn(
-        "folds", F.when(F.size("folds") <= MAX_FOLDS, F.col("folds")).otherwise(
-            F.raise_error(F.lit(f"more than {MAX_FOLDS} folds")).cast("array<struct<start:date,end:date,fold:string>>")))
+    return guard(listed, F.size("folds") <= limit, F.lit(f"more than {limit} folds"))
 
 
 def assign_fold(rows: DataFrame, folds: DataFrame, date: str, strict: bool = False) -> DataFrame:
@@ -33,7 +32,7 @@ def assign_fold(rows: DataFrame, folds: DataFrame, date: str, strict: bool = Fal
     if not strict:
         return found.where(F.col("fold").isNotNull())
     problem = F.concat(F.lit("outside every fold: "), F.col(date).cast("string"))
-    return found.withColumn("fold", F.coalesce("fold", F.raise_error(problem).cast("string")))
+    return guard(found, F.col("fold").isNotNull(), problem)
 
 
 def fold_calendar(latest: DataFrame, fold_start: str, months: int, training_end: str,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.numbers import guard
 from ..functions.numbers import sign_with_deadband
 from .features import by_symbol
 
@@ -219,10 +220,9 @@ def forecast_completeness(forecasts: DataFrame, origins: DataFrame, models: list
         F.count_if("complete").alias("complete_windows"), F.count_if(~F.col("complete")).alias("broken"),
         F.coalesce(F.sum("rows"), F.lit(0)).alias("forecast_rows"))
     planned = origins.agg(F.count(F.lit(1)).alias("expected_windows"))
-    checked = F.when(F.col("broken") == 0, F.col("complete_windows")).otherwise(
-        F.raise_error(F.lit("incomplete windows; score them again first")).cast("bigint"))
-    return stored.join(F.broadcast(planned)).select(
-        "expected_windows", checked.alias("complete_windows"), "forecast_rows",
+    checked = guard(stored, F.col("broken") == 0, F.lit("incomplete windows; score them again first"))
+    return checked.join(F.broadcast(planned)).select(
+        "expected_windows", "complete_windows", "forecast_rows",
         F.when(F.col("complete_windows") == F.col("expected_windows"), "complete").otherwise("partial").alias("status"))
 
 

@@ -949,8 +949,9 @@ def redundant_pairs(t: Tables) -> DataFrame:
 def admit_candidate(t: Tables) -> DataFrame:
     prints = E.trade_fingerprint(t.trades).select(
         "strategy", F.sha2(F.concat(F.lit("rule-"), F.substring("strategy", -1, 1)), 256).alias("rule_hash"), "fingerprint")
-    redundant = E.redundant_pairs(_intervals(t), E.trade_overlap(t.trades, t.pairs))
-    archived = F.col("strategy") < "Brand#15"
+    archived, vectors = F.col("strategy") < "Brand#15", E.fold_vectors(t.fold_scores)
+    pairs = E.pair_lineages(vectors.where(~archived), vectors.where(archived))
+    redundant = E.redundant_pairs(Z.correlation_ci(E.fold_correlation(pairs)), E.trade_overlap(t.trades, pairs))
     return E.admit_candidate(prints.where(~archived), prints.where(archived), redundant)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,9 @@ def read_forecasts(spark: SparkSession, path: str, like: DataFrame) -> DataFrame
     """Stored forecasts, or none (with the columns of ``like``) before the first write."""
     try:
         return spark.read.schema(like.schema).parquet(path).select(*like.columns)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # a store that is there but can't be read isn't empty
+            raise
         return like.limit(0)
 
 
@@ -45,7 +49,7 @@ def store_batch(spark: SparkSession, path: str, batch: DataFrame, replace: bool
     touched = stored.join(batch.select("campaign").distinct(), "campaign", "left_semi")
     merged = merge_forecasts(touched, batch, True).select(*batch.columns)
     # The merge reads the folder it replaces, so it is written aside first.
-    aside = f"{path.rstrip('/')}_next"
-    merged.write.mode("overwrite").parquet(aside)
+    aside = f"{path.rstrip('/')}_next-{uuid.uuid4().hex}"
+    merged.write.parquet(aside)
     spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "campaign").parquet(path)

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..functions.numbers import guard
 from ..functions.trading import adjustment_factor, predicted_return_pct, price_problems
 
 
-def read_prices_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_prices_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """CSV files whose header has the eight price columns in any order; extra columns are ignored.
 
+    ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
     The result holds typed rows and a ``problems`` array (see ``require_valid``).
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=True,
+    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line,
                          ignoreLeadingWhiteSpace=False, enforceSchema=False)
     missing = [name for name in K.CSV_COLUMNS if name not in raw.columns]
     if missing:
@@ -36,9 +38,7 @@ def require_valid(rows: DataFrame) -> DataFrame:
     """Typed bars; any row with a problem fails the job, so nothing is half imported."""
     message = F.concat(F.lit("invalid "), F.concat_ws("/", "problems"), F.lit(" in row of "),
                        F.coalesce("symbol", F.lit("?")), F.lit(" "), F.coalesce("date", F.lit("?")))
-    checked = rows.withColumn(
-        "symbol", F.when(F.size("problems") == 0, F.col("symbol")).otherwise(F.raise_error(message).cast("string")))
-    return _to_bars(checked)
+    return _to_bars(guard(rows, F.size("problems") == 0, message))
 
 
 def valid_rows(rows: DataFrame) -> DataFrame:

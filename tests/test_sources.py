@@ -132,3 +132,21 @@ def test_a_table_of_calls_is_paired_without_limit(spark):
                                    "call_id string, kind string, ts timestamp, tool string, status string, text string")
     got = {r.call_id: r.duration_ms for r in streams.pair_events(events).collect()}
     assert got == {"a": 2 * 86_400_000, "b": None}
+
+
+def test_bad_rows_fail_whatever_is_read(spark):
+    rows = [("AAA", "2020-01-01", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0), ("AAA", "2020-01-02", 1.0, 1.0, 1.0, -5.0, 1.0, 1.0)]
+    frame = spark.createDataFrame(rows, "symbol string, date string, open double, high double, low double, close double, "
+                                        "adj_close double, volume double")
+    checked = prices.require_valid(prices.with_problems(frame))
+    for action in (lambda: checked.select("close").collect(), checked.count, checked.collect):
+        with pytest.raises(Exception, match="invalid"):
+            action()
+
+
+def test_a_broken_store_is_not_an_empty_one(spark, tmp_path):
+    like = spark.createDataFrame([("c", 1.0)], "campaign string, v double")
+    assert forecast_store.read_forecasts(spark, str(tmp_path / "none"), like).count() == 0
+    like.write.parquet(str(tmp_path / "store"))
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN|v2"):
+        forecast_store.read_forecasts(spark, str(tmp_path / "store"), like.withColumnRenamed("v", "v2")).select("missing").count()
