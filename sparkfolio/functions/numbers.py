@@ -41,6 +41,7 @@ def sign_with_deadband(value: Column, deadband: float = 0.0) -> Column:
 def guard(rows: DataFrame, ok: Column, message: Column) -> DataFrame:
     """``rows``, failing the job on the first row that isn't ok.
 
-    The check is a filter, so it also runs where later steps read few columns or only count.
+    The check is a filter, so it also runs where later steps read few columns or only count.  The row number in it keeps
+    the optimizer from moving it below earlier joins and filters, where it would see rows that those leave out.
     """
-    return rows.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+    return rows.where(F.when(ok, F.monotonically_increasing_id() >= 0).otherwise(F.raise_error(message).cast("boolean")))
