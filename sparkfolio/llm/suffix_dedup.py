@@ -286,22 +286,6 @@ ANCHOR = ["gram", "context", "doc", "first", "reach", "place"]
 ANCHOR_KIND = "gram long, context long, doc long, first long, reach int, place int"
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by gram: those whose gram occurs twice or more."""
-    held, sent = None, False  # the last row seen, and whether it has gone out
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        whole = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks()
-        gram = whole.column(0).to_numpy()
-        equal = gram[1:] == gram[:-1]
-        keep = np.concatenate(([False], equal)) | np.concatenate((equal, [False]))
-        if held is not None and sent:
-            keep[0] = False
-        held, sent = whole.slice(len(gram) - 1).to_batches()[0], bool(keep[-1])
-        yield from whole.filter(pa.array(keep)).to_batches()
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted contexts of each document."""
     for batch in small(batches, 64):
@@ -387,7 +371,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, most: int = 1_000) -> Dat
     Documents without any are left out; rows with equal doc are one document that occurs as often.
     """
     rows = docs.select("doc", "text").mapInArrow(_anchor_rows(length), ANCHOR_KIND)
-    found = staged(rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeated, ANCHOR_KIND), "anchors")
+    rows = staged(rows, "anchors")
+    # Counted before the shuffle, then joined: Spark can split the partition of a gram that a third of all texts hold.
+    twice = rows.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    found = staged(rows.join(twice, "gram", "left_semi"), "repeated")
     where = F.struct("doc", "first", "reach", "place")
     contexts = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(where).alias("where"))
     grams = contexts.groupBy("gram").agg(F.count("*").alias("contexts")).filter("contexts > 1")
