@@ -112,7 +112,7 @@ def test_pbo_of_a_dominant_candidate(spark):
 
 def test_correlation_and_interval(spark):
     df = vectors(spark, {"a": range(1, 11), "b": [2 * x + 1 for x in range(1, 11)], "c": [4] * 10})
-    got = {(r.a, r.b): r for r in resample.correlation_ci(evidence.fold_correlation(evidence.pair_lineages(df, grid=3))).collect()}
+    got = {(r.a, r.b): r for r in resample.correlation_ci(evidence.fold_correlation(evidence.pair_lineages(df, cell=1))).collect()}
     assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
     assert got["a", "b"].r == pytest.approx(1.0) and got["a", "b"].lower == pytest.approx(1.0)
     assert got["a", "c"].r is None and got["a", "c"].resamples == 0
@@ -378,3 +378,14 @@ def test_replicas_without_noise_equal_the_original(spark, monkeypatch):
 def test_parameter_grid_keeps_order(spark):
     got = resample.parameter_grid(spark, {"a": [1, 2, 3], "b": ["x", "y", "z"]}, budget=9).orderBy("point").collect()
     assert [(r.a, r.b) for r in got] == [(a, b) for a in (1, 2, 3) for b in "xyz"]
+
+
+def test_pairs_are_only_those_asked_for(spark):
+    all_ = vectors(spark, {"a": [1, 2, 3], "b": [2, 3, 1], "c": [3, 1, 2], "d": [1, 1, 2]})
+    old = F.col("strategy").isin("a", "d")
+    got = {(r.a, r.b) for r in evidence.pair_lineages(all_.where(~old), all_.where(old), cell=1).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")}
+    one = make_trades(spark, [("a", "f", "S1", 1.0)])
+    trades = one.unionByName(one.withColumn("strategy", F.lit("b"))).unionByName(one.withColumn("strategy", F.lit("c")))
+    overlap = evidence.trade_overlap(trades, spark.createDataFrame([("a", "b")], "a string, b string")).collect()
+    assert [(r.a, r.b, r.shared_trades, r.jaccard) for r in overlap] == [("a", "b", 1, 1.0)]
