@@ -18,6 +18,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,10 @@ END, UNKNOWN = 0, 1
 #: Token of the end of a text; no word holds a blank.
 END_TOKEN = b" "
 HEAVY = 200_000
-LANES = 768
+#: Lanes of a batch in scoring and in training, and tokens after which training cuts a text (scoring never does).
+LANES, WIDE, CUT = 512, 2_048, 1_024
+#: Most frequent tokens of a task whose text goes with their count, so that training looks words up by text.
+NAMED = 2_000
 
 
 @dataclass(frozen=True)
@@ -48,6 +52,17 @@ class Shape:
         return self.classes * self.members
 
 
+def exponentials(states: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of the logits, the logits and the sums of the former.
+
+    States lie within -1 and 1, so logits stay far from the range of float32; the clip makes sure of it.  Row sums are
+    products with ones, which is several times faster than a sum over a short axis.
+    """
+    logits = np.clip(states @ weight + bias, -60, 60)
+    e = np.exp(logits)
+    return e, logits, e @ np.ones((e.shape[1], 1), e.dtype)
+
+
 class Gru:
     """Parameters by name, each a float32 array."""
 
@@ -76,10 +91,7 @@ class Gru:
     def output(self, states: np.ndarray, words: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray | None, dict]:
         """Log-probabilities of the words, and gradients of their sum with respect to states and output parameters."""
         m = self.shape.members
-        logits = states @ self.p["c"] + self.p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
+        e, logits, total = exponentials(states, self.p["c"], self.p["cb"])
         kind, member = words // m, words % m
         at = np.arange(len(words))
         logp = logits[at, kind] - np.log(total[:, 0])
@@ -96,10 +108,7 @@ class Gru:
             if not len(rows):
                 continue
             s = states[rows]
-            logits = s @ self.p["w"][k] + self.p["wb"][k]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1, keepdims=True)
+            e, logits, total = exponentials(s, self.p["w"][k], self.p["wb"][k])
             own = np.arange(len(rows))
             logp[rows] += logits[own, member[rows]] - np.log(total[:, 0])
             if back:
@@ -176,9 +185,9 @@ def lanes(texts: list[np.ndarray], most: int = LANES) -> tuple[np.ndarray, np.nd
     return np.ascontiguousarray(words.T), np.ascontiguousarray(doc.T), np.ascontiguousarray(fresh.T)
 
 
-def windows(texts: list[np.ndarray], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+def windows(texts: list[np.ndarray], width: int, most: int = LANES) -> Iterator[tuple[np.ndarray, ...]]:
     """(previous word, word, document, start) of each window, only the lanes that still have words."""
-    words, doc, fresh = lanes(texts)
+    words, doc, fresh = lanes(texts, most)
     before = np.full_like(words, END)
     before[1:] = np.where(fresh[1:], END, words[:-1])
     before[before < 0] = END
@@ -206,7 +215,7 @@ def score(model: Gru, texts: list[np.ndarray], width: int = 64) -> np.ndarray:
 def train_on(model: Gru, texts: list[np.ndarray], width: int = 16, rate: float = 0.05) -> None:
     """One pass over the texts by truncated backpropagation."""
     state = None
-    for before, words, _, fresh in windows(texts, width):
+    for before, words, _, fresh in windows([t[i:i + CUT] for t in texts for i in range(0, len(t), CUT)], width, WIDE):
         n = words.shape[1]
         state = np.zeros((n, model.shape.hidden), np.float32) if state is None else state[:n]
         grads, logp, state = model.gradients(before, words, fresh, state)
@@ -215,31 +224,44 @@ def train_on(model: Gru, texts: list[np.ndarray], width: int = 16, rate: float =
 
 
 class Ids:
-    """Model ids and counts of tokens: heavy ones from the broadcast table, the others unknown here."""
-
-    def __init__(self, heavy: np.ndarray, counts: np.ndarray, words: int):
-        order = np.argsort(heavy)
-        self.heavy, self.counts = heavy[order], counts[order]
-        ids = np.full(len(heavy), UNKNOWN, np.int32)
-        ends = heavy == signed(END_TOKEN)
-        ids[np.flatnonzero(~ends)[:words - 2]] = np.arange(2, min(words, 2 + int((~ends).sum())))
-        ids[ends] = END
-        self.ids = ids[order]
+    """Model ids and counts of tokens: heavy ones from the broadcast table, the others unknown here.
+
+    ``heavy``: hash, count and, for words of the model, the word; most frequent first.
+    """
+
+    def __init__(self, heavy: list[tuple[int, int, bytes | None]], words: int):
+        named = [w for _, _, w in heavy if w is not None and w != END_TOKEN][:words - 2]
+        self.word = {w: i for i, w in enumerate(named, 2)} | {END_TOKEN: END}
+        hashed, counts = np.array([h for h, _, _ in heavy], np.int64), np.array([n for _, n, _ in heavy], np.float64)
+        order = np.argsort(hashed)
+        self.heavy, self.counts = hashed[order], counts[order]
+        ids = [END if h == signed(END_TOKEN) else UNKNOWN if w is None else self.word.get(w, UNKNOWN) for h, _, w in heavy]
+        self.ids = np.array(ids, np.int32)[order]
         self.code: dict[bytes, int] = {}
 
-    def codes(self, tokens: list[bytes]) -> np.ndarray:
-        """Position of each token in the heavy table, -1 for others."""
-        code, get = self.code, self.code.get
-        out = [get(t) for t in tokens]
-        if None in out:
-            if len(code) > 400_000:
-                code.clear()
-            for i, c in enumerate(out):
-                if c is None:
-                    h = signed(tokens[i])
-                    at = int(np.searchsorted(self.heavy, h))
-                    out[i] = code[tokens[i]] = at if at < len(self.heavy) and self.heavy[at] == h else -1
-        return np.array(out, np.int64)
+    def words(self, tokens: list[bytes]) -> np.ndarray:
+        """Model ids of tokens."""
+        return np.fromiter(map(self.word.get, tokens, repeat(UNKNOWN)), np.int32, len(tokens))
+
+    def codes(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Position of each token in the heavy table, -1 for others; and the hashes of those others, in order.
+
+        Found tokens are remembered, HEAVY at most.
+        """
+        out = np.fromiter(map(self.code.get, tokens, repeat(-1)), np.int64, len(tokens))
+        new = np.flatnonzero(out < 0)
+        h = hashes([tokens[i] for i in new])
+        if len(new) and len(self.heavy):
+            at = np.minimum(np.searchsorted(self.heavy, h), len(self.heavy) - 1)
+            hit = self.heavy[at] == h
+            out[new[hit]] = at[hit]
+            self.code.update(zip((tokens[i] for i in new[hit]), at[hit].tolist(), strict=True))
+            h = h[~hit]
+        return out, h
+
+
+def hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens)).view(np.int64)
 
 
 def signed(token: bytes) -> int:
@@ -253,14 +275,19 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def count_tokens(training: DataFrame) -> DataFrame:
-    """(token, n): counts of token hashes over all whole training texts, summed within tasks first."""
+    """(token, n, word): counts of token hashes over all whole training texts, summed within tasks first.
+
+    ``word`` is null for tokens that are nowhere among a task's NAMED most frequent ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
+            named = {w for w, _ in count.most_common(NAMED)}
             return pa.RecordBatch.from_arrays(
-                [pa.array([signed(t) for t in count], pa.int64()), pa.array(list(count.values()), pa.int64())], names=["token", "n"])
+                [pa.array(hashes(list(count))), pa.array(list(count.values()), pa.int64()),
+                 pa.array([w if w in named else None for w in count], pa.binary())], names=["token", "n", "word"])
 
         for batch in batches:
             for at in range(batch.num_rows):
@@ -270,10 +297,11 @@ def count_tokens(training: DataFrame) -> DataFrame:
                     count.clear()
         yield flush()
 
-    return training.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return training.select("text").mapInArrow(run, "token long, n long, word binary").groupBy("token").agg(
+        F.sum("n").alias("n"), F.max("word").alias("word"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 12_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of batches with about ``most`` bytes of text, so that memory is bounded however long texts are."""
     for batch in batches:
         sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)))
@@ -284,28 +312,26 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 16_000_00
                 yield batch.slice(a, b - a)
 
 
-def fit(training: DataFrame, ids: tuple[np.ndarray, np.ndarray], shape: Shape = Shape(), rounds: int = 3, seed: int = 5) -> Gru:
+def fit(training: DataFrame, heavy: list[tuple[int, int, bytes | None]], shape: Shape = Shape(), rounds: int = 3, seed: int = 5) -> Gru:
     """A model trained on every whole training text (columns doc_key, text): one pass, in rounds of parallel training.
 
     A round takes the texts whose hash falls to it.  Parameters (tens of thousands of floats, whatever the input) are
-    summed in a tree of Spark stages; the driver receives 64 sums at most.
+    summed in a tree of Spark stages; the driver receives 16 sums at most.
     """
     spark = training.sparkSession
-    table = Ids(*ids, shape.words)
-    counts = np.zeros(shape.words)
+    table = Ids(heavy, shape.words)
+    vocabulary, counts = table.word, np.zeros(shape.words)
     np.add.at(counts, table.ids, table.counts)
     model = Gru(shape, counts, seed)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((model.p, model.square))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, known, seen = Gru(shape, np.ones(shape.words)), Ids(*ids, shape.words), 0  # noqa: B023
+            own, known, seen = Gru(shape, np.ones(shape.words)), Ids([], shape.words), 0
+            known.word = vocabulary
             own.p, own.square = ({k: v.copy() for k, v in part.items()} for part in sent.value)  # noqa: B023
             for batch in pieces(batches, 0):
-                texts = []
-                for text in batch.column(0).to_pylist():
-                    code = known.codes(tokens_of(text))
-                    texts.append(np.where(code >= 0, known.ids[code] if len(known.ids) else UNKNOWN, UNKNOWN).astype(np.int32))
+                texts = [known.words(tokens_of(text)) for text in batch.column(0).to_pylist()]
                 train_on(own, texts)
                 seen += sum(map(len, texts))
             if seen:
@@ -315,8 +341,8 @@ def fit(training: DataFrame, ids: tuple[np.ndarray, np.ndarray], shape: Shape =
         chosen = training.filter(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(rounds)) == turn).select("text")
         summed = staged(chosen.mapInArrow(run, "sums array<double>, n double"), "parameters")
         rows = summed.count()
-        while rows > 64:
-            summed = staged(summed.repartition(math.ceil(rows / 32)).mapInArrow(_total, summed.schema), "parameters")
+        while rows > 16:
+            summed = staged(summed.repartition(math.ceil(rows / 16)).mapInArrow(_total, summed.schema), "parameters")
             rows = summed.count()
         got = summed.collect()
         if got:
@@ -354,34 +380,34 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     counts = staged(count_tokens(training), "tokens")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     rows = counts.filter(F.col("n") >= max(2, total / HEAVY)).orderBy(F.desc("n"), "token").collect()  # HEAVY rows at most
-    ids = np.array([r.token for r in rows], np.int64), np.array([r.n for r in rows], np.float64)
-    model = fit(training, ids, shape, rounds)
-    table = Ids(*ids, shape.words)
+    heavy = [(r.token, r.n, None if r.word is None else bytes(r.word)) for r in rows]
+    model = fit(training, heavy, shape, rounds)
+    table = Ids(heavy, shape.words)
     named = table.ids != UNKNOWN
     whole = math.log10(total + 0.5 * (distinct + 1))
     others = math.log10(total - float(table.counts[named].sum()) + 0.5 * (distinct - int(named.sum()) + 1))
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((ids, model.p))
+    sent = spark.sparkContext.broadcast((table, model.p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (heavy, heavy_counts), parameters = sent.value
-        known, own = Ids(heavy, heavy_counts, shape.words), Gru(shape, np.ones(shape.words))
+        known, parameters = sent.value
+        own = Gru(shape, np.ones(shape.words))
         own.p = parameters
         log_count = np.log10(known.counts + 0.5)
         for batch in pieces(batches, 3):
             texts, rows, rare_doc, rare = [], [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 tokens = tokens_of(text)
-                code = known.codes(tokens)
+                code, left = known.codes(tokens)
                 found = code >= 0
                 word = np.where(found, known.ids[code] if len(known.ids) else UNKNOWN, UNKNOWN).astype(np.int32)
                 texts.append(word)
                 at = code[found]
                 unknown = log_count[at[known.ids[at] == UNKNOWN]] if len(at) else np.empty(0)
                 rows.append((len(tokens), len(at), float(log_count[at].sum()) - len(at) * whole, float(unknown.sum()) - len(unknown) * others))
-                left = [signed(tokens[k]) for k in np.flatnonzero(~found)]
-                rare += left
-                rare_doc += [i] * len(left)
+                if len(left):
+                    rare.append(left)
+                    rare_doc.append(np.full(len(left), i))
             score_of = score(own, texts) / math.log(10)
             key_rows = batch.column(0).to_numpy()
             n, base, count = len(texts), np.array([r[2] for r in rows]), np.array([r[:2] for r in rows], np.int64)
@@ -390,7 +416,7 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(key_rows * -7046029254386353131), pa.array(np.zeros(n, np.int64)),
                  pa.array(count[:, 0]), pa.array(count[:, 1]), pa.array(base), pa.array(own_score)], names=NAMES)
             if rare:
-                pairs = np.array(rare, np.int64), np.array(rare_doc, np.int64)
+                pairs = np.concatenate(rare), np.concatenate(rare_doc)
                 order = np.lexsort(pairs)
                 token, doc = pairs[0][order], pairs[1][order]
                 starts = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1]))))
@@ -405,7 +431,7 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     # A row of a document has a token of its own and no occurrences, so it passes the join without meeting others.
     flowing = docs.select(F.monotonically_increasing_id().alias("row"), "key", "held_out", "text").mapInArrow(
         run, f"row long, key {kind}, held_out boolean, token long, times long, n_tokens long, n_known long, base double, score double")
-    joined = flowing.join(counts, "token", "left")
+    joined = flowing.join(counts.select("token", "n"), "token", "left")
     times, rare_log = F.col("times"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5))
     summed = joined.groupBy("row").agg(
         F.max("key").alias("key"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("_known"),
