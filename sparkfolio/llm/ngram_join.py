@@ -12,9 +12,14 @@ parts may leave them out and still shares a strong signature with every similar
 signatures, which meet those of other such sets only.  The choice of frequent features changes the work, never the result.
 
 Groups of one signature are not expanded into pairs.  A sorted stream gives each member the group's first node; those
-links are verified on the full sets and merged into classes.  Only groups that still hold several classes go on: each
-member is verified against a few other hubs of its group, and at last all pairs of nodes of different classes are.  So
-every pair that could join two classes has been verified.
+links are verified on the full sets and merged into classes.  Only groups that still hold several classes go on: their
+members are verified against other hubs, a different one in each group that a node is in, and at last pairs of nodes of
+different classes are.  So every pair that could join two classes has been verified.
+
+Before full sets are fetched, sketches are compared: the parity of the number of features in each of ``64 * WORDS``
+buckets.  A feature that only one of two sets holds changes one bit, so sets differ in at least as many features as their
+sketches do in bits; a pair whose sketches differ too much can't be similar, and the join that meets the members of a
+group drops it without making a row.
 """
 
 from __future__ import annotations
@@ -29,16 +34,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfolio.llm.bpe import small
 from sparkfolio.llm.common import components, staged
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: Largest number of frequent features (bounds what each task holds), hubs of a group in a round, and rounds before all
-#: remaining pairs.
-FREQUENT, HUBS, HUB_ROUNDS = 50_000, 8, 4
+#: Largest number of frequent features (bounds what each task holds), rounds of other hubs before the remaining pairs,
+#: and 64-bit words of a sketch.
+FREQUENT, HUB_ROUNDS, WORDS = 50_000, 2, 16
+SKETCH = [f"s{i}" for i in range(WORDS)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -219,25 +225,37 @@ def _labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFram
         marked = members.select("sig", "node").join(labels, "node")
         several = marked.groupBy("sig").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l <> _h").select("sig")
         members = staged(marked.join(several, "sig", "left_semi"), "open")
-        each = members.groupBy("sig", "label").agg(F.count("*").cast("double").alias("c")).groupBy("sig").agg(
-            F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).agg(
-            F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), F.sum("s").alias("rows")).first()
-        if not each.rows:
+        if members.isEmpty():
             return labels
-        last = turn == HUB_ROUNDS or each.pairs <= HUBS * each.rows
+        last = turn == HUB_ROUNDS
         if last:
-            one, two = members.alias("x"), members.alias("y")
-            pairs = one.join(two, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label")))
-            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+            known = members.join(sets.select("node", "n", *SKETCH), "node")
+            one, two = (known.select("sig", *[F.col(c).alias(f"{side}{c}") for c in ("node", "label", "n", *SKETCH)]) for side in "ab")
+            pairs = one.join(two, (one.sig == two.sig) & (F.col("alabel") < F.col("blabel")) & _close(percent))
+            pairs = pairs.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
         else:
-            hubs = members.groupBy("sig").agg(F.array_distinct(F.array(*[
-                F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn * HUBS + i))) for i in range(HUBS)])).alias("hubs"))
-            pairs = members.join(hubs, "sig").select("node", "label", F.explode("hubs").alias("hub")).filter(
-                F.col("label") != F.col("hub.label")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+            hubs = members.groupBy("sig").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "sig", F.lit(turn))).alias("hub"))
+            pairs = members.join(hubs, "sig").filter(F.col("label") != F.col("hub.label")).select(
+                F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         fresh = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
         tried, turn = tried.union(fresh), turn + 1
 
 
+def _close(percent: int) -> Column:
+    """Whether sets a and b can be similar, by their sizes an, bn and sketches as0, bs0 and so on."""
+    differ = F.lit(0)
+    for c in SKETCH:
+        differ = differ + F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}")))
+    return ((100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
+            & ((100 + percent) * differ <= (100 - percent) * (F.col("an") + F.col("bn"))))
+
+
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parity of the number of features in each bucket, as 64-bit words."""
+    odd = np.bincount((mixed(grams ^ A) >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (sig, node): (sig, first node of the group, node) for the others of each group, once each."""
     last_sig = last_node = hub = None
@@ -258,24 +276,28 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, n, grams) of the wanted nodes, from the text of one document of each."""
+    """(node, n, grams, sketch) of the wanted nodes, from the text of one document of each."""
     reps = nodes.join(wanted, "node", "left_semi").select("node", "n", F.col("rep.text_hash").alias("_h"), F.col("rep.key").alias("_key"))
     texts = (docs.withColumn("_h", F.xxhash64("text")).join(reps, "_h").filter(F.col("key").eqNullSafe(F.col("_key")))
              .select("node", "n", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            grams = [shingles(x, n).view(np.int64) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grams, pa.list_(pa.int64()))], names=["node", "n", "grams"])
+            grams = [shingles(x, n) for x in batch.column(2).to_pylist()]
+            sketches = np.stack([sketch(g) for g in grams], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64())), *map(pa.array, sketches)],
+                names=["node", "n", "grams", *SKETCH])
 
-    return texts.mapInArrow(run, "node long, n long, grams array<long>").dropDuplicates(["node"])
+    kinds = ", ".join(f"{c} long" for c in SKETCH)
+    return texts.mapInArrow(run, f"node long, n long, grams array<long>, {kinds}").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, per_task: int = 500) -> DataFrame:
     """The pairs (a, b) whose full sets are similar.  A node in many pairs (a hub) is copied, so its pairs spread."""
-    sizes = sets.select("node", "n")
-    pairs = (pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-             .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}{c}") for c in ("n", *SKETCH)]), side)
+    pairs = staged(pairs.filter(_close(percent)).select("a", "b", F.col("an").alias("na"), F.col("bn").alias("nb")), "close")
     # The node with more pairs is fetched last, in copies.
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(per_task))).alias("copies"))
     dealt = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")))

@@ -73,6 +73,8 @@ def test_similar_sets_share_a_signature():
             other = np.unique(np.concatenate([one[gone * int(rng.integers(0, 2)) // 8:], rng.integers(0, 2**63, int(rng.integers(0, len(one) // 5 + 1))).astype(np.uint64)]))
             both = len(np.intersect1d(one, other))
             if 100 * both >= percent * (len(one) + len(other) - both) and len(one) != both:
+                bits = sum(int(x).bit_count() for x in (j.sketch(one) ^ j.sketch(other)).view(np.uint64))
+                assert bits <= len(one) + len(other) - 2 * both
                 assert np.intersect1d(j.signatures(one, percent, frequent), j.signatures(other, percent, frequent)).size
 
 
