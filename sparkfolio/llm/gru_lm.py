@@ -1,14 +1,15 @@
 """LM scoring with a gated recurrent network in numpy.
 
 Output words are factored: P(word) = P(class) * P(word | class), equal classes by frequency rank.  The vocabulary is
-the most frequent training tokens; any other token is the unknown word times its smoothed share among those others, so
-each text has a probability.  Training is truncated backpropagation, one pass over all training texts in a few rounds:
-in a round every task starts from the shared parameters, trains on its own texts, and the results are averaged in a
-tree.  Scoring runs each document whole: lanes hold documents one after another, state is carried from window to window
+the most frequent training tokens and grows with the input: classes, and words of a class, are each the cube root of
+the distinct training tokens (16 at least).  Any other token is the unknown word times its smoothed share among those
+others, so each text has a probability.  Training is truncated backpropagation, one pass over all training texts in a few rounds:
+in a round every task starts from the shared parameters, trains on its own texts, and the results are averaged
+by parts of the parameters.  Scoring runs each document whole: lanes hold documents one after another, state is carried from window to window
 and reset where a document starts.
 
-Token counts are a distributed aggregation over all training texts.  Tokens with at least 1 / HEAVY of all occurrences
-(so HEAVY at most) are broadcast; the rest meets its counts in a join, where no key is hot.
+Token counts are a distributed aggregation over all training texts.  The network's words and all tokens with
+at least 1 / HEAVY of all occurrences are broadcast; the rest meets its counts in a join, where no key is hot.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,8 @@ END_TOKEN = b" "
 HEAVY = 200_000
 #: Lanes of a batch in scoring and in training, and tokens after which training cuts a text (scoring never does).
 LANES, WIDE, CUT = 512, 2_048, 1_024
-#: Most frequent tokens of a task whose text goes with their count, so that training looks words up by text.
-NAMED = 2_000
+#: Parameters of a part, as training sums them; rows of states whose classes are computed at once.
+PART, ROWS = 65_536, 4_096
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,12 @@ class Shape:
     def words(self) -> int:
         return self.classes * self.members
 
+    @staticmethod
+    def of(distinct: int, hidden: int = 16) -> Shape:
+        """Sizes for so many distinct training tokens."""
+        side = max(16, math.ceil(round(distinct ** (1 / 3), 9)))
+        return Shape(hidden, side, side)
+
 
 def exponentials(states: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """exp of the logits, the logits and the sums of the former.
@@ -91,31 +97,35 @@ class Gru:
     def output(self, states: np.ndarray, words: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray | None, dict]:
         """Log-probabilities of the words, and gradients of their sum with respect to states and output parameters."""
         m = self.shape.members
-        e, logits, total = exponentials(states, self.p["c"], self.p["cb"])
         kind, member = words // m, words % m
-        at = np.arange(len(words))
-        logp = logits[at, kind] - np.log(total[:, 0])
-        grads, dstates = {}, None
+        logp, grads, dstates = np.empty(len(words), states.dtype), {}, None
         if back:
-            d = -e / total
-            d[at, kind] += 1
-            grads = {"c": states.T @ d, "cb": d.sum(0), "w": np.zeros_like(self.p["w"]), "wb": np.zeros_like(self.p["wb"])}
-            dstates = d @ self.p["c"].T
+            grads = {k: np.zeros_like(self.p[k]) for k in ("c", "cb", "w", "wb")}
+            dstates = np.zeros_like(states)
+        for a in range(0, len(words), ROWS):
+            s, at = states[a:a + ROWS], np.arange(min(ROWS, len(words) - a))
+            e, logits, total = exponentials(s, self.p["c"], self.p["cb"])
+            logp[a:a + ROWS] = logits[at, kind[a:a + ROWS]] - np.log(total[:, 0])
+            if back:
+                d = -e / total
+                d[at, kind[a:a + ROWS]] += 1
+                grads["c"] += s.T @ d
+                grads["cb"] += d.sum(0)
+                dstates[a:a + ROWS] = d @ self.p["c"].T
         order = np.argsort(kind, kind="stable")
         bounds = np.searchsorted(kind[order], np.arange(self.shape.classes + 1))
         for k in range(self.shape.classes):
-            rows = order[bounds[k]:bounds[k + 1]]
-            if not len(rows):
-                continue
-            s = states[rows]
-            e, logits, total = exponentials(s, self.p["w"][k], self.p["wb"][k])
-            own = np.arange(len(rows))
-            logp[rows] += logits[own, member[rows]] - np.log(total[:, 0])
-            if back:
-                d = -e / total
-                d[own, member[rows]] += 1
-                grads["w"][k], grads["wb"][k] = s.T @ d, d.sum(0)
-                dstates[rows] += d @ self.p["w"][k].T
+            for a in range(bounds[k], bounds[k + 1], ROWS):
+                rows = order[a:min(a + ROWS, bounds[k + 1])]
+                s, own = states[rows], np.arange(len(rows))
+                e, logits, total = exponentials(s, self.p["w"][k], self.p["wb"][k])
+                logp[rows] += logits[own, member[rows]] - np.log(total[:, 0])
+                if back:
+                    d = -e / total
+                    d[own, member[rows]] += 1
+                    grads["w"][k] += s.T @ d
+                    grads["wb"][k] += d.sum(0)
+                    dstates[rows] += d @ self.p["w"][k].T
         return logp, dstates, grads
 
     def gradients(self, before: np.ndarray, words: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -152,11 +162,12 @@ class Gru:
         grads["x"][ids] = np.add.reduceat(np.concatenate(inputs)[order], starts, axis=0)
         return grads, logp, state
 
-    def learn(self, grads: dict, rate: float) -> None:
-        """A step up the log-likelihood, each parameter by its own past gradients."""
+    def learn(self, grads: dict, rate: float, ids: np.ndarray) -> None:
+        """A step up the log-likelihood, each parameter by its own past gradients; of inputs only the words ``ids``."""
         for k, g in grads.items():
-            self.square[k] += g * g
-            self.p[k] += (rate * g / np.sqrt(self.square[k])).astype(np.float32)
+            at = ids if k == "x" else slice(None)
+            self.square[k][at] += g * g
+            self.p[k][at] += (rate * g / np.sqrt(self.square[k][at])).astype(np.float32)
 
 
 def lanes(texts: list[np.ndarray], most: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,41 +225,44 @@ def score(model: Gru, texts: list[np.ndarray], width: int = 64) -> np.ndarray:
 
 def train_on(model: Gru, texts: list[np.ndarray], width: int = 16, rate: float = 0.05) -> None:
     """One pass over the texts by truncated backpropagation."""
-    state = None
+    state, full = None, 1
     for before, words, _, fresh in windows([t[i:i + CUT] for t in texts for i in range(0, len(t), CUT)], width, WIDE):
         n = words.shape[1]
         state = np.zeros((n, model.shape.hidden), np.float32) if state is None else state[:n]
         grads, logp, state = model.gradients(before, words, fresh, state)
-        scale = np.float32(64.0 / max(len(logp), 1))
-        model.learn({k: np.clip(g * scale, -5, 5) for k, g in grads.items()}, rate)
+        full = max(full, len(logp), 1)
+        scale = np.float32(64.0 / full)  # so that the last windows, of few lanes, don't weigh as much as full ones
+        ids = np.unique(before)
+        grads["x"] = grads["x"][ids]
+        model.learn({k: np.clip(g * scale, -5, 5) for k, g in grads.items()}, rate, ids)
 
 
 class Ids:
-    """Model ids and counts of tokens: heavy ones from the broadcast table, the others unknown here.
+    """Model ids and counts of tokens: those of the broadcast table, the others unknown here.
 
-    ``heavy``: hash, count and, for words of the model, the word; most frequent first.
+    ``tokens`` and ``counts`` of the table, most frequent first; the first ones are the words of the model.
     """
 
-    def __init__(self, heavy: list[tuple[int, int, bytes | None]], words: int):
-        named = [w for _, _, w in heavy if w is not None and w != END_TOKEN][:words - 2]
-        self.word = {w: i for i, w in enumerate(named, 2)} | {END_TOKEN: END}
-        hashed, counts = np.array([h for h, _, _ in heavy], np.int64), np.array([n for _, n, _ in heavy], np.float64)
-        order = np.argsort(hashed)
-        self.heavy, self.counts = hashed[order], counts[order]
-        ids = [END if h == signed(END_TOKEN) else UNKNOWN if w is None else self.word.get(w, UNKNOWN) for h, _, w in heavy]
-        self.ids = np.array(ids, np.int32)[order]
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, words: int):
+        end = tokens == signed(END_TOKEN)
+        place = np.cumsum(~end) + 1
+        ids = np.where(end, END, np.where(place < words, place, UNKNOWN)).astype(np.int32)
+        order = np.argsort(tokens)
+        self.heavy, self.counts, self.ids = tokens[order], counts[order].astype(np.float64), ids[order]
         self.code: dict[bytes, int] = {}
 
     def words(self, tokens: list[bytes]) -> np.ndarray:
         """Model ids of tokens."""
-        return np.fromiter(map(self.word.get, tokens, repeat(UNKNOWN)), np.int32, len(tokens))
+        code, _ = self.codes(tokens)
+        return np.where(code >= 0, self.ids[code] if len(self.ids) else UNKNOWN, UNKNOWN).astype(np.int32)
 
     def codes(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Position of each token in the heavy table, -1 for others; and the hashes of those others, in order.
 
-        Found tokens are remembered, HEAVY at most.
+        Found tokens are remembered, as many as the table has at most.
         """
-        out = np.fromiter(map(self.code.get, tokens, repeat(-1)), np.int64, len(tokens))
+        get = self.code.get
+        out = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
         new = np.flatnonzero(out < 0)
         h = hashes([tokens[i] for i in new])
         if len(new) and len(self.heavy):
@@ -275,19 +289,13 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def count_tokens(training: DataFrame) -> DataFrame:
-    """(token, n, word): counts of token hashes over all whole training texts, summed within tasks first.
-
-    ``word`` is null for tokens that are nowhere among a task's NAMED most frequent ones.
-    """
+    """(token, n): counts of token hashes over all whole training texts, summed within tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
-            named = {w for w, _ in count.most_common(NAMED)}
-            return pa.RecordBatch.from_arrays(
-                [pa.array(hashes(list(count))), pa.array(list(count.values()), pa.int64()),
-                 pa.array([w if w in named else None for w in count], pa.binary())], names=["token", "n", "word"])
+            return pa.RecordBatch.from_arrays([pa.array(hashes(list(count))), pa.array(list(count.values()), pa.int64())], names=["token", "n"])
 
         for batch in batches:
             for at in range(batch.num_rows):
@@ -297,8 +305,7 @@ def count_tokens(training: DataFrame) -> DataFrame:
                     count.clear()
         yield flush()
 
-    return training.select("text").mapInArrow(run, "token long, n long, word binary").groupBy("token").agg(
-        F.sum("n").alias("n"), F.max("word").alias("word"))
+    return training.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 12_000_000) -> Iterator[pa.RecordBatch]:
@@ -312,65 +319,70 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 12_000_00
                 yield batch.slice(a, b - a)
 
 
-def fit(training: DataFrame, heavy: list[tuple[int, int, bytes | None]], shape: Shape = Shape(), rounds: int = 3, seed: int = 5) -> Gru:
+def fit(training: DataFrame, tokens: np.ndarray, counts: np.ndarray, shape: Shape = Shape(), rounds: int = 3, seed: int = 5) -> Gru:
     """A model trained on every whole training text (columns doc_key, text): one pass, in rounds of parallel training.
 
-    A round takes the texts whose hash falls to it.  Parameters (tens of thousands of floats, whatever the input) are
-    summed in a tree of Spark stages; the driver receives 16 sums at most.
+    A round takes the texts whose hash falls to it.  Parameters are summed by parts in Spark; the driver receives one
+    sum of each part.
     """
     spark = training.sparkSession
-    table = Ids(heavy, shape.words)
-    vocabulary, counts = table.word, np.zeros(shape.words)
-    np.add.at(counts, table.ids, table.counts)
-    model = Gru(shape, counts, seed)
+    table = Ids(tokens[:shape.words], counts[:shape.words], shape.words)
+    given = np.zeros(shape.words)
+    np.add.at(given, table.ids, table.counts)
+    if len(counts) > shape.words:
+        given[UNKNOWN] += counts[shape.words:].sum()
+    model = Gru(shape, given, seed)
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((model.p, model.square))
+        sent = spark.sparkContext.broadcast((model.p, model.square, table))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, known, seen = Gru(shape, np.ones(shape.words)), Ids([], shape.words), 0
-            known.word = vocabulary
-            own.p, own.square = ({k: v.copy() for k, v in part.items()} for part in sent.value)  # noqa: B023
+            own, seen = Gru(shape, np.ones(shape.words)), 0
+            p, square, known = sent.value  # noqa: B023
+            own.p, own.square = ({k: v.copy() for k, v in part.items()} for part in (p, square))
             for batch in pieces(batches, 0):
                 texts = [known.words(tokens_of(text)) for text in batch.column(0).to_pylist()]
                 train_on(own, texts)
                 seen += sum(map(len, texts))
             if seen:
-                flat = np.concatenate([part[k].ravel() for part in (own.p, own.square) for k in sorted(part)]).astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays([pa.array([flat]), pa.array([float(seen)])], names=["sums", "n"])
+                flat = np.concatenate([part[k].ravel() for part in (own.p, own.square) for k in sorted(part)])
+                for i, at in enumerate(range(0, len(flat), PART)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i], pa.int32()), pa.array([flat[at:at + PART].astype(np.float64) * seen]), pa.array([float(seen)])],
+                        names=["part", "sums", "n"])
 
         chosen = training.filter(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(rounds)) == turn).select("text")
-        summed = staged(chosen.mapInArrow(run, "sums array<double>, n double"), "parameters")
-        rows = summed.count()
-        while rows > 16:
-            summed = staged(summed.repartition(math.ceil(rows / 16)).mapInArrow(_total, summed.schema), "parameters")
-            rows = summed.count()
-        got = summed.collect()
-        if got:
-            flat, n = np.sum([r.sums for r in got], axis=0), sum(r.n for r in got)
+        trained = chosen.mapInArrow(run, "part int, sums array<double>, n double")
+        got = trained.repartition("part").mapInArrow(_total, trained.schema).toArrow().sort_by("part")
+        if got.num_rows:
+            n = got["n"].to_numpy()
+            flat = np.concatenate([x.values.to_numpy() / m for x, m in zip(got["sums"], n, strict=True)])
             at = 0
             for part in (model.p, model.square):
                 for k in sorted(part):
-                    part[k] = (flat[at:at + part[k].size] / n).astype(np.float32).reshape(part[k].shape)
+                    part[k] = flat[at:at + part[k].size].astype(np.float32).reshape(part[k].shape)
                     at += part[k].size
         sent.unpersist()
     return model
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = None, 0.0
+    """Sums of the rows of each part; all rows of a part are in one task."""
+    total: dict[int, np.ndarray] = {}
+    seen: Counter[int] = Counter()
     for batch in batches:
-        for sums, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total, n = (np.array(sums) if total is None else total + np.array(sums)), n + seen
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n])], names=["sums", "n"])
+        for i, sums, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            total[i] = total[i] + sums.values.to_numpy() if i in total else sums.values.to_numpy().copy()
+            seen[i] += n
+    for i, sums in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([sums]), pa.array([float(seen[i])])], names=["part", "sums", "n"])
 
 
-def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", shape: Shape = Shape(),
+def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", shape: Shape | None = None,
                     rounds: int = 3) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
     Learns from the rows whose ``held_out`` isn't true (null: not held out).  Null text counts as empty, one end token.
-    ``base_score`` is the smoothed unigram log10 probability, ``score`` the network's.  Without training rows nothing
+    Without a ``shape`` its sizes follow from the distinct training tokens.  ``base_score`` is the smoothed unigram log10 probability, ``score`` the network's.  Without training rows nothing
     is known and the network is the untrained one.  Repeated and null keys keep their rows; extra columns are left out.
     """
     held = F.coalesce(held_out, F.lit(False))
@@ -379,10 +391,12 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     training = docs.filter(~F.col("held_out"))
     counts = staged(count_tokens(training), "tokens")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counts.filter(F.col("n") >= max(2, total / HEAVY)).orderBy(F.desc("n"), "token").collect()  # HEAVY rows at most
-    heavy = [(r.token, r.n, None if r.word is None else bytes(r.word)) for r in rows]
-    model = fit(training, heavy, shape, rounds)
-    table = Ids(heavy, shape.words)
+    shape = shape or Shape.of(distinct)
+    often = counts.filter(F.col("n") >= max(2, total / HEAVY)).count()  # HEAVY at most
+    rows = counts.filter("n >= 2").orderBy(F.desc("n"), "token").limit(max(often, shape.words - 1)).toArrow()
+    tokens, times_seen = rows["token"].to_numpy(), rows["n"].to_numpy()
+    model = fit(training, tokens, times_seen, shape, rounds)
+    table = Ids(tokens, times_seen, shape.words)
     named = table.ids != UNKNOWN
     whole = math.log10(total + 0.5 * (distinct + 1))
     others = math.log10(total - float(table.counts[named].sum()) + 0.5 * (distinct - int(named.sum()) + 1))

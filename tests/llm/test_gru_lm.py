@@ -85,3 +85,9 @@ def test_nulls_repeats_empty(spark):
     assert g.score_documents(docs.limit(0), held).count() == 0
     alone = g.score_documents(docs, F.lit(True)).collect()
     assert {r.train_tokens for r in alone} == {0} and all(r.n_known == 0 and abs(r.base_score) < 1e-9 for r in alone)
+
+
+def test_network_grows_with_vocabulary_and_beats_the_base(spark):
+    assert [g.Shape.of(n).words for n in (0, 4096, 1_000_000, 27_000_000)] == [256, 256, 10_000, 90_000]
+    got = op3_lm_score(spark, "/root/testdata/sf0.01").filter("held_out").collect()
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
