@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import bpe, gru_lm, kneser_ney, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, topk_search, warc_zip
+from sparkfolio.llm import bpe, gru_lm, kneser_ney, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, token_count, topk_search, warc_zip
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +64,12 @@ def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.classify(table(spark, folder, "documents"), trusted).drop("text_hash")
 
 
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_count.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_topk": op2_topk,
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
     "op10_kneser_ney": op10_kneser_ney,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLE: dict[str, str] = {
     "op2_topk": """
