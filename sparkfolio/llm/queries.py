@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import bpe, gru_lm, kneser_ney, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, token_count, topk_search, warc_zip
+from sparkfolio.llm import bpe, gru_lm, kneser_ney, lexical_search, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, token_count, topk_search, warc_zip
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.classify(table(spark, folder, "documents"), trusted).drop("text_hash")
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
+
+
 def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
     "op10_kneser_ney": op10_kneser_ney,
+    "op12_ranked_search": op12_ranked_search,
     "op13_token_counts": op13_token_counts,
 }
 ORACLE: dict[str, str] = {
@@ -109,5 +114,35 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
        CASE WHEN n >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND place > 1 THEN first_id END AS refers_to
 FROM f
+""",
+    "op12_ranked_search": r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), c AS (
+    SELECT count(*) FILTER (len(terms) > 0) AS nn, CAST(sum(len(terms)) AS BIGINT) AS ll FROM d
+), t AS (
+    SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d
+), tf AS (
+    SELECT r, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL
+), df AS (
+    SELECT term, count(*) AS df FROM tf GROUP BY term
+), q AS (
+    SELECT row_number() OVER () AS i, item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM benchmark
+), qt AS (
+    SELECT DISTINCT i, item_id, unnest(terms) AS term FROM q
+), s AS (
+    SELECT i, item_id, r, doc_id,
+           CAST(sum(CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT)
+                    * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll)))) AS BIGINT) AS score
+    FROM qt JOIN tf USING (term) JOIN df USING (term), c GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
 """,
 }
