@@ -93,12 +93,12 @@ class Chunk:
         self.impact = (weight[term] * ((1_000_000_000 * tf) // (1_000 * tf + 20 * m[doc])))[order]
         self.at = np.searchsorted(term[order], np.arange(len(weight) + 1))
 
-    def search(self, q: int, query: np.ndarray, best: Best) -> None:
+    def search(self, q: int, query: np.ndarray, best: Best, window: int = WINDOW, share: float = SHORT) -> None:
         lists = sorted(((self.doc[a:b], self.impact[a:b]) for a, b in zip(self.at[query], self.at[query + 1], strict=True) if b > a),
                        key=lambda x: len(x[0]))
         # Term at a time: short lists become one list of sums.
         sizes = np.cumsum([len(x[0]) for x in lists])
-        short = int(np.searchsorted(sizes, SHORT * len(self.key), side="right"))
+        short = int(np.searchsorted(sizes, share * len(self.key), side="right"))
         if short > 1:
             doc, where = np.unique(np.concatenate([x[0] for x in lists[:short]]), return_inverse=True)
             total = np.zeros(len(doc), np.int64)
@@ -108,14 +108,14 @@ class Chunk:
         bounds = [int(x[1].max()) for x in lists]
         by_bound = sorted(range(len(lists)), key=bounds.__getitem__)
         lists, reach = [lists[i] for i in by_bound], np.concatenate(([0], np.cumsum([bounds[i] for i in by_bound]))).astype(np.int64)
-        for low in range(0, len(self.key), WINDOW):
+        for low in range(0, len(self.key), window):
             floor = best.floor(q)
             first = int(np.searchsorted(reach[1:], floor))  # the lists before this one can't reach the floor by themselves
             if first == len(lists):
                 return
-            partial = np.zeros(min(WINDOW, len(self.key) - low), np.int64)
+            partial = np.zeros(min(window, len(self.key) - low), np.int64)
             for doc, impact in lists[first:]:
-                a, b = np.searchsorted(doc, (low, low + WINDOW))
+                a, b = np.searchsorted(doc, (low, low + window))
                 partial[doc[a:b] - low] += impact[a:b]
             left = np.flatnonzero((partial > 0) & (partial + reach[first] >= floor))
             score = partial[left]
@@ -132,7 +132,8 @@ class Chunk:
                 best.add(q, score, self.key[left + low])
 
 
-def scan(queries: list[np.ndarray], weight: np.ndarray, documents: int, length: int, k: int):
+def scan(queries: list[np.ndarray], weight: np.ndarray, documents: int, length: int, k: int,
+         most: int, window: int, share: float):
     """Task that answers all queries on its documents: (q, key, score), k rows of a query at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +144,7 @@ def scan(queries: list[np.ndarray], weight: np.ndarray, documents: int, length:
             m = 100 - B + (B * n * documents) // length
             chunk = Chunk(key, m, np.repeat(np.arange(len(key)), size), term, tf, weight)
             for q, query in enumerate(queries):
-                chunk.search(q, query, best)
+                chunk.search(q, query, best, window, share)
 
         held, postings = [], 0
         for batch in batches:
@@ -153,7 +154,7 @@ def scan(queries: list[np.ndarray], weight: np.ndarray, documents: int, length:
                 held.append((part.column(0).fill_null(LAST).to_numpy(), part.column(1).to_numpy(), np.diff(ids.offsets.to_numpy()).astype(np.int64),
                              ids.flatten().to_numpy().astype(np.int64), tfs.flatten().to_numpy().astype(np.int64)))
                 postings += len(held[-1][3]) + part.num_rows
-                if postings >= POSTINGS:
+                if postings >= most:
                     answer(held)
                     held, postings = [], 0
         if held:
@@ -166,7 +167,8 @@ def scan(queries: list[np.ndarray], weight: np.ndarray, documents: int, length:
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 50, key: str = "doc_id", text: str = "text", query_key: str = "item_id",
-           query_text: str = "text", block_bytes: int = 4_000_000) -> DataFrame:
+           query_text: str = "text", block_bytes: int = 4_000_000,
+           postings: int = POSTINGS, window: int = WINDOW, share: float = SHORT) -> DataFrame:
     """(query_key, rank, key, score): the k documents of highest score above 0 for each query row.
 
     A score sums w * ((10^9 * tf) div (1000 * tf + 20 * m)) over the query's terms, once each; w = floor(1000 * ln((2N + 2) /
@@ -174,7 +176,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 50, key: str = "doc_id"
     smaller key, null keys last.  Null and empty texts have no terms: such queries give no rows, such documents never
     match.  Repeated rows are documents, or queries, of their own; extra columns are left out; empty tables give no rows.
     Query texts come to the driver in blocks of about ``block_bytes``, each a pass over all documents, so neither terms
-    nor queries that are broadcast grow with either table.
+    nor queries that are broadcast grow with either table.  ``postings``, ``window`` and ``share`` steer a task's work only.
     """
     spark = docs.sparkSession
     asked = staged(queries.select(F.monotonically_increasing_id().alias("row"), F.col(query_key).alias("name"),
@@ -197,7 +199,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 50, key: str = "doc_id"
         weight = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * int(x) + 1))) for x in df], np.int64)
         place = {term: i for i, term in enumerate(wanted)}
         picked = [np.array([place[x] for x in names], np.int64) for names in texts]
-        found = indexed.filter("size(ids) > 0").mapInArrow(scan(picked, weight, documents, length, k), "q long, key long, score long")
+        found = indexed.filter("size(ids) > 0").mapInArrow(scan(picked, weight, documents, length, k, postings, window, share), "q long, key long, score long")
         order = [F.desc("score"), F.asc("key")]
         some = found.withColumn("_r", F.row_number().over(Window.partitionBy("q", F.pmod(F.xxhash64("key"), F.lit(64))).orderBy(*order)))
         ranked = some.filter(F.col("_r") <= k).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import bpe, gru_lm, kneser_ney, lexical_search, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, token_count, topk_search, warc_zip
+from sparkfolio.llm import bpe, gru_lm, kneser_ney, lexical_search, mixing, ngram_join, phrase_mining, quality_rules, secret_scan, suffix_dedup, token_count, topk_search, warc_zip
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.classify(table(spark, folder, "documents"), trusted).drop("text_hash")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, folder, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_bpe": op9_bpe,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_collocations": op11_collocations,
     "op12_ranked_search": op12_ranked_search,
     "op13_token_counts": op13_token_counts,
 }
@@ -114,6 +119,40 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
        CASE WHEN n >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 100 AND place > 1 THEN first_id END AS refers_to
 FROM f
+""",
+    "op11_collocations": r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+    FROM documents
+), p AS (
+    SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS words FROM d
+), w AS (
+    SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM p
+), g AS (
+    SELECT lang, words[i:i + k - 1] AS words, k FROM w, (VALUES (1), (2), (3)) AS t(k) WHERE i + k - 1 <= len(words)
+), f AS (
+    SELECT lang, words, k, count(*) AS f FROM g GROUP BY ALL
+), t AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+    SELECT lang, words, k, f AS a FROM f WHERE k > 1 AND f >= 10
+), s AS (
+    SELECT c.lang, c.words, c.a, x.f AS l, y.f AS r, cut,
+           CAST((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+    FROM c JOIN (VALUES (1), (2)) AS v(cut) ON cut < c.k
+    JOIN f x ON x.lang = c.lang AND x.words = c.words[1:cut] JOIN f y ON y.lang = c.lang AND y.words = c.words[cut + 1:c.k]
+), b AS (
+    SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1
+), x AS (
+    SELECT lang, words[1:2] AS words, a FROM c WHERE k = 3 UNION ALL SELECT lang, words[2:3], a FROM c WHERE k = 3
+), o AS (
+    SELECT lang, words, max(a) AS longer FROM x GROUP BY ALL
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.words, ' ')) AS rank,
+       array_to_string(b.words, ' ') AS phrase, a, l, r, n, score
+FROM b JOIN t ON t.lang = b.lang LEFT JOIN o ON o.lang = b.lang AND o.words = b.words
+WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000
 """,
     "op12_ranked_search": r"""
 WITH d AS (

@@ -42,7 +42,7 @@ def test_terms():
     assert [x.decode() for x in s.terms(text.encode())] == words(text) and s.terms(None) == []
 
 
-def test_ties_repeats_nulls_blocks_windows(spark, monkeypatch):
+def test_ties_repeats_nulls_blocks_windows(spark):
     rng = random.Random(4)
     letters = ["the", "of", "The", *[f"w{i}" for i in range(40)]]
     docs = [(rng.randrange(200), " ".join(rng.choice(letters[:3 + rng.randrange(41)]) for _ in range(rng.randrange(40)))) for _ in range(400)]
@@ -52,9 +52,8 @@ def test_ties_repeats_nulls_blocks_windows(spark, monkeypatch):
     want = {k: brute(docs, items, k) for k in (50, 3)}
     d = spark.createDataFrame([(a, b, 1, "x") for a, b in docs], "doc_id long, text string, item_id int, n string").repartition(3)
     q = spark.createDataFrame([(a, b, 1) for a, b in items], "item_id long, text string, doc_id int")
-    for name, value in (("POSTINGS", 300), ("WINDOW", 16), ("SHORT", 0.5)):
-        monkeypatch.setattr(s, name, value)
-    for k, options in ((50, {}), (3, {"block_bytes": 60})):
+    few = {"postings": 300, "window": 16}
+    for k, options in ((50, {}), (50, few), (3, few | {"share": 0.5}), (3, few | {"block_bytes": 60, "share": 0})):
         assert sorted(map(tuple, s.search(d, q, k=k, **options).collect()), key=str) == want[k]
     assert s.search(d.limit(0), q).count() == 0 and s.search(d, q.limit(0)).count() == 0
     assert s.search(d.filter("text = ''"), q).count() == 0
