@@ -33,14 +33,6 @@ CACHE, CACHE_LETTERS = 400_000, 48
 GROUPS = 64
 
 
-def newer_letters() -> regex.Pattern:
-    """Characters that this Python's Unicode data doesn't know; the library's data may be newer and give them a class."""
-    unknown = [c for c in range(0x80, 0x110000) if category(chr(c)) == "Cn"]
-    starts = [c for c, before in zip(unknown, [-1, *unknown], strict=False) if c != before + 1]
-    ends = [c for c, after in zip(unknown, [*unknown[1:], -1], strict=True) if c != after - 1]
-    return regex.compile("[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(starts, ends, strict=True)) + "]")
-
-
 class Cutter:
     """Pre-tokens of a text, and the length of one in tokens, as the vocabulary file defines them."""
 
@@ -54,7 +46,7 @@ class Cutter:
         self.word = regex.compile(cut["pattern"]["Regex"])
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.newer, self.whole = newer_letters(), Tokenizer.from_file(path)
+        self.known, self.whole = set(map(chr, range(128))), Tokenizer.from_file(path)
         # What is left to the library is one pre-token: no normalizer, no cutting, no special tokens.
         self.coder = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": bytes_, "added_tokens": []}))
 
@@ -65,12 +57,22 @@ class Cutter:
         # Lower case letter by letter, so a final sigma is a sigma like others.
         return self.word.findall(normalize("NFC", piece).replace("Σ", "σ").lower())
 
+    def newer(self, text: str) -> bool:
+        """Has the text a character that this Python's Unicode data doesn't know, though the library's may?"""
+        letters = set(text)
+        if letters <= self.known:
+            return False
+        if any(category(x) == "Cn" for x in letters - self.known):
+            return True
+        self.known |= letters
+        return False
+
     def count(self, text: str, length: Callable[[str], int]) -> int:
         """Tokens of a whole text; a special token's string is one token.
 
         A text with letters newer than this Python's Unicode data is left to the library, whose data may differ.
         """
-        if not text.isascii() and self.newer.search(text):
+        if not text.isascii() and self.newer(text):
             return len(self.whole.encode(text, add_special_tokens=False).ids)
         if self.special is None:
             return sum(map(length, self.words(text)))
