@@ -122,17 +122,21 @@ FROM f
 """,
     "op11_collocations": r"""
 WITH d AS (
-    SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, string_split_regex(
+    SELECT coalesce(lang, 'und') AS lang, string_split_regex(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
     FROM documents
 ), p AS (
-    SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS words FROM d
+    SELECT lang, unnest(pieces) AS piece FROM d
+), q AS (
+    SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
 ), w AS (
-    SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM p
+    SELECT lang, id, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM q
 ), g AS (
-    SELECT lang, words[i:i + k - 1] AS words, k FROM w, (VALUES (1), (2), (3)) AS t(k) WHERE i + k - 1 <= len(words)
+    SELECT lang, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY id ORDER BY i)
 ), f AS (
-    SELECT lang, words, k, count(*) AS f FROM g GROUP BY ALL
+    SELECT lang, [a] AS words, 1 AS k, count(*) AS f FROM g GROUP BY lang, a UNION ALL
+    SELECT lang, [a, b], 2, count(*) FROM g WHERE b IS NOT NULL GROUP BY lang, a, b UNION ALL
+    SELECT lang, [a, b, c], 3, count(*) FROM g WHERE c IS NOT NULL GROUP BY lang, a, b, c
 ), t AS (
     SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
 ), c AS (
