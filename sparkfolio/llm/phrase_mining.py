@@ -29,7 +29,7 @@ from sparkfolio.llm.common import staged
 ENDS = b".,;:!?\n\x0b\x0c\r"
 LETTERS = bytes(0xFF if c in ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words of one language that a task counts together.
-BLOCK = 2_000_000
+BLOCK = 700_000
 #: Bits of the filter, its 32,768-bit rows, and bits that a phrase sets.
 BITS, ROW, MARKS = 1 << 27, 1 << 15, 3
 
