@@ -55,8 +55,12 @@ def with_draw(df: DataFrame, seed: Column, k: Column, n: Column, name: str = "po
 
 def uniform_block(seed: int, first: int, count: int) -> np.ndarray:
     """Draws first .. first+count-1 of one stream as a numpy vector (used inside tasks)."""
-    k = np.arange(first + 1, first + count + 1, dtype=np.uint64)
-    a = (np.uint64(seed) + k * np.uint64(COUNTER_STEP)).astype(np.uint32)
+    return uniform_at(seed, np.arange(first, first + count, dtype=np.uint64))
+
+
+def uniform_at(seed: int, k: np.ndarray) -> np.ndarray:
+    """Draws ``k`` (from 0) of one stream, an array of the same shape."""
+    a = (np.uint64(seed) + (k.astype(np.uint64) + np.uint64(1)) * np.uint64(COUNTER_STEP)).astype(np.uint32)
     t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
     t = t ^ (t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61)))
     return (t ^ (t >> np.uint32(14))) / 4294967296.0

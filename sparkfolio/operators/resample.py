@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.ordering import ordered_positions, with_halo
-from ..functions.random import uniform_block, with_uniform
+from ..functions.random import uniform_at, uniform_block, with_uniform
 
 TRADE_ORDER = ["exit_date", "entry_date", "symbol", "profit"]
 
@@ -47,56 +47,107 @@ def block_sums(trades: DataFrame) -> DataFrame:
         add(F.slice("_ahead", F.lit(1), F.when(rest == 0, F.col("b")).otherwise(rest).cast("int"))).alias("last_sum"))
 
 
+BLOCK_REQUESTS = T.ArrayType(T.StructType([T.StructField("part", T.LongType()), T.StructField("short", T.BooleanType()),
+                                           T.StructField("per_draw", T.ArrayType(T.IntegerType())),
+                                           T.StructField("at", T.ArrayType(T.IntegerType()))]))
+
+
+def _block_picks(n: int, per_draw: int, before: int, seed: int, draw: int, draws: int, first: int, count: int) -> np.ndarray:
+    """Start positions of blocks first..first+count-1 of a fold, a row per draw."""
+    k = np.arange(draw, draw + draws, dtype=np.uint64)[:, None] * np.uint64(per_draw) + np.arange(
+        before + first, before + first + count, dtype=np.uint64)
+    return (uniform_at(int(seed), k) * n).astype(np.int64)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _drawn_sums(full: pd.Series, last: pd.Series, part_begin: pd.Series, n: pd.Series, blocks: pd.Series, per_draw: pd.Series,
-                before: pd.Series, seed: pd.Series, first_draw: pd.Series, draws: pd.Series, first: pd.Series,
-                count: pd.Series) -> pd.Series:
-    """Per draw, the sum of the picked blocks that lie in one part of a fold's block sums."""
+def _drawn_sums(full: pd.Series, last: pd.Series, n: pd.Series, blocks: pd.Series, per_draw: pd.Series, before: pd.Series,
+                seed: pd.Series, draw: pd.Series, draws: pd.Series, first: pd.Series, count: pd.Series) -> pd.Series:
+    """Per draw, the sum of the picked blocks of a fold whose block sums are one part."""
+    answers = []
+    for whole, short, size, total, stride, skip, s, d, many, b, c in zip(
+            full, last, n, blocks, per_draw, before, seed, draw, draws, first, count):
+        picks, whole = _block_picks(size, stride, skip, s, d, many, b, c), np.asarray(whole, dtype=float)
+        if b + c == total:  # the last block may be shorter
+            answers.append(whole[picks[:, :-1]].sum(axis=1) + np.asarray(short, dtype=float)[picks[:, -1]])
+        else:
+            answers.append(whole[picks].sum(axis=1))
+    return pd.Series(answers)
+
+
+@F.pandas_udf(BLOCK_REQUESTS)
+def _request_blocks(n: pd.Series, blocks: pd.Series, per_draw: pd.Series, before: pd.Series, seed: pd.Series, draw: pd.Series,
+                    draws: pd.Series, first: pd.Series, count: pd.Series, part: pd.Series) -> pd.Series:
+    """The picks of a job by the part they lie in: positions there, draw by draw, and how many each draw has."""
     answers = []
-    for whole, short, start, size, total, stride, skip, s, d0, many, b0, c in zip(
-            full, last, part_begin, n, blocks, per_draw, before, seed, first_draw, draws, first, count):
-        whole, short, out = np.asarray(whole, dtype=float), np.asarray(short, dtype=float), np.zeros(many)
-        for d in range(many):
-            at = (uniform_block(int(s), (d0 + d) * stride + skip + b0, c) * size).astype(np.int64) - start
-            inside = (at >= 0) & (at < len(whole))
-            if b0 + c == total:  # the last block may be shorter
-                if inside[-1]:
-                    out[d] = short[at[-1]]
-                inside[-1] = False
-            out[d] += whole[at[inside]].sum()
-        answers.append(out)
+    for size, total, stride, skip, s, d, many, b, c, chunk in zip(n, blocks, per_draw, before, seed, draw, draws, first, count, part):
+        picks, rows = _block_picks(size, stride, skip, s, d, many, b, c), []
+        ends = c - 1 if b + c == total else c
+        for short, some in ((False, picks[:, :ends]), (True, picks[:, ends:])):
+            where = some // chunk
+            for k in np.unique(where):
+                rows.append({"part": int(k), "short": short, "per_draw": (where == k).sum(axis=1).astype(np.int32),
+                             "at": (some[where == k] % chunk).astype(np.int32)})
+        answers.append(rows)
     return pd.Series(answers)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _answer_sums(values: pd.Series, at: pd.Series, per_draw: pd.Series) -> pd.Series:
+    return pd.Series([np.bincount(np.repeat(np.arange(len(c)), c), np.asarray(v, dtype=float)[x], len(c))
+                      for v, x, c in zip(values, at, per_draw)])
+
+
+def bootstrap_jobs(trades: DataFrame, draws: int, chunk: int, draw_chunk: int) -> DataFrame:
+    """Some draws' run of blocks of a fold a row; draw numbers follow the stream: draw, then fold by name, then block."""
+    shape = trades.groupBy("strategy", "fold").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "_b", F.greatest(F.lit(1).cast("bigint"), F.least(F.lit(K.BOOTSTRAP_BLOCK).cast("bigint"), F.floor(F.col("n") / 2)))).withColumn(
+        "blocks", F.ceil(F.col("n") / F.col("_b")))
+    folds = Window.partitionBy("strategy")
+    before = folds.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    return shape.withColumn("per_draw", F.sum("blocks").over(folds)).withColumn(
+        "before", F.coalesce(F.sum("blocks").over(before), F.lit(0))).withColumn(
+        "draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(draw_chunk)))).withColumn(
+        "draws", F.least(F.lit(draw_chunk), F.lit(draws) - F.col("draw"))).withColumn(
+        "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1, F.lit(chunk).cast("bigint")))).withColumn(
+        "count", F.least(F.lit(chunk), F.col("blocks") - F.col("first"))).drop("_b")
+
+
+def block_requests(jobs: DataFrame, seed: int, part: int) -> DataFrame:
+    """The picks of each job, drawn once: a row per job and part of the fold that they touch."""
+    return jobs.repartition("strategy", "fold", "draw", "first").select(
+        "strategy", "fold", "draw", F.explode(_request_blocks(
+            "n", "blocks", "per_draw", "before", F.lit(seed), "draw", "draws", "first", "count", F.lit(part))).alias("q")).select(
+        "strategy", "fold", "draw", "q.*")
+
+
 def bootstrap_fold_sums(trades: DataFrame, draws: int = K.BOOTSTRAP_DRAWS, seed: int = K.BOOTSTRAP_SEED,
-                        chunk: int = 4096, part: int = 65_536, draw_chunk: int = 125) -> DataFrame:
+                        chunk: int = 4096, part: int = 131_072, draw_chunk: int = 125) -> DataFrame:
     """Resampled profit per (strategy, draw, fold).
 
-    Draw numbers follow the sequential stream: draw, then fold by name, then block.  Block sums travel in parts
-    of ``part`` positions; a task draws ``chunk`` blocks of some draws, gathers those that lie in its part and
-    leaves one sum per draw, so picks are never rows.
+    Block sums are cut into parts of ``part`` positions.  A job draws ``chunk`` blocks of some draws, once.  Where a
+    fold is one part, it travels with its jobs; else the job asks each part for its picks there and the part answers
+    with a sum per draw, so work and what is shuffled grow with the picks, whatever the number of parts.  Parts are
+    dealt to chunks of draws, so none is asked by all jobs.
     """
-    sums = block_sums(trades)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "full_sum", "last_sum")))
-    parts = sums.withColumn("_part", F.floor(F.col("pos") / part)).groupBy("strategy", "fold", "_part").agg(
-        ordered.alias("rows"), F.max("n").alias("n"), F.max("b").alias("b")).select(
-        "strategy", "fold", "_part", "n", F.ceil(F.col("n") / F.col("b")).alias("blocks"),
-        F.transform("rows", lambda x: x["full_sum"]).alias("full"), F.transform("rows", lambda x: x["last_sum"]).alias("last"))
-    shape = trades.groupBy("strategy", "fold").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_b", F.greatest(F.lit(1).cast("bigint"), F.least(F.lit(K.BOOTSTRAP_BLOCK).cast("bigint"), F.floor(F.col("_n") / 2)))).withColumn(
-        "_blocks", F.ceil(F.col("_n") / F.col("_b")))
-    folds = Window.partitionBy("strategy")
-    before = folds.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
-    shape = shape.withColumn("_per_draw", F.sum("_blocks").over(folds)).withColumn(
-        "_before", F.coalesce(F.sum("_blocks").over(before), F.lit(0))).select("strategy", "fold", "_per_draw", "_before")
-    jobs = (parts.join(shape, ["strategy", "fold"])
-            .withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(draw_chunk))))
-            .withColumn("_first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1, F.lit(chunk).cast("bigint"))))
-            .repartition("strategy", "fold", "_part", "_draw", "_first"))
-    drawn = jobs.select("strategy", "fold", "_draw", F.posexplode(_drawn_sums(
-        "full", "last", F.col("_part") * part, "n", "blocks", "_per_draw", "_before", F.lit(seed), "_draw",
-        F.least(F.lit(draw_chunk), F.lit(draws) - F.col("_draw")), "_first", F.least(F.lit(chunk), F.col("blocks") - F.col("_first")))).alias("_i", "s"))
-    return drawn.groupBy("strategy", (F.col("_draw") + F.col("_i")).alias("draw"), "fold").agg(F.sum("s").alias("fold_sum"))
+    parts = block_sums(trades).withColumn("part", F.floor(F.col("pos") / part)).groupBy("strategy", "fold", "part", "n").agg(
+        ordered.alias("rows")).select(
+        "strategy", "fold", "part", F.col("n").alias("_n"), F.transform("rows", lambda x: x["full_sum"]).alias("full"),
+        F.transform("rows", lambda x: x["last_sum"]).alias("last"))
+    jobs = bootstrap_jobs(trades, draws, chunk, draw_chunk)
+    one = F.col("n") <= part
+    whole = jobs.where(one).join(parts.where(F.col("_n") <= part), ["strategy", "fold"]).repartition(
+        "strategy", "fold", "draw", "first").select("strategy", "fold", "draw", _drawn_sums(
+            "full", "last", "n", "blocks", "per_draw", "before", F.lit(seed), "draw", "draws", "first", "count").alias("s"))
+    starts = F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(draw_chunk)))
+    dealt = parts.where(F.col("_n") > part).withColumn("draw", starts).withColumn(
+        "short", F.explode(F.array(F.lit(False), F.lit(True)))).select(
+        "strategy", "fold", "part", "draw", "short", F.when(F.col("short"), F.col("last")).otherwise(F.col("full")).alias("values"))
+    gathered = block_requests(jobs.where(~one), seed, part).join(
+        dealt.hint("merge"), ["strategy", "fold", "part", "draw", "short"]).select(
+        "strategy", "fold", "draw", _answer_sums("values", "at", "per_draw").alias("s"))
+    drawn = whole.unionByName(gathered).select("strategy", "fold", "draw", F.posexplode("s").alias("_i", "s"))
+    return drawn.groupBy("strategy", (F.col("draw") + F.col("_i")).alias("draw"), "fold").agg(F.sum("s").alias("fold_sum"))
 
 
 def block_bootstrap(trades: DataFrame, draws: int = K.BOOTSTRAP_DRAWS, quantile: float = K.BOOTSTRAP_QUANTILE,

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions.numbers import cents, fixed
 from ..functions.ordering import ordered_positions
-from ..functions.random import uniform_block, with_draw
+from ..functions.random import uniform_at, with_draw
 
 
 def _underwater(equity: DataFrame, initial: float, keys: list[str]) -> DataFrame:
@@ -77,62 +77,111 @@ def ruin_seeds(pool: DataFrame, rates: list[float]) -> DataFrame:
         "strategy", "n", "rate", F.when(mixed == 0, F.lit(42)).otherwise(mixed).cast("bigint").alias("seed"))
 
 
-PIECES = T.ArrayType(T.StructType([T.StructField("path", T.LongType()), T.StructField("steps", T.ArrayType(T.IntegerType())),
-                                   T.StructField("r", T.ArrayType(T.DoubleType()))]))
-RUN = T.StructType([T.StructField(name, T.DoubleType()) for name in ("c", "top", "low", "high", "dd")])
+REQUESTS = T.ArrayType(T.StructType([T.StructField("part", T.LongType()), T.StructField("place", T.ArrayType(T.IntegerType())),
+                                     T.StructField("at", T.ArrayType(T.IntegerType()))]))
+RUNS = T.ArrayType(T.StructType([T.StructField("path", T.LongType()), *[
+    T.StructField(name, T.DoubleType()) for name in ("c", "top", "low", "high", "dd")]]))
 
 
-@F.pandas_udf(PIECES)
-def _pick(part: pd.Series, begin_at: pd.Series, n: pd.Series, seed: pd.Series, first: pd.Series, last: pd.Series,
-          begin: pd.Series, end: pd.Series) -> pd.Series:
-    """R multiples that steps begin..end-1 of paths first..last draw from one part of a pool, by step."""
+def _picks(seed: int, n: int, first: int, last: int, begin: int, end: int) -> np.ndarray:
+    """Positions that steps begin..end-1 of paths first..last draw from a pool of n, a row per path."""
+    k = np.arange(first, last + 1, dtype=np.uint64)[:, None] * np.uint64(n) + np.arange(begin, end, dtype=np.uint64)
+    return (uniform_at(int(seed), k) * n).astype(np.int64)
+
+
+def _walk(r: np.ndarray, risk: float, first: int) -> list[dict]:
+    """Compound runs of steps (a row per path) from capital 1: end, highest (1 included), lowest, highest after a step, drawdown."""
+    capital = np.cumprod(1 + risk * r, axis=1)
+    peak = np.maximum(np.maximum.accumulate(capital, axis=1), 1.0)
+    dd = np.maximum(0.0, (1 - capital / peak).max(axis=1))
+    columns = (capital[:, -1], peak[:, -1], capital.min(axis=1), capital.max(axis=1), dd)
+    return [{"path": first + i, "c": c, "top": top, "low": low, "high": high, "dd": d}
+            for i, (c, top, low, high, d) in enumerate(zip(*columns))]
+
+
+@F.pandas_udf(RUNS)
+def _walk_pool(pool: pd.Series, rate: pd.Series, seed: pd.Series, first: pd.Series, last: pd.Series, begin: pd.Series,
+               end: pd.Series) -> pd.Series:
+    """Runs of some paths over a pool that is one part."""
+    return pd.Series([_walk(np.asarray(r, dtype=float)[_picks(s, len(r), lo, hi, a, b)], risk, lo)
+                      for r, risk, s, lo, hi, a, b in zip(pool, rate, seed, first, last, begin, end)])
+
+
+@F.pandas_udf(REQUESTS)
+def _request(seed: pd.Series, n: pd.Series, first: pd.Series, last: pd.Series, begin: pd.Series, end: pd.Series,
+             chunk: pd.Series) -> pd.Series:
+    """The picks of some paths' run by the part they lie in: position there, and place among the run's picks."""
+    answers = []
+    for s, size, lo, hi, a, b, many in zip(seed, n, first, last, begin, end, chunk):
+        picks = _picks(s, size, lo, hi, a, b).ravel()
+        part = picks // many
+        place = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[place])) + 1
+        answers.append([{"part": int(part[x[0]]), "place": x.astype(np.int32), "at": (picks[x] % many).astype(np.int32)}
+                        for x in np.split(place, cuts)])
+    return pd.Series(answers)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _answer(part: pd.Series, at: pd.Series) -> pd.Series:
+    return pd.Series([np.asarray(r, dtype=float)[x] for r, x in zip(part, at)])
+
+
+@F.pandas_udf(RUNS)
+def _walk_answers(places: pd.Series, values: pd.Series, rate: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+    """Runs of some paths from the answers of all parts, put in order."""
     answers = []
-    for r, start, size, s, lo, hi, a, b in zip(part, begin_at, n, seed, first, last, begin, end):
-        r, rows = np.asarray(r, dtype=float), []
-        for path in range(lo, hi + 1):
-            at = (uniform_block(int(s), path * size + a, b - a) * size).astype(np.int64) - start
-            steps = np.flatnonzero((at >= 0) & (at < len(r)))
-            rows.append({"path": path, "steps": steps.astype(np.int32), "r": r[at[steps]]})
-        answers.append(rows)
+    for place, value, risk, lo, hi in zip(places, values, rate, first, last):
+        r = np.empty(sum(map(len, place)))
+        r[np.concatenate(place)] = np.concatenate(value)
+        answers.append(_walk(r.reshape(hi - lo + 1, -1), risk, lo))
     return pd.Series(answers)
 
 
-@F.pandas_udf(RUN)
-def _walk_run(pieces: pd.Series, rate: pd.Series) -> pd.DataFrame:
-    """Compound one run of steps from capital 1: end, highest (1 included), lowest, highest after a step, drawdown."""
-    rows = []
-    for parts, risk in zip(pieces, rate):
-        steps = np.concatenate([np.asarray(p["steps"], dtype=np.int64) for p in parts])
-        r = np.concatenate([np.asarray(p["r"], dtype=float) for p in parts])[np.argsort(steps)]
-        capital = np.cumprod(1 + risk * r)
-        peak = np.maximum(np.maximum.accumulate(capital), 1.0)
-        rows.append((capital[-1], peak[-1], capital.min(), capital.max(), max(0.0, float(np.max(1 - capital / peak)))))
-    return pd.DataFrame(rows, columns=["c", "top", "low", "high", "dd"])
+def ruin_jobs(pool: DataFrame, rates: list[float], paths: int, path_chunk: int, step_chunk: int) -> DataFrame:
+    """Some paths' run of steps a row: (strategy, n, rate, seed, first, last, run, begin, end)."""
+    begin = F.col("run") * step_chunk
+    return ruin_seeds(pool, rates).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(paths - 1), F.lit(path_chunk)))).withColumn(
+        "last", F.least(F.col("first") + path_chunk - 1, F.lit(paths - 1))).withColumn(
+        "run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / step_chunk)))).withColumn(
+        "begin", begin).withColumn("end", F.least(begin + step_chunk, F.col("n")))
 
 
-def ruin_paths(pool: DataFrame, rates: list[float], paths: int = K.RUIN_PATHS, path_chunk: int = 100,
-               step_chunk: int = 4096, pool_chunk: int = 65_536) -> DataFrame:
+def ruin_requests(jobs: DataFrame, pool_chunk: int) -> DataFrame:
+    """The picks of each job, drawn once: a row per job and part of the pool that they touch."""
+    return jobs.repartition("strategy", "rate", "first", "run").select(
+        "strategy", "rate", "first", "last", "run", F.explode(_request(
+            "seed", "n", "first", "last", "begin", "end", F.lit(pool_chunk))).alias("q")).select(
+        "strategy", "rate", "first", "last", "run", "q.*")
+
+
+def ruin_paths(pool: DataFrame, rates: list[float], paths: int = K.RUIN_PATHS, path_chunk: int = 50,
+               step_chunk: int = 8192, pool_chunk: int = 262_144) -> DataFrame:
     """Final capital multiple and largest drawdown of every resampled path (strategy, rate, path).
 
-    One way for every size: a pool is cut into parts of ``pool_chunk`` positions, a path into runs of
-    ``step_chunk`` steps.  A task draws the picks of some paths' run and takes those that lie in its part; a
-    run's pieces are put in order and compounded, and runs are chained.  Nothing holds a whole pool or path.
+    A pool is cut into parts of ``pool_chunk`` positions, a path into runs of ``step_chunk`` steps.  Picks are drawn
+    once, by the job of some paths' run.  Where the pool is one part, it travels with the job.  Else the job asks each
+    part for its picks there, parts answer with values, and the answers are put in order: work and what is shuffled grow
+    with the picks, whatever the number of parts.  Parts are dealt to the jobs of a rate and path chunk, so none is asked
+    by all.  Runs are compounded and then chained; nothing holds a whole pool of several parts, or a path.
     """
-    seeds = ruin_seeds(pool, rates)
-    parts = pool.withColumn("_part", F.floor(F.col("pos") / pool_chunk)).groupBy("strategy", "_part").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda p: p["r"]).alias("part"))
-    first = F.explode(F.sequence(F.lit(0), F.lit(paths - 1), F.lit(path_chunk)))
-    jobs = seeds.withColumn("first", first).withColumn(
-        "last", F.least(F.col("first") + path_chunk - 1, F.lit(paths - 1))).withColumn(
-        "run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / step_chunk))))
-    begin = F.col("run") * step_chunk
-    pieces = jobs.join(parts, "strategy").repartition("strategy", "rate", "first", "run", "_part").select(
-        "strategy", "rate", "run", F.explode(_pick(
-            "part", F.col("_part") * pool_chunk, "n", "seed", "first", "last", begin,
-            F.least(begin + step_chunk, F.col("n")))).alias("p"))
-    walked = pieces.groupBy("strategy", "rate", "p.path", "run").agg(F.collect_list("p").alias("pieces")).select(
-        "strategy", "rate", "path", "run", _walk_run("pieces", "rate").alias("w"))
-    runs = walked.groupBy("strategy", "rate", "path").agg(F.array_sort(F.collect_list(F.struct("run", "w"))).alias("runs"))
+    jobs = ruin_jobs(pool, rates, paths, path_chunk, step_chunk)
+    parts = pool.withColumn("part", F.floor(F.col("pos") / pool_chunk)).groupBy("strategy", "part", "group_rows").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda p: p["r"]).alias("values"))
+    one = F.col("n") <= pool_chunk
+    whole = jobs.where(one).join(parts.where(F.col("group_rows") <= pool_chunk).select("strategy", "values"), "strategy").repartition(
+        "strategy", "rate", "first", "run").select("strategy", "rate", "run", F.explode(_walk_pool(
+            "values", "rate", "seed", "first", "last", "begin", "end")).alias("w"))
+    dealt = parts.where(F.col("group_rows") > pool_chunk).select(
+        "strategy", "part", "values", F.explode(F.array(*[F.lit(float(r)) for r in rates])).alias("rate")).withColumn(
+        "first", F.explode(F.sequence(F.lit(0), F.lit(paths - 1), F.lit(path_chunk))))
+    key = ["strategy", "rate", "first", "last", "run"]
+    answered = ruin_requests(jobs.where(~one), pool_chunk).join(
+        dealt.hint("merge"), ["strategy", "part", "rate", "first"]).select(*key, "place", _answer("values", "at").alias("value"))
+    gathered = answered.groupBy(*key).agg(F.collect_list(F.struct("place", "value")).alias("a")).select(
+        "strategy", "rate", "run", F.explode(_walk_answers("a.place", "a.value", "rate", "first", "last")).alias("w"))
+    runs = whole.unionByName(gathered).groupBy("strategy", "rate", "w.path").agg(
+        F.array_sort(F.collect_list(F.struct("run", "w"))).alias("runs"))
     start = F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("top"), F.lit(0.0).alias("dd"))
 
     def chain(acc: Column, run: Column) -> Column:

@@ -188,12 +188,12 @@ def loop_bootstrap(fold_profits, draws):
     return sorted(medians)[int(0.9 * draws)]
 
 
-@pytest.mark.parametrize("chunk", [2, 4096])
-def test_block_bootstrap_against_a_loop(spark, chunk):
+@pytest.mark.parametrize("chunk, part", [(2, 131_072), (4096, 131_072), (3, 7), (4096, 23)])
+def test_block_bootstrap_against_a_loop(spark, chunk, part):
     rng = random.Random(9)
     lists = [[round(rng.uniform(-5, 6), 2) for _ in range(n)] for n in (23, 1, 40)]
     rows = [("s", f"f{k}", f"S{i:03d}", p) for k, ps in enumerate(lists) for i, p in enumerate(ps)]
-    sums = resample.bootstrap_fold_sums(make_trades(spark, rows), draws=60, chunk=chunk)
+    sums = resample.bootstrap_fold_sums(make_trades(spark, rows), draws=60, chunk=chunk, part=part, draw_chunk=25)
     medians = sorted(r.m for r in sums.groupBy("draw").agg(F.median("fold_sum").alias("m")).collect())
     assert medians[54] == pytest.approx(loop_bootstrap(lists, 60))
 
@@ -245,6 +245,27 @@ def test_ruin_paths_do_not_depend_on_chunks(spark):
         assert whole[k] == pytest.approx(cut[k])
 
 
+@pytest.mark.parametrize("parts", [5, 50])
+def test_picks_are_drawn_once_whatever_the_parts(spark, parts):
+    """Requests hold each pick once, and their number grows with the pool only."""
+    chunk, paths, rates = 20, 6, [0.01, 0.02]
+    n = chunk * parts
+    pool = spark.range(n).select(F.lit("s").alias("strategy"), F.col("id").alias("pos"), F.lit(n).cast("bigint").alias("group_rows"),
+                                 F.sin("id").alias("r"))
+    jobs = risk.ruin_jobs(pool, rates, paths, 4, 64)
+    asked = risk.ruin_requests(jobs, chunk)
+    assert asked.select(F.sum(F.size("at"))).first()[0] == paths * len(rates) * n
+    assert asked.select("part").distinct().count() == parts
+    assert asked.count() <= jobs.count() * parts
+    whole = {(r.rate, r.path): r.final for r in risk.ruin_paths(pool, rates, paths=paths).collect()}
+    cut = {(r.rate, r.path): r.final for r in risk.ruin_paths(pool, rates, paths=paths, path_chunk=4, step_chunk=64, pool_chunk=chunk).collect()}
+    assert cut == pytest.approx(whole) and len(cut) == paths * len(rates)
+    trades = spark.range(n).select(F.lit("s").alias("strategy"), F.lit("f").alias("fold"))
+    blocks = resample.bootstrap_jobs(trades, 30, 8, 7)
+    asked = resample.block_requests(blocks, 1, chunk)
+    assert asked.select(F.sum(F.size("at"))).first()[0] == 30 * (n // 10)
+
+
 def test_a_loss_beyond_the_capital_stays_a_loss(spark):
     pool = spark.createDataFrame([("s", i, 6, r) for i, r in enumerate([-60.0, 1.0, 2.0, 1.5, -0.5, 3.0])],
                                  "strategy string, pos bigint, group_rows bigint, r double")
