@@ -20,15 +20,17 @@ SCORED = "symbol string, origin date, model string, horizon int, forecast_price
 
 
 # ---- windows ----------------------------------------------------------------------
-def rolling_windows(seq_bars: DataFrame, context: int, stride: int, horizons: list[int], start: str,
-                    end: str) -> DataFrame:
+def rolling_windows(seq_bars: DataFrame, context: int, stride: int, horizons: list[int], start: str | None = None,
+                    end: str | None = None) -> DataFrame:
     """Forecast origins of a partition: enough bars before, every horizon inside it, each ``stride``-th
-    eligible one.  Windows are over one symbol (one row per day).
+    eligible one.  Without ``start`` or ``end`` it is open there, so every bar may be an origin.  Windows are over
+    one symbol (one row per day).
     """
     last = F.lead("bar_date", max(horizons)).over(by_symbol())
-    until = F.lit(end).cast("date")
-    eligible = seq_bars.where(F.col("bar_date") <= until).withColumn("_last", last).where(
-        (F.col("seq") >= context) & (F.col("bar_date") >= F.lit(start).cast("date")) & (F.col("_last") <= until))
+    inside = seq_bars if end is None else seq_bars.where(F.col("bar_date") <= F.lit(end).cast("date"))
+    eligible = inside.withColumn("_last", last).where((F.col("seq") >= context) & F.col("_last").isNotNull())
+    if start is not None:
+        eligible = eligible.where(F.col("bar_date") >= F.lit(start).cast("date"))
     numbered = eligible.withColumn("_i", F.row_number().over(by_symbol()) - 1)
     return numbered.where(F.col("_i") % stride == 0).select(
         "symbol", F.col("bar_date").alias("origin"), "seq", F.col("adj_close").alias("origin_price"))

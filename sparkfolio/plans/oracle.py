@@ -62,7 +62,7 @@ PARTS: dict[str, str] = {
       LATERAL (SELECT 'index' AS role, i AS close UNION ALL SELECT 'volatility', v)""",
     "folds": """
     SELECT 'fold-' || (y-1994) AS fold, make_date(y,1,1) AS start, make_date(y,12,31) AS "end"
-    FROM (SELECT CAST(unnest(range(1995,2002)) AS INTEGER) AS y)""",
+    FROM (SELECT CAST(unnest(range(min(year(bar_date)), max(year(bar_date))+1)) AS INTEGER) AS y FROM bars)""",
     "seq": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS seq FROM bars",
     "feat": """
     SELECT *, round(avg(close) OVER w20, 8) AS mean20, lag(close) OVER w AS previous_close,
@@ -281,8 +281,8 @@ PARTS: dict[str, str] = {
     SELECT symbol, origin, seq, origin_price FROM (
       SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY seq) - 1 AS i FROM (
         SELECT symbol, bar_date AS origin, seq, adj_close AS origin_price,
-               lead(bar_date, 20) OVER (PARTITION BY symbol ORDER BY bar_date) AS last_date FROM seq WHERE bar_date <= DATE '2001-12-31')
-      WHERE seq >= 64 AND origin >= DATE '1996-01-01' AND last_date <= DATE '2001-12-31') WHERE i % 5 = 0""",
+               lead(bar_date, 20) OVER (PARTITION BY symbol ORDER BY bar_date) AS last_date FROM seq)
+      WHERE seq >= 64 AND last_date IS NOT NULL) WHERE i % 5 = 0""",
     "targets": """
     SELECT o.*, h AS horizon, b.bar_date AS target_date, b.adj_close AS actual_price
     FROM origins o, (SELECT unnest([1,5,10,20]) AS h) JOIN seq b ON b.symbol=o.symbol AND b.seq=o.seq+h""",
@@ -448,6 +448,15 @@ ORACLE: dict[str, str] = {
     "sync_newer_rows": _out(BAR, """(SELECT b.* FROM bars b LEFT JOIN (SELECT symbol, max(bar_date) AS m FROM bars
         WHERE bar_date < DATE '2000-01-01' AND symbol >= 'S00010' GROUP BY symbol) t ON t.symbol=b.symbol
         WHERE b.bar_date > greatest(coalesce(t.m, DATE '1999-06-30'), DATE '1999-06-30'))"""),
+    "upsert_prices_table": sql("""SELECT symbol, bar_date, open, high, low, close, adj_close, volume, 'before' AS state FROM bars UNION ALL
+        SELECT b.symbol, b.bar_date, coalesce(r.open,b.open), coalesce(r.high,b.high), coalesce(r.low,b.low), coalesce(r.close,b.close),
+        coalesce(r.adj_close,b.adj_close), coalesce(r.volume,b.volume), 'after' FROM bars b LEFT JOIN
+        (SELECT * FROM raw_bars WHERE bar_date >= DATE '2001-01-01' AND high >= low AND low > 0) r ON r.symbol=b.symbol AND r.bar_date=b.bar_date"""),
+    "sync_prices_table": sql("""SELECT symbol, bar_date, open, high, low, close, adj_close, volume, s AS state FROM (
+        SELECT b.*, b.bar_date < DATE '2000-01-01' AND b.symbol >= 'S00010' AS old,
+          b.bar_date > greatest(coalesce(t.m, DATE '1999-06-30'), DATE '1999-06-30') AS new FROM bars b LEFT JOIN (SELECT symbol, max(bar_date) AS m
+          FROM bars WHERE bar_date < DATE '2000-01-01' AND symbol >= 'S00010' GROUP BY symbol) t ON t.symbol=b.symbol),
+        LATERAL (SELECT unnest(['before', 'after']) AS s) WHERE old OR (new AND s = 'after')"""),
     "export_training": _out("symbol bar_date ~open ~high ~low ~close volume", """(SELECT symbol, bar_date, open*f AS open, high*f AS high,
         low*f AS low, adj_close AS close, volume FROM (SELECT *, CASE WHEN close<>0 THEN adj_close/close ELSE 1 END AS f,
         count(*) OVER (PARTITION BY symbol) AS n FROM bars WHERE bar_date <= DATE '2001-06-30') WHERE n >= 500)"""),
@@ -605,7 +614,7 @@ ORACLE: dict[str, str] = {
     "profit_gini": _out("strategy ~profit_gini", "(SELECT strategy, gini AS profit_gini FROM ginis)"),
     "audit_verdict": sql("SELECT strategy, verdict, count(*) OVER (PARTITION BY verdict) AS strategies FROM verdicts"),
     "trial_summary": sql("SELECT source, count(*) AS trials, count(*) FILTER (accepted) AS accepted FROM trials GROUP BY ROLLUP (source)"),
-    "forecast_metrics": _out('"group" label model horizon n ~return_mae_pp:8 ~price_mae:8 direction_hits ~direction_accuracy_pct ~balanced_accuracy_pct ~actual_up_pct ~actual_flat_pct ~predicted_nonflat_pct', "metrics"),
+    "forecast_metrics": _out('"group" label model horizon n ~return_mae_pp:8 ~price_mae:9 direction_hits ~direction_accuracy_pct ~balanced_accuracy_pct ~actual_up_pct ~actual_flat_pct ~predicted_nonflat_pct', "metrics"),
     "near_hits": _out("model horizon ~tolerance hits ~hit_pct", """(SELECT model, horizon, tolerance, count(*) FILTER (error_pp<=tolerance) AS hits,
         100.0::DOUBLE*count(*) FILTER (error_pp<=tolerance)/count(*) AS hit_pct FROM errors, (SELECT unnest([0.5::DOUBLE,1,2,5]) AS tolerance) GROUP BY ALL)"""),
     "quantile_calibration": sql(f"""SELECT model, horizon, count(*) AS n, {R('100.0*count(*) FILTER (quantiles[1]<=actual_price AND actual_price<=quantiles[9])/count(*)', 'interval_coverage_pct')},
@@ -701,6 +710,15 @@ ORACLE: dict[str, str] = {
         coalesce(r.low,b.low) AS low, coalesce(r.close,b.close) AS close, coalesce(r.adj_close,b.adj_close) AS adj_close,
         coalesce(r.volume,b.volume) AS volume FROM bars b LEFT JOIN (SELECT * FROM raw_bars WHERE bar_date >= DATE '2000-01-01' AND high >= low AND low > 0) r
         ON r.symbol=b.symbol AND r.bar_date=b.bar_date)"""),
+    "stream_price_table": _out(BAR, """(SELECT b.symbol, b.bar_date, coalesce(r.open,b.open) AS open, coalesce(r.high,b.high) AS high,
+        coalesce(r.low,b.low) AS low, coalesce(r.close,b.close) AS close, coalesce(r.adj_close,b.adj_close) AS adj_close,
+        coalesce(r.volume,b.volume) AS volume FROM bars b LEFT JOIN (SELECT * FROM raw_bars WHERE bar_date >= DATE '2000-01-01' AND high >= low AND low > 0) r
+        ON r.symbol=b.symbol AND r.bar_date=b.bar_date)"""),
+    "stream_pair_events_late": sql("""SELECT e.call_id, e.tool, e.status, s.ts AS started_at, e.ts AS ended_at, CAST(epoch_us(e.ts)//1000-epoch_us(s.ts)//1000 AS BIGINT) AS duration_ms,
+        CASE WHEN e.status='error' THEN left(regexp_replace(e.text, '[[:space:]]+', ' ', 'g'), 240) END AS error_text,
+        CASE WHEN s.ts IS NULL THEN 'no-start' ELSE 'late-start' END AS reason
+        FROM (SELECT * FROM calls WHERE kind='end') e LEFT JOIN (SELECT * FROM calls WHERE kind='start') s ON s.call_id=e.call_id AND s.ts<=e.ts"""),
+    "stream_trials_late": sql("SELECT source, count(DISTINCT run_record) AS trials FROM trials GROUP BY source"),
     "stream_trials": sql("SELECT source, count(DISTINCT run_record) AS trials FROM trials GROUP BY source"),
     "signal_rule": _out("strategy symbol signal_date seq side ~entry_min ~entry_max ~stop_loss ~target max_hold_days setup regime ~confidence", "signals"),
     "ensemble_signals": _out("strategy symbol signal_date side ~confidence", "signals"),

@@ -86,9 +86,10 @@ def market(bar_table: DataFrame) -> DataFrame:
     return daily.unpivot("bar_date", ["index", "volatility"], "role", "close").select("role", "bar_date", "close")
 
 
-def calendar_folds(spark: SparkSession) -> DataFrame:
-    """Seven yearly folds 1995..2001."""
-    years = spark.range(1995, 2002).select(F.col("id").cast("int").alias("y"))
+def calendar_folds(bar_table: DataFrame) -> DataFrame:
+    """Yearly folds from the first year of the bars to the last, numbered from 1995."""
+    years = bar_table.agg(F.min(F.year("bar_date")).alias("a"), F.max(F.year("bar_date")).alias("b")).where("a IS NOT NULL").select(
+        F.explode(F.sequence("a", "b")).alias("y"))
     return years.select(
         F.concat(F.lit("fold-"), (F.col("y") - 1994).cast("string")).alias("fold"),
         F.make_date("y", F.lit(1), F.lit(1)).alias("start"),

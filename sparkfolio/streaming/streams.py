@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as K
+from ..sources.price_table import PriceTable
 from ..sources.prices import require_valid, upsert_prices, with_problems
+from .states import CallPairs, FirstTrials, PAIRED, TRIAL_CHANGES
 
 JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -75,6 +77,27 @@ def current_prices(spark: SparkSession, table: str, base: DataFrame) -> DataFram
     return upsert_prices(base, spark.read.parquet(table).drop("batch"))
 
 
+def stream_into_table(spark: SparkSession, incoming: str, table: PriceTable, checkpoint: str, name: str = "prices",
+                      files_per_trigger: int = 100, compact_every: int = 20) -> StreamingQuery:
+    """Upsert arriving price files into a price table, each batch as one version of it.
+
+    A batch with a bad row commits nothing and stops the stream.  The table remembers the last batch of the stream
+    called ``name``, so a batch that is tried again after a lost driver changes nothing.  Every ``compact_every`` batches
+    the kept ones are folded into the base; a merge that fails leaves them, and the next one takes them along.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        table.upsert(require_valid(with_problems(batch)), name, number)
+        if len(table.manifest()["batches"]) >= compact_every:
+            table.compact()
+
+    return (
+        spark.readStream.schema(PRICE_FILE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+        .option("recursiveFileLookup", True).parquet(incoming).writeStream.foreachBatch(keep)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 # ---- trials -----------------------------------------------------------------------
 def distinct_trials(trials: DataFrame, delay: str = "1 day") -> DataFrame:
     """Trials with repeats of a run record dropped; on a stream, repeats within the watermark delay."""
@@ -111,3 +134,48 @@ def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     rows = spark.read.parquet(path).drop("batch")
     values = [name for name in rows.columns if name not in [*keys, "batch_no"]]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_no").alias("v")).select(*keys, "v.*")
+
+
+# ---- exact streams: state by key, no limit on how late a partner comes ---------------
+def with_state_store(spark: SparkSession) -> None:
+    """Keyed state needs the store that keeps it on disk rather than in memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def trial_changes(trials: DataFrame, days: int | None = None) -> DataFrame:
+    """(source, change): +1 for the first trial of a run record, whenever its repeats come.
+
+    An earlier trial that arrives later takes the record over: -1 for the source before, +1 for its own.  ``days`` drops
+    what is known about a record so long after its last row; by default it is kept, and counts equal the batch twin's.
+    """
+    with_state_store(trials.sparkSession)
+    return trials.select("run_record", "ts", "source").groupBy("run_record").transformWithStateInPandas(
+        FirstTrials(days), TRIAL_CHANGES, "Append", "None" if days is None else "ProcessingTime")
+
+
+def counts_of_changes(changes: DataFrame) -> DataFrame:
+    """Distinct run records per source from all changes so far."""
+    return changes.groupBy("source").agg(F.sum("change").alias("trials")).where(F.col("trials") > 0)
+
+
+def pair_changes(events: DataFrame, days: int | None = None) -> DataFrame:
+    """Ends and their starts as they become known, however late either comes, with a ``reason``.
+
+    ``paired``: the start was there; ``no-start``: none is there yet; ``late-start``: it came after its end, whose row
+    without a start is thereby out of date.  ``days`` drops a call so long after its last record; by default it is kept.
+    """
+    with_state_store(events.sparkSession)
+    return events.groupBy("call_id").transformWithStateInPandas(
+        CallPairs(days), PAIRED, "Append", "None" if days is None else "ProcessingTime")
+
+
+def pairs_of_changes(changes: DataFrame) -> DataFrame:
+    """The table that ``pair_events`` gives for the same records: rows without a start go once a start is known."""
+    known = changes.groupBy("call_id", "end_no").agg(F.max(F.col("started_at").isNotNull()).alias("known"))
+    rows = changes.join(known, ["call_id", "end_no"]).where(F.col("started_at").isNotNull() | ~F.col("known"))
+    error = F.substring(F.regexp_replace("text", r"\s+", " "), 1, K.ERROR_TEXT_LIMIT)
+    return rows.select(
+        "call_id", "tool", "status", "started_at", "ended_at",
+        (F.unix_millis("ended_at") - F.unix_millis("started_at")).alias("duration_ms"),
+        F.when(F.col("status") == "error", error).alias("error_text"), "reason")
