@@ -11,27 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import written
 
 
 def ordered_positions(df: DataFrame, keys: list[str], order: list[str], position: str = "pos",
                       size: str = "group_rows") -> DataFrame:
     """Add 0-based ``position`` in each group by ``order``, and the group's row count ``size``.
 
-    The tagged rows are checkpointed to the shared folder: range bounds come from a sample, so
-    the two uses below must read one materialised result, also when an executor is lost.
+    The tagged rows are written to the shared folder: range bounds come from a sample, so the two uses
+    below must read one materialised result, also when an executor is lost.
     """
-    shared_folder(df.sparkSession)
     if not keys:
         return ordered_positions(df.withColumn("_all", F.lit(0)), ["_all"], order, position, size).drop("_all")
     sort = [F.col(name) for name in keys + order]
-    tagged = (
+    tagged = written(
         df.repartitionByRange(*sort)
         .sortWithinPartitions(*sort)
         .withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright(F.col("_row"), 33))
-        .checkpoint()
-    )
+        .withColumn("_part", F.shiftright(F.col("_row"), 33)), "positions")
     pieces = tagged.groupBy(*keys, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     # At most one row per (group, partition): this window is small by construction.
     by_group = Window.partitionBy(*keys)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +15,15 @@ from ..functions.numbers import clamp
 from ..functions.trading import (expected_r, logit, normal_confidence, proposal_problems, reward_risk, sigmoid,
                                  worst_entry)
 from ..functions.ordering import ordered_positions
-from ..session import shared_folder
+from ..session import written
 from . import features
 
 PROPOSAL_COLUMNS = ["strategy", "symbol", "signal_date", "seq", "side", "entry_min", "entry_max", "stop_loss",
                     "target", "max_hold_days", "setup", "regime", "confidence"]
 
+SIGNAL_TYPES = [(name, pa.date32() if name == "signal_date" else pa.int32() if name in ("seq", "max_hold_days") else pa.string()
+                 if name in ("strategy", "symbol", "side", "setup", "regime") else pa.float64()) for name in PROPOSAL_COLUMNS]
+
 
 # ---- rules ----------------------------------------------------------------------
 def proposal(strategy: str, side: Column, entry_min: Column, entry_max: Column, stop_loss: Column, target: Column,
@@ -44,30 +48,49 @@ def signal_rule_pandas(seq_bars: DataFrame, rule: Callable[[dict[str, np.ndarray
                        lookback: int = K.LOOKBACK_BARS) -> DataFrame:
     """Proposals of a Python rule that sees the trailing ``lookback`` bars only.
 
-    Slow path for rules that Columns cannot express.  Each row carries its own bounded history (one
-    array per field), so rows run anywhere; a rule that raises counts as no signal.
+    For rules that Columns cannot express.  Bars cross to Python once, in order of symbol and date; a task keeps the
+    last ``lookback - 1`` bars of the symbol at hand, and each window is a read-only view into what it holds, so memory
+    is a batch however long a history is.  A rule that raises counts as no signal.
     """
     fields = ["open", "high", "low", "close", "volume"]
-    windows = features.lookback_bars(seq_bars, lookback).select(
-        "symbol", "bar_date", "seq", *[F.col(f"history.{name}").alias(name) for name in fields])
     schema = ("strategy string, symbol string, signal_date date, seq int, side string, entry_min double, "
               "entry_max double, stop_loss double, target double, max_hold_days int, setup string, regime string, "
               "confidence double")
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, symbol_before = None, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            symbols, dates = batch.column(0).to_pylist(), batch.column(1)
+            seq = batch.column(2).to_numpy()
+            values = [column.to_numpy(zero_copy_only=False) for column in batch.columns[3:]]
+            starts = [i for i in range(len(symbols)) if i == 0 or symbols[i] != symbols[i - 1]]
             found = []
-            for row in batch.itertuples(index=False):
-                try:
-                    answer = rule({name: getattr(row, name) for name in fields})
-                except Exception:
-                    answer = None
-                if answer:
-                    found.append({"strategy": strategy, "symbol": row.symbol, "signal_date": row.bar_date,
-                                  "seq": row.seq, **answer})
-            yield pd.DataFrame(found, columns=PROPOSAL_COLUMNS)
-
-    return windows.mapInPandas(run, schema)
+            for start, end in zip(starts, [*starts[1:], len(symbols)], strict=True):
+                parts = [x[start:end] for x in values]
+                kept = 0
+                if start == 0 and held is not None and symbols[0] == symbol_before:
+                    kept = len(held[0])
+                    parts = [np.concatenate((old, new)) for old, new in zip(held, parts, strict=True)]
+                for x in parts:
+                    x.flags.writeable = False
+                views = [sliding_window_view(x, lookback) for x in parts] if len(parts[0]) >= lookback else []
+                first = max(0, lookback - 1 - kept)  # the first new bar whose window is full
+                for i in range(first, end - start) if views else ():
+                    try:
+                        answer = rule({name: view[i + kept - lookback + 1] for name, view in zip(fields, views, strict=True)})
+                    except Exception:
+                        answer = None
+                    if answer:
+                        found.append({"strategy": strategy, "symbol": symbols[start], "signal_date": dates[start + i].as_py(),
+                                      "seq": int(seq[start + i]), **answer})
+                held, symbol_before = [x[-(lookback - 1):] if lookback > 1 else x[:0] for x in parts], symbols[end - 1]
+            columns = [pa.array([row[name] for row in found], kind) for name, kind in SIGNAL_TYPES]
+            yield pa.RecordBatch.from_arrays(columns, names=PROPOSAL_COLUMNS)
+
+    ordered = seq_bars.select("symbol", "bar_date", "seq", *fields).repartition("symbol").sortWithinPartitions("symbol", "bar_date")
+    return ordered.mapInArrow(run, schema)
 
 
 def validate_proposals(proposals: DataFrame) -> DataFrame:
@@ -225,8 +248,7 @@ def daily_top_k(candidates: DataFrame, k: int, liquidity_floor: float = 0.0) ->
     if liquidity_floor > 0:
         candidates = candidates.where(F.col("traded_value") >= F.lit(float(liquidity_floor)))
     # Read three times below, so the graded candidates are cut from their lineage once.
-    shared_folder(candidates.sparkSession)
-    candidates = candidates.checkpoint()
+    candidates = written(candidates, "candidates")
     known = candidates.where(F.col("expected_r").isNotNull()).select("signal_date", "expected_r")
     middle = ordered_positions(known, ["signal_date"], ["expected_r"]).where(
         F.col("pos") == F.floor(F.col("group_rows") / 2)).select("signal_date", F.col("expected_r").alias("_median"))

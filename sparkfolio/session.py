@@ -52,6 +52,42 @@ def stored(spark: SparkSession, source: str, name: str, build: Callable[[], Data
     return spark.read.parquet(path)
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def record_written(spark: SparkSession, path: str) -> str:
+    """Remember an intermediate table, so that ``clear_written`` can delete it."""
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a new folder beneath the shared folder, and read from there.
+
+    What follows reads columns of a table instead of computing ``df`` again, also after a lost executor.
+    """
+    spark = df.sparkSession
+    path = record_written(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_written(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
+    """Delete the intermediate tables written so far, but for paths that start with one in ``keep``; returns how many.
+
+    To be called when results that read them have been collected or written.  Tables of ``stored`` stay.
+    """
+    held = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf, gone = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for name in held:
+        if name.startswith(tuple(keep)) if keep else False:
+            record_written(spark, name)
+            continue
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Checkpoint folder that every executor can reach.
 

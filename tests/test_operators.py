@@ -306,6 +306,39 @@ def test_choose_risk_rate_tiers(spark):
     assert got == {"conservative": 0.005, "moderate": 0.01, "aggressive": 0.015}
 
 
+def test_python_rules_see_each_window_once(spark):
+    """Windows that cross batches and symbols, a rule that raises or writes, and short histories."""
+    rng, rows = random.Random(5), []
+    for symbol, n in (("A", 23), ("B", 4), ("C", 5), ("D", 1), ("E", 60)):
+        for i in range(n):
+            p = rng.uniform(90, 110)
+            rows.append((symbol, dt.date(2020, 1, 1) + dt.timedelta(days=i), p, p + 1, p - 1, p + 0.5, i, i + 1))
+    bars = spark.createDataFrame(rows, "symbol string, bar_date date, open double, high double, low double, close double, volume bigint, seq int")
+    want = set()
+    for symbol, day_, *_, seq in rows:
+        closes = [r[5] for r in rows if r[0] == symbol][:seq][-5:]
+        if len(closes) == 5 and closes[-1] < sum(closes) / 5:
+            want.add((symbol, day_, seq, closes[0], round(sum(closes), 6)))
+
+    def rule(history):
+        close = history["close"]
+        assert len(close) == 5
+        if close[-1] >= close.mean():
+            return None
+        return {"side": "long", "entry_min": float(close[0]), "entry_max": round(float(sum(close)), 6), "stop_loss": 1.0, "target": None,
+                "max_hold_days": 3, "setup": "x", "regime": "y", "confidence": None}
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        fired = signals.signal_rule_pandas(bars, rule, "r", lookback=5)
+        assert {(r.symbol, r.signal_date, r.seq, r.entry_min, r.entry_max) for r in fired.collect()} == want and len(want) > 20
+        assert "collect_list" not in fired._jdf.queryExecution().toString()
+        for broken in (lambda h: h["none"], lambda h: h["close"].sort()):
+            assert signals.signal_rule_pandas(bars, broken, "r", lookback=5).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # ---- bars, signals, outcomes ----------------------------------------------------------
 def test_screen_finds_a_planted_jump(spark):
     rows, close = [], 100.0
