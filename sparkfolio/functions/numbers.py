@@ -45,3 +45,17 @@ def guard(rows: DataFrame, ok: Column, message: Column) -> DataFrame:
     the optimizer from moving it below earlier joins and filters, where it would see rows that those leave out.
     """
     return rows.where(F.when(ok, F.monotonically_increasing_id() >= 0).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def exact_text(value: Column) -> Column:
+    """A double as text that names its bits: 53-bit whole mantissa, ``p``, negated power of two; zero of either sign is 0.
+
+    Scaling by powers of two is exact, so equal texts mean equal numbers, whatever an engine's way to print doubles.
+    """
+    power = F.lit(52) - F.floor(F.log2(F.abs(value)))
+    half = F.floor(power / 2)
+    scaled = value * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
+    text = lambda mantissa, shift: F.concat(mantissa.cast("bigint").cast("string"), F.lit("p"), (power + shift).cast("bigint").cast("string"))
+    # The logarithm may be off by one beside a power of two.
+    return (F.when(value == 0, F.lit("0")).when(F.abs(scaled) >= F.lit(2.0**53), text(scaled / 2, -1))
+            .when(F.abs(scaled) < F.lit(2.0**52), text(scaled * 2, 1)).otherwise(text(scaled, 0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.numbers import fixed
+from ..functions.numbers import exact_text, fixed
 from .scoring import fold_trade_counts, profit_ranks, sample_adequacy_gate
 
 TRADE_KEY = ["symbol", "fold", "entry_date", "exit_date"]
@@ -306,24 +306,37 @@ def weakest_strategy(scored: DataFrame) -> DataFrame:
 
 
 # ---- admission --------------------------------------------------------------------
-def trade_fingerprint(trades: DataFrame, keys: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """One fingerprint per group that ignores row order: equal multisets, equal fingerprints.
+DIGEST = [f"s{i}" for i in range(4)]
+
+
+def row_sums(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows and sums of the four parts of their hashes, per group: what a fingerprint is made of.
 
-    Row hashes are cut into four integers that are summed, then hashed.  Sums combine before the
-    shuffle, so no group is ever gathered or sorted.
+    Sums combine before the shuffle, so no group is gathered or sorted, and sums of groups add up to those of their union.
     """
-    keys, columns = keys or ["strategy"], columns or TRADE_KEY
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
-    hashed = trades.select(*keys, row.alias("h"))
-    parts = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"s{i}")
-             for i in range(4)]
-    return hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *parts).select(
-        *keys, "rows", F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *[
-            F.col(f"s{i}").cast("string") for i in range(4)]), 256).alias("fingerprint"))
+    kinds = dict(rows.dtypes)
+    text = lambda c: exact_text(F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string")
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(text(c), F.lit("~")) for c in columns]), 256)
+    parts = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").alias(name)
+             for i, name in enumerate(DIGEST)]
+    return rows.select(*keys, row.alias("h")).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *parts)
 
 
-def dataset_fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Content fingerprint per group over all other columns; a value that is not finite is an error."""
+def fingerprints(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Fingerprint per group from sums of its parts (rows that ``row_sums`` gave for finer keys, or the same)."""
+    whole = sums.groupBy(*keys).agg(F.sum("rows").alias("rows"), *[F.sum(name).alias(name) for name in DIGEST])
+    return whole.select(*keys, "rows", F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *[
+        F.col(name).cast("decimal(38,0)").cast("string") for name in DIGEST]), 256).alias("fingerprint"))
+
+
+def trade_fingerprint(trades: DataFrame, keys: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """One fingerprint per group that ignores row order: equal multisets, equal fingerprints."""
+    keys = keys or ["strategy"]
+    return fingerprints(row_sums(trades, keys, columns or TRADE_KEY), keys)
+
+
+def dataset_sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``row_sums`` over all other columns; a value that is not finite is an error."""
     columns = [name for name in rows.columns if name not in keys]
     checked = rows
     for name, kind in rows.dtypes:
@@ -331,7 +344,35 @@ def dataset_fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
             bad = F.isnan(name) | (F.abs(F.col(name)) == F.lit(float("inf")))
             checked = checked.withColumn(name, F.when(~F.coalesce(bad, F.lit(False)), F.col(name)).otherwise(
                 F.raise_error(F.lit(f"not finite: {name}")).cast("double")))
-    return trade_fingerprint(checked, keys, columns)
+    return row_sums(checked, keys, columns)
+
+
+def dataset_fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Content fingerprint per group over all other columns, doubles by their bits."""
+    return fingerprints(dataset_sums(rows, keys), keys)
+
+
+def price_sums(bars: DataFrame) -> DataFrame:
+    """Leaves of the digest tree of a price table: sums per symbol and year."""
+    return dataset_sums(bars.withColumn("year", F.year("bar_date")), ["symbol", "year"])
+
+
+def digest_tree(sums: DataFrame) -> DataFrame:
+    """Fingerprints by level: ``leaf`` (symbol and year), ``symbol``, ``table``; one aggregation of the leaves."""
+    whole = sums.groupingSets([["symbol", "year"], ["symbol"], []], "symbol", "year").agg(
+        F.sum("rows").alias("rows"), *[F.sum(name).alias(name) for name in DIGEST],
+        F.grouping("year").alias("_y"), F.grouping("symbol").alias("_s"))
+    level = F.when(F.col("_s") == 1, "table").when(F.col("_y") == 1, "symbol").otherwise("leaf")
+    return whole.select(level.alias("level"), "symbol", "year", "rows", F.sha2(F.concat_ws("|", F.col("rows").cast("string"), *[
+        F.col(name).cast("decimal(38,0)").cast("string") for name in DIGEST]), 256).alias("fingerprint"))
+
+
+def refreshed_sums(table: PriceTable, known: DataFrame, since: int, version: int | None = None) -> DataFrame:
+    """Leaves of a version of the table from those of version ``since``: only years that changed are read again."""
+    years = table.changed_years(since, version)
+    if not years:
+        return known
+    return known.where(~F.col("year").isin(years)).unionByName(price_sums(table.read(version, years)))
 
 
 def scoring_basis_changed(current: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -62,13 +62,16 @@ def fold_calendar(latest: DataFrame, fold_start: str, months: int, training_end:
 def warmup_slice(seq_bars: DataFrame, folds: DataFrame, warmup: int = K.LOOKBACK_BARS) -> DataFrame:
     """Bars of each fold and the ``warmup`` bars before its first one, per symbol.
 
-    The first position per (symbol, fold) is small; it is joined on the symbol, then compared.
+    A symbol's first and last positions in each fold are one array row.  A bar is joined with its symbol's row only,
+    searches it, and is repeated for the spans that hold it and no others.
     """
-    span = assign_fold(seq_bars.select("symbol", "bar_date", "seq"), folds, "bar_date").groupBy("symbol", "fold").agg(
-        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
-    return seq_bars.join(span, "symbol").where(
-        (F.col("seq") >= F.col("first_seq") - warmup) & (F.col("seq") <= F.col("last_seq"))
-    ).withColumn("warmup", F.col("seq") < F.col("first_seq")).drop("first_seq", "last_seq")
+    spans = assign_fold(seq_bars.select("symbol", "bar_date", "seq"), folds, "bar_date").groupBy("symbol", "fold").agg(
+        F.min("seq").alias("first"), F.max("seq").alias("last")).groupBy("symbol").agg(
+        F.sort_array(F.collect_list(F.struct("first", "last", "fold"))).alias("_spans"))  # as many as folds: MAX_FOLDS
+    seq = F.col("seq")
+    held = F.filter("_spans", lambda x: (x["first"] - warmup <= seq) & (seq <= x["last"]))
+    return seq_bars.join(spans, "symbol").withColumn("_span", F.explode(held)).withColumn("fold", F.col("_span.fold")).withColumn(
+        "warmup", seq < F.col("_span.first")).drop("_spans", "_span")
 
 
 def window_dates(slices: DataFrame) -> DataFrame:

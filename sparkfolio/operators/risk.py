@@ -205,20 +205,14 @@ def ruin_bootstrap(walked: DataFrame, ruin_drawdown: float = K.RUIN_DRAWDOWN, qu
         F.max(F.when(at, F.col("max_drawdown"))).alias("drawdown95"))
 
 
-def _running(rows: pd.DataFrame) -> pd.DataFrame:
-    """Running product of the growth factors in order of ``at``."""
-    rows = rows.sort_values("at")
-    return rows.assign(growth=rows["growth"].cumprod())
-
-
 def capital_envelope(pool: DataFrame, dates: DataFrame, walked: DataFrame, rates: list[float],
                      initial: float = K.INITIAL_CAPITAL) -> DataFrame:
     """The 5/50/95 percentile paths by final capital, point by point, dated by the trades' exits.
 
     Step s of a path is dated by exit s-1; step 0 by the first date.  Three paths per strategy and rate
-    are walked again; points come from an equi join on the drawn position, and running capital is a
-    product within runs of 4,096 steps times the product of the runs before, so a long path is never held by
-    one task and a loss beyond the capital stays a loss.
+    are walked again; points come from an equi join on the drawn position.  Running capital is a segmented scan: sums of
+    logarithms, signs and zeros within runs of 4,096 steps, plus those of the runs before, so a long path is never held
+    by one task and a loss beyond the capital stays a loss.
     """
     order = Window.partitionBy("strategy", "rate").orderBy("final", "path")
     ranked = walked.withColumn("_i", F.row_number().over(order) - 1).withColumn(
@@ -237,13 +231,18 @@ def capital_envelope(pool: DataFrame, dates: DataFrame, walked: DataFrame, rates
     key = ["strategy", "rate", "band"]
     grown = picks.join(pool.select("strategy", "pos", "r").hint("merge"), ["strategy", "pos"]).select(
         *key, "run", F.col("step").alias("at"), (1 + F.col("rate") * F.col("r")).alias("growth"))
-    inside = grown.groupBy(*key, "run").applyInPandas(_running, grown.schema)
-    whole = inside.groupBy(*key, "run").agg(F.max_by("growth", "at").alias("growth")).withColumnRenamed("run", "at")
-    before = whole.groupBy(*key).applyInPandas(_running, whole.schema).select(
-        *key, (F.col("at") + 1).alias("run"), F.col("growth").alias("_before"))
-    points = inside.join(before, [*key, "run"], "left").select(
-        *key, (F.col("at") + 1).alias("step"),
-        (F.lit(float(initial)) * F.coalesce("_before", F.lit(1.0)) * F.col("growth")).alias("capital"))
+    growth = F.col("growth")
+    parts = [F.when(growth != 0, F.ln(F.abs(growth))).otherwise(0.0).alias("log"), (growth < 0).cast("bigint").alias("below"),
+             (growth == 0).cast("bigint").alias("lost")]
+    sums = ["log", "below", "lost"]
+    so_far = Window.partitionBy(*key, "run").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    inside = grown.select(*key, "run", "at", *parts).select(*key, "run", "at", *[F.sum(x).over(so_far).alias(x) for x in sums])
+    runs_before = Window.partitionBy(*key).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # a row per run
+    before = grown.select(*key, "run", *parts).groupBy(*key, "run").agg(*[F.sum(x).alias(x) for x in sums]).select(
+        *key, "run", *[F.coalesce(F.sum(x).over(runs_before), F.lit(0)).alias(f"_{x}") for x in sums])
+    sign = F.when(F.col("lost") + F.col("_lost") > 0, 0.0).when((F.col("below") + F.col("_below")) % 2 == 1, -1.0).otherwise(1.0)
+    points = inside.join(before, [*key, "run"]).select(
+        *key, (F.col("at") + 1).alias("step"), (F.lit(float(initial)) * sign * F.exp(F.col("log") + F.col("_log"))).alias("capital"))
     opening = chosen.select(*key, F.lit(0).cast("bigint").alias("step"), F.lit(float(initial)).alias("capital"))
     dated = points.join(dates.select("strategy", (F.col("pos") + 1).alias("step"), F.col("exit_date").alias("bar_date")),
                         ["strategy", "step"])

@@ -34,6 +34,23 @@ def uniform(source: str) -> str:
           SELECT *, (seed::UBIGINT % {m} + ((k::UBIGINT + 1) % {m} * 1831565813::UBIGINT) % {m}) % {m} AS a0 FROM ({source})))))"""
 
 
+def bits(x: str) -> str:
+    """Text that names the bits of a double: whole mantissa, p, negated power of two."""
+    k = f"(52 - CAST(floor(log2(abs({x}))) AS INTEGER))"
+    m = f"({x} * pow(2.0::DOUBLE, {k} // 2) * pow(2.0::DOUBLE, {k} - {k} // 2))"
+    return f"""CASE WHEN {x} IS NULL THEN '~' WHEN {x} = 0 THEN '0'
+      WHEN abs({m}) >= 9007199254740992 THEN CAST({m}/2 AS BIGINT) || 'p' || ({k} - 1)
+      WHEN abs({m}) < 4503599627370496 THEN CAST({m}*2 AS BIGINT) || 'p' || ({k} + 1) ELSE CAST({m} AS BIGINT) || 'p' || {k} END"""
+
+
+def digests(source: str, keys: str, columns: str) -> str:
+    """Rows and summed parts of row hashes by group; ``columns`` are texts."""
+    sums = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::UBIGINT)::HUGEINT AS s{i}" for i in range(4))
+    return f"SELECT {keys}, count(*) AS rows, {sums} FROM (SELECT {keys}, sha256(concat_ws('|', {columns})) AS h FROM {source}) GROUP BY {keys}"
+
+
+BAR_BITS = ", ".join(bits(x) for x in ("open", "high", "low", "close", "adj_close"))
+
 PARTS: dict[str, str] = {
     "bars": _bars("100*(1+l_discount-l_tax)+l_quantity/100"),
     "raw_bars": _bars("l_extendedprice/l_quantity"),
@@ -389,6 +406,22 @@ PARTS: dict[str, str] = {
       CASE WHEN profile='aggressive' AND tier=1 OR profile='conservative' AND later=1 THEN -return_pct ELSE 0 END,
       CASE WHEN profile='conservative' AND later=1 THEN max_drawdown_pct ELSE 0 END,
       CASE WHEN profile='conservative' AND later=1 THEN drawdown95 ELSE 0 END, CASE WHEN profile='aggressive' THEN -rate ELSE rate END) = 1""",
+    "envelope_walks": """
+    SELECT strategy, path, step, CASE WHEN lost > 0 THEN 0 WHEN below % 2 = 1 THEN -exp(g) ELSE exp(g) END AS multiple FROM (
+      SELECT w.strategy, w.path, w.step, sum(CASE WHEN 1+0.01::DOUBLE*r <> 0 THEN ln(abs(1+0.01::DOUBLE*r)) ELSE 0 END) OVER o AS g,
+        sum(CASE WHEN 1+0.01::DOUBLE*r < 0 THEN 1 ELSE 0 END) OVER o AS below, sum(CASE WHEN 1+0.01::DOUBLE*r = 0 THEN 1 ELSE 0 END) OVER o AS lost
+      FROM walk_picks w JOIN pool p USING (strategy, pos) WHERE rate = 0.01::DOUBLE
+      WINDOW o AS (PARTITION BY w.strategy, w.path ORDER BY w.step))""",
+    "envelope_paths": """
+    SELECT strategy, path, band FROM (
+      SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY final, path) - 1 AS i FROM (
+        SELECT strategy, path, arg_max(multiple, step) AS final FROM envelope_walks GROUP BY ALL))
+    JOIN (VALUES (25, 'p5'), (250, 'p50'), (475, 'p95')) v(spot, band) ON i = spot""",
+    "upserted_bars": """
+    SELECT b.symbol, b.bar_date, coalesce(r.open,b.open) AS open, coalesce(r.high,b.high) AS high, coalesce(r.low,b.low) AS low,
+      coalesce(r.close,b.close) AS close, coalesce(r.adj_close,b.adj_close) AS adj_close, coalesce(r.volume,b.volume) AS volume
+    FROM bars b LEFT JOIN (SELECT * FROM raw_bars WHERE bar_date >= DATE '2001-01-01') r ON r.symbol=b.symbol AND r.bar_date=b.bar_date""",
+    "digest_leaves": digests("(SELECT *, year(bar_date) AS year FROM upserted_bars)", "symbol, year", "bar_date, " + BAR_BITS + ", volume"),
     "prints": """
     SELECT strategy, right(strategy, 1) AS rule, md5(string_agg(k, ';' ORDER BY k)) AS print FROM
       (SELECT strategy, concat_ws('|', symbol, fold, entry_date, exit_date) AS k FROM trades) GROUP BY strategy""",
@@ -728,9 +761,26 @@ ORACLE: dict[str, str] = {
         FROM checked_rows WHERE problems = ''"""),
     "read_universe": sql("""SELECT concat('S', lpad(CAST(s_suppkey AS VARCHAR), 5, '0')) AS symbol, s_name AS name, CAST(s_nationkey AS VARCHAR) AS sector,
         'member' AS status FROM supplier WHERE s_acctbal >= 0"""),
-    "read_artifacts": sql("SELECT strategy, symbol, fold, entry_date, exit_date FROM trades"),
+    "read_artifacts": sql("""SELECT strategy, symbol, fold, entry_date, exit_date, round(profit, 2) + 0.0 AS profit FROM trades
+        UNION ALL SELECT DISTINCT strategy, 'unknown', 'odd', NULL::DATE, NULL::DATE, 1.5::DOUBLE FROM trades"""),
     "write_artifact": _out("strategy fold ~score", "fold_scores"),
     "forecast_store": _out("campaign symbol origin model horizon ~forecast_price", """(SELECT 'c1' AS campaign, * FROM forecasts WHERE model<>'empirical')"""),
+    "dataset_fingerprint": sql("SELECT symbol, rows, sha256(concat_ws('|', rows, s0, s1, s2, s3)) AS fingerprint FROM ("
+        + digests("bars", "symbol", "bar_date, " + BAR_BITS + ", volume") + ")"),
+    "dataset_digest_tree": sql("""SELECT CASE WHEN grouping(symbol)=1 THEN 'table' WHEN grouping(year)=1 THEN 'symbol' ELSE 'leaf' END AS level,
+        symbol, year, CAST(sum(rows) AS BIGINT) AS rows, sha256(concat_ws('|', sum(rows), sum(s0), sum(s1), sum(s2), sum(s3))) AS fingerprint
+        FROM digest_leaves GROUP BY GROUPING SETS ((symbol, year), (symbol), ())"""),
+    "capital_envelope": sql("""SELECT strategy, 0.01::DOUBLE AS rate, band, step, bar_date, floor(10000*multiple*100+0.5::DOUBLE)/100 AS capital FROM (
+        SELECT strategy, band, CAST(step+1 AS BIGINT) AS step, multiple FROM envelope_walks JOIN envelope_paths USING (strategy, path)
+        UNION ALL SELECT strategy, band, 0, 1.0 FROM envelope_paths) JOIN (
+          SELECT strategy, exit_date AS bar_date, row_number() OVER o AS step FROM outcomes WINDOW o AS (PARTITION BY strategy ORDER BY exit_date, entry_date, symbol, seq)
+          UNION ALL SELECT strategy, min(exit_date), 0 FROM outcomes GROUP BY strategy) USING (strategy, step)"""),
+    "artifact_losses": sql("""SELECT strategy, list, CAST(sum(ok) AS BIGINT) AS members, CAST(sum(bad) AS BIGINT) AS dropped FROM (
+        SELECT strategy, 'trades' AS list, 1 AS ok, 0 AS bad FROM trades UNION ALL
+        SELECT DISTINCT strategy, 'trades', 1, 3 FROM trades UNION ALL
+        SELECT strategy, unnest(['segments', 'folds']), 1, 0 FROM fold_scores UNION ALL
+        SELECT DISTINCT strategy, 'segments', 0, 1 FROM trades UNION ALL
+        SELECT NULL, 'line', 0, count(DISTINCT strategy) FROM trades) GROUP BY strategy, list"""),
     "scoring_basis_changed": sql("SELECT symbol, bool_or(bar_date = DATE '2000-01-03') AS changed FROM bars GROUP BY symbol"),
     "marked_equity": _out("strategy bar_date ~equity", """(SELECT strategy, bar_date, 10000 + sum(coalesce(p,0)) OVER (PARTITION BY strategy ORDER BY bar_date) + coalesce(u,0) AS equity FROM
         (SELECT strategy, exit_date AS bar_date, sum(profit) AS p FROM outcomes GROUP BY ALL) FULL JOIN

@@ -28,7 +28,7 @@ from ..operators import resample as Z
 from ..operators import risk as Q
 from ..operators import scoring as S
 from ..operators import signals as G
-from ..session import shared_folder, stored
+from ..session import record_written, shared_folder, stored, written
 from ..sources import artifacts, derived, forecast_store, prices
 from ..sources.price_table import PriceTable
 from ..streaming import streams
@@ -211,7 +211,7 @@ class Tables:
     def folder_for(self, name: str) -> str:
         """A fresh folder in the shared checkpoint folder."""
         root = shared_folder(self.spark)
-        return f"{root}/{name}-{uuid.uuid4().hex}"
+        return record_written(self.spark, f"{root}/{name}-{uuid.uuid4().hex}")
 
 
 # ---- sources ----------------------------------------------------------------------
@@ -318,11 +318,27 @@ def export_training_forecasts(t: Tables) -> DataFrame:
     return prices.training_forecasts(t.forecasts, TRAINING_END)
 
 
-@query
-def read_artifacts(t: Tables) -> DataFrame:
+def _artifact_files(t: Tables) -> DataFrame:
+    """Artifacts of all strategies, a broken one of each, and lines that are no JSON."""
     path = t.folder_for("artifacts")
     artifacts.write_artifacts(t.trades, t.fold_results.join(t.folds, "fold"), t.scores.select("strategy", "score"), path)
-    return artifacts.artifact_trades(artifacts.read_artifacts(t.spark, path)).drop("profit")
+    member = lambda **values: F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in values.items()]))
+    listed = F.concat_ws(",", member(symbol=5, fold="odd", profit=1.5), member(fold="odd", profit="1.5"), member(fold=3, profit=1.0), F.lit("7"))
+    line = F.concat(F.lit('{"strategy":"'), F.col("strategy"), F.lit('","trades":['), listed, F.lit('],"segments":"none"}'))
+    names = t.trades.select("strategy").distinct()
+    names.select(line.alias("value")).union(names.select(F.concat(F.lit('{"strategy": "'), "strategy"))).write.mode("append").text(path)
+    return artifacts.read_artifacts(t.spark, path)
+
+
+@query
+def read_artifacts(t: Tables) -> DataFrame:
+    return artifacts.artifact_trades(_artifact_files(t))
+
+
+@query
+def artifact_losses(t: Tables) -> DataFrame:
+    """Members kept and dropped by list, over whole and broken artifacts."""
+    return artifacts.artifact_losses(_artifact_files(t))
 
 
 @query
@@ -801,6 +817,17 @@ def dataset_fingerprint(t: Tables) -> DataFrame:
     return E.dataset_fingerprint(t.bars, ["symbol"])
 
 
+@query
+def dataset_digest_tree(t: Tables) -> DataFrame:
+    """Fingerprints of a table's second version from those of the first: only the year that a batch touched is read."""
+    table = PriceTable(t.spark, t.folder_for("price-table"))
+    first = table.overwrite(t.bars)
+    known = written(E.price_sums(table.read(first)), "digests")
+    late = t.raw_bars.where(F.col("bar_date") >= F.lit("2001-01-01").cast("date")).join(
+        t.bars.select("symbol", "bar_date"), ["symbol", "bar_date"], "left_semi")
+    return E.digest_tree(E.refreshed_sums(table, known, first, table.upsert(late)))
+
+
 @query
 def scoring_basis_changed(t: Tables) -> DataFrame:
     edited = t.bars.withColumn("close", F.when(

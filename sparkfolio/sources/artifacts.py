@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import ordered_positions
 
-ARTIFACT_SCHEMA = """
-    strategy string,
-    primary struct<name:string,value:double,direction:string>,
-    checks array<struct<name:string,passed:boolean>>,
-    secondary array<struct<name:string,value:double,direction:string>>,
-    segments array<struct<name:string,group:string,value:double,passed:boolean>>,
-    folds array<struct<name:string,start:string,end:string>>,
-    trades array<struct<symbol:string,fold:string,entryDate:string,exitDate:string,profit:double>>
-"""
 LEDGER_SCHEMA = """
     timestamp string, source string, score double, error string, accepted boolean, hypothesisId string,
     cycleId string, runRecord string, artifactFile string
@@ -50,32 +41,90 @@ def write_artifacts(trades: DataFrame, fold_results: DataFrame, scores: DataFram
     rows.write.mode("overwrite").json(path)
 
 
+LISTS = ("trades", "segments", "folds")
+
+
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Artifact files with an explicit schema; a line that is no JSON object gives a row of nulls."""
-    return spark.read.schema(ARTIFACT_SCHEMA).json(path)
+    """Artifact lines as (strategy, body), ``body`` a VARIANT: members are judged one by one when they are taken out.
+
+    A line that is no JSON object gives a row of nulls, so it can be counted; ``strategy`` must be text.
+    """
+    body = F.try_parse_json("value")
+    return spark.read.text(path).select(body.alias("body")).select(
+        _text("body", "strategy").alias("strategy"), F.when(F.schema_of_variant("body").startswith("OBJECT"), F.col("body")).alias("body"))
+
+
+def _kind(member: str, name: str) -> Column:
+    """JSON type of a member's field: STRING, BIGINT, DOUBLE, DECIMAL(..), BOOLEAN, VOID, ARRAY<..>, OBJECT<..>, or null."""
+    return F.schema_of_variant(F.try_variant_get(member, f"$.{name}", "variant"))
+
+
+def _text(member: str, name: str) -> Column:
+    """A field that is text, else null: numbers are not read as text."""
+    return F.when(_kind(member, name) == "STRING", F.try_variant_get(member, f"$.{name}", "string"))
+
+
+def _number(member: str, name: str) -> Column:
+    """A field that is a number, else null: text is not read as a number."""
+    return F.when(_kind(member, name).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(member, f"$.{name}", "double"))
+
+
+def _members(artifacts: DataFrame, name: str) -> DataFrame:
+    """A row per member of a list; a list of another type has none."""
+    return artifacts.select("strategy", F.explode(F.try_variant_get("body", f"$.{name}", "array<variant>")).alias("m"))
+
+
+def _trade() -> Column:
+    return _text("m", "fold").isNotNull() & _number("m", "profit").isNotNull()
+
+
+def _segment() -> Column:
+    return F.coalesce((_text("m", "group") == "fold") & _text("m", "name").isNotNull() & _number("m", "value").isNotNull(), F.lit(False))
+
+
+def _fold_name() -> Column:
+    return F.try_variant_get("m", "$.name", "string")  # names may be numbers here, read as text
+
+
+def _fold() -> Column:
+    return F.coalesce(_fold_name() != "", F.lit(False))
 
 
 def artifact_trades(artifacts: DataFrame) -> DataFrame:
     """Trades with a fold and a numeric profit; a missing symbol reads ``unknown``."""
-    return artifacts.select("strategy", F.explode("trades").alias("t")).where(
-        F.col("t.fold").isNotNull() & F.col("t.profit").isNotNull()).select(
-        "strategy", F.coalesce("t.symbol", F.lit("unknown")).alias("symbol"), "t.fold",
-        F.try_to_date("t.entryDate").alias("entry_date"), F.try_to_date("t.exitDate").alias("exit_date"), "t.profit")
+    return _members(artifacts, "trades").where(_trade()).select(
+        "strategy", F.coalesce(_text("m", "symbol"), F.lit("unknown")).alias("symbol"), _text("m", "fold").alias("fold"),
+        F.try_to_date(_text("m", "entryDate")).alias("entry_date"), F.try_to_date(_text("m", "exitDate")).alias("exit_date"),
+        _number("m", "profit").alias("profit"))
 
 
 def artifact_segments(artifacts: DataFrame) -> DataFrame:
     """Fold segments with a name and a numeric value."""
-    return artifacts.select("strategy", F.explode("segments").alias("s")).where(
-        (F.col("s.group") == "fold") & F.col("s.name").isNotNull() & F.col("s.value").isNotNull()).select(
-        "strategy", F.col("s.name").alias("fold"), F.col("s.value").alias("score"))
+    return _members(artifacts, "segments").where(_segment()).select(
+        "strategy", _text("m", "name").alias("fold"), _number("m", "value").alias("score"))
 
 
 def artifact_folds(artifacts: DataFrame) -> DataFrame:
     """Declared folds with a name."""
-    return artifacts.select("strategy", F.explode("folds").alias("f")).where(
-        F.coalesce(F.col("f.name"), F.lit("")) != "").select(
-        "strategy", F.col("f.name").alias("fold"), F.try_to_date("f.start").alias("start"),
-        F.try_to_date("f.end").alias("end"))
+    return _members(artifacts, "folds").where(_fold()).select(
+        "strategy", _fold_name().alias("fold"), F.try_to_date(_text("m", "start")).alias("start"),
+        F.try_to_date(_text("m", "end")).alias("end"))
+
+
+def artifact_losses(artifacts: DataFrame) -> DataFrame:
+    """(strategy, list, members, dropped): how many members of each list are kept and how many are malformed.
+
+    A list of another type counts as one dropped member, and so does a line that is no object (list ``line``, no strategy).
+    """
+    rows = None
+    for name, good in zip(LISTS, (_trade(), _segment(), _fold()), strict=True):
+        kind = _kind("body", name)
+        broken = artifacts.where(kind.isNotNull() & ~kind.startswith("ARRAY") & (kind != "VOID")).select("strategy", F.lit(False).alias("ok"))
+        part = _members(artifacts, name).select("strategy", good.alias("ok")).unionByName(broken).withColumn("list", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    lines = artifacts.where(F.col("body").isNull()).select("strategy", F.lit(False).alias("ok"), F.lit("line").alias("list"))
+    return rows.unionByName(lines).groupBy("strategy", "list").agg(
+        F.count_if("ok").alias("members"), F.count_if(~F.col("ok")).alias("dropped"))
 
 
 def append_trials(rows: DataFrame, path: str) -> None:

@@ -104,6 +104,14 @@ class PriceTable:
                               [b for b in held["batches"] if wanted & set(map(str, b["years"]))], years)
         return rows.where(F.year("bar_date").isin(years))
 
+    def changed_years(self, since: int, version: int | None = None) -> list[int]:
+        """Years whose data may differ between two versions, from the manifests alone."""
+        old, new = self.manifest(since), self.manifest(version)
+        base = {int(y) for y in {*old["base"], *new["base"]} if old["base"].get(y) != new["base"].get(y)}
+        one, other = ({b["folder"]: b["years"] for b in m["batches"]} for m in (old, new))
+        batches = {year for name in one.keys() ^ other.keys() for year in (one | other)[name]}
+        return sorted(base | batches)
+
     # ---- writing
     def _write(self, rows: DataFrame) -> tuple[str, list[int]]:
         """A data folder by year, rows of a symbol together, and its years; nothing refers to it yet."""

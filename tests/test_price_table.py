@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from sparkfolio.operators import evidence
 from sparkfolio.sources import prices
 from sparkfolio.sources.price_table import Conflict, PriceTable
 from sparkfolio.streaming import streams
@@ -140,3 +141,40 @@ def test_calls_whose_start_comes_days_late(spark, tmp_path):
     reasons = {(r.call_id, r.reason) for r in changes.collect()}
     assert {(1, "paired"), (2, "no-start"), (2, "late-start"), (3, "no-start")} <= reasons
     assert got.where("call_id = 2").select(F.max("reason")).first()[0] == "late-start"
+
+
+def test_digests_read_changed_years_only(spark, tmp_path, monkeypatch):
+    table = PriceTable(spark, str(tmp_path / "t"))
+    first = table.overwrite(bars(spark, ("A", "2023-01-02", 1.0), ("A", "2024-01-02", 2.0), ("B", "2024-01-02", 3.0)))
+    known = evidence.price_sums(table.read()).cache()
+    second = table.upsert(bars(spark, ("B", "2024-01-02", 9.0), ("C", "2025-01-02", 1.0)))
+    assert table.changed_years(first) == [2024, 2025] and table.changed_years(second) == []
+    fresh, read = {}, []
+    real = PriceTable.read
+    monkeypatch.setattr(PriceTable, "read", lambda self, *a: (read.append(x := real(self, *a)), x)[1])
+    tree = evidence.digest_tree(evidence.refreshed_sums(table, known, first, second)).collect()
+    assert len(read) == 1 and not any("year=2023" in f for f in read[0].inputFiles())
+    monkeypatch.undo()
+    fresh = {tuple(r) for r in evidence.digest_tree(evidence.price_sums(table.read())).collect()}
+    assert {tuple(r) for r in tree} == fresh
+    before = {(r.level, r.symbol, r.year): r.fingerprint for r in evidence.digest_tree(known).collect()}
+    after = {(r.level, r.symbol, r.year): r.fingerprint for r in tree}
+    assert before["symbol", "A", None] == after["symbol", "A", None] and before["symbol", "B", None] != after["symbol", "B", None]
+    assert before["table", None, None] != after["table", None, None]
+    table.compact()
+    assert evidence.refreshed_sums(table, known, second).where("symbol = 'A'").count() == 2
+
+
+def test_exact_text_names_the_bits(spark):
+    import math
+    import struct
+
+    from sparkfolio.functions.numbers import exact_text
+
+    values = [1.0, -1.0, 0.1, 2.0**60, 2.0**-60, 3.0 * 2.0**1000, 5e-324, 1.7976931348623157e308, math.nextafter(8.0, 0), math.nextafter(8.0, 9), 0.0, -0.0, 123.456]
+    values += [struct.unpack("d", struct.pack("Q", (i * 0x9E3779B97F4A7C15 + 12345) % 2**64 & ~(1 << 62)))[0] for i in range(500)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", exact_text(F.col("v")).alias("t")).collect()
+    for r in got:
+        mantissa, _, power = r.t.partition("p")
+        from fractions import Fraction
+        assert Fraction(int(mantissa)) / (Fraction(2) ** int(power or 0)) == Fraction(r.v), r

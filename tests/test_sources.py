@@ -91,6 +91,23 @@ def test_artifacts_drop_malformed_members(spark, tmp_path):
     assert [r.fold for r in artifacts.artifact_segments(rows).collect()] == ["f1"]
 
 
+def test_members_of_wrong_types_are_dropped_and_counted(spark, tmp_path):
+    path = write(tmp_path, "f.json", "\n".join((
+        '{"strategy":"a","trades":[{"fold":"f","profit":"1","symbol":"S"},{"fold":2,"profit":1},{"fold":"f","profit":3,"symbol":4},'
+        '{"fold":"f","profit":1e400},null,5,{"fold":"f","profit":2.5,"entryDate":"2020-02-30","exitDate":"2020-01-02"}],"segments":7,"folds":[{"name":3},{"name":""},{}]}',
+        '{"strategy":9,"trades":{"fold":"f"},"folds":null}', '[1]', 'no json', '{"strategy":"b","segments":[{"name":"s","group":"fold","value":true},'
+        '{"name":"s","group":"fold","value":1}]}')))
+    rows = artifacts.read_artifacts(spark, path)
+    assert rows.count() == 5
+    got = sorted((r.symbol, r.profit, str(r.entry_date), str(r.exit_date)) for r in artifacts.artifact_trades(rows).where("profit < 100").collect())
+    assert got == [("unknown", 2.5, "None", "2020-01-02"), ("unknown", 3.0, "None", "None")]
+    assert [(r.strategy, r.score) for r in artifacts.artifact_segments(rows).collect()] == [("b", 1.0)]
+    assert [r.fold for r in artifacts.artifact_folds(rows).collect()] == ["3"]
+    losses = {(r.strategy, r.list): (r.members, r.dropped) for r in artifacts.artifact_losses(rows).collect()}
+    assert losses["a", "segments"] == (0, 1) and losses["a", "folds"] == (1, 2) and losses["b", "segments"] == (1, 1)
+    assert losses[None, "trades"] == (0, 1) and losses[None, "line"] == (0, 2) and sum(losses["a", "trades"]) == 7
+
+
 def test_trials_read_back_from_files(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     for source in ("agent", "manual", "agent"):
