@@ -232,7 +232,8 @@ def capital_envelope(pool: DataFrame, dates: DataFrame, walked: DataFrame, rates
     grown = picks.join(pool.select("strategy", "pos", "r").hint("merge"), ["strategy", "pos"]).select(
         *key, "run", F.col("step").alias("at"), (1 + F.col("rate") * F.col("r")).alias("growth"))
     growth = F.col("growth")
-    parts = [F.when(growth != 0, F.ln(F.abs(growth))).otherwise(0.0).alias("log"), (growth < 0).cast("bigint").alias("below"),
+    # Logarithms to 15 places as decimals: their sums are exact, whatever their order.
+    parts = [F.when(growth != 0, F.ln(F.abs(growth))).otherwise(0.0).cast("decimal(20,15)").alias("log"), (growth < 0).cast("bigint").alias("below"),
              (growth == 0).cast("bigint").alias("lost")]
     sums = ["log", "below", "lost"]
     so_far = Window.partitionBy(*key, "run").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -242,7 +243,7 @@ def capital_envelope(pool: DataFrame, dates: DataFrame, walked: DataFrame, rates
         *key, "run", *[F.coalesce(F.sum(x).over(runs_before), F.lit(0)).alias(f"_{x}") for x in sums])
     sign = F.when(F.col("lost") + F.col("_lost") > 0, 0.0).when((F.col("below") + F.col("_below")) % 2 == 1, -1.0).otherwise(1.0)
     points = inside.join(before, [*key, "run"]).select(
-        *key, (F.col("at") + 1).alias("step"), (F.lit(float(initial)) * sign * F.exp(F.col("log") + F.col("_log"))).alias("capital"))
+        *key, (F.col("at") + 1).alias("step"), (F.lit(float(initial)) * sign * F.exp((F.col("log") + F.col("_log")).cast("double"))).alias("capital"))
     opening = chosen.select(*key, F.lit(0).cast("bigint").alias("step"), F.lit(float(initial)).alias("capital"))
     dated = points.join(dates.select("strategy", (F.col("pos") + 1).alias("step"), F.col("exit_date").alias("bar_date")),
                         ["strategy", "step"])

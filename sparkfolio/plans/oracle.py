@@ -407,8 +407,8 @@ PARTS: dict[str, str] = {
       CASE WHEN profile='conservative' AND later=1 THEN max_drawdown_pct ELSE 0 END,
       CASE WHEN profile='conservative' AND later=1 THEN drawdown95 ELSE 0 END, CASE WHEN profile='aggressive' THEN -rate ELSE rate END) = 1""",
     "envelope_walks": """
-    SELECT strategy, path, step, CASE WHEN lost > 0 THEN 0 WHEN below % 2 = 1 THEN -exp(g) ELSE exp(g) END AS multiple FROM (
-      SELECT w.strategy, w.path, w.step, sum(CASE WHEN 1+0.01::DOUBLE*r <> 0 THEN ln(abs(1+0.01::DOUBLE*r)) ELSE 0 END) OVER o AS g,
+    SELECT strategy, path, step, CASE WHEN lost > 0 THEN 0 WHEN below % 2 = 1 THEN -exp(g::DOUBLE) ELSE exp(g::DOUBLE) END AS multiple FROM (
+      SELECT w.strategy, w.path, w.step, sum(CAST(CASE WHEN 1+0.01::DOUBLE*r <> 0 THEN ln(abs(1+0.01::DOUBLE*r)) ELSE 0 END AS DECIMAL(20,15))) OVER o AS g,
         sum(CASE WHEN 1+0.01::DOUBLE*r < 0 THEN 1 ELSE 0 END) OVER o AS below, sum(CASE WHEN 1+0.01::DOUBLE*r = 0 THEN 1 ELSE 0 END) OVER o AS lost
       FROM walk_picks w JOIN pool p USING (strategy, pos) WHERE rate = 0.01::DOUBLE
       WINDOW o AS (PARTITION BY w.strategy, w.path ORDER BY w.step))""",
@@ -770,11 +770,12 @@ ORACLE: dict[str, str] = {
     "dataset_digest_tree": sql("""SELECT CASE WHEN grouping(symbol)=1 THEN 'table' WHEN grouping(year)=1 THEN 'symbol' ELSE 'leaf' END AS level,
         symbol, year, CAST(sum(rows) AS BIGINT) AS rows, sha256(concat_ws('|', sum(rows), sum(s0), sum(s1), sum(s2), sum(s3))) AS fingerprint
         FROM digest_leaves GROUP BY GROUPING SETS ((symbol, year), (symbol), ())"""),
-    "capital_envelope": sql("""SELECT strategy, 0.01::DOUBLE AS rate, band, step, bar_date, floor(10000*multiple*100+0.5::DOUBLE)/100 AS capital FROM (
+    "capital_envelope": sql("""SELECT strategy, rate, band, step, bar_date, CASE WHEN abs(capital) >= 100000000 THEN round(capital) ELSE capital END AS capital FROM (
+        SELECT strategy, 0.01::DOUBLE AS rate, band, step, bar_date, floor(10000*multiple*100+0.5::DOUBLE)/100 AS capital FROM (
         SELECT strategy, band, CAST(step+1 AS BIGINT) AS step, multiple FROM envelope_walks JOIN envelope_paths USING (strategy, path)
         UNION ALL SELECT strategy, band, 0, 1.0 FROM envelope_paths) JOIN (
           SELECT strategy, exit_date AS bar_date, row_number() OVER o AS step FROM outcomes WINDOW o AS (PARTITION BY strategy ORDER BY exit_date, entry_date, symbol, seq)
-          UNION ALL SELECT strategy, min(exit_date), 0 FROM outcomes GROUP BY strategy) USING (strategy, step)"""),
+          UNION ALL SELECT strategy, min(exit_date), 0 FROM outcomes GROUP BY strategy) USING (strategy, step))"""),
     "artifact_losses": sql("""SELECT strategy, list, CAST(sum(ok) AS BIGINT) AS members, CAST(sum(bad) AS BIGINT) AS dropped FROM (
         SELECT strategy, 'trades' AS list, 1 AS ok, 0 AS bad FROM trades UNION ALL
         SELECT DISTINCT strategy, 'trades', 1, 3 FROM trades UNION ALL
