@@ -13,8 +13,9 @@ signatures, which meet those of other such sets only.  The choice of frequent fe
 
 Groups of one signature are not expanded into pairs.  A sorted stream gives each member the group's first node; those
 links are verified on the full sets and merged into classes.  Only groups that still hold several classes go on: their
-members are verified against other hubs, a different one in each group that a node is in, and at last pairs of nodes of
-different classes are.  So every pair that could join two classes has been verified.
+members are verified against other hubs, a different one in each round, and at last pairs of nodes of different classes
+are.  Hubs are drawn by node and round, so groups of much the same members share one, and a round makes a few pairs a
+member (about the logarithm of the group), however many signatures the members share.  So every pair that could join two classes has been verified.
 
 Before full sets are fetched, sketches are compared: the parity of the number of features in each of ``64 * WORDS``
 buckets.  A feature that only one of two sets holds changes one bit, so sets differ in at least as many features as their
@@ -44,6 +45,8 @@ A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Largest number of frequent features (bounds what each task holds), rounds of other hubs before the remaining pairs,
 #: and 64-bit words of a sketch.
 FREQUENT, HUB_ROUNDS, WORDS = 50_000, 2, 16
+#: Members of a group that a cell of the last round takes from each side.
+CELL = 500
 SKETCH = [f"s{i}" for i in range(WORDS)]
 
 
@@ -195,14 +198,20 @@ def _labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFram
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, n))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed: set[int | None] = set()  # copies that a task has signed already
         for batch in small(batches):
             sig, node = [], []
             for text in batch.column(0).to_pylist():
                 grams = shingles(text, n)
+                if (name := node_of(grams)) in signed:
+                    continue
+                if len(signed) >= 1_000_000:
+                    signed.clear()
+                signed.add(name)
                 found = signatures(grams, percent, frequent.value)
                 if len(found):
                     sig.append(found.view(np.int64))
-                    node.append(np.full(len(found), node_of(grams), np.int64))
+                    node.append(np.full(len(found), name, np.int64))
             if sig:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig)), pa.array(np.concatenate(node))], names=["sig", "node"])
 
@@ -229,12 +238,17 @@ def _labels(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFram
             return labels
         last = turn == HUB_ROUNDS
         if last:
-            known = members.join(sets.select("node", "n", *SKETCH), "node")
-            one, two = (known.select("sig", *[F.col(c).alias(f"{side}{c}") for c in ("node", "label", "n", *SKETCH)]) for side in "ab")
-            pairs = one.join(two, (one.sig == two.sig) & (F.col("alabel") < F.col("blabel")) & _close(percent))
+            # A group is cut into a grid of cells, so that a large one is spread over many tasks.
+            grid = members.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(float(CELL))).alias("grid"))
+            known = members.join(sets.select("node", "n", *SKETCH), "node").join(grid, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("grid")))
+            every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("grid") - 1))
+            one, two = (known.select("sig", F.col("own").alias(own), every.alias(other), *[F.col(c).alias(f"{side}{c}") for c in ("node", "label", "n", *SKETCH)])
+                        for side, own, other in (("a", "row", "column"), ("b", "column", "row")))
+            pairs = one.join(two, (one.sig == two.sig) & (one["row"] == two["row"]) & (one["column"] == two["column"])
+                             & (F.col("alabel") < F.col("blabel")) & _close(percent))
             pairs = pairs.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
         else:
-            hubs = members.groupBy("sig").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "sig", F.lit(turn))).alias("hub"))
+            hubs = members.groupBy("sig").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("hub"))
             pairs = members.join(hubs, "sig").filter(F.col("label") != F.col("hub.label")).select(
                 F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         fresh = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "fresh")

@@ -82,3 +82,23 @@ def test_query_against_all_pairs(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in op7_ngram_join(spark, sf).collect()), key=str)
     assert got == brute(rows, 3, 90)
+
+
+def test_pairs_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    """2,000 near copies of one text, in two classes, and 700 equal rows: pairs tried don't grow with the square."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(2000):
+        words = list(base)
+        for _ in range(1 if i % 2 else 6):  # six changed words: often too far from others
+            words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(5000 + i, " ".join(base)) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    tried = []
+    real = j._verified
+    monkeypatch.setattr(j, "_verified", lambda pairs, *a: (tried.append(pairs.count()), real(pairs, *a))[1])
+    got = {r.doc_id: r.component_id for r in j.classes(docs, n=5, percent=80).collect()}
+    assert len(got) == 2700 and len({got[i] for i in range(1, 2000, 2)} | {got[5000 + i] for i in range(700)}) == 1
+    assert all(n <= 10 * 2000 for n in tried) and tried[-1] < 2000, tried  # not 2000 * 2000 / 2
