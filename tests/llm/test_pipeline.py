@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as p
 from sparkfolio.llm import kneser_ney, mixing, secret_scan
 from sparkfolio.llm.common import staged
+from tests.llm.test_kneser_ney import brute_cutoffs, unseen_keys
 from tests.llm.test_mixing import fill
 from tests.llm.test_ngram_join import brute
 
@@ -52,6 +53,16 @@ def test_stages_against_brute_force(spark):
     assert got == want
 
 
+def test_the_quality_stage_rejects_what_brute_force_cutoffs_reject(spark):
+    path = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{path}/{x}.parquet") for x in ("documents", "labels"))
+    rows = kneser_ney.classify(docs, kneser_ney.trusted_of(labels)).collect()
+    cutoff = brute_cutoffs(rows, unseen_keys(spark, docs, kneser_ney.trusted_of(labels), 1_000_000))
+    gone = {r.doc_id for r in rows if r.n_tokens <= 1 or r.perplexity >= cutoff(r.lang)}
+    left = {r.doc_id for r in p.quality(spark, docs, path).collect()}
+    assert left == {r.doc_id for r in rows} - gone and 10 < len(gone) < 500
+
+
 def test_nulls_repeats_empty(spark):
     rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (None, None, None, None, None), (2, "", "en", "t", 0),
             (3, "token = abcdefgh12345 x y z w", None, "s", None), (4, "w " * 3000, "en", None, 6000)]
