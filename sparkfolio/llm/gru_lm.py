@@ -319,13 +319,16 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 12_000_00
                 yield batch.slice(a, b - a)
 
 
-def fit(training: DataFrame, tokens: np.ndarray, counts: np.ndarray, shape: Shape = Shape(), rounds: int = 3, seed: int = 5) -> Gru:
+def fit(training: DataFrame, tokens: np.ndarray, counts: np.ndarray, shape: Shape = Shape(), rounds: int = 3, seed: int = 5,
+        tasks: int | None = None) -> Gru:
     """A model trained on every whole training text (columns doc_key, text): one pass, in rounds of parallel training.
 
-    A round takes the texts whose hash falls to it.  Parameters are summed by parts in Spark; the driver receives one
-    sum of each part.
+    A round takes the texts whose hash falls to it, in ``tasks`` tasks, by default as many as the cluster has cores: each
+    goes through many partitions of the table, so models, and the parameters that are sent, are as many as cores and
+    don't grow with the input.  Parameters are summed by parts in Spark; the driver receives one sum of each part.
     """
     spark = training.sparkSession
+    tasks = tasks or spark.sparkContext.defaultParallelism
     table = Ids(tokens[:shape.words], counts[:shape.words], shape.words)
     given = np.zeros(shape.words)
     np.add.at(given, table.ids, table.counts)
@@ -347,12 +350,11 @@ def fit(training: DataFrame, tokens: np.ndarray, counts: np.ndarray, shape: Shap
                 flat = np.concatenate([part[k].ravel() for part in (own.p, own.square) for k in sorted(part)])
                 for i, at in enumerate(range(0, len(flat), PART)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([i], pa.int32()), pa.array([flat[at:at + PART].astype(np.float64) * seen]), pa.array([float(seen)])],
-                        names=["part", "sums", "n"])
+                        [pa.array([i], pa.int32()), pa.array([flat[at:at + PART]]), pa.array([float(seen)])], names=["part", "values", "n"])
 
         chosen = training.filter(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(rounds)) == turn).select("text")
-        trained = chosen.mapInArrow(run, "part int, sums array<double>, n double")
-        got = trained.repartition("part").mapInArrow(_total, trained.schema).toArrow().sort_by("part")
+        trained = chosen.coalesce(tasks).mapInArrow(run, "part int, values array<float>, n double")
+        got = trained.repartition("part").mapInArrow(_total, "part int, sums array<double>, n double").toArrow().sort_by("part")
         if got.num_rows:
             n = got["n"].to_numpy()
             flat = np.concatenate([x.values.to_numpy() / m for x, m in zip(got["sums"], n, strict=True)])
@@ -366,12 +368,12 @@ def fit(training: DataFrame, tokens: np.ndarray, counts: np.ndarray, shape: Shap
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the rows of each part; all rows of a part are in one task."""
+    """Values of each part, summed by weight; all rows of a part are in one task."""
     total: dict[int, np.ndarray] = {}
     seen: Counter[int] = Counter()
     for batch in batches:
-        for i, sums, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            total[i] = total[i] + sums.values.to_numpy() if i in total else sums.values.to_numpy().copy()
+        for i, values, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            total[i] = total.get(i, 0.0) + values.values.to_numpy().astype(np.float64) * n
             seen[i] += n
     for i, sums in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([sums]), pa.array([float(seen[i])])], names=["part", "sums", "n"])
