@@ -9,14 +9,17 @@ import re
 
 
 def R(expr: str, name: str | None = None, places: int = 6) -> str:
-    """Rounded output column; adding zero removes a negative zero."""
-    return f"round({expr}, {places}) + 0.0 AS {name or expr}"
+    """Rounded output column; adding zero removes a negative zero.
 
+    Engines round exact halves differently, so both are moved up by far less than what is compared.
+    """
+    return f"round({expr} + 3e-{places + 3}::DOUBLE, {places}) + 0.0 AS {name or expr}"
 
-def _bars(price: str) -> str:
+
+def _bars(price: str, raw: str = "1.0::DOUBLE") -> str:
     return f"""
-    SELECT symbol, bar_date, arg_min(p, o) AS open, max(p + l_quantity/50) AS high, min(p - 20*l_tax) AS low,
-           arg_max(p, o) AS close, arg_max(p, o) * (1 - 0.5::DOUBLE*min(l_discount)) AS adj_close,
+    SELECT symbol, bar_date, {raw}*arg_min(p, o) AS open, {raw}*max(p + l_quantity/50) AS high, {raw}*min(p - 20*l_tax) AS low,
+           {raw}*arg_max(p, o) AS close, arg_max(p, o) * (1 - 0.5::DOUBLE*min(l_discount)) AS adj_close,
            CAST(sum(l_quantity) AS BIGINT) AS volume
     FROM (SELECT concat('S', lpad(CAST(l_suppkey AS VARCHAR), 5, '0')) AS symbol, CAST(l_shipdate AS DATE) AS bar_date,
                  {price} AS p, row(l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS o,
@@ -52,7 +55,8 @@ def digests(source: str, keys: str, columns: str) -> str:
 BAR_BITS = ", ".join(bits(x) for x in ("open", "high", "low", "close", "adj_close"))
 
 PARTS: dict[str, str] = {
-    "bars": _bars("100*(1+l_discount-l_tax)+l_quantity/100"),
+    "bars": _bars("100*(1+l_discount-l_tax)+l_quantity/100",
+                  "CASE WHEN right(symbol, 1) IN ('3', '8') AND bar_date < DATE '1997-07-01' THEN 2.0::DOUBLE ELSE 1.0 END"),
     "raw_bars": _bars("l_extendedprice/l_quantity"),
     "provider_rows": """
     SELECT symbol, strftime(bar_date, '%Y-%m-%d') AS date, open, high, low, close, adj_close,
@@ -72,15 +76,18 @@ PARTS: dict[str, str] = {
         CASE WHEN least(open, high, low, close, adj_close) <= 0 THEN 'price' END,
         CASE WHEN volume < 0 OR volume <> floor(volume) THEN 'volume' END,
         CASE WHEN high < low THEN 'range' END], lambda x: x IS NOT NULL), ',') AS problems FROM provider_rows""",
+    "adjusted": """
+    SELECT symbol, bar_date, open*f AS open, high*f AS high, low*f AS low, adj_close AS close, adj_close, volume
+    FROM (SELECT *, CASE WHEN close <> 0 THEN adj_close/close ELSE 1 END AS f FROM bars)""",
     "market": """
     SELECT role, bar_date, close FROM (
-      SELECT bar_date, round(sum(close), 6) AS i, round(max(high)-min(low), 6) AS v FROM bars
+      SELECT bar_date, round(sum(close), 6) AS i, round(max(high)-min(low), 6) AS v FROM adjusted
       WHERE isodow(bar_date) <= 5 GROUP BY bar_date),
       LATERAL (SELECT 'index' AS role, i AS close UNION ALL SELECT 'volatility', v)""",
     "folds": """
     SELECT 'fold-' || (y-1994) AS fold, make_date(y,1,1) AS start, make_date(y,12,31) AS "end"
     FROM (SELECT CAST(unnest(range(min(year(bar_date)), max(year(bar_date))+1)) AS INTEGER) AS y FROM bars)""",
-    "seq": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS seq FROM bars",
+    "seq": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) AS seq FROM adjusted",
     "feat": """
     SELECT *, round(avg(close) OVER w20, 8) AS mean20, lag(close) OVER w AS previous_close,
        lead(open) OVER w AS next_open, lead(high) OVER w AS next_high, lead(low) OVER w AS next_low, lead(close) OVER w AS next_close
@@ -292,7 +299,7 @@ PARTS: dict[str, str] = {
             ORDER BY conf DESC NULLS LAST, coalesce(rr, 0) DESC, strategy) = 1) r
     JOIN pooled p USING (symbol, signal_date) WHERE r.risk > 0""",
     "liquidity": """
-    SELECT symbol, bar_date AS signal_date, avg(close*volume) OVER (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS traded_value FROM bars""",
+    SELECT symbol, bar_date AS signal_date, avg(close*volume) OVER (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS traded_value FROM adjusted""",
     # --- forecasts ----------------------------------------------------------------
     "origins": """
     SELECT symbol, origin, seq, origin_price FROM (
@@ -440,34 +447,55 @@ def _needs(text: str) -> list[str]:
     return [name for name in PARTS if re.search(rf"(?:FROM|JOIN)\s+{name}\b", text)]
 
 
-def sql(body: str) -> str:
-    """Prefix the WITH parts that ``body`` uses, dependencies first."""
+def sql(body: str, **instead: str) -> str:
+    """Prefix the WITH parts that ``body`` uses, dependencies first; ``instead`` replaces some of them."""
     done: list[str] = []
+    parts_of = PARTS | instead
 
     def visit(name: str) -> None:
         if name in done:
             return
-        for other in _needs(PARTS[name]):
+        for other in _needs(parts_of[name]):
             if other != name:
                 visit(other)
         done.append(name)
 
     for name in _needs(body):
         visit(name)
-    parts = ",\n".join(f"{name} AS MATERIALIZED ({PARTS[name]})" for name in done)
+    parts = ",\n".join(f"{name} AS MATERIALIZED ({parts_of[name]})" for name in done)
     return f"WITH {parts}\n{body}" if parts else body
 
 
-def _out(columns: str, source: str) -> str:
-    """SELECT of plain columns (``a b``) and rounded ones (``~x``, or ``~x:places``)."""
+def columns(names: str) -> str:
+    """Plain columns (``a b``) and rounded ones (``~x``, or ``~x:places``)."""
     wanted = []
-    for token in columns.split():
+    for token in names.split():
         if token.startswith("~"):
             name, _, places = token[1:].partition(":")
             wanted.append(R(name, name, int(places or 6)))
         else:
             wanted.append(token)
-    return sql(f"SELECT {', '.join(wanted)} FROM {source}")
+    return ", ".join(wanted)
+
+
+def _out(names: str, source: str) -> str:
+    return sql(f"SELECT {columns(names)} FROM {source}")
+
+
+DECISION = """SELECT *, positive_return_folds AND maximum_drawdown AND full_period_return AND full_period_drawdown AND sample_adequacy AS promotable FROM
+        (SELECT strategy, count(*) FILTER (profit>0) >= ceil(count(*)*0.6::DOUBLE) AS positive_return_folds FROM periods GROUP BY strategy)
+        JOIN (SELECT strategy, max(drawdown_pct)<=30 AS maximum_drawdown FROM fold_drawdowns GROUP BY strategy) USING (strategy)
+        JOIN (SELECT strategy, earned_profit>0 AS full_period_return FROM scores) USING (strategy)
+        JOIN (SELECT strategy, max(dd_pct)<=30 AS full_period_drawdown FROM underwater GROUP BY strategy) USING (strategy)
+        JOIN (SELECT strategy, sum(n)>=30 AND count(*) FILTER (n>0) >= ceil(count(*)/2) AS sample_adequacy FROM fold_counts GROUP BY strategy) USING (strategy)"""
+SUMMARY_COLUMNS = """strategy ~net_profit ~median_fold_score positive_folds ~positive_fold_rate_pct ~max_fold_drawdown_pct losing_folds ~worst_fold_score
+        ~best_fold_score total_trades ~win_rate_pct ~total_profit"""
+SUMMARY = """(SELECT strategy, round(earned_profit,2) AS net_profit, round(m,2) AS median_fold_score, pf AS positive_folds,
+        round(100*pr,2) AS positive_fold_rate_pct, round(mx,2) AS max_fold_drawdown_pct, lf AS losing_folds, round(w,2) AS worst_fold_score, round(b,2) AS best_fold_score,
+        trades AS total_trades, round(win_rate,2) AS win_rate_pct, round(tp,2) AS total_profit FROM scores
+        JOIN (SELECT strategy, median(score) AS m, min(score) AS w, max(score) AS b, count(*) FILTER (score<0) AS lf, max(drawdown_pct) AS mx FROM fold_results GROUP BY strategy) USING (strategy)
+        JOIN (SELECT strategy, count(*) FILTER (profit>0) AS pf, count(*) FILTER (profit>0)/count(*) AS pr FROM periods GROUP BY strategy) USING (strategy)
+        JOIN (SELECT strategy, sum(profit) AS tp FROM trades GROUP BY strategy) USING (strategy))"""
 
 
 BAR = "symbol bar_date open high low close adj_close volume"
@@ -548,7 +576,7 @@ ORACLE: dict[str, str] = {
     # --- joins --------------------------------------------------------------------
     "align_market_index": _out("symbol bar_date ~close ~index_close", """(SELECT b.symbol, b.bar_date, b.close,
         last_value(m.close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY b.bar_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS index_close
-        FROM bars b LEFT JOIN (SELECT * FROM market WHERE role='index') m USING (bar_date))"""),
+        FROM adjusted b LEFT JOIN (SELECT * FROM market WHERE role='index') m USING (bar_date))"""),
     "market_asof": _out("symbol bar_date role ~context context_date", """(SELECT b.symbol, b.bar_date, r.role, m.close AS context, m.bar_date AS context_date
         FROM bars b CROSS JOIN (SELECT DISTINCT role FROM market) r ASOF LEFT JOIN market m ON m.role=r.role AND b.bar_date >= m.bar_date)"""),
     "market_asof_strict": _out("symbol bar_date role ~context context_date", """(SELECT b.symbol, b.bar_date, r.role, m.close AS context, m.bar_date AS context_date
@@ -627,27 +655,18 @@ ORACLE: dict[str, str] = {
         count(*) FILTER (profit>0) AS positive_folds, count(*) AS folds, max(drawdown_pct) AS max_fold_drawdown_pct,
         concat_ws(',', CASE WHEN count(*) FILTER (profit>0) < ceil(count(*)*0.6::DOUBLE) THEN 'minimum-positive-return-folds' END,
         CASE WHEN max(drawdown_pct)>30 THEN 'maximum-drawdown' END) AS gate_failures FROM fold_results GROUP BY strategy)"""),
-    "promotion_decision": sql("""SELECT *, positive_return_folds AND maximum_drawdown AND full_period_return AND full_period_drawdown AND sample_adequacy AS promotable FROM
-        (SELECT strategy, count(*) FILTER (profit>0) >= ceil(count(*)*0.6::DOUBLE) AS positive_return_folds FROM periods GROUP BY strategy)
-        JOIN (SELECT strategy, max(drawdown_pct)<=30 AS maximum_drawdown FROM fold_drawdowns GROUP BY strategy) USING (strategy)
-        JOIN (SELECT strategy, earned_profit>0 AS full_period_return FROM scores) USING (strategy)
-        JOIN (SELECT strategy, max(dd_pct)<=30 AS full_period_drawdown FROM underwater GROUP BY strategy) USING (strategy)
-        JOIN (SELECT strategy, sum(n)>=30 AND count(*) FILTER (n>0) >= ceil(count(*)/2) AS sample_adequacy FROM fold_counts GROUP BY strategy) USING (strategy)"""),
+    "promotion_decision": sql(DECISION),
     "period_profits": _out("strategy fold ~profit", "periods"),
-    "evaluation_summary": _out("""strategy ~net_profit ~median_fold_score positive_folds ~positive_fold_rate_pct ~max_fold_drawdown_pct losing_folds ~worst_fold_score
-        ~best_fold_score total_trades ~win_rate_pct ~total_profit""", """(SELECT strategy, round(earned_profit,2) AS net_profit, round(m,2) AS median_fold_score, pf AS positive_folds,
-        round(100*pr,2) AS positive_fold_rate_pct, round(mx,2) AS max_fold_drawdown_pct, lf AS losing_folds, round(w,2) AS worst_fold_score, round(b,2) AS best_fold_score,
-        trades AS total_trades, round(win_rate,2) AS win_rate_pct, round(tp,2) AS total_profit FROM scores
-        JOIN (SELECT strategy, median(score) AS m, min(score) AS w, max(score) AS b, count(*) FILTER (score<0) AS lf, max(drawdown_pct) AS mx FROM fold_results GROUP BY strategy) USING (strategy)
-        JOIN (SELECT strategy, count(*) FILTER (profit>0) AS pf, count(*) FILTER (profit>0)/count(*) AS pr FROM periods GROUP BY strategy) USING (strategy)
-        JOIN (SELECT strategy, sum(profit) AS tp FROM trades GROUP BY strategy) USING (strategy))"""),
+    "evaluation_summary": _out(SUMMARY_COLUMNS, SUMMARY),
+    "evaluate": sql(f"SELECT * FROM (SELECT {columns(SUMMARY_COLUMNS)} FROM {SUMMARY}) JOIN ({DECISION}) USING (strategy)", trades="""
+        SELECT strategy, strategy AS family, symbol, 'fold-' || (year(exit_date)-1994) AS fold, entry_date, exit_date, profit, setup, regime FROM outcomes"""),
     "strategy_attribution": _out("strategy trades ~profit wins", "(SELECT strategy, count(*) AS trades, sum(profit) AS profit, count(*) FILTER (profit>0) AS wins FROM trades GROUP BY strategy)"),
     "audit_sample": sql("SELECT * FROM sample_audit"),
     "audit_concentration": _out("""strategy trades ~total_profit ~best_trade_profit ~profit_without_best_trade ~profit_without_best_fold ~profit_without_best_symbol verdict""", "concentration"),
     "profit_gini": _out("strategy ~profit_gini", "(SELECT strategy, gini AS profit_gini FROM ginis)"),
     "audit_verdict": sql("SELECT strategy, verdict, count(*) OVER (PARTITION BY verdict) AS strategies FROM verdicts"),
     "trial_summary": sql("SELECT source, count(*) AS trials, count(*) FILTER (accepted) AS accepted FROM trials GROUP BY ROLLUP (source)"),
-    "forecast_metrics": _out('"group" label model horizon n ~return_mae_pp:8 ~price_mae:8 direction_hits ~direction_accuracy_pct ~balanced_accuracy_pct ~actual_up_pct ~actual_flat_pct ~predicted_nonflat_pct', "(SELECT * REPLACE (price_mae + 1e-11::DOUBLE AS price_mae) FROM metrics)"),
+    "forecast_metrics": _out('"group" label model horizon n ~return_mae_pp:8 ~price_mae:8 direction_hits ~direction_accuracy_pct ~balanced_accuracy_pct ~actual_up_pct ~actual_flat_pct ~predicted_nonflat_pct', "metrics"),
     "near_hits": _out("model horizon ~tolerance hits ~hit_pct", """(SELECT model, horizon, tolerance, count(*) FILTER (error_pp<=tolerance) AS hits,
         100.0::DOUBLE*count(*) FILTER (error_pp<=tolerance)/count(*) AS hit_pct FROM errors, (SELECT unnest([0.5::DOUBLE,1,2,5]) AS tolerance) GROUP BY ALL)"""),
     "quantile_calibration": sql(f"""SELECT model, horizon, count(*) AS n, {R('100.0*count(*) FILTER (quantiles[1]<=actual_price AND actual_price<=quantiles[9])/count(*)', 'interval_coverage_pct')},
@@ -788,7 +807,7 @@ ORACLE: dict[str, str] = {
         (SELECT strategy, bar_date, sum((mark-entry_price)*qty) AS u FROM (SELECT o.strategy, o.entry_price, o.qty, c.bar_date,
            last_value(b.close IGNORE NULLS) OVER (PARTITION BY o.strategy, o.symbol, o.seq ORDER BY c.bar_date) AS mark
            FROM outcomes o JOIN (SELECT DISTINCT bar_date FROM bars) c ON c.bar_date >= o.entry_date AND c.bar_date < o.exit_date
-           LEFT JOIN bars b ON b.symbol=o.symbol AND b.bar_date=c.bar_date) GROUP BY strategy, bar_date) USING (strategy, bar_date))"""),
+           LEFT JOIN adjusted b ON b.symbol=o.symbol AND b.bar_date=c.bar_date) GROUP BY strategy, bar_date) USING (strategy, bar_date))"""),
     "block_bootstrap": _out("strategy ~q90", "bands"),
     "significance_gate": _out("candidate incumbent ~candidate_median ~incumbent_median ~incumbent_q90 inconclusive waived passed", """(
         SELECT *, waived OR coalesce(candidate_median > incumbent_q90, false) AS passed FROM (

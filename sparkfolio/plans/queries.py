@@ -34,6 +34,8 @@ from ..sources import artifacts, derived, forecast_store, prices
 from ..sources.price_table import PriceTable
 from ..streaming import streams
 from . import rules
+from .evaluate import adjusted_bars
+from .evaluate import evaluate as evaluate_flow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TRAINING_END = "1998-12-31"
@@ -41,7 +43,7 @@ MODELS = ["unchanged", "momentum"]
 
 
 def query(build: Callable[["Tables"], DataFrame]) -> Callable[["Tables"], DataFrame]:
-    """Register ``build`` under its name; double columns are rounded for comparison."""
+    """Register ``build`` under its name; double columns are rounded for comparison, halves moved up as in the SQL."""
     places = getattr(build, "places", {})
     QUERIES[build.__name__] = lambda spark, folder: tidy(build(Tables(spark, folder)), places)
     return build
@@ -60,7 +62,7 @@ def precise(**places: int):
 
 def tidy(df: DataFrame, places: dict[str, int]) -> DataFrame:
     return df.select([
-        (F.round(F.col(f"`{f.name}`"), places.get(f.name, 6)) + F.lit(0.0)).alias(f.name)
+        (F.round(F.col(f"`{f.name}`") + F.lit(float(f"3e-{places.get(f.name, 6) + 3}")), places.get(f.name, 6)) + F.lit(0.0)).alias(f.name)
         if isinstance(f.dataType, T.DoubleType) and places.get(f.name) != EXACT else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
@@ -89,13 +91,18 @@ class Tables:
     def raw_bars(self) -> DataFrame:
         return self.kept("raw_bars", lambda: by_symbol(derived.raw_bars(self.spark, self.folder)))
 
+    @property
+    def adjusted(self) -> DataFrame:
+        """Bars as rules, outcomes, context and forecasts see them."""
+        return adjusted_bars(self.bars)
+
     @property
     def seq(self) -> DataFrame:
-        return W.bar_seq(self.bars)
+        return W.bar_seq(self.adjusted)
 
     @property
     def market(self) -> DataFrame:
-        return derived.market(self.bars)
+        return derived.market(self.adjusted)
 
     @property
     def folds(self) -> DataFrame:
@@ -103,7 +110,7 @@ class Tables:
 
     @property
     def signals(self) -> DataFrame:
-        return self.kept("signals", lambda: rules.example_signals(self.bars))
+        return self.kept("signals", lambda: rules.example_signals(self.adjusted))
 
     @property
     def longs(self) -> DataFrame:
@@ -193,17 +200,17 @@ class Tables:
     @property
     def candidates(self) -> DataFrame:
         graded = G.graded_candidates(self.longs, self.rule_correlations)
-        liquidity = W.rolling_traded_value(self.bars).select(
+        liquidity = W.rolling_traded_value(self.adjusted).select(
             "symbol", F.col("bar_date").alias("signal_date"), "traded_value")
         return graded.join(liquidity, ["symbol", "signal_date"])
 
     @property
     def grid(self) -> DataFrame:
-        return rules.grid_scores(self.bars, Z.parameter_grid(self.spark, rules.GRID), TRAINING_END)
+        return rules.grid_scores(self.adjusted, Z.parameter_grid(self.spark, rules.GRID), TRAINING_END)
 
     @property
     def training(self) -> DataFrame:
-        return W.bar_seq(self.bars.where(F.col("bar_date") <= F.lit(TRAINING_END).cast("date")))
+        return W.bar_seq(self.adjusted.where(F.col("bar_date") <= F.lit(TRAINING_END).cast("date")))
 
     @property
     def ranges(self) -> DataFrame:
@@ -512,7 +519,7 @@ def adjust_open_long(t: Tables) -> DataFrame:
 # ---- joins ------------------------------------------------------------------------
 @query
 def align_market_index(t: Tables) -> DataFrame:
-    return C.align_market_index(t.bars.select("symbol", "bar_date", "close"), t.market)
+    return C.align_market_index(t.adjusted.select("symbol", "bar_date", "close"), t.market)
 
 
 @query
@@ -550,7 +557,7 @@ def assign_fold(t: Tables) -> DataFrame:
 
 
 def _training_signals(t: Tables) -> DataFrame:
-    rows = rules.featured(t.bars.where(F.col("bar_date") <= F.lit(TRAINING_END).cast("date")))
+    rows = rules.featured(t.adjusted.where(F.col("bar_date") <= F.lit(TRAINING_END).cast("date")))
     return G.signal_rule(rows, *rules.example_rules())
 
 
@@ -660,7 +667,7 @@ def forward_baseline(t: Tables) -> DataFrame:
 @query
 @precise(actual_mean=9, baseline_mean=9, alpha=9)
 def signal_screen(t: Tables) -> DataFrame:
-    return rules.screen(t.bars, TRAINING_END)
+    return rules.screen(t.adjusted, TRAINING_END)
 
 
 @query
@@ -721,6 +728,12 @@ def promotion_decision(t: Tables) -> DataFrame:
     return S.promotion_decision(t.periods, t.fold_drawdowns, t.full_period, t.counts)
 
 
+@query
+def evaluate(t: Tables) -> DataFrame:
+    """Raw bars with splits to a promotion decision for each example strategy."""
+    return evaluate_flow(t.bars, t.folds, rules.example_signals)
+
+
 @query
 def period_profits(t: Tables) -> DataFrame:
     return t.periods
@@ -764,8 +777,7 @@ def trial_summary(t: Tables) -> DataFrame:
 @query
 @precise(return_mae_pp=8, price_mae=8)
 def forecast_metrics(t: Tables) -> DataFrame:
-    # Means of prices in fractions of a cent often end in a half at the last compared digit, where the order of a sum decides.
-    return P.forecast_metrics(t.forecasts).withColumn("price_mae", F.col("price_mae") + F.lit(1e-11))
+    return P.forecast_metrics(t.forecasts)
 
 
 @query
@@ -844,12 +856,12 @@ def bar_seq(t: Tables) -> DataFrame:
 
 @query
 def rolling_traded_value(t: Tables) -> DataFrame:
-    return W.rolling_traded_value(t.bars).select("symbol", "bar_date", "traded_value")
+    return W.rolling_traded_value(t.adjusted).select("symbol", "bar_date", "traded_value")
 
 
 @query
 def lookback_bars(t: Tables) -> DataFrame:
-    rows = W.lookback_bars(t.bars)
+    rows = W.lookback_bars(t.adjusted)
     total = F.aggregate("history", F.lit(0.0), lambda acc, x: acc + x["close"])
     volume = F.aggregate("history", F.lit(0).cast("bigint"), lambda acc, x: acc + x["volume"])
     return rows.select("symbol", "bar_date", F.col("history")[0]["bar_date"].alias("first_date"),
@@ -1240,7 +1252,7 @@ def signal_rule_pandas(t: Tables) -> DataFrame:
 
 @query
 def ensemble_signals(t: Tables) -> DataFrame:
-    rows = rules.featured(t.bars)
+    rows = rules.featured(t.adjusted)
     return G.ensemble_signals(*[G.signal_rule(rows, rule) for rule in rules.example_rules()]).select(
         "strategy", "symbol", "signal_date", "side", "confidence")
 

@@ -14,6 +14,9 @@ from .. import constants as K
 from ..functions.numbers import cents
 
 
+SPLIT_DATE = "1997-07-01"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -22,7 +25,7 @@ def _symbol(key: str) -> Column:
     return F.concat(F.lit("S"), F.lpad(F.col(key).cast("string"), 5, "0"))
 
 
-def _bars(spark: SparkSession, folder: str, price: Column) -> DataFrame:
+def _bars(spark: SparkSession, folder: str, price: Column, split: bool = False) -> DataFrame:
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     items = table(spark, folder, "lineitem").select(
         _symbol("l_suppkey").alias("symbol"),
@@ -37,15 +40,20 @@ def _bars(spark: SparkSession, folder: str, price: Column) -> DataFrame:
         F.min("l_discount").alias("cut"),
         F.sum("l_quantity").cast("bigint").alias("volume"),
     )
+    raw = F.when(F.substring("symbol", -1, 1).isin("3", "8") & (F.col("bar_date") < F.lit(SPLIT_DATE).cast("date")), 2.0).otherwise(1.0)
+    raw = raw if split else F.lit(1.0)
     return bars.select(
-        "symbol", "bar_date", "open", "high", "low", "close",
+        "symbol", "bar_date", *[(F.col(name) * raw).alias(name) for name in ("open", "high", "low", "close")],
         (F.col("close") * (1 - F.lit(0.5) * F.col("cut"))).alias("adj_close"), "volume",
     )
 
 
 def bars(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per (symbol, bar_date): smooth prices around 100."""
-    return _bars(spark, folder, 100 * (1 + F.col("l_discount") - F.col("l_tax")) + F.col("l_quantity") / 100)
+    """One row per (symbol, bar_date): smooth prices around 100.
+
+    Symbols that end in 3 or 8 split two for one: raw prices before the split are twice as high, adjusted closes aren't.
+    """
+    return _bars(spark, folder, 100 * (1 + F.col("l_discount") - F.col("l_tax")) + F.col("l_quantity") / 100, split=True)
 
 
 def raw_bars(spark: SparkSession, folder: str) -> DataFrame:
