@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numbers import exact_text, fixed
+from ..session import written
+from ..sources.price_table import PriceTable
 from .scoring import fold_trade_counts, profit_ranks, sample_adequacy_gate
 
 TRADE_KEY = ["symbol", "fold", "entry_date", "exit_date"]
@@ -183,6 +185,21 @@ def redundant_pairs(intervals: DataFrame, overlap: DataFrame, correlation: float
         (sure & (F.col("jaccard") <= F.lit(max_jaccard))).alias("flagged"))
 
 
+def surely_redundant(pairs: DataFrame, trades: DataFrame, correlation: float = K.REDUNDANCY_CORRELATION,
+                     max_jaccard: float = K.REDUNDANCY_MAX_JACCARD) -> DataFrame:
+    """The flagged pairs (a, b) of ``redundant_pairs``, without intervals and overlaps of the others.
+
+    Resampling a pair ends as soon as more resamples lie below ``correlation`` than an interval whose lower end reaches
+    it can have; trades are compared for pairs that are sure only.
+    """
+    from .resample import surely_correlated
+
+    sure = surely_correlated(fold_correlation(pairs), correlation).where("sure").select("a", "b")
+    sure = written(sure, "sure")
+    return sure.join(trade_overlap(trades, sure), ["a", "b"]).where(F.col("jaccard") <= F.lit(max_jaccard)).select(
+        "a", "b", F.lit(True).alias("flagged"))
+
+
 # ---- overfitting ------------------------------------------------------------------
 def pbo(vectors: DataFrame) -> DataFrame:
     """Probability of backtest overfitting per fold signature.

@@ -5,6 +5,7 @@ Every draw is a function of (seed, draw number), so draws are made wherever thei
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -253,6 +254,40 @@ def correlation_ci(correlated: DataFrame) -> DataFrame:
         F.lit(0).alias("resamples")))
 
 
+SURE = T.StructType([T.StructField("sure", T.BooleanType()), T.StructField("drawn", T.IntegerType())])
+
+
+def surely_correlated(correlated: DataFrame, floor: float, step: int = 100) -> DataFrame:
+    """Whether the lower end of each pair's interval reaches ``floor`` (column ``sure``), and the resamples that took (``drawn``).
+
+    The lower end is at most the order statistic after its place.  So once more resamples than that place allows are
+    below ``floor``, of however many finite ones the rest may have, the answer is no; else all are drawn and the end is exact.
+    """
+    limit = math.ceil(K.CORRELATION_ALPHA / 2 * (K.CORRELATION_RESAMPLES - 1)) + 1
+
+    @F.pandas_udf(SURE)
+    def judge(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows, picks = [], {}
+        for x, y in zip(a, b):
+            x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
+            n = len(x)
+            if n not in picks:  # the same draws for every pair with so many folds
+                picks[n] = (uniform_block(K.CORRELATION_SEED, 0, K.CORRELATION_RESAMPLES * n) * n).astype(np.int64).reshape(-1, n)
+            found, at, below = [], 0, 0
+            while at < K.CORRELATION_RESAMPLES and below < limit:
+                some = picks[n][at:at + step]
+                r = _pearson_rows(x[some], y[some])
+                found.append(r[np.isfinite(r)])
+                below += int((found[-1] < floor).sum())
+                at += len(some)
+            r = np.concatenate(found)
+            sure = below < limit and len(r) > 0 and np.quantile(r, K.CORRELATION_ALPHA / 2) >= floor
+            rows.append((bool(sure), at))
+        return pd.DataFrame(rows, columns=["sure", "drawn"])
+
+    return correlated.where(F.col("r").isNotNull()).withColumn("_s", judge("a_scores", "b_scores")).select(*correlated.columns, "_s.*")
+
+
 # ---- perturbed prices -------------------------------------------------------------
 def perturb_prices(seq_bars: DataFrame, seed: Column, amplitude: float = K.PERTURB_AMPLITUDE) -> DataFrame:
     """Every bar scaled by 1 + (2u - 1) * amplitude; symbols numbered by name, draws by position."""

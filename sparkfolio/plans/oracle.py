@@ -478,8 +478,18 @@ def columns(names: str) -> str:
     return ", ".join(wanted)
 
 
-def _out(names: str, source: str) -> str:
-    return sql(f"SELECT {columns(names)} FROM {source}")
+def _out(names: str, source: str, **instead: str) -> str:
+    return sql(f"SELECT {columns(names)} FROM {source}", **instead)
+
+
+CAST = f"""WITH base AS ({PARTS['trades']}), made AS (
+    SELECT * FROM (VALUES ('Brand#98', 'COPY', 'Brand#11'), ('Brand#97', 'SHIFT', 'Brand#12'), ('Strong#6', 'STRONG A', 'Brand#11'),
+      ('Strong#9', 'STRONG B', 'Brand#13'), ('Short#5', 'SHORT', 'Brand#15'), ('Lucky#8', 'LUCKY', 'Brand#25')) v(name, line, origin))
+    SELECT * FROM base UNION ALL
+    SELECT name, line, symbol, fold, CASE WHEN name = 'Brand#97' THEN entry_date - 1 ELSE entry_date END, exit_date,
+      CASE WHEN name = 'Brand#97' THEN profit*1.01::DOUBLE WHEN name LIKE 'Strong%' THEN abs(profit)
+           WHEN name = 'Lucky#8' AND symbol = 'S00001' AND profit > 0 THEN profit*1000 ELSE profit END, setup, regime
+    FROM base JOIN made ON strategy = origin WHERE name <> 'Short#5' OR fold IN ('fold-1', 'fold-2', 'fold-3')"""
 
 
 DECISION = """SELECT *, positive_return_folds AND maximum_drawdown AND full_period_return AND full_period_drawdown AND sample_adequacy AS promotable FROM
@@ -664,7 +674,7 @@ ORACLE: dict[str, str] = {
     "audit_sample": sql("SELECT * FROM sample_audit"),
     "audit_concentration": _out("""strategy trades ~total_profit ~best_trade_profit ~profit_without_best_trade ~profit_without_best_fold ~profit_without_best_symbol verdict""", "concentration"),
     "profit_gini": _out("strategy ~profit_gini", "(SELECT strategy, gini AS profit_gini FROM ginis)"),
-    "audit_verdict": sql("SELECT strategy, verdict, count(*) OVER (PARTITION BY verdict) AS strategies FROM verdicts"),
+    "audit_verdict": sql("SELECT strategy, verdict, count(*) OVER (PARTITION BY verdict) AS strategies FROM verdicts", trades=CAST),
     "trial_summary": sql("SELECT source, count(*) AS trials, count(*) FILTER (accepted) AS accepted FROM trials GROUP BY ROLLUP (source)"),
     "forecast_metrics": _out('"group" label model horizon n ~return_mae_pp:8 ~price_mae:8 direction_hits ~direction_accuracy_pct ~balanced_accuracy_pct ~actual_up_pct ~actual_flat_pct ~predicted_nonflat_pct', "metrics"),
     "near_hits": _out("model horizon ~tolerance hits ~hit_pct", """(SELECT model, horizon, tolerance, count(*) FILTER (error_pp<=tolerance) AS hits,
@@ -681,8 +691,8 @@ ORACLE: dict[str, str] = {
         JOIN (SELECT * FROM metrics WHERE model='unchanged') b ON b."group"=m."group" AND b.label=m.label AND b.horizon=m.horizon GROUP BY ALL)"""),
     "forecast_completeness": sql("""SELECT count(*) AS expected_windows, count(*) AS complete_windows, (SELECT count(*) FROM forecasts WHERE model<>'empirical') AS forecast_rows,
         'complete' AS status FROM origins"""),
-    "fold_signature": sql("SELECT strategy, signature, folds, count(*) OVER (PARTITION BY signature) AS members, signature = (SELECT signature FROM (SELECT signature, count(*) AS c, max(folds) AS f FROM vectors GROUP BY signature) ORDER BY c DESC, f DESC, signature LIMIT 1) AS is_dominant FROM vectors"),
-    "best_per_lineage": _out("lineage entry ~score", "(SELECT family AS lineage, arg_min(strategy, (-earned_profit, strategy)) AS entry, max(earned_profit) AS score FROM scores JOIN families USING (strategy) GROUP BY family)"),
+    "fold_signature": sql("SELECT strategy, signature, folds, count(*) OVER (PARTITION BY signature) AS members, signature = (SELECT signature FROM (SELECT signature, count(*) AS c, max(folds) AS f FROM vectors GROUP BY signature) ORDER BY c DESC, f DESC, signature LIMIT 1) AS is_dominant FROM vectors", trades=CAST),
+    "best_per_lineage": _out("lineage entry ~score", "(SELECT family AS lineage, arg_min(strategy, (-earned_profit, strategy)) AS entry, max(earned_profit) AS score FROM scores JOIN families USING (strategy) GROUP BY family)", trades=CAST),
     "fold_correlation": _out("a b ~r", "correlations"),
     "pbo": sql(f"""SELECT signature, max(c) AS candidates, max(folds) AS folds, count(*) AS splits, {R('CASE WHEN max(c)>=2 THEN count(*) FILTER (below/c <= 0.5::DOUBLE)/count(*) END', 'probability')} FROM (
         SELECT signature, split, max(folds) AS folds, count(*) AS c, count(*) FILTER (test<=win) AS below FROM (
@@ -740,10 +750,10 @@ ORACLE: dict[str, str] = {
     "diverse_partner": _out("champion partner ~r ~score", """(SELECT champion, strategy AS partner, r, score FROM (SELECT s.strategy AS champion, f.family AS cf FROM scores s JOIN verdicts v USING (strategy) JOIN families f USING (strategy)
         WHERE verdict<>'killed' AND earned_profit>0 ORDER BY earned_profit DESC, s.strategy LIMIT 1) c, (SELECT s.strategy, s.earned_profit AS score, f.family FROM scores s JOIN verdicts v USING (strategy) JOIN families f USING (strategy)
         WHERE verdict<>'killed' AND earned_profit>0) p LEFT JOIN (SELECT a AS x, b AS y, r FROM correlations UNION ALL SELECT b, a, r FROM correlations) k ON k.x=c.champion AND k.y=p.strategy
-        WHERE family<>cf ORDER BY r NULLS LAST, score DESC, strategy LIMIT 1)"""),
+        WHERE family<>cf ORDER BY r NULLS LAST, score DESC, strategy LIMIT 1)""", trades=CAST),
     "weakest_strategy": _out("strategy ~score", "(SELECT strategy, earned_profit AS score FROM scores ORDER BY earned_profit, strategy LIMIT 1)"),
     "correlation_ci": _out("a b ~r ~lower ~upper resamples", "(SELECT a, b, r, lower, upper, CAST(resamples AS INTEGER) AS resamples FROM correlations JOIN intervals USING (a, b))"),
-    "redundant_pairs": _out("a b ~r ~lower ~upper shared_trades ~jaccard flagged", "redundancy"),
+    "redundant_pairs": _out("a b ~r ~lower ~upper shared_trades ~jaccard flagged", "redundancy", trades=CAST),
     # --- resampling -----------------------------------------------------------------
     "counter_uniform": sql("SELECT symbol, bar_date, " + R("u", "u", 9) + " FROM " + uniform("SELECT symbol, bar_date, 42 AS seed, seq-1 AS k FROM seq")),
     "perturb_prices": _out("symbol bar_date ~open ~high ~low ~close", "(SELECT symbol, bar_date, open*f AS open, high*f AS high, low*f AS low, close*f AS close FROM (SELECT *, 1+(u*2-1)*0.002::DOUBLE AS f FROM "
@@ -830,7 +840,7 @@ ORACLE: dict[str, str] = {
     "admit_candidate": sql("""SELECT strategy, CASE WHEN rule IN (SELECT rule FROM prints WHERE strategy < 'Brand#15') THEN 'same-rule'
         WHEN print IN (SELECT print FROM prints WHERE strategy < 'Brand#15') THEN 'same-trades'
         WHEN EXISTS (SELECT 1 FROM redundancy r WHERE flagged AND (r.a=p.strategy AND r.b < 'Brand#15' OR r.b=p.strategy AND r.a < 'Brand#15')) THEN 'redundant'
-        ELSE 'admitted' END AS decision FROM prints p WHERE strategy >= 'Brand#15'"""),
+        ELSE 'admitted' END AS decision FROM prints p WHERE strategy >= 'Brand#15'""", trades=CAST),
     "signal_rule_pandas": _out("strategy symbol signal_date seq side ~entry_min ~entry_max ~stop_loss ~target max_hold_days setup regime ~confidence", """(
         SELECT 'deep6' AS strategy, symbol, bar_date AS signal_date, seq, 'long' AS side, close*0.99::DOUBLE AS entry_min, close*1.01::DOUBLE AS entry_max,
         close*0.95::DOUBLE AS stop_loss, close*1.06::DOUBLE AS target, 5 AS max_hold_days, 'deep' AS setup, 'any' AS regime, NULL::DOUBLE AS confidence

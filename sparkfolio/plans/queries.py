@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-
+import functools
 import uuid
 from collections.abc import Callable
 
-
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -222,6 +221,21 @@ class Tables:
         return record_written(self.spark, f"{root}/{name}-{uuid.uuid4().hex}")
 
 
+class CastTables(Tables):
+    """Tables whose trades hold more kinds of strategies (see ``derived.cast``)."""
+
+    @property
+    def trades(self) -> DataFrame:
+        return self.kept("cast", lambda: derived.cast(Tables(self.spark, self.folder).trades))
+
+
+def with_cast(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    @functools.wraps(build)
+    def run(t: Tables) -> DataFrame:
+        return build(CastTables(t.spark, t.folder))
+    return run
+
+
 # ---- sources ----------------------------------------------------------------------
 @query
 @precise(**PRICES)
@@ -765,6 +779,7 @@ def profit_gini(t: Tables) -> DataFrame:
 
 
 @query
+@with_cast
 def audit_verdict(t: Tables) -> DataFrame:
     return t.verdicts.join(E.verdict_counts(t.verdicts), "verdict").select("strategy", "verdict", "strategies")
 
@@ -801,11 +816,13 @@ def forecast_completeness(t: Tables) -> DataFrame:
 
 
 @query
+@with_cast
 def fold_signature(t: Tables) -> DataFrame:
     return E.fold_signature(t.fold_scores)
 
 
 @query
+@with_cast
 def best_per_lineage(t: Tables) -> DataFrame:
     return E.best_per_lineage(t.scored.select(F.col("family").alias("lineage"), F.col("strategy").alias("entry"), "score"))
 
@@ -1017,6 +1034,7 @@ def best_survivor(t: Tables) -> DataFrame:
 
 
 @query
+@with_cast
 def diverse_partner(t: Tables) -> DataFrame:
     return E.diverse_partner(t.scored, E.fold_correlation(t.pairs))
 
@@ -1036,17 +1054,18 @@ def correlation_ci(t: Tables) -> DataFrame:
 
 
 @query
+@with_cast
 def redundant_pairs(t: Tables) -> DataFrame:
     return E.redundant_pairs(_intervals(t), E.trade_overlap(t.trades, t.pairs))
 
 
 @query
+@with_cast
 def admit_candidate(t: Tables) -> DataFrame:
     prints = E.trade_fingerprint(t.trades).select(
         "strategy", F.sha2(F.concat(F.lit("rule-"), F.substring("strategy", -1, 1)), 256).alias("rule_hash"), "fingerprint")
     archived, vectors = F.col("strategy") < "Brand#15", E.fold_vectors(t.fold_scores)
-    pairs = E.pair_lineages(vectors.where(~archived), vectors.where(archived))
-    redundant = E.redundant_pairs(Z.correlation_ci(E.fold_correlation(pairs)), E.trade_overlap(t.trades, pairs))
+    redundant = E.surely_redundant(E.pair_lineages(vectors.where(~archived), vectors.where(archived)), t.trades)
     return E.admit_candidate(prints.where(~archived), prints.where(archived), redundant)
 
 

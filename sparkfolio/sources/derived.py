@@ -127,6 +127,23 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def cast(trade_table: DataFrame) -> DataFrame:
+    """Trades of all strategies and of six made from them, so that every verdict occurs: a copy, a near copy that shares no
+    trade, two winners of other families, one that trades in three folds only, and one that a symbol carries."""
+    profit, symbol = F.col("profit"), F.col("symbol")
+    lucky = F.when((symbol == "S00001") & (profit > 0), profit * 1000).otherwise(profit)
+    made = [("Brand#98", "COPY", "Brand#11", profit), ("Brand#97", "SHIFT", "Brand#12", profit * F.lit(1.01)),
+            ("Strong#6", "STRONG A", "Brand#11", F.abs("profit")), ("Strong#9", "STRONG B", "Brand#13", F.abs("profit")),
+            ("Short#5", "SHORT", "Brand#15", profit), ("Lucky#8", "LUCKY", "Brand#25", lucky)]
+    row = lambda name, family, base, value: F.when(F.col("strategy") == base, F.struct(
+        F.lit(name).alias("name"), F.lit(family).alias("family"), value.alias("profit")))
+    extra = trade_table.withColumn("m", F.explode(F.array_compact(F.array(*[row(*x) for x in made])))).select(
+        F.col("m.name").alias("strategy"), F.col("m.family").alias("family"), "symbol", "fold",
+        F.when(F.col("m.name") == "Brand#97", F.date_sub("entry_date", 1)).otherwise(F.col("entry_date")).alias("entry_date"),
+        "exit_date", F.col("m.profit").alias("profit"), "setup", "regime")
+    return trade_table.unionByName(extra.where((F.col("strategy") != "Short#5") | F.col("fold").isin("fold-1", "fold-2", "fold-3")))
+
+
 def fold_scores(trade_table: DataFrame) -> DataFrame:
     return trade_table.groupBy("strategy", "fold").agg(F.round(F.sum("profit"), 6).alias("score"))
 

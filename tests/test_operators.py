@@ -339,6 +339,35 @@ def test_python_rules_see_each_window_once(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_redundancy_without_resampling_every_pair(spark):
+    """Same flags as the full report; pairs that are not alike stop early."""
+    rng = random.Random(6)
+    made = {f"s{i}": [rng.gauss(0, 1) for _ in range(9)] for i in range(24)}
+    for i in range(6):
+        made[f"n{i}"] = [v * (1 + i) + rng.gauss(0, 0.02 * (i + 1) ** 2) for v in made[f"s{i}"]]
+    trades = spark.createDataFrame([(s, f"f{k}", "both" if s in ("s1", "n1") else s, p, day(k), day(k + 1)) for s, ps in made.items() for k, p in enumerate(ps)],
+                                   "strategy string, fold string, symbol string, profit double, entry_date date, exit_date date")
+    pairs = evidence.pair_lineages(vectors(spark, made))
+    full = evidence.redundant_pairs(resample.correlation_ci(evidence.fold_correlation(pairs)), evidence.trade_overlap(trades, pairs))
+    want = {(r.a, r.b) for r in full.where("flagged").collect()}
+    got = {(r.a, r.b) for r in evidence.surely_redundant(pairs, trades).collect()}
+    assert got == want and 1 <= len(want) < 6 and ("n1", "s1") not in want
+    judged = resample.surely_correlated(evidence.fold_correlation(pairs), 0.9).collect()
+    sure = {(r.a, r.b) for r in full.where("lower >= 0.9").collect()}
+    assert {(r.a, r.b) for r in judged if r.sure} == sure
+    assert sum(r.drawn for r in judged) < 0.2 * 2000 * len(judged)
+
+
+def test_every_verdict_of_the_registered_checks_occurs(spark):
+    folder = "/root/testdata/sf0.01"
+    values = lambda name, column: {r[0] for r in QUERIES[name](spark, folder).select(column).distinct().collect()}
+    assert values("admit_candidate", "decision") == {"same-rule", "same-trades", "redundant", "admitted"}
+    assert values("audit_verdict", "verdict") == {"killed", "weakened", "survived"}
+    assert values("fold_signature", "is_dominant") == {True, False}
+    assert values("redundant_pairs", "flagged") == {True, False}
+    assert QUERIES["diverse_partner"](spark, folder).count() == 1 and QUERIES["best_per_lineage"](spark, folder).count() > 5
+
+
 # ---- bars, signals, outcomes ----------------------------------------------------------
 def test_screen_finds_a_planted_jump(spark):
     rows, close = [], 100.0
