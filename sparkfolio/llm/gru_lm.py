@@ -1,8 +1,8 @@
 """LM scoring with a gated recurrent network in numpy.
 
 Output words are factored: P(word) = P(class) * P(word | class), equal classes by frequency rank.  The vocabulary is
-the most frequent training tokens and grows with the input: classes, and words of a class, are each the cube root of
-the distinct training tokens (16 at least).  Any other token is the unknown word times its smoothed share among those
+the most frequent training tokens and grows with the input: classes, and words of a class, are each twice the fourth
+root of the distinct training tokens (16 at least), so words are four times their square root.  Any other token is the unknown word times its smoothed share among those
 others, so each text has a probability.  Training is truncated backpropagation, one pass over all training texts in a few rounds:
 in a round every task starts from the shared parameters, trains on its own texts, and the results are averaged
 by parts of the parameters.  Scoring runs each document whole: lanes hold documents one after another, state is carried from window to window
@@ -35,6 +35,8 @@ END_TOKEN = b" "
 HEAVY = 200_000
 #: Lanes of a batch in scoring and in training, and tokens after which training cuts a text (scoring never does).
 LANES, WIDE, CUT = 512, 2_048, 1_024
+#: Lanes of a batch in training at least, and the updates that a group of texts has if its lanes can be so few.
+LEAST, UPDATES = 16, 64
 #: Parameters of a part, as training sums them; rows of states whose classes are computed at once.
 PART, ROWS = 65_536, 4_096
 
@@ -54,7 +56,7 @@ class Shape:
     @staticmethod
     def of(distinct: int, hidden: int = 16) -> Shape:
         """Sizes for so many distinct training tokens."""
-        side = max(16, math.ceil(round(distinct ** (1 / 3), 9)))
+        side = max(16, math.ceil(round(2 * distinct ** (1 / 4), 9)))
         return Shape(hidden, side, side)
 
 
@@ -226,7 +228,8 @@ def score(model: Gru, texts: list[np.ndarray], width: int = 64) -> np.ndarray:
 def train_on(model: Gru, texts: list[np.ndarray], width: int = 16, rate: float = 0.05) -> None:
     """One pass over the texts by truncated backpropagation."""
     state, full = None, 1
-    for before, words, _, fresh in windows([t[i:i + CUT] for t in texts for i in range(0, len(t), CUT)], width, WIDE):
+    wide = min(WIDE, max(LEAST, sum(map(len, texts)) // (width * UPDATES)))  # few texts: fewer lanes, not fewer updates
+    for before, words, _, fresh in windows([t[i:i + CUT] for t in texts for i in range(0, len(t), CUT)], width, wide):
         n = words.shape[1]
         state = np.zeros((n, model.shape.hidden), np.float32) if state is None else state[:n]
         grads, logp, state = model.gradients(before, words, fresh, state)
@@ -323,12 +326,11 @@ def fit(training: DataFrame, tokens: np.ndarray, counts: np.ndarray, shape: Shap
         tasks: int | None = None) -> Gru:
     """A model trained on every whole training text (columns doc_key, text): one pass, in rounds of parallel training.
 
-    A round takes the texts whose hash falls to it, in ``tasks`` tasks, by default as many as the cluster has cores: each
-    goes through many partitions of the table, so models, and the parameters that are sent, are as many as cores and
-    don't grow with the input.  Parameters are summed by parts in Spark; the driver receives one sum of each part.
+    A round takes the texts whose hash falls to it; with ``tasks``, in so many tasks, each of which goes through several
+    partitions of the table and sends one model.  Parameters are summed by parts in Spark; the driver receives one sum of
+    each part.
     """
     spark = training.sparkSession
-    tasks = tasks or spark.sparkContext.defaultParallelism
     table = Ids(tokens[:shape.words], counts[:shape.words], shape.words)
     given = np.zeros(shape.words)
     np.add.at(given, table.ids, table.counts)
@@ -353,7 +355,8 @@ def fit(training: DataFrame, tokens: np.ndarray, counts: np.ndarray, shape: Shap
                         [pa.array([i], pa.int32()), pa.array([flat[at:at + PART]]), pa.array([float(seen)])], names=["part", "values", "n"])
 
         chosen = training.filter(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(rounds)) == turn).select("text")
-        trained = chosen.coalesce(tasks).mapInArrow(run, "part int, values array<float>, n double")
+        chosen = chosen.coalesce(tasks) if tasks else chosen
+        trained = chosen.mapInArrow(run, "part int, values array<float>, n double")
         got = trained.repartition("part").mapInArrow(_total, "part int, sums array<double>, n double").toArrow().sort_by("part")
         if got.num_rows:
             n = got["n"].to_numpy()
