@@ -492,6 +492,11 @@ CAST = f"""WITH base AS ({PARTS['trades']}), made AS (
     FROM base JOIN made ON strategy = origin WHERE name <> 'Short#5' OR fold IN ('fold-1', 'fold-2', 'fold-3')"""
 
 
+NOISY_SEQ = f"""WITH s AS ({PARTS['seq']}), n AS (SELECT symbol, row_number() OVER (ORDER BY symbol)-1 AS n FROM (SELECT DISTINCT symbol FROM s))
+    SELECT replica || '|' || symbol AS symbol, bar_date, open*f AS open, high*f AS high, low*f AS low, close*f AS close, adj_close, volume, seq
+    FROM (SELECT *, 1+(u*2-1)*0.002::DOUBLE AS f FROM """ + uniform("""SELECT s.*, replica, replica*100003+n*1009+17 AS seed, s.seq-1 AS k
+      FROM s JOIN n USING (symbol), (SELECT unnest([1, 2]) AS replica)""") + ")"
+
 DECISION = """SELECT *, positive_return_folds AND maximum_drawdown AND full_period_return AND full_period_drawdown AND sample_adequacy AS promotable FROM
         (SELECT strategy, count(*) FILTER (profit>0) >= ceil(count(*)*0.6::DOUBLE) AS positive_return_folds FROM periods GROUP BY strategy)
         JOIN (SELECT strategy, max(drawdown_pct)<=30 AS maximum_drawdown FROM fold_drawdowns GROUP BY strategy) USING (strategy)
@@ -794,6 +799,8 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT DISTINCT strategy, 'unknown', 'odd', NULL::DATE, NULL::DATE, 1.5::DOUBLE FROM trades"""),
     "write_artifact": _out("strategy fold ~score", "fold_scores"),
     "forecast_store": _out("campaign symbol origin model horizon ~forecast_price", """(SELECT 'c1' AS campaign, * FROM forecasts WHERE model<>'empirical')"""),
+    "plateau_replicas": sql(f"""SELECT CAST(split_part(symbol, '|', 1) AS INTEGER) AS replica, strategy, 'fold-' || (year(exit_date)-1994) AS fold, count(*) AS trades,
+        {R('floor((10000.0::DOUBLE + sum(profit))*100+0.5::DOUBLE)/100 - 10000', 'score')} FROM outcomes GROUP BY ALL""", seq=NOISY_SEQ),
     "dataset_fingerprint": sql("SELECT symbol, rows, sha256(concat_ws('|', rows, s0, s1, s2, s3)) AS fingerprint FROM ("
         + digests("bars", "symbol", "bar_date, " + BAR_BITS + ", volume") + ")"),
     "dataset_digest_tree": sql("""SELECT CASE WHEN grouping(symbol)=1 THEN 'table' WHEN grouping(year)=1 THEN 'symbol' ELSE 'leaf' END AS level,

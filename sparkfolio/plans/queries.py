@@ -1139,9 +1139,12 @@ def plateau_replicas(t: Tables) -> DataFrame:
     def outcomes(bars: DataFrame) -> DataFrame:
         return O.trade_outcomes(bars, G.signal_rule(rules.featured(bars.drop("seq")), *rules.example_rules()))
 
-    closed = Z.plateau_replicas(t.seq, 2, outcomes)
-    return D.assign_fold(closed, t.folds, "exit_date").groupBy("replica", "strategy", "fold").agg(
-        F.count(F.lit(1)).alias("trades"), F.sum("profit").alias("score"))
+    keys = ["replica", "strategy", "fold"]
+    closed = written(D.assign_fold(Z.plateau_replicas(t.seq, 2, outcomes), t.folds, "exit_date", strict=True), "replicas")
+    curve = O.equity_curve(closed, keys=keys).select(*keys, "bar_date", cents(F.col("equity")).alias("capital"))
+    # A fold's score is what its profile earned: capital at its last exit, to the cent, less the initial one.
+    scores = curve.groupBy(*keys).agg((F.max_by("capital", "bar_date") - F.lit(float(K.INITIAL_CAPITAL))).alias("score"))
+    return closed.groupBy(*keys).agg(F.count(F.lit(1)).alias("trades")).join(scores, keys)
 
 
 @query
