@@ -300,6 +300,7 @@ PARTS: dict[str, str] = {
     JOIN pooled p USING (symbol, signal_date) WHERE r.risk > 0""",
     "liquidity": """
     SELECT symbol, bar_date AS signal_date, avg(close*volume) OVER (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS traded_value FROM adjusted""",
+    "liquid": "SELECT g.*, l.traded_value FROM graded g JOIN liquidity l USING (symbol, signal_date) WHERE traded_value >= 2000",
     # --- forecasts ----------------------------------------------------------------
     "origins": """
     SELECT symbol, origin, seq, origin_price FROM (
@@ -572,9 +573,8 @@ ORACLE: dict[str, str] = {
         (SELECT *, worst_entry*(1+5.0::DOUBLE/10000) AS e FROM long_signals), (SELECT unnest([0.005::DOUBLE,0.01,0.015,0.02]) AS rate))"""),
     "risk_factor": _out("strategy ~ruin ~drawdown95 ~risk_factor", """(SELECT strategy, ruin, drawdown95,
         (CASE WHEN ruin IS NULL THEN 1 ELSE greatest(0.75::DOUBLE, least(1, 1-ruin*5)) END) *
-        greatest(0.75::DOUBLE, least(1, 1-greatest(0, drawdown95-0.25::DOUBLE))) AS risk_factor FROM
-        (SELECT strategy, CASE WHEN count(*) FILTER (profit<=-5)>0 THEN count(*) FILTER (profit<=-5)::DOUBLE/count(*) END AS ruin FROM trades GROUP BY strategy)
-        JOIN (SELECT strategy, max(dd_pct)/100 AS drawdown95 FROM underwater GROUP BY strategy) USING (strategy))"""),
+        (CASE WHEN drawdown95 IS NULL THEN 1 ELSE greatest(0.75::DOUBLE, least(1, 1-greatest(0, drawdown95-0.25::DOUBLE))) END) AS risk_factor FROM
+        (SELECT strategy, ruin_probability AS ruin, drawdown95 FROM ruin WHERE rate = 0.02::DOUBLE UNION ALL SELECT 'idle', NULL, NULL))"""),
     "trade_confidence": sql("""SELECT strategy, symbol, n AS trades, round(CASE WHEN n<8 THEN 0 ELSE least(1, n/20) END, 6)+0.0 AS trade_confidence
         FROM (SELECT strategy, symbol, count(*) AS n FROM trades GROUP BY ALL)"""),
     "is_improvement": _out("strategy ~score ~best improved", """(SELECT strategy, earned_profit AS score, best,
@@ -745,8 +745,8 @@ ORACLE: dict[str, str] = {
         FROM (SELECT m, unnest(range(1, 100)) AS i, TIMESTAMP '1999-01-01' + INTERVAL 6 MONTH * (unnest(range(1,100))-1) AS s FROM (SELECT max(bar_date) AS m FROM bars)) WHERE s <= m"""),
     # --- ranking and selection ------------------------------------------------------
     "daily_top_k": _out('symbol signal_date strategy ~rank_r:9 ~evidence:9 ~votes:9 "rank"', """(SELECT * FROM (SELECT g.*, row_number() OVER (PARTITION BY signal_date ORDER BY round(rank_r,9) DESC, round(evidence,9) DESC, round(votes,9) DESC, traded_value DESC, symbol) AS "rank" FROM (
-        SELECT g.*, l.traded_value, coalesce(expected_r, (SELECT list_sort(list(x.expected_r))[CAST(floor(count(*)/2) AS BIGINT)+1] FROM graded x WHERE x.signal_date=g.signal_date AND x.expected_r IS NOT NULL), 0) AS rank_r
-        FROM graded g JOIN liquidity l USING (symbol, signal_date)) g) WHERE "rank" <= 2)"""),
+        SELECT g.*, coalesce(expected_r, (SELECT list_sort(list(x.expected_r))[CAST(floor(count(*)/2) AS BIGINT)+1] FROM liquid x WHERE x.signal_date=g.signal_date AND x.expected_r IS NOT NULL), 0) AS rank_r
+        FROM liquid g) g) WHERE "rank" <= 2)"""),
     "ensemble_score": _out("symbol signal_date strategies ~votes ~evidence ~score", "(SELECT *, 1/(1+exp(-evidence)) AS score FROM pooled)"),
     "ensemble_representative": _out("symbol signal_date strategy ~entry_max ~stop_loss ~target", "graded"),
     "stable_parameter": _out("campaign point ~score ~stability_score neighbourhood_size", """(SELECT g.campaign, g.point, g.score, s.stability_score, s.n AS neighbourhood_size FROM grid g JOIN

@@ -332,7 +332,11 @@ def sync_prices_table(t: Tables) -> DataFrame:
 
 @query
 def export_training(t: Tables) -> DataFrame:
-    return prices.training_rows(t.bars, "2001-06-30")
+    """Through the CSV files of each symbol and back."""
+    path = t.folder_for("training")
+    prices.export_training(prices.training_rows(t.bars, "2001-06-30"), path)
+    kinds = "bar_date date, open double, high double, low double, close double, volume bigint, symbol string"
+    return t.spark.read.schema(kinds).csv(path, header=True)
 
 
 @query
@@ -372,9 +376,16 @@ def write_artifact(t: Tables) -> DataFrame:
 
 @query
 def trial_ledger(t: Tables) -> DataFrame:
-    rows = derived.trials(t.raw("events"))
+    """Appended to the ledger's files in two turns, read back, and completed with run records that it doesn't hold."""
+    path, rows = t.folder_for("ledger"), derived.trials(t.raw("events"))
     at = lambda day: F.lit(day).cast("timestamp")
-    return artifacts.trial_ledger(rows.where(F.col("ts") < at("2024-01-15")), rows.where(F.col("ts") >= at("2024-01-10")))
+    lines = rows.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), "source", "score", "accepted",
+                        F.col("run_record").alias("runRecord"), F.col("ts"))
+    for first, last in (("1970-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15")):
+        artifacts.append_trials(lines.where((F.col("ts") >= at(first)) & (F.col("ts") < at(last))).drop("ts"), path)
+    ledger = artifacts.read_ledger(t.spark, path).select(
+        F.col("timestamp").cast(rows.schema["ts"].dataType).alias("ts"), "source", "score", "accepted", F.col("runRecord").alias("run_record"))
+    return artifacts.trial_ledger(ledger, rows.where(F.col("ts") >= at("2024-01-10")))
 
 
 @query
@@ -475,10 +486,10 @@ def size_position(t: Tables) -> DataFrame:
 
 @query
 def risk_factor(t: Tables) -> DataFrame:
-    bad = F.count_if(F.col("profit") <= -5)
-    ruin = t.trades.groupBy("strategy").agg(F.when(bad > 0, bad / F.count(F.lit(1))).alias("ruin"))
-    dd = Q.drawdown_score(t.equity).select("strategy", (F.col("drawdown_pct") / 100).alias("drawdown95"))
-    return ruin.join(dd, "strategy").withColumn("risk_factor", X.risk_factor(F.col("ruin"), F.col("drawdown95")))
+    """From bootstrapped ruin; a strategy without resamples (here: one that never traded) has no ruin estimate."""
+    ruin = Q.ruin_bootstrap(_walked(t)).where(F.col("rate") == 0.02).select("strategy", F.col("ruin_probability").alias("ruin"), "drawdown95")
+    idle = t.spark.range(1).select(F.lit("idle").alias("strategy"), F.lit(None).cast("double").alias("ruin"), F.lit(None).cast("double").alias("drawdown95"))
+    return ruin.unionByName(idle).withColumn("risk_factor", X.risk_factor(F.col("ruin"), F.col("drawdown95")))
 
 
 @query
@@ -985,7 +996,8 @@ def daily_top_k(t: Tables) -> DataFrame:
     snapped = t.candidates
     for name in ("expected_r", "evidence", "votes"):
         snapped = snapped.withColumn(name, F.round(name, 9))
-    return G.daily_top_k(snapped, K.MAX_POSITIONS).select(
+    # The floor of real markets scaled to bars of some thirty shares a day: it keeps about three in four candidates.
+    return G.daily_top_k(snapped, K.MAX_POSITIONS, liquidity_floor=K.MIN_AVG_TRADED_VALUE / 1000).select(
         "symbol", "signal_date", "strategy", "rank_r", "evidence", "votes", "rank")
 
 
