@@ -237,7 +237,8 @@ def locate(packages: DataFrame) -> DataFrame:
 def read(packages: DataFrame, kind: str = "long", block: int = 16_000_000) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload) of every record, by range reads.
 
-    Records are dealt to tasks by ranges of ``block`` bytes of a package.  A response whose payload doesn't have the
+    Records are dealt to tasks in ranges of packages, as many as the records hold ``block`` bytes: what is shuffled are
+    places, so the number of tasks is stated by the bytes behind them.  A response whose payload doesn't have the
     digest that it states fails the job.  ``payload`` of a revisit is null.
     """
 
@@ -265,7 +266,9 @@ def read(packages: DataFrame, kind: str = "long", block: int = 16_000_000) -> Da
             file.close()
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
-    dealt = locate(packages).repartition(F.col("path"), F.floor(F.col("at") / block)).sortWithinPartitions("path", "at")
+    found = staged(locate(packages), "records")
+    tasks = -(-(found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]) // block)
+    dealt = found.repartitionByRange(max(1, tasks), "path", "at").sortWithinPartitions("path", "at")
     got = dealt.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary")
     return got.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
 

@@ -69,3 +69,13 @@ def test_zip64_sizes():
     locator = w.LOCATOR + bytes(4) + len(entry).to_bytes(8, "little") + bytes(4)
     last = w.END + bytes(4) + b"\xff" * 12 + bytes(2)
     assert w.members(pa.PythonFile(io.BytesIO(entry + end + locator + last), "r")) == [w.Member("n", 0, 7 << 32, 5 << 32)]
+
+
+def test_records_are_read_in_as_many_tasks_as_blocks(spark):
+    """A third of the pages are equal, and their records are small; the tasks follow the bytes, not the places."""
+    rows = [(i, f"http://x/{i}", ("same " * 40) if i % 3 == 0 else f"page {i} " * 50) for i in range(300)]
+    packages = w.archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = w.read(packages, block=10_000)
+    assert got.rdd.getNumPartitions() > 5
+    back = got.collect()
+    assert len(back) == 300 and sum(r.record_type == "revisit" for r in back) == 99
