@@ -72,19 +72,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_written(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
-    """Delete the intermediate tables written so far, but for paths that start with one in ``keep``; returns how many.
+def written_so_far(spark: SparkSession) -> int:
+    """A mark for ``clear_written``: tables recorded up to here stay."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+
+
+def clear_written(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
+    """Delete the intermediate tables recorded after the mark ``since``, but for those in ``keep``; returns how many.
 
     To be called when results that read them have been collected or written.  Tables of ``stored`` stay.
     """
-    held = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    held = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
     jvm, conf, gone = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    for name in held:
-        if name.startswith(tuple(keep)) if keep else False:
-            record_written(spark, name)
-            continue
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        gone += bool(path.getFileSystem(conf).delete(path, True))
+    fresh, held[since:] = held[since:], [name for name in held[since:] if name in keep]
+    for name in fresh:
+        if name not in keep:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            gone += bool(path.getFileSystem(conf).delete(path, True))
     return gone
 
 

@@ -167,3 +167,24 @@ def test_a_broken_store_is_not_an_empty_one(spark, tmp_path):
     like.write.parquet(str(tmp_path / "store"))
     with pytest.raises(Exception, match="UNRESOLVED_COLUMN|v2"):
         forecast_store.read_forecasts(spark, str(tmp_path / "store"), like.withColumnRenamed("v", "v2")).select("missing").count()
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    from sparkfolio.session import clear_written, written, written_so_far
+
+    first = written(spark.range(3), "one")
+    mark = written_so_far(spark)
+    second, third = written(spark.range(4), "two"), written(spark.range(5), "three")
+    path = third.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:")
+    kept = next(x for x in _paths(spark) if x.endswith(path.rsplit("/", 1)[1]))
+    assert clear_written(spark, mark, (kept,)) == 1
+    assert first.count() == 3 and third.count() == 5
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        second.count()
+    assert clear_written(spark, mark) == 1 and written_so_far(spark) == mark
+
+
+def _paths(spark):
+    from sparkfolio import session
+
+    return session._WRITTEN[spark.sparkContext.applicationId]
