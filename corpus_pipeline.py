@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfolio.llm import bpe, kneser_ney, mixing, ngram_join, secret_scan
-from sparkfolio.llm.common import staged
+from sparkfolio.llm.common import scratch, staged
+from sparkfolio.session import clear_written, written_so_far
 
 #: Stages draw at random or iterate, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
@@ -54,8 +55,15 @@ STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_copies),
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage; each stage is written to the shared folder and read again.
+
+    What a stage wrote on its way, and the table that it read, are deleted once its own table is there.
+    """
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written_so_far(spark)
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        result = stage(spark, docs, sf_dir)
+        path = scratch(spark, name.replace(" ", "-"))
+        result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+        clear_written(spark, mark, (path,))
     return docs

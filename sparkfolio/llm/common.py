@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.session import shared_folder
+from sparkfolio.session import record_written, shared_folder
 
 #: White space that separates words: space and U+0009..U+000D.  ``bytes.split()`` splits at the same bytes.
 BLANK = "[\\x20\\x09-\\x0D]"
@@ -25,8 +25,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path beneath the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path beneath the shared folder, recorded so that ``session.clear_written`` can delete it."""
+    return record_written(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def words(text: Column) -> Column:

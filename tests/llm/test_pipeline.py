@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as p
 from sparkfolio.llm import kneser_ney, mixing, secret_scan
 from sparkfolio.llm.common import staged
+from sparkfolio.session import written_so_far
 from tests.llm.test_kneser_ney import brute_cutoffs, unseen_keys
 from tests.llm.test_mixing import fill
 from tests.llm.test_ngram_join import brute
@@ -63,6 +64,13 @@ def test_the_quality_stage_rejects_what_brute_force_cutoffs_reject(spark):
     assert left == {r.doc_id for r in rows} - gone and 10 < len(gone) < 500
 
 
+def test_a_run_leaves_its_result_only(spark):
+    mark = written_so_far(spark)
+    other = staged(spark.range(3), "other")
+    got = p.run(spark, "/root/testdata/sf0.001")
+    assert written_so_far(spark) == mark + 2 and got.count() > 100 and other.count() == 3
+
+
 def test_nulls_repeats_empty(spark):
     rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (None, None, None, None, None), (2, "", "en", "t", 0),
             (3, "token = abcdefgh12345 x y z w", None, "s", None), (4, "w " * 3000, "en", None, 6000)]
