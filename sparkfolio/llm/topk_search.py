@@ -37,13 +37,16 @@ def matrix(vectors: pa.Array, scale: float, width: int) -> np.ndarray:
 
 
 class Block:
-    """A block of queries: vectors, and for each the range [low, low + bins * step) in which its kth score lies."""
+    """A block of queries: vectors, and for each the range low..high, in bins of ``step``, in which its kth score lies.
 
-    def __init__(self, rows: np.ndarray, vectors: np.ndarray, low: np.ndarray, step: np.ndarray, need: np.ndarray):
-        self.rows, self.vectors, self.low, self.step, self.need = rows, vectors, low, step, need
+    Scores above ``high`` are no longer in ``need``: the last bin may reach beyond it, but they aren't counted again.
+    """
+
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, low: np.ndarray, high: np.ndarray, step: np.ndarray, need: np.ndarray):
+        self.rows, self.vectors, self.low, self.high, self.step, self.need = rows, vectors, low, high, step, need
 
-    def scores(self, batches: Iterator[pa.RecordBatch], scale: float, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(ids, score matrix candidates x queries, own-row mask) of small groups of candidates."""
+    def scores(self, batches: Iterator[pa.RecordBatch], scale: float, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, which of them are null, score matrix candidates x queries, own-row mask) of small groups of candidates."""
         rows_at_once = max(1, 4_000_000 // max(1, len(self.rows)))
         order = np.argsort(self.rows)
         for batch in batches:
@@ -56,10 +59,8 @@ class Block:
                 own = self.rows[order[spot]] == row
                 mask = np.ones(s.shape, bool)
                 mask[np.flatnonzero(own), order[spot[own]]] = False
-                ids = part.column(1).to_numpy(zero_copy_only=False)
-                if part.column(1).null_count:
-                    ids = np.array([LAST if v is None else v for v in part.column(1).to_pylist()], np.int64)
-                yield ids.astype(np.int64), s, mask
+                ids = part.column(1).fill_null(LAST).to_numpy(zero_copy_only=False)
+                yield ids, part.column(1).is_null().to_numpy(zero_copy_only=False), s, mask
 
 
 def histogram(block: Block, bins: int, scale: float, exact: bool):
@@ -69,9 +70,9 @@ def histogram(block: Block, bins: int, scale: float, exact: bool):
         q = len(block.rows)
         count = np.zeros(q * bins, np.int64)
         base = np.arange(q) * bins
-        for _, s, mask in block.scores(batches, scale, exact):
-            at = (s - block.low) // block.step
-            mask &= (at >= 0) & (at < bins)
+        for _, _, s, mask in block.scores(batches, scale, exact):
+            mask &= (s >= block.low) & (s <= block.high)
+            at = ((s - block.low).view(np.uint64) // block.step.astype(np.uint64)).view(np.int64)  # the gap may pass 63 bits
             count += np.bincount((at + base)[mask], minlength=q * bins)
         count = count.reshape(q, bins)
         above = count[:, ::-1].cumsum(1)[:, ::-1] - count
@@ -84,21 +85,22 @@ def histogram(block: Block, bins: int, scale: float, exact: bool):
 def best(block: Block, floor: np.ndarray, k: int, scale: float, exact: bool):
     """(q, id, score) of scores from each query's floor on; of one task at most k of a query, by score and then id."""
 
-    def cut(q: np.ndarray, ids: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((ids, -s, q))
-        q, ids, s = q[order], ids[order], s[order]
+    def cut(q: np.ndarray, ids: np.ndarray, s: np.ndarray, void: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((ids, void, -s, q))
+        q, ids, s, void = q[order], ids[order], s[order], void[order]
         starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
         place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
         keep = place < k
-        return q[keep], ids[keep], s[keep]
+        return q[keep], ids[keep], s[keep], void[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = tuple(np.empty(0, np.int64) for _ in range(3))
-        for ids, s, mask in block.scores(batches, scale, exact):
+        held = (*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, bool))
+        for ids, void, s, mask in block.scores(batches, scale, exact):
             row, query = np.nonzero(mask & (s >= floor))
             if len(row):
-                held = cut(*(np.concatenate(x) for x in zip(held, (query, ids[row], s[row, query]), strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in held], names=["q", "id", "score"])
+                held = cut(*(np.concatenate(x) for x in zip(held, (query, ids[row], s[row, query], void[row]), strict=True)))
+        q, ids, s, void = held
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids, mask=void), pa.array(s)], names=["q", "id", "score"])
 
     return run
 
@@ -127,12 +129,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
         if not got.num_rows:
             continue
         x = matrix(got.column(2).combine_chunks(), scale, width)
-        limit = np.ceil(np.linalg.norm(x, axis=1) * norm).astype(np.int64) + 1
+        # No score is above the product of the norms; a margin for their rounding.
+        limit = np.array([min(LAST, math.ceil(v * (1 + 1e-12)) + 1) for v in np.linalg.norm(x, axis=1) * norm], np.int64)
         n = len(limit)
-        low, step = -limit, np.maximum(1, -(-(2 * limit + 1) // bins))
+        low, high, step = -limit, limit.copy(), np.array([-(-(2 * int(v) + 1) // bins) for v in limit], np.int64)
         floor, need, open_ = np.full(n, -LAST), np.full(n, k), np.arange(n)
         while len(open_):
-            block = Block(got.column(0).to_numpy()[open_], x[open_], low[open_], step[open_], need[open_])
+            block = Block(got.column(0).to_numpy()[open_], x[open_], low[open_], high[open_], step[open_], need[open_])
             counted = candidates.mapInArrow(histogram(block, bins, scale, exact), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
             above = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("bin")))
             needs = spark.createDataFrame([(i, int(v)) for i, v in enumerate(need[open_])], "q long, need long")
@@ -144,18 +147,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
                 if to < need[i]:  # fewer scores than asked for, in the first round only
                     continue
                 need[i] -= to - n_bin
-                low[i] += bin_ * step[i]
+                at = int(low[i]) + bin_ * int(step[i])
+                low[i], high[i] = at, min(int(high[i]), at + int(step[i]) - 1)
                 floor[i] = low[i]
                 if step[i] > 1 and need[i] < n_bin:
                     step[i] = -(-step[i] // bins)
                     left.append(i)
             open_ = np.array(left, np.int64)
-        block = Block(got.column(0).to_numpy(), x, low, step, need)
+        block = Block(got.column(0).to_numpy(), x, low, high, step, need)
         kept = candidates.mapInArrow(best(block, floor, k, scale, exact), "q long, id long, score long")
         ids = spark.createDataFrame(list(enumerate(got.column(1).to_pylist())), "q long, query_id long")
-        ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
-        part = ranked.join(F.broadcast(ids), "q").select(
-            "query_id", "rank", F.when(F.col("id") != LAST, F.col("id")).alias(key), "score")
+        ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("id")))).filter(F.col("rank") <= k)
+        part = ranked.join(F.broadcast(ids), "q").select("query_id", "rank", F.col("id").alias(key), "score")
         part = staged(part, "best") if blocks > 1 else part
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], f"query_id long, rank int, {key} long, score long")

@@ -34,3 +34,21 @@ def test_ties_repeats_nulls_blocks(spark):
     assert t.top_k(frame.limit(0), is_query).count() == 0
     few = frame.filter("vec_id < 0 OR size(embedding) = 0").filter("embedding IS NOT NULL")
     assert sorted(map(tuple, t.top_k(few, is_query).collect())) == [(-100, 1, 0, 0), (0, 1, -100, 0)]
+
+
+def test_scores_above_a_range_are_not_counted_again(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 0.25) for _ in range(16)]) for i in range(1500)]
+    rows += [(2 ** 63 - 1, rows[100][1]), (None, rows[100][1])]  # the largest key is no null
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = brute(rows)
+    for bins in (7, 256):
+        assert sorted(map(tuple, t.top_k(frame, F.col("vec_id") % 100 == 0, bins=bins).collect()), key=str) == want
+
+
+def test_scores_near_the_end_of_64_bits(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 6e5) for _ in range(4)]) for i in range(200)]
+    rows += [(1000 + i, v) for i, v in rows]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert sorted(map(tuple, t.top_k(frame, F.col("vec_id") % 100 == 0).collect()), key=str) == brute(rows)
