@@ -8,6 +8,11 @@ cut over many tasks, and positions are completed from a small per-partition summ
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +50,42 @@ def ordered_positions(df: DataFrame, keys: list[str], order: list[str], position
     )
 
 
+def packed(df: DataFrame, keys: list[str], values: list[str], position: str = "pos") -> DataFrame:
+    """Rows as arrays: (keys, start, an array of doubles per value) for each run of positions in a batch.
+
+    Nothing is gathered for it: runs end where a batch does, so a group is as many rows as it had batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]).sort_by([(name, "ascending") for name in [*keys, position]])
+            at = rows[position].to_numpy()
+            new = np.ones(len(at), bool)
+            new[1:] = np.diff(at) != 1
+            for key in keys:
+                column = rows[key].combine_chunks()
+                new[1:] |= ~pc.fill_null(pc.equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new)
+            offsets = pa.array(np.append(first, len(at)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, rows[name].combine_chunks()) for name in values]
+            yield pa.RecordBatch.from_arrays([*[rows[key].combine_chunks().take(pa.array(first)) for key in keys], pa.array(at[first]), *lists],
+                                             names=[*keys, "start", *values])
+
+    kinds = [f"{name} {df.schema[name].dataType.simpleString()}" for name in keys]
+    rows = df.select(*keys, F.col(position).cast("bigint").alias(position), *[F.col(name).cast("double").alias(name) for name in values])
+    return rows.mapInArrow(run, ", ".join([*kinds, "start bigint", *[f"{name} array<double>" for name in values]]))
+
+
+def unpacked(table: pa.Table, value: str, size: int) -> np.ndarray:
+    """A value of all positions of one group, from its runs."""
+    out = np.zeros(size)
+    for start, batch in zip(table["start"].to_pylist(), (x.values for x in table[value]), strict=True):
+        out[start:start + len(batch)] = batch.to_numpy(zero_copy_only=False)
+    return out
+
+
 def with_halo(df: DataFrame, keys: list[str], position: str, back: int, block: int = 50_000) -> DataFrame:
     """Cut each group into blocks of positions and lend every block the ``back`` rows before it.
 

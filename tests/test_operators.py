@@ -472,3 +472,40 @@ def test_pairs_are_only_those_asked_for(spark):
     trades = one.unionByName(one.withColumn("strategy", F.lit("b"))).unionByName(one.withColumn("strategy", F.lit("c")))
     overlap = evidence.trade_overlap(trades, spark.createDataFrame([("a", "b")], "a string, b string")).collect()
     assert [(r.a, r.b, r.shared_trades, r.jaccard) for r in overlap] == [("a", "b", 1, 1.0)]
+
+
+def test_a_fold_of_many_trades_is_drawn_in_bounded_memory(spark):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from sparkfolio.functions.ordering import packed, unpacked
+
+    rng = random.Random(4)
+    rows = [("s", f"f{k}", f"S{i:03d}", round(rng.uniform(-5, 6), 2)) for k, n in enumerate((23, 1, 40)) for i in range(n)]
+    sums = lambda **how: {(r.fold, r.draw): r.fold_sum for r in resample.bootstrap_fold_sums(make_trades(spark, rows), draws=30, **how).collect()}
+    assert sums(part=7, whole=1) == pytest.approx(sums(whole=100)) and len(sums(whole=23)) == 90
+    frame = spark.range(1000).selectExpr("id % 2 AS k", "id DIV 2 AS pos", "sin(id) AS x").repartition(3)
+    table = packed(frame.where("k = 1"), ["k"], ["x"]).toArrow()
+    assert np.array_equal(unpacked(table, "x", 500), [r.x for r in frame.where("k = 1").sort("pos").collect()])
+    n, one = 200_000, lambda x: pa.array([x], pa.int64())
+    values = pa.array([np.ones(n)])
+    table = pa.table({"strategy": ["s"], "fold": ["f"], "start": one(0), "full_sum": values, "last_sum": values, "_n": one(n),
+                      "blocks": one(n // 10), "per_draw": one(n // 10), "before": one(0)})
+    tracemalloc.start()
+    got = resample._drawn_sums(200, 1, 4096, 25)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["fold_sum"].to_pylist() == [n // 10] * 200 and peak < 20_000_000  # its 4,000,000 picks at once take 32 MB and more
+
+
+def test_pools_of_any_size_walk_the_same_paths(spark):
+    rng = random.Random(8)
+    pool = spark.createDataFrame([(s, i, n, rng.uniform(-2, 2.2)) for s, n in (("a", 40), ("b", 7), ("c", 1)) for i in range(n)],
+                                 "strategy string, pos bigint, group_rows bigint, r double").repartition(3)
+    walk = lambda **how: {(r.strategy, r.rate, r.path): (r.final, r.max_drawdown) for r in risk.ruin_paths(
+        pool, [0.01, 0.6], paths=11, path_chunk=4, step_chunk=8, **how).collect()}
+    held, asked = walk(whole=40), walk(whole=0, pool_chunk=16)
+    assert set(held) == set(asked) == set(walk(whole=7)) and len(held) == 66
+    for key, value in held.items():
+        assert value == pytest.approx(asked[key])
