@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as K
 from ..sources.price_table import PriceTable
 from ..sources.prices import require_valid, upsert_prices, with_problems
-from .states import CallPairs, FirstTrials, PAIRED, TRIAL_CHANGES
+from .states import CallPairs, CallPairsOfMany, FirstTrials, FirstTrialsOfMany, PAIRED, TRIAL_CHANGES
 
+BUCKETS = 4096  # values of state that keys are dealt to; fixed for a checkpoint
 JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
@@ -143,6 +144,13 @@ def with_state_store(spark: SparkSession) -> None:
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def in_buckets(rows: DataFrame, key: str) -> GroupedData:
+    """Rows by bucket of keys.  What is kept for good needs no clock of its own per key, so a bucket's keys share a value
+    of the state: a batch reads and writes the values of the buckets that it touches, not one by one those of its keys.
+    """
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).groupBy("bucket")
+
+
 def trial_changes(trials: DataFrame, days: int | None = None) -> DataFrame:
     """(source, change): +1 for the first trial of a run record, whenever its repeats come.
 
@@ -150,8 +158,10 @@ def trial_changes(trials: DataFrame, days: int | None = None) -> DataFrame:
     what is known about a record so long after its last row; by default it is kept, and counts equal the batch twin's.
     """
     with_state_store(trials.sparkSession)
-    return trials.select("run_record", "ts", "source").groupBy("run_record").transformWithStateInPandas(
-        FirstTrials(days), TRIAL_CHANGES, "Append", "None" if days is None else "ProcessingTime")
+    rows = trials.select("run_record", "ts", "source")
+    if days is None:
+        return in_buckets(rows, "run_record").transformWithStateInPandas(FirstTrialsOfMany(), TRIAL_CHANGES, "Append", "None")
+    return rows.groupBy("run_record").transformWithStateInPandas(FirstTrials(days), TRIAL_CHANGES, "Append", "ProcessingTime")
 
 
 def counts_of_changes(changes: DataFrame) -> DataFrame:
@@ -166,8 +176,10 @@ def pair_changes(events: DataFrame, days: int | None = None) -> DataFrame:
     without a start is thereby out of date.  ``days`` drops a call so long after its last record; by default it is kept.
     """
     with_state_store(events.sparkSession)
-    return events.groupBy("call_id").transformWithStateInPandas(
-        CallPairs(days), PAIRED, "Append", "None" if days is None else "ProcessingTime")
+    if days is None:
+        rows = events.select(F.col("call_id").cast("string").alias("call_id"), "kind", "ts", "tool", "status", "text")
+        return in_buckets(rows, "call_id").transformWithStateInPandas(CallPairsOfMany(), PAIRED, "Append", "None")
+    return events.groupBy("call_id").transformWithStateInPandas(CallPairs(days), PAIRED, "Append", "ProcessingTime")
 
 
 def pairs_of_changes(changes: DataFrame) -> DataFrame:

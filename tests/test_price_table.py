@@ -178,3 +178,28 @@ def test_exact_text_names_the_bits(spark):
         mantissa, _, power = r.t.partition("p")
         from fractions import Fraction
         assert Fraction(int(mantissa)) / (Fraction(2) ** int(power or 0)) == Fraction(r.v), r
+
+
+def test_many_keys_share_a_value_of_state(spark, tmp_path):
+    """Late repeats of many records, and calls with large and missing ids, in few buckets; the store isn't asked key by key."""
+    from sparkfolio.streaming import states
+
+    asked = []
+
+    class Known:
+        exists = lambda self: False
+        update = lambda self, value: asked.append(value)
+
+    import pandas as pd
+    rows = pd.DataFrame({"run_record": [f"r{i % 50}" for i in range(200)], "ts": pd.to_datetime(range(200), unit="D"), "source": "a"})
+    one = states.FirstTrialsOfMany()
+    one.state = Known()
+    assert sum(f["change"].sum() for f in one.handleInputRows((1,), iter([rows]), None)) == 50 and len(asked) == 1
+    frame = "call_id bigint, kind string, ts timestamp, tool string, status string, text string"
+    big = 2 ** 62 + 1
+    row = lambda c, k, d: (c, k, day(d), "tool", "ok", "x")
+    batches = [[row(big, "end", 5), row(None, "end", 5), row(big + 1, "end", 6)], [row(big, "start", 1), row(big + 1, "start", 7), row(None, "start", 2)]]
+    out = str(tmp_path / "out")
+    streams.run_to_table(streams.pair_changes(trickle(spark, tmp_path, "in", frame, batches)), out, str(tmp_path / "ck"))
+    changes = sorted((str(r.call_id), r.reason) for r in spark.read.parquet(out).collect())
+    assert changes == sorted([(str(big), "no-start"), ("None", "no-start"), (str(big + 1), "no-start"), (str(big), "late-start"), ("None", "late-start")])
