@@ -1,8 +1,10 @@
 """Hand values, boundaries, leakage and brute-force checks of the operators."""
 
 import datetime as dt
+import math
 import random
 import statistics
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -278,6 +280,14 @@ def test_a_loss_beyond_the_capital_stays_a_loss(spark):
     assert got == {b: pytest.approx(10_000 * final[int(q * 40)], abs=0.01) for b, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))}
 
 
+def test_envelope_counts_capital_beyond_a_bigint(spark):
+    pool = spark.createDataFrame([("s", i, 200, 50.0) for i in range(200)], "strategy string, pos bigint, group_rows bigint, r double")
+    dates = spark.createDataFrame([("s", i, day(i)) for i in range(200)], "strategy string, pos bigint, exit_date date")
+    rows = risk.capital_envelope(pool, dates, risk.ruin_paths(pool, [0.02], paths=20), [0.02]).where("step IN (100, 200)").collect()
+    assert {(r.step, r.capital) for r in rows} == {
+        (step, 10_000 * math.exp(float(step * Decimal("0.693147180559945")))) for step in (100, 200)}
+
+
 def test_overfitting_has_no_limit_of_folds(spark):
     rng = random.Random(1)
     many = {f"s{i}": [rng.random() for _ in range(17)] for i in range(2)}
