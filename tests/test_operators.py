@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkfolio.functions.random import uniform_block
 from sparkfolio.plans.queries import QUERIES
 from sparkfolio.operators import context, evidence, features, folds, forecasts, outcomes, resample, risk, scoring, signals
 
@@ -280,6 +281,23 @@ def test_a_loss_beyond_the_capital_stays_a_loss(spark):
     assert got == {b: pytest.approx(10_000 * final[int(q * 40)], abs=0.01) for b, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))}
 
 
+def test_paths_beyond_the_doubles_keep_their_drawdown(spark):
+    """Growth of 2 ** 1500 and then a loss of half: no capital is held as a double."""
+    rows = [("s", i, 1600, 50.0 if i else -25.0) for i in range(1600)]
+    pool = spark.createDataFrame(rows, "strategy string, pos bigint, group_rows bigint, r double")
+    seed = risk.ruin_seeds(pool, [0.02]).first().seed
+    for more in ({}, {"step_chunk": 70, "pool_chunk": 400}):
+        got = {r.path: r.max_drawdown for r in risk.ruin_paths(pool, [0.02], paths=20, **more).collect()}
+        for path, drawdown in got.items():
+            power = top = depth = 0
+            for u in uniform_block(seed, path * 1600, 1600):
+                power += 1 if int(u * 1600) else -1
+                top = max(top, power)
+                depth = max(depth, top - power)
+            assert drawdown == pytest.approx(1 - 0.5**depth)
+        assert len(got) == 20
+
+
 def test_envelope_counts_capital_beyond_a_bigint(spark):
     pool = spark.createDataFrame([("s", i, 200, 50.0) for i in range(200)], "strategy string, pos bigint, group_rows bigint, r double")
     dates = spark.createDataFrame([("s", i, day(i)) for i in range(200)], "strategy string, pos bigint, exit_date date")
