@@ -537,3 +537,14 @@ def test_pools_of_any_size_walk_the_same_paths(spark):
     assert set(held) == set(asked) == set(walk(whole=7)) and len(held) == 66
     for key, value in held.items():
         assert value == pytest.approx(asked[key])
+
+
+def test_histories_are_not_shuffled(spark):
+    bars = features.bar_seq(make_bars(spark, [(i, i, i, i) for i in range(1, 9)]))
+    origins = spark.createDataFrame([("AAA", day(i - 1), i, float(i), fold) for i, fold in ((2, "a"), (4, "a"), (4, "b"), (8, "a"))],
+                                    "symbol string, origin date, seq int, origin_price double, fold string")
+    got = forecasts.window_history(bars, origins, 3)
+    assert sorted((r.seq, r.fold, r.origin, r.history) for r in got.collect()) == [
+        (4, "a", day(3), [2.0, 3.0, 4.0]), (4, "b", day(3), [2.0, 3.0, 4.0]), (8, "a", day(7), [6.0, 7.0, 8.0])]
+    above = got._jdf.queryExecution().sparkPlan().toString().split("Window")[0]
+    assert "Join" not in above
