@@ -21,13 +21,18 @@ def read_forecasts(spark: SparkSession, path: str, like: DataFrame) -> DataFrame
         return like.limit(0)
 
 
+def _once(batch: DataFrame) -> DataFrame:
+    """One row per key, the last by target date; rows cross once and are grouped where the joins on the key want them."""
+    values = [name for name in batch.columns if name not in KEY]
+    return batch.repartition(*KEY).groupBy(*KEY).agg(F.max_by(F.struct(*values), "target_date").alias("v")).select(*KEY, "v.*")
+
+
 def merge_forecasts(stored: DataFrame, batch: DataFrame, replace: bool) -> DataFrame:
     """Both tables with one row per key: the batch replaces stored rows, or is ignored where present.
 
     Repeats inside the batch count once, the last by target date.
     """
-    values = [name for name in batch.columns if name not in KEY]
-    once = batch.groupBy(*KEY).agg(F.max_by(F.struct(*values), "target_date").alias("v")).select(*KEY, "v.*")
+    once = _once(batch)
     if replace:
         return stored.join(once.select(*KEY), KEY, "left_anti").unionByName(once)
     return stored.unionByName(once.join(stored.select(*KEY), KEY, "left_anti"))
@@ -41,12 +46,11 @@ def store_batch(spark: SparkSession, path: str, batch: DataFrame, replace: bool
     """
     stored = read_forecasts(spark, path, batch)
     if not replace:
-        values = [name for name in batch.columns if name not in KEY]
-        once = batch.groupBy(*KEY).agg(F.max_by(F.struct(*values), "target_date").alias("v")).select(*KEY, "v.*")
-        once.join(stored.select(*KEY), KEY, "left_anti").select(*batch.columns).write.mode("append").partitionBy(
+        _once(batch).join(stored.select(*KEY), KEY, "left_anti").select(*batch.columns).write.mode("append").partitionBy(
             "campaign").parquet(path)
         return
-    touched = stored.join(batch.select("campaign").distinct(), "campaign", "left_semi")
+    # A campaign is a folder of the store, so their names are few; a join by them would take each campaign to one task.
+    touched = stored.join(F.broadcast(batch.select("campaign").distinct()), "campaign", "left_semi")
     merged = merge_forecasts(touched, batch, True).select(*batch.columns)
     # The merge reads the folder it replaces, so it is written aside first.
     aside = f"{path.rstrip('/')}_next-{uuid.uuid4().hex}"
