@@ -40,6 +40,13 @@ def merge_joins(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("build", [derived.bars, derived.raw_bars])
+def test_line_items_cross_once_for_bars(spark, sf, build):
+    text = plan(by_symbol(build(spark, sf)))
+    assert text.count("Exchange hashpartitioning") == 1
+    assert "Exchange" not in "".join(above(text, r"Aggregate\(")[:-1]) and "Aggregate" not in text.split("Exchange hashpartitioning")[1]
+
+
 def test_a_campaign_is_not_taken_to_one_task(spark, tmp_path, monkeypatch, merge_joins):
     batch = spark.createDataFrame(
         [("c", "A", dt.date(2025, 1, 2), "m", h, dt.date(2025, 1, 3), 1.0) for h in (1, 5)],
