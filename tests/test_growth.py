@@ -47,6 +47,13 @@ def test_line_items_cross_once_for_bars(spark, sf, build):
     assert "Exchange" not in "".join(above(text, r"Aggregate\(")[:-1]) and "Aggregate" not in text.split("Exchange hashpartitioning")[1]
 
 
+def test_folds_need_no_bars(spark, sf, monkeypatch):
+    monkeypatch.setattr(session, "_STORED", {})
+    by_bars = derived.calendar_folds(derived.bars(spark, sf)).collect()
+    monkeypatch.setattr(Tables, "bars", property(lambda self: pytest.fail("bars were made for a calendar")))
+    assert sorted(Tables(spark, sf).folds.collect()) == sorted(by_bars)
+
+
 def test_a_campaign_is_not_taken_to_one_task(spark, tmp_path, monkeypatch, merge_joins):
     batch = spark.createDataFrame(
         [("c", "A", dt.date(2025, 1, 2), "m", h, dt.date(2025, 1, 3), 1.0) for h in (1, 5)],
