@@ -54,6 +54,33 @@ def test_folds_need_no_bars(spark, sf, monkeypatch):
     assert sorted(Tables(spark, sf).folds.collect()) == sorted(by_bars)
 
 
+def test_sums_of_row_hashes_by_hand(spark):
+    """Texts of doubles are no part of the plan's expressions, and parts of sums pass 64 bits."""
+    values = [0.1, -1.5, 0.0, None, 2.0**-1074, 1.7e308, 123.456] * 30
+    rows = spark.createDataFrame([("k", v, float(i)) for i, v in enumerate(values)], "k string, v double, w double")
+
+    def text(v):
+        if v is None or v == 0:
+            return "~" if v is None else "0"
+        part, power = Fraction(v), 0
+        while abs(part) >= 2**53:
+            part, power = part / 2, power - 1
+        while abs(part) < 2**52:
+            part, power = part * 2, power + 1
+        return f"{part.numerator}p{power}"
+
+    want = [0] * 4
+    for i, v in enumerate(values):
+        digest = hashlib.sha256(f"{text(v)}|{text(float(i))}".encode()).hexdigest()
+        want = [w + int(digest[15 * k:15 * k + 15], 16) for k, w in enumerate(want)]
+    sums = evidence.row_sums(rows, ["k"], ["v", "w"])
+    got = sums.first()
+    assert [int(got[name]) for name in evidence.DIGEST] == want and got.rows == len(values) and max(want) > 2**63
+    assert "LOG2" not in plan(sums)
+    with pytest.raises(Exception, match="not finite"):
+        evidence.row_sums(rows.withColumn("v", F.lit(float("nan"))), ["k"], ["v"]).collect()
+
+
 def test_a_campaign_is_not_taken_to_one_task(spark, tmp_path, monkeypatch, merge_joins):
     batch = spark.createDataFrame(
         [("c", "A", dt.date(2025, 1, 2), "m", h, dt.date(2025, 1, 3), 1.0) for h in (1, 5)],
