@@ -81,6 +81,22 @@ def test_sums_of_row_hashes_by_hand(spark):
         evidence.row_sums(rows.withColumn("v", F.lit(float("nan"))), ["k"], ["v"]).collect()
 
 
+@pytest.mark.parametrize("few", [1, 3, 16])
+def test_overlap_of_few_and_many_holders(spark, few):
+    """Counted where trades lie or by the asked pairs, the same; missing values equal none; pairs in either order."""
+    day = dt.date(2025, 1, 1)
+    rows = [(s, f"S{k}", "f", day, day if k % 7 else None) for k in range(40) for i, s in enumerate("abcdef") if k % (i + 1) == 0]
+    trades = spark.createDataFrame(rows * 2, "strategy string, symbol string, fold string, entry_date date, exit_date date")
+    asked = [("b", "a"), *itertools.combinations("acdef", 2)]
+    sets = {s: {r[1:] for r in rows if r[0] == s} for s in "abcdef"}
+    want = set()
+    for a, b in asked:
+        shared = len({x for x in sets[a] & sets[b] if None not in x})
+        want.add((a, b, shared, round(shared / (len(sets[a]) + len(sets[b]) - shared), 9)))
+    got = evidence.trade_overlap(trades, spark.createDataFrame(asked, "a string, b string"), few=few).collect()
+    assert {(r.a, r.b, r.shared_trades, round(r.jaccard, 9)) for r in got} == want and len(got) == len(asked)
+
+
 def test_a_campaign_is_not_taken_to_one_task(spark, tmp_path, monkeypatch, merge_joins):
     batch = spark.createDataFrame(
         [("c", "A", dt.date(2025, 1, 2), "m", h, dt.date(2025, 1, 3), 1.0) for h in (1, 5)],
