@@ -30,9 +30,13 @@ def write_artifacts(trades: DataFrame, fold_results: DataFrame, scores: DataFram
                                F.col("profit").alias("value"), (F.col("profit") > 0).alias("passed")))
     declared = F.array(F.struct(F.col("fold").alias("name"), F.col("start").cast("string").alias("start"),
                                 F.col("end").cast("string").alias("end")))
-    first = F.coalesce(F.col("part"), F.lit(0)) == 0
-    folds = fold_results.select("strategy", "fold", "profit", "start", "end")
-    rows = folds.join(nested, ["strategy", "fold"], "left").join(scores, "strategy").select(
+    # A row of its own for each part, so that the nested trades are joined where they were nested.
+    parts = trades.groupBy("strategy", "fold").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts"))
+    heads = fold_results.select("strategy", "fold", "profit", "start", "end").join(scores, "strategy").join(
+        parts, ["strategy", "fold"], "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
+    first = F.col("part") == 0
+    rows = heads.join(nested, ["strategy", "fold", "part"], "left").select(
         "strategy",
         F.struct(F.lit("walkForwardScore").alias("name"), F.round("score", 2).alias("value"),
                  F.lit("maximize").alias("direction")).alias("primary"),

@@ -107,3 +107,20 @@ def test_a_campaign_is_not_taken_to_one_task(spark, tmp_path, monkeypatch, merge
     forecast_store.store_batch(spark, path, batch.withColumn("forecast_price", F.lit(2.0)), replace=True)
     assert [r.forecast_price for r in forecast_store.read_forecasts(spark, path, batch).collect()] == [2.0, 2.0]
     assert "Exchange" not in "".join(above(seen[0], "FileScan|Scan parquet"))
+
+
+def test_nested_trades_stay_where_they_were_nested(spark, tmp_path, monkeypatch, merge_joins):
+    day = dt.date(2025, 1, 1)
+    trades = spark.createDataFrame([("s", "f", f"S{k}", day, day, float(k)) for k in range(25)],
+                                   "strategy string, fold string, symbol string, entry_date date, exit_date date, profit double")
+    folds = spark.createDataFrame([("s", f, 1.0, day, day) for f in ("f", "empty")], "strategy string, fold string, profit double, start date, end date")
+    scores = spark.createDataFrame([("s", 2.0)], "strategy string, score double")
+    seen, path = [], str(tmp_path / "a")
+    writer = type(trades.write)
+    json = writer.json
+    monkeypatch.setattr(writer, "json", lambda self, *x, **y: seen.append(plan(self._df)) or json(self, *x, **y))
+    artifacts.write_artifacts(trades, folds, scores, path, part_rows=10)
+    assert not [x for x in above(seen[0], r"(?<!partial_)collect_list\(") if "Exchange" in x]
+    lines = artifacts.read_artifacts(spark, path)
+    assert lines.count() == 4 and artifacts.artifact_trades(lines).count() == 25
+    assert sorted(r.fold for r in artifacts.artifact_segments(lines).collect()) == ["empty", "f"]
