@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ END, UNKNOWN = 0, 1
 #: Token of the end of a text; no word holds a blank.
 END_TOKEN = b" "
 HEAVY = 200_000
+#: Tokens whose model id a worker remembers in training, about.
+REMEMBERED = 200_000
 #: Lanes of a batch in scoring and in training, and tokens after which training cuts a text (scoring never does).
 LANES, WIDE, CUT = 512, 2_048, 1_024
 #: Lanes of a batch in training at least, and the updates that a group of texts has if its lanes can be so few.
@@ -60,15 +63,27 @@ class Shape:
         return Shape(hidden, side, side)
 
 
-def exponentials(states: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """exp of the logits, the logits and the sums of the former.
+def exponentials(states: np.ndarray, weight: np.ndarray, bias: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of the logits, the logit that each row picks and the sums of the former; one array of logits, worked in place.
 
-    States lie within -1 and 1, so logits stay far from the range of float32; the clip makes sure of it.  Row sums are
-    products with ones, which is several times faster than a sum over a short axis.
+    States end in a one, which takes the bias.  They lie within -1 and 1, so logits stay far from the range of float32;
+    where weights don't make sure of it, a clip does.  Row sums are products with ones, which is several times faster
+    than a sum over a short axis.
     """
-    logits = np.clip(states @ weight + bias, -60, 60)
-    e = np.exp(logits)
-    return e, logits, e @ np.ones((e.shape[1], 1), e.dtype)
+    full = np.concatenate((weight, bias[None]))
+    e = states @ full
+    if not np.abs(full).sum(0).max() < 60:
+        np.clip(e, -60, 60, out=e)
+    own = e[np.arange(len(e)), picked]
+    np.exp(e, out=e)
+    return e, own, e @ np.ones(e.shape[1], e.dtype)
+
+
+def slopes(e: np.ndarray, total: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """Derivatives of the picked log-probabilities with respect to the logits, in place of their exponentials."""
+    e *= (-1 / total)[:, None]
+    e[np.arange(len(e)), picked] += 1
+    return e
 
 
 class Gru:
@@ -90,11 +105,20 @@ class Gru:
         """One step of all lanes: new state and what the way back needs."""
         h = self.shape.hidden
         g = state @ self.p["u"]
-        a = self.p["x"][before]
-        gates = 1 / (1 + np.exp(-(a[:, :2 * h] + g[:, :2 * h])))
+        a = self.p["x"].take(before, axis=0)
+        gates = a[:, :2 * h] + g[:, :2 * h]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         r, z = gates[:, :h], gates[:, h:]
-        n = np.tanh(a[:, 2 * h:] + r * g[:, 2 * h:])
-        return n + z * (state - n), r, z, n, g[:, 2 * h:]
+        n = r * g[:, 2 * h:]
+        n += a[:, 2 * h:]
+        np.tanh(n, out=n)
+        new = state - n
+        new *= z
+        new += n
+        return new, r, z, n, g[:, 2 * h:]
 
     def output(self, states: np.ndarray, words: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray | None, dict]:
         """Log-probabilities of the words, and gradients of their sum with respect to states and output parameters."""
@@ -104,29 +128,30 @@ class Gru:
         if back:
             grads = {k: np.zeros_like(self.p[k]) for k in ("c", "cb", "w", "wb")}
             dstates = np.zeros_like(states)
+        states = np.concatenate((states, np.ones((len(states), 1), states.dtype)), 1)
         for a in range(0, len(words), ROWS):
-            s, at = states[a:a + ROWS], np.arange(min(ROWS, len(words) - a))
-            e, logits, total = exponentials(s, self.p["c"], self.p["cb"])
-            logp[a:a + ROWS] = logits[at, kind[a:a + ROWS]] - np.log(total[:, 0])
+            s, picked = states[a:a + ROWS], kind[a:a + ROWS]
+            e, own, total = exponentials(s, self.p["c"], self.p["cb"], picked)
+            logp[a:a + ROWS] = own - np.log(total)
             if back:
-                d = -e / total
-                d[at, kind[a:a + ROWS]] += 1
-                grads["c"] += s.T @ d
-                grads["cb"] += d.sum(0)
+                d = slopes(e, total, picked)
+                both = s.T @ d
+                grads["c"] += both[:-1]
+                grads["cb"] += both[-1]
                 dstates[a:a + ROWS] = d @ self.p["c"].T
         order = np.argsort(kind, kind="stable")
         bounds = np.searchsorted(kind[order], np.arange(self.shape.classes + 1))
         for k in range(self.shape.classes):
             for a in range(bounds[k], bounds[k + 1], ROWS):
                 rows = order[a:min(a + ROWS, bounds[k + 1])]
-                s, own = states[rows], np.arange(len(rows))
-                e, logits, total = exponentials(s, self.p["w"][k], self.p["wb"][k])
-                logp[rows] += logits[own, member[rows]] - np.log(total[:, 0])
+                s, picked = states.take(rows, axis=0), member[rows]
+                e, own, total = exponentials(s, self.p["w"][k], self.p["wb"][k], picked)
+                logp[rows] += own - np.log(total)
                 if back:
-                    d = -e / total
-                    d[own, member[rows]] += 1
-                    grads["w"][k] += s.T @ d
-                    grads["wb"][k] += d.sum(0)
+                    d = slopes(e, total, picked)
+                    both = s.T @ d
+                    grads["w"][k] += both[:-1]
+                    grads["wb"][k] += both[-1]
                     dstates[rows] += d @ self.p["w"][k].T
         return logp, dstates, grads
 
@@ -161,7 +186,7 @@ class Gru:
         one[:, 0] = before[::-1].reshape(-1)
         order = np.argsort(one[:, 0], kind="stable")
         ids, starts = np.unique(one[order, 0], return_index=True)
-        grads["x"][ids] = np.add.reduceat(np.concatenate(inputs)[order], starts, axis=0)
+        grads["x"][ids] = np.add.reduceat(np.concatenate(inputs).take(order, axis=0), starts, axis=0)
         return grads, logp, state
 
     def learn(self, grads: dict, rate: float, ids: np.ndarray) -> None:
@@ -253,11 +278,23 @@ class Ids:
         order = np.argsort(tokens)
         self.heavy, self.counts, self.ids = tokens[order], counts[order].astype(np.float64), ids[order]
         self.code: dict[bytes, int] = {}
+        self.word: dict[bytes, int] = {}
 
     def words(self, tokens: list[bytes]) -> np.ndarray:
-        """Model ids of tokens."""
-        code, _ = self.codes(tokens)
-        return np.where(code >= 0, self.ids[code] if len(self.ids) else UNKNOWN, UNKNOWN).astype(np.int32)
+        """Model ids of tokens.  REMEMBERED of them, unknown ones too, aren't hashed again."""
+        out = np.fromiter(map(self.word.get, tokens, repeat(-1)), np.int32, len(tokens))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            names = [tokens[i] for i in new]
+            h = hashes(names)
+            found = np.full(len(new), UNKNOWN, np.int32)
+            if len(self.heavy):
+                at = np.minimum(np.searchsorted(self.heavy, h), len(self.heavy) - 1)
+                found = np.where(self.heavy[at] == h, self.ids[at], UNKNOWN).astype(np.int32)
+            out[new] = found
+            if len(self.word) < REMEMBERED:
+                self.word.update(zip(names, found.tolist(), strict=True))
+        return out
 
     def codes(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Position of each token in the heavy table, -1 for others; and the hashes of those others, in order.
@@ -265,7 +302,7 @@ class Ids:
         Found tokens are remembered, as many as the table has at most.
         """
         get = self.code.get
-        out = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
+        out = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
         new = np.flatnonzero(out < 0)
         h = hashes([tokens[i] for i in new])
         if len(new) and len(self.heavy):

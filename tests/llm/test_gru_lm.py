@@ -101,3 +101,12 @@ def test_many_partitions_train_in_a_few_tasks(spark):
     texts = [np.array(g.Ids(tokens, times, 16).words(g.tokens_of("a b c d e f a b c d e f")))]
     start = g.Gru(g.Shape(8, 4, 4), np.ones(16))
     assert g.score(model, texts)[0] > g.score(start, texts)[0] and all(np.isfinite(x).all() for x in model.p.values())
+
+
+def test_words_are_remembered_and_stay_the_same(monkeypatch):
+    monkeypatch.setattr(g, "REMEMBERED", 3)
+    ids = g.Ids(g.hashes([b"a", g.END_TOKEN, b"b", b"c"]), np.array([9, 8, 7, 6]), 4)
+    tokens = [b"a", b"b", b"c", b"zz", g.END_TOKEN, b"yy"]
+    want = [2, 3, g.UNKNOWN, g.UNKNOWN, g.END, g.UNKNOWN]
+    assert ids.words(tokens).tolist() == ids.words(tokens).tolist() == want and ids.word[b"zz"] == g.UNKNOWN
+    assert ids.words([b"ww", b"a"]).tolist() == [g.UNKNOWN, 2] and b"ww" not in ids.word
