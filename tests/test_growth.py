@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkfolio import session
 from sparkfolio.operators import evidence
+from sparkfolio.plans import queries
 from sparkfolio.plans.queries import Tables, by_symbol
 from sparkfolio.sources import artifacts, derived, forecast_store
 
@@ -124,3 +125,19 @@ def test_nested_trades_stay_where_they_were_nested(spark, tmp_path, monkeypatch,
     lines = artifacts.read_artifacts(spark, path)
     assert lines.count() == 4 and artifacts.artifact_trades(lines).count() == 25
     assert sorted(r.fold for r in artifacts.artifact_segments(lines).collect()) == ["empty", "f"]
+
+
+def test_replicas_cross_by_symbol_only(spark, sf, monkeypatch, merge_joins):
+    """Line items and symbols' numbers cross once for all replicas, then sums per day: no bar, proposal or path does."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan shows what is reused
+    try:
+        caught = []
+        monkeypatch.setattr(queries, "written", lambda df, name: caught.append(df) or df)
+        assert queries.QUERIES["plateau_replicas"](spark, sf).columns
+        text = plan(caught[0])
+        assert caught[0].count() > 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    crossed = [re.sub(r"#\d+", "", x) for x in re.findall(r"\+- Exchange hashpartitioning\(([^)]*?), \d+\)", text)]
+    crossed = [x for x in crossed if "_all" not in x]  # the pieces of the symbols' numbering
+    assert sorted(crossed) == ["replica, strategy, exit_date", "symbol", "symbol"] and text.count("ReusedExchange") == 2

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkfolio.functions.random import uniform_block
+from sparkfolio.plans import rules
 from sparkfolio.plans.queries import QUERIES
 from sparkfolio.operators import context, evidence, features, folds, forecasts, outcomes, resample, risk, scoring, signals
 
@@ -434,6 +435,44 @@ def test_outcome_reasons_on_one_path(spark):
     assert trailed.reason == "stop" and trailed.exit_date == day(94)  # the raised stop works from the next bar
 
 
+def test_outcomes_on_bars_are_those_of_joins(spark):
+    """Stops that trail, targets that go, exits asked for, paths that the data ends, fills missed, no target, no hold."""
+    rng = random.Random(5)
+    rows, data = {}, []
+    for symbol in ("AAA", "BBB", "CCC"):
+        close, rows[symbol] = 100.0, []
+        for _ in range(260):
+            opening, close = close, close * (1 + rng.uniform(-0.03, 0.03))
+            rows[symbol].append((opening, max(opening, close) * 1.005, min(opening, close) * 0.995, close))
+        for s in range(80, 261):
+            for name in rng.sample(["a", "b"], rng.choice([0, 1, 1, 2])):
+                at = rows[symbol][s - 1][3]
+                data.append((name, symbol, day(s - 1), s, rng.choice(["long", "long", "long", "short"]), at * 0.985, at * 1.01, at * rng.uniform(0.9, 0.98),
+                             rng.choice([None, at * 1.05]), rng.choice([None, 0, 1, 2, 3, 12]), "x", "y", rng.choice([None, 0.5])))
+    bars = features.bar_seq(make_bars(spark, rows["AAA"]).unionByName(make_bars(spark, rows["BBB"], "BBB")).unionByName(
+        make_bars(spark, rows["CCC"], "CCC")))
+    proposals = spark.createDataFrame(data, "strategy string, symbol string, signal_date date, seq int, side string, entry_min double, "
+                                            "entry_max double, stop_loss double, target double, max_hold_days int, setup string, regime string, confidence double")
+    proposals = proposals.where(F.col("seq") >= 90)
+    mine = ["strategy", *signals.PROPOSAL_COLUMNS[4:]]
+    asked = bars.join(proposals.groupBy("symbol", "seq").agg(F.collect_list(F.struct(*mine)).alias("asked")), ["symbol", "seq"], "left")
+    want = outcomes.trade_outcomes(bars, proposals)
+    got = outcomes.asked_outcomes(asked, 12).select(*want.columns).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want.collect()))
+    assert {r.reason for r in got} == {"stop", "target", "time_stop", "Short Signal", "open"} and len(got) < proposals.where("side = 'long'").count()
+    with pytest.raises(Exception, match="to be held for more than 11 bars: 12"):
+        outcomes.asked_outcomes(asked, 11).collect()
+
+
+def test_asked_bars_hold_the_rows_of_the_rules(spark):
+    bars = features.bar_seq(make_bars(spark, [(100.0, 101.0, 99.0, 100.0 + i % 7) for i in range(100)]))
+    rows = rules.featured(bars)
+    asked = signals.asked_bars(rows, *rules.example_rules()).select(
+        "symbol", F.col("bar_date").alias("signal_date"), "seq", F.explode("asked").alias("p")).select("symbol", "signal_date", "seq", "p.*")
+    want = signals.signal_rule(rows, *rules.example_rules())
+    assert sorted(map(repr, asked.select(*want.columns).collect())) == sorted(map(repr, want.collect())) != []
+
+
 def test_asof_index_and_forecast_joins(spark):
     bars = make_bars(spark, [(1, 1, 1, 1)] * 6).where(F.dayofmonth("bar_date").isin(1, 3, 4, 6))
     market = spark.createDataFrame([("index", day(1), 7.0), ("index", day(2), 8.0), ("index", day(3), 9.0)],
